@@ -18,22 +18,18 @@ def cdf(pdf: Column, x: Column, edges_days: Sequence[int] = BUCKET_EDGES_DAYS,
         tail_days: int = CDF_TAIL_DAYS) -> Column:
     """Piecewise-linear CDF through (0,0), (edge_i, p_0+..+p_i), (tail, sum p).
 
-    ``pdf`` is an array of len(edges)+1 doubles. Outside [0, tail] the result is NULL.
+    Written as F(x) = sum_i p_i * clamp((x - x_i) / (x_{i+1} - x_i), 0, 1): the same line
+    segments as the interpolation table, with each input referenced once per term (compact
+    generated code). ``pdf`` is an array of len(edges)+1 doubles; outside [0, tail] -> NULL.
     """
     xs = _knots(edges_days, tail_days)
-    ys: list[Column] = [F.lit(0.0)]
-    acc: Column | None = None
+    total: Column | None = None
     for i in range(len(xs) - 1):
-        term = pdf.getItem(i)
-        acc = term if acc is None else acc + term
-        ys.append(acc)
-    expr: Column = F.lit(None).cast("double")
-    # evaluate from the last segment down so the first matching arm wins
-    for i in reversed(range(len(xs) - 1)):
-        x0, x1 = xs[i], xs[i + 1]
-        seg = ys[i] + (ys[i + 1] - ys[i]) * ((x - F.lit(x0)) / F.lit(x1 - x0))
-        expr = F.when((x >= F.lit(x0)) & (x <= F.lit(x1)), seg).otherwise(expr)
-    return expr
+        frac = (x - F.lit(xs[i])) / F.lit(xs[i + 1] - xs[i])
+        term = pdf.getItem(i) * F.least(F.greatest(frac, F.lit(0.0)), F.lit(1.0))
+        total = term if total is None else total + term
+    inside = (x >= F.lit(xs[0])) & (x <= F.lit(xs[-1]))
+    return F.when(inside, total)
 
 
 def cdf_after(pdf: Column, x: Column, days: Column, **kw) -> Column:

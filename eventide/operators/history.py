@@ -22,6 +22,7 @@ from eventide.config import BUCKET_EDGES_DAYS, DAY_US
 from eventide.functions.labels import next_event_label
 from eventide.functions.time import epoch_us, ts_lit
 from eventide.operators.positions import chunked_running_sum
+from eventide.session import cut_lineage
 
 # element fields, in canonical sort order first (time, ticks, type, key)
 HISTORY_FIELDS = ["OccurredTime", "OccurredTimeTicks", "DefinitionId", "EventKey",
@@ -85,7 +86,7 @@ def next_event_at(events: DataFrame, t0: datetime) -> DataFrame:
 
 
 def histories_for_samples(events: DataFrame, samples: DataFrame, history_size: int, *,
-                          chunk_days: float = 1.0) -> DataFrame:
+                          chunk_days: float = 1.0, materialize: bool = True) -> DataFrame:
     """J05 + J06 for many (PersonId, t0) samples (positional equi-join design).
 
     ``samples`` must be distinct on (PersonId, t0). Output: PersonId, t0, history,
@@ -104,6 +105,8 @@ def histories_for_samples(events: DataFrame, samples: DataFrame, history_size: i
     order = [F.col("_t"), F.col("_kind"), F.col("OccurredTimeTicks"), F.col("DefinitionId"),
              F.col("EventKey")]
     r = chunked_running_sum(u, ["PersonId"], "_t", order, "_kind", chunk_us, out="_run")
+    if materialize:
+        r = cut_lineage(r)
     ev_pos = r.where(F.col("_kind") == 1).select(
         "PersonId", F.col("_run").alias("_pos"), event_struct().alias("_e"))
     sm_c = r.where(F.col("_kind") == 0).select("PersonId", "t0", F.col("_run").alias("_c"))

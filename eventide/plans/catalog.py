@@ -82,7 +82,8 @@ def _hist_sql(src: str, t0: str, h: int, extra_where: str = "") -> str:
             AS history_types,
         repeat('-,', {h} - count(*)) || string_agg(CAST(EventKey AS VARCHAR), ',' ORDER BY rn DESC)
             AS history_keys,
-        max(OccurredTime) AS last_time
+        max(OccurredTime) AS last_time,
+        max(CASE WHEN rn = 1 THEN DefinitionId END) AS last_type
       FROM (SELECT *, row_number() OVER (PARTITION BY PersonId ORDER BY {S.ORDER_DESC}) AS rn
             FROM {src} WHERE OccurredTime < {t0} {extra_where})
       WHERE rn <= {h} GROUP BY PersonId"""

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from eventide.config import Defaults
 from eventide.functions.time import ts_lit
+from eventide.session import cut_lineage
 from eventide.operators.filters import persons_active_in_window, persons_with_history, time_cutoff
 from eventide.operators.history import histories_at, histories_for_samples, with_label
 from eventide.operators.sampling import sample_points
-from eventide.operators.split import split_events, user_split
+from eventide.operators.split import user_split
 from eventide.operators.stats import time_bounds_values, time_mean_std, vocabulary
 
 
@@ -53,9 +54,10 @@ def test_set(events: DataFrame, p: PrepParams, max_time=None) -> DataFrame:
 def prepared_samples(raw: DataFrame, p: PrepParams) -> DataFrame:
     """P05 + J05/J06: sample (person, t0) over [data min, data max - h] and build histories."""
     lo, hi = time_bounds_values(raw)
-    pts = sample_points(raw, min_time=lo, max_time=hi - timedelta(days=p.horizon_days),
-                        history_size=p.history_size, buckets=p.sample_buckets, seed=p.seed,
-                        chunk_days=p.chunk_days)
+    pts = cut_lineage(sample_points(
+        raw, min_time=lo, max_time=hi - timedelta(days=p.horizon_days),
+        history_size=p.history_size, buckets=p.sample_buckets, seed=p.seed,
+        chunk_days=p.chunk_days))
     samples = histories_for_samples(raw, pts, p.history_size, chunk_days=p.chunk_days)
     return with_label(samples, label_from=p.label_from)
 
@@ -69,7 +71,9 @@ def train_validation_raw(events: DataFrame, p: PrepParams, max_time=None
     before = time_cutoff(events, cut)
     with_hist = persons_with_history(before, cut - timedelta(days=p.horizon_days))
     split = user_split(with_hist, ratio=p.split_ratio, seed=p.seed)
-    train, validation = split_events(with_hist, split)
+    tagged = cut_lineage(with_hist.join(split.select("PersonId", "split"), "PersonId"))
+    train = tagged.where(F.col("split") == "train").drop("split")
+    validation = tagged.where(F.col("split") == "validation").drop("split")
     return train, validation, split
 
 

@@ -86,17 +86,20 @@ def latest_status(statuses: DataFrame, order: Column | str, keys=("AccountId", "
     return agg.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in fields])
 
 
-def prediction_messages(scores: DataFrame, request: DataFrame, prediction_time: Column,
-                        task_type: str = SUPPORTED_TASK_TYPE) -> tuple[DataFrame, DataFrame]:
-    """F10 + K07: scored persons -> one Prediction row each; NULL scores are split off.
+def prediction_messages(scores: DataFrame, prediction_time: Column,
+                        task_type: str = SUPPORTED_TASK_TYPE, observation=None
+                        ) -> tuple[DataFrame, DataFrame]:
+    """F10 + K07: one Prediction row per scored (request, person); NULL scores are split off.
 
-    ``request`` carries AccountId / ApplicationId / ModelId per person (joined on PersonId) or
-    as one row per request joined on AccountId.
+    With a ``pyspark.sql.Observation`` the number of NULL scores is reported as a metric of
+    the same job that writes the messages (no extra pass).
     """
-    joined = scores.join(request, "AccountId" if "PersonId" not in request.columns
-                         else "PersonId", "inner")
-    rows = joined.withColumn("prediction_time", prediction_time).withColumn(
+    rows = scores.withColumn("prediction_time", prediction_time).withColumn(
         "task_type", F.lit(task_type))
+    if observation is not None:
+        rows = rows.observe(observation, F.sum(F.col("score").isNull().cast("int"))
+                            .alias("null_scores"), F.count(F.lit(1)).alias("scored"))
     good = _project(rows.where(F.col("score").isNotNull()), PREDICTION)
-    bad = rows.where(F.col("score").isNull()).select("PersonId")
+    bad = rows.where(F.col("score").isNull()).select("AccountId", "ApplicationId", "ModelId",
+                                                     "PersonId")
     return good, bad

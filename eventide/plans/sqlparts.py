@@ -54,7 +54,7 @@ def label(next_time: str, ref_time: str, edges=BUCKET_EDGES_DAYS) -> str:
 
 
 def hex8_uniform(text: str) -> str:
-    return f"(CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT) / 4294967296.0)"
+    return f"(CAST(CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE))"
 
 
 def hex8_int(text: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(
@@ -24,6 +24,7 @@ def build_session(
         b = b.master(master)
     conf = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -33,6 +34,8 @@ def build_session(
         # a broadcast is only ever requested explicitly for size-bounded tables
         "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     }
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = os.environ.get("EVENTIDE_DRIVER_MEMORY", "8g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -65,6 +68,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into ``spark.checkpoint.dir`` (shared storage on a cluster).
+
+    Used at the stage boundaries where a result is read more than once (split sets, sample
+    points, event positions): the plan stops growing, the stage is computed once, and a lost
+    executor does not force recomputation of everything upstream.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A table location under the shared checkpoint folder (for K01 stage boundaries)."""
     return os.path.join(checkpoint_dir(spark), "stages", name)
