@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from eventide.config import DAY_US, SECOND_US
 from eventide.functions.time import epoch_us, from_epoch_us, ts_lit
 from eventide.operators.positions import chunked_running_sum, hex8_int, hex8_uniform, seeded
+from eventide.session import cut_lineage
 
 SLOT_BATCH = 1_000_000
 
@@ -39,16 +40,28 @@ def random_second(lo_us: Column, hi_us: Column, u: Column) -> Column:
         lo_us + F.floor(u * range_s).cast("bigint") * F.lit(SECOND_US))
 
 
-def sample_points(events: DataFrame, *, min_time: datetime | Column, max_time: datetime | Column,
-                  history_size: int, buckets: int = 16, seed: int = 42,
-                  chunk_days: float = 1.0) -> DataFrame:
-    """(PersonId, t0, bucket, slot)."""
-    lo_lit = ts_lit(min_time)
-    hi_lit = ts_lit(max_time)
+def person_summary(events: DataFrame, seed: int, buckets: int) -> DataFrame:
+    """One row per person: first / last event time, row count, logical bucket."""
     persons = events.groupBy("PersonId").agg(
         F.min("OccurredTime").alias("_first"), F.max("OccurredTime").alias("_last"),
         F.count(F.lit(1)).alias("_rows"))
-    persons = persons.withColumn("bucket", person_bucket(seed, buckets))
+    return persons.withColumn("bucket", person_bucket(seed, buckets))
+
+
+def sample_points(events: DataFrame | None, *, min_time: datetime | Column,
+                  max_time: datetime | Column, history_size: int, buckets: int = 16,
+                  seed: int = 42, chunk_days: float = 1.0, persons: DataFrame | None = None,
+                  materialize: bool = True) -> DataFrame:
+    """(PersonId, t0, bucket, slot).
+
+    ``persons`` may be a precomputed :func:`person_summary` (it is read twice: bucket totals
+    and candidate ranks). With ``materialize`` the running counts are checkpointed, since
+    both the person ranks and the slot picks are read from them.
+    """
+    lo_lit = ts_lit(min_time)
+    hi_lit = ts_lit(max_time)
+    if persons is None:
+        persons = person_summary(events, seed, buckets)
     bstats = persons.groupBy("bucket").agg(
         F.sum("_rows").alias("_rows"), F.min("_first").alias("_bmin"),
         F.max("_last").alias("_bmax"))
@@ -83,6 +96,8 @@ def sample_points(events: DataFrame, *, min_time: datetime | Column, max_time: d
     r = chunked_running_sum(u, ["bucket"], "_t", [F.col("_t"), F.col("_kind"),
                                                   F.col("PersonId"), F.col("slot")],
                             "_isp", max(1, int(chunk_days * DAY_US)), out="_run")
+    if materialize:
+        r = cut_lineage(r)
     ranked = r.where(F.col("_kind") == 0).select("bucket", "PersonId",
                                                  (F.col("_run") - 1).alias("_rank"))
     picks = r.where((F.col("_kind") == 1) & (F.col("_run") > 0)).select(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from eventide.functions.time import ts_lit
 from eventide.session import cut_lineage
 from eventide.operators.filters import persons_active_in_window, persons_with_history, time_cutoff
 from eventide.operators.history import histories_at, histories_for_samples, with_label
-from eventide.operators.sampling import sample_points
+from eventide.operators.sampling import person_summary, sample_points
 from eventide.operators.split import user_split
 from eventide.operators.stats import time_bounds_values, time_mean_std, vocabulary
 
@@ -52,12 +52,21 @@ def test_set(events: DataFrame, p: PrepParams, max_time=None) -> DataFrame:
 
 
 def prepared_samples(raw: DataFrame, p: PrepParams) -> DataFrame:
-    """P05 + J05/J06: sample (person, t0) over [data min, data max - h] and build histories."""
-    lo, hi = time_bounds_values(raw)
+    """P05 + J05/J06: sample (person, t0) over [data min, data max - h] and build histories.
+
+    The per-person summary is computed once (one row per person) and supplies both the time
+    bounds and the sampling candidates; the sample points are a lineage cut.
+    """
+    persons = cut_lineage(person_summary(raw, p.seed, p.sample_buckets))
+    b = persons.agg(F.min("_first").alias("lo"), F.max("_last").alias("hi")).first()
+    if b["lo"] is None:  # no rows: no samples
+        lo = hi = datetime(1970, 1, 1)
+    else:
+        lo, hi = b["lo"], b["hi"]
     pts = cut_lineage(sample_points(
-        raw, min_time=lo, max_time=hi - timedelta(days=p.horizon_days),
+        None, min_time=lo, max_time=hi - timedelta(days=p.horizon_days),
         history_size=p.history_size, buckets=p.sample_buckets, seed=p.seed,
-        chunk_days=p.chunk_days))
+        chunk_days=p.chunk_days, persons=persons))
     samples = histories_for_samples(raw, pts, p.history_size, chunk_days=p.chunk_days)
     return with_label(samples, label_from=p.label_from)
 
