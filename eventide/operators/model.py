@@ -39,17 +39,22 @@ def bucket_pdf(samples: DataFrame, *, alpha: float = 1.0,
 
 
 def attach_pdf(df: DataFrame, pdf: DataFrame) -> DataFrame:
-    """Segment pdf with a fallback to the global row (pdf table: one row per segment).
+    """Segment pdf with a fallback to the model's global row.
 
-    The pdf table has one row per event type - bounded by the vocabulary, and AQE turns the
-    join into a broadcast at run time only when its measured size allows.
+    When the pdf table carries model keys (AccountId, ModelId - several saved models scored in
+    one job) the join includes them. The pdf table has one row per (model, event type), and
+    AQE turns the join into a broadcast at run time only when its measured size allows.
     """
-    seg = pdf.select(F.col("segment").alias("_seg"), F.col("pdf").alias("_pdf_seg"))
-    # exactly one global row (group-by key '*'): a one-row broadcast keyed on the constant
+    keys = [k for k in ("AccountId", "ModelId") if k in pdf.columns and k in df.columns]
+    seg = pdf.select(*keys, F.col("segment").alias("_seg"), F.col("pdf").alias("_pdf_seg"))
     glob = pdf.where(F.col("segment") == GLOBAL_SEGMENT).select(
-        F.col("segment").alias("_g"), F.col("pdf").alias("_pdf_all"))
-    out = (df.withColumn("_seg", segment_of()).join(seg, "_seg", "left")
-           .withColumn("_g", F.lit(GLOBAL_SEGMENT)).join(F.broadcast(glob), "_g", "left"))
+        *keys, F.col("segment").alias("_g"), F.col("pdf").alias("_pdf_all"))
+    out = df.withColumn("_seg", segment_of()).join(seg, [*keys, "_seg"], "left")
+    if keys:
+        out = out.withColumn("_g", F.lit(GLOBAL_SEGMENT)).join(glob, [*keys, "_g"], "left")
+    else:
+        # exactly one global row (group-by key '*'): a one-row broadcast keyed on the constant
+        out = out.withColumn("_g", F.lit(GLOBAL_SEGMENT)).join(F.broadcast(glob), "_g", "left")
     return out.withColumn("pdf", F.coalesce("_pdf_seg", "_pdf_all")).drop(
         "_seg", "_g", "_pdf_seg", "_pdf_all")
 

@@ -52,7 +52,10 @@ def histories_per_request(extract: DataFrame, as_of: datetime | Column, *,
               .where(F.col("_hr") <= F.lit(int(history_size))))
     hist = before.groupBy(*keys).agg(F.sort_array(F.collect_list(event_struct())).alias("_h"))
     persons = ext.select(*keys).distinct()
-    out = persons.join(hist, keys, "left")
+    # null-safe key match: a request without an application id is a valid key
+    h = hist.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_h")
+    cond = [persons[k].eqNullSafe(h[f"_h_{k}"]) for k in keys]
+    out = persons.join(h, cond, "left")
     return out.select(
         *[F.col(f"req_{k}").alias(k) for k in REQUEST_KEYS], "PersonId",
         pad_left(F.col("_h"), history_size, etype).alias("history"),
@@ -93,7 +96,8 @@ class ChurnPipeline:
         """Write the pdf table and append a registry row (AccountId, ModelId, path, time)."""
         path = os.path.join(registry_path, "models", f"AccountId-{account_id}",
                             f"ModelId-{model_id}", trained_at.strftime("%Y-%m-%d"))
-        self.pdf.write.mode("overwrite").parquet(path)
+        (self.pdf.withColumn("AccountId", F.lit(int(account_id)).cast("bigint"))
+         .withColumn("ModelId", F.lit(str(model_id))).write.mode("overwrite").parquet(path))
         row = spark.createDataFrame(
             [(int(account_id), str(model_id), path, trained_at)],
             "AccountId long, ModelId string, model_path string, trained_at timestamp_ntz")
