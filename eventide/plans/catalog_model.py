@@ -500,3 +500,19 @@ def q_prediction_messages(spark: SparkSession, sf: str) -> DataFrame:
     return good.select("AccountId", "ApplicationId", "ModelId", "PersonId",
                        ts_text("prediction_time").alias("prediction_time"), "task_type",
                        F.round("score", 6).alias("score"))
+
+
+# ---- M01b / M02: MLlib classifier (rows-only check: a fitted model has no SQL twin) --------
+
+
+@register("classifier_scores", None)
+def q_classifier_scores(spark: SparkSession, sf: str) -> DataFrame:
+    from eventide.operators.mllib_model import churn_from_classifier, fit_classifier
+    from eventide.operators.stats import time_mean_std
+
+    ev, train, _ = _orders_train_sets(spark, sf)
+    st = time_mean_std(ev).first()
+    model = fit_classifier(train, st["mean"], st["std"], max_iter=20)
+    scored = churn_from_classifier(model, test_set(ev, ORP), st["mean"], st["std"])
+    return scored.select("PersonId", F.col("prediction").cast("int").alias("predicted_bucket"),
+                         F.round("score", 6).alias("score"))
