@@ -40,71 +40,80 @@ def random_second(lo_us: Column, hi_us: Column, u: Column) -> Column:
         lo_us + F.floor(u * range_s).cast("bigint") * F.lit(SECOND_US))
 
 
-def person_summary(events: DataFrame, seed: int, buckets: int) -> DataFrame:
-    """One row per person: first / last event time, row count, logical bucket."""
-    persons = events.groupBy("PersonId").agg(
+def person_summary(events: DataFrame, seed: int, buckets: int, group: str | None = None
+                   ) -> DataFrame:
+    """One row per person (and group): first / last event time, row count, logical bucket."""
+    g = [group] if group else []
+    persons = events.groupBy("PersonId", *g).agg(
         F.min("OccurredTime").alias("_first"), F.max("OccurredTime").alias("_last"),
         F.count(F.lit(1)).alias("_rows"))
     return persons.withColumn("bucket", person_bucket(seed, buckets))
 
 
-def sample_points(events: DataFrame | None, *, min_time: datetime | Column,
-                  max_time: datetime | Column, history_size: int, buckets: int = 16,
-                  seed: int = 42, chunk_days: float = 1.0, persons: DataFrame | None = None,
-                  materialize: bool = True) -> DataFrame:
-    """(PersonId, t0, bucket, slot).
+def sample_points(events: DataFrame | None, *, min_time: datetime | Column | None = None,
+                  max_time: datetime | Column | None = None, history_size: int,
+                  buckets: int = 16, seed: int = 42, chunk_days: float = 1.0,
+                  persons: DataFrame | None = None, materialize: bool = True,
+                  group: str | None = None, bounds: DataFrame | None = None) -> DataFrame:
+    """(PersonId, t0, [group,] bucket, slot).
 
     ``persons`` may be a precomputed :func:`person_summary` (it is read twice: bucket totals
-    and candidate ranks). With ``materialize`` the running counts are checkpointed, since
-    both the person ranks and the slot picks are read from them.
+    and candidate ranks). With ``group`` (e.g. the split) buckets, budgets and t0 ranges are
+    per group and ``bounds`` gives each group's range as (group, _lo_us, _hi_us) - one row per
+    group, broadcast. With ``materialize`` the running counts are a lineage cut, since both the
+    person ranks and the slot picks are read from them.
     """
-    lo_lit = ts_lit(min_time)
-    hi_lit = ts_lit(max_time)
+    g = [group] if group else []
     if persons is None:
-        persons = person_summary(events, seed, buckets)
-    bstats = persons.groupBy("bucket").agg(
+        persons = person_summary(events, seed, buckets, group)
+    bstats = persons.groupBy(*g, "bucket").agg(
         F.sum("_rows").alias("_rows"), F.min("_first").alias("_bmin"),
         F.max("_last").alias("_bmax"))
+    if bounds is not None:
+        bstats = bstats.join(F.broadcast(bounds), g)
+        lo, hi = F.col("_lo_us"), F.col("_hi_us")
+    else:
+        lo, hi = epoch_us(ts_lit(min_time)), epoch_us(ts_lit(max_time))
     bstats = bstats.select(
-        "bucket",
+        *g, "bucket",
         (F.floor(F.col("_rows") / F.lit(int(history_size))) + 1).cast("bigint").alias("_budget"),
-        F.greatest(epoch_us("_bmin"), epoch_us(lo_lit)).alias("_lo"),
-        F.least(epoch_us("_bmax") + F.lit(DAY_US), epoch_us(hi_lit)).alias("_hi"),
+        F.greatest(epoch_us("_bmin"), lo).alias("_lo"),
+        F.least(epoch_us("_bmax") + F.lit(DAY_US), hi).alias("_hi"),
     )
     # two-level slot generation: batches first (spread by a shuffle), then slots per batch
     batches = bstats.select(
         "*", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                   F.floor((F.col("_budget") - 1) / F.lit(SLOT_BATCH))
                                   .cast("bigint"))).alias("_batch"))
-    batches = batches.repartition("bucket", "_batch")
+    batches = batches.repartition(*g, "bucket", "_batch")
     slots = batches.select(
-        "bucket", "_lo", "_hi",
+        *g, "bucket", "_lo", "_hi",
         F.explode(F.sequence(F.col("_batch") * SLOT_BATCH,
                              F.least(F.col("_budget"), (F.col("_batch") + 1) * SLOT_BATCH) - 1))
         .alias("slot"))
     slots = slots.select(
-        "bucket", "slot",
+        *g, "bucket", "slot",
         random_second(F.col("_lo"), F.col("_hi"),
                       hex8_uniform(seeded(seed, F.col("bucket"), F.col("slot"), "t")))
         .alias("_t"))
     # union persons (kind 0, at first_ts) and slots (kind 1, at t0); persons first on ties (<=)
-    pu = persons.select("bucket", epoch_us("_first").alias("_t"), F.lit(0).alias("_kind"),
+    pu = persons.select(*g, "bucket", epoch_us("_first").alias("_t"), F.lit(0).alias("_kind"),
                         "PersonId", F.lit(None).cast("bigint").alias("slot"))
-    su = slots.select("bucket", "_t", F.lit(1).alias("_kind"),
+    su = slots.select(*g, "bucket", "_t", F.lit(1).alias("_kind"),
                       F.lit(None).cast("bigint").alias("PersonId"), "slot")
     u = pu.unionByName(su).withColumn("_isp", (1 - F.col("_kind")).cast("bigint"))
-    r = chunked_running_sum(u, ["bucket"], "_t", [F.col("_t"), F.col("_kind"),
-                                                  F.col("PersonId"), F.col("slot")],
+    r = chunked_running_sum(u, [*g, "bucket"], "_t", [F.col("_t"), F.col("_kind"),
+                                                      F.col("PersonId"), F.col("slot")],
                             "_isp", max(1, int(chunk_days * DAY_US)), out="_run")
     if materialize:
-        r = cut_lineage(r)
-    ranked = r.where(F.col("_kind") == 0).select("bucket", "PersonId",
+        r = cut_lineage(r, "sample_ranks")
+    ranked = r.where(F.col("_kind") == 0).select(*g, "bucket", "PersonId",
                                                  (F.col("_run") - 1).alias("_rank"))
     picks = r.where((F.col("_kind") == 1) & (F.col("_run") > 0)).select(
-        "bucket", "slot", "_t",
+        *g, "bucket", "slot", "_t",
         F.floor(hex8_uniform(seeded(seed, F.col("bucket"), F.col("slot"), "p"))
                 * F.col("_run")).cast("bigint").alias("_rank"))
-    chosen = picks.join(ranked, ["bucket", "_rank"], "inner")
-    return (chosen.groupBy("PersonId", "_t")
+    chosen = picks.join(ranked, [*g, "bucket", "_rank"], "inner")
+    return (chosen.groupBy("PersonId", "_t", *g)
             .agg(F.min("bucket").alias("bucket"), F.min("slot").alias("slot"))
-            .select("PersonId", from_epoch_us("_t").alias("t0"), "bucket", "slot"))
+            .select("PersonId", from_epoch_us("_t").alias("t0"), *g, "bucket", "slot"))

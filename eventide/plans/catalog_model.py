@@ -20,8 +20,8 @@ from eventide.operators.validate import parse_and_validate
 from eventide.plans import sqlparts as S
 from eventide.plans.catalog import (_SPLIT_SQL, EVP, MX, ORP, _hist_sql, _next_sql, _sample_view,
                                     _types, register)
-from eventide.plans.preprocess import (prepared_samples, tag_split, test_set,
-                                       train_validation_raw)
+from eventide.plans.preprocess import (test_set, train_validation_raw,
+                                       train_validation_samples, train_validation_sets)
 from eventide.plans.requests import (download_status, latest_status, prediction_requests,
                                      ready_to_train, routed, training_requests)
 from eventide.plans.scoring import score_requests
@@ -144,8 +144,8 @@ def _pdf_pick(seg: str) -> tuple[str, str]:
 
 def _orders_train_sets(spark: SparkSession, sf: str):
     ev = load_events(spark, sf, "orders")
-    train_raw, val_raw, _ = train_validation_raw(ev, ORP)
-    return ev, prepared_samples(train_raw, ORP), prepared_samples(val_raw, ORP)
+    train, val = train_validation_sets(ev, ORP)
+    return ev, train, val
 
 
 def _orders_pdf(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -179,8 +179,7 @@ def q_sample_points(spark: SparkSession, sf: str) -> DataFrame:
 SELECT g AS split, PersonId, {S.ts('t0')} AS t0, history_len, history_types,
        {S.ts('last_time')} AS last_time, next_type, {S.ts('next_time')} AS next_time, label FROM ts""")
 def q_train_samples(spark: SparkSession, sf: str) -> DataFrame:
-    _, train, val = _orders_train_sets(spark, sf)
-    both = tag_split(train, val)
+    both = train_validation_samples(load_events(spark, sf, "orders"), ORP)
     return _sample_view(both, "split", ts_text("t0").alias("t0"))
 
 
@@ -188,8 +187,8 @@ def q_train_samples(spark: SparkSession, sf: str) -> DataFrame:
 SELECT g AS split, CAST(count(DISTINCT (PersonId, t0)) AS BIGINT) AS n_samples,
        CAST(count(DISTINCT PersonId) AS BIGINT) AS n_persons FROM ts GROUP BY g""")
 def q_dataset_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    _, train, val = _orders_train_sets(spark, sf)
-    return tag_split(train, val).groupBy("split").agg(
+    both = train_validation_samples(load_events(spark, sf, "orders"), ORP)
+    return both.groupBy("split").agg(
         F.count_distinct("PersonId", "t0").cast("bigint").alias("n_samples"),
         F.count_distinct("PersonId").cast("bigint").alias("n_persons"))
 
@@ -399,7 +398,7 @@ FROM (SELECT DISTINCT AccountId, ModelId, ApplicationId FROM ev) q
 LEFT JOIN reg ON q.AccountId = reg.AccountId AND q.ModelId = reg.ModelId""")
 def q_route_requests(spark: SparkSession, sf: str) -> DataFrame:
     reqs = prediction_requests(X.registered_models(load_events(spark, sf, "events")))
-    train_raw, _, _ = train_validation_raw(load_events(spark, sf, "orders"), ORP)
+    train_raw, _ = train_validation_raw(load_events(spark, sf, "orders"), ORP)
     registry = train_raw.select("AccountId", "ModelId").distinct()
     return routed(reqs, registry)
 

@@ -8,8 +8,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.config import Defaults
-from eventide.functions.time import ts_lit
+from eventide.config import DAY_US, Defaults
+from eventide.functions.time import epoch_us, ts_lit
 from eventide.session import cut_lineage
 from eventide.operators.filters import persons_active_in_window, persons_with_history, time_cutoff
 from eventide.operators.history import histories_at, histories_for_samples, with_label
@@ -51,49 +51,69 @@ def test_set(events: DataFrame, p: PrepParams, max_time=None) -> DataFrame:
     return with_label(samples, label_from=p.label_from)
 
 
-def prepared_samples(raw: DataFrame, p: PrepParams) -> DataFrame:
+def prepared_samples(raw: DataFrame, p: PrepParams, group: str | None = None) -> DataFrame:
     """P05 + J05/J06: sample (person, t0) over [data min, data max - h] and build histories.
 
-    The per-person summary is computed once (one row per person) and supplies both the time
-    bounds and the sampling candidates; the sample points are a lineage cut.
+    With ``group`` (a column such as the split) every group is sampled over its own range in
+    the same jobs; a person must belong to one group. The per-person summary is computed once
+    and supplies both the time bounds and the sampling candidates; the sample points are a
+    lineage cut.
     """
-    persons = cut_lineage(person_summary(raw, p.seed, p.sample_buckets))
-    b = persons.agg(F.min("_first").alias("lo"), F.max("_last").alias("hi")).first()
-    if b["lo"] is None:  # no rows: no samples
-        lo = hi = datetime(1970, 1, 1)
-    else:
-        lo, hi = b["lo"], b["hi"]
-    pts = cut_lineage(sample_points(
-        None, min_time=lo, max_time=hi - timedelta(days=p.horizon_days),
-        history_size=p.history_size, buckets=p.sample_buckets, seed=p.seed,
-        chunk_days=p.chunk_days, persons=persons))
-    samples = histories_for_samples(raw, pts, p.history_size, chunk_days=p.chunk_days)
+    g = [group] if group else []
+    persons = cut_lineage(person_summary(raw, p.seed, p.sample_buckets, group), "persons")
+    bounds = persons.groupBy(*g).agg(
+        epoch_us(F.min("_first")).alias("_lo_us"),
+        (epoch_us(F.max("_last")) - F.lit(p.horizon_days * DAY_US)).alias("_hi_us"))
+    if not group:
+        bounds = bounds.withColumn("_one", F.lit(1))
+        persons = persons.withColumn("_one", F.lit(1))
+    pts = sample_points(None, history_size=p.history_size, buckets=p.sample_buckets,
+                        seed=p.seed, chunk_days=p.chunk_days, persons=persons,
+                        group=group or "_one", bounds=bounds)
+    pts = cut_lineage(pts.drop("_one"), "sample_points")
+    samples = histories_for_samples(raw.drop(*g), pts, p.history_size, chunk_days=p.chunk_days)
     return with_label(samples, label_from=p.label_from)
 
 
-def train_validation_raw(events: DataFrame, p: PrepParams, max_time=None
-                         ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """H06 first half: F01 at max - h, F02 at max - 2h, P01 split. Returns (train, val, split)."""
+def split_raw(events: DataFrame, p: PrepParams, max_time=None) -> DataFrame:
+    """H06 first half: F01 at max - h, F02 at max - 2h, P01 split -> rows with a split column.
+
+    A lineage cut: both splits and everything sampled from them read this table.
+    """
     if max_time is None:
         _, max_time = time_bounds_values(events)
     cut = max_time - timedelta(days=p.horizon_days)
     before = time_cutoff(events, cut)
     with_hist = persons_with_history(before, cut - timedelta(days=p.horizon_days))
     split = user_split(with_hist, ratio=p.split_ratio, seed=p.seed)
-    tagged = cut_lineage(with_hist.join(split.select("PersonId", "split"), "PersonId"))
-    train = tagged.where(F.col("split") == "train").drop("split")
-    validation = tagged.where(F.col("split") == "validation").drop("split")
-    return train, validation, split
+    return cut_lineage(with_hist.join(split.select("PersonId", "split"), "PersonId"), "split_raw")
+
+
+def train_validation_raw(events: DataFrame, p: PrepParams, max_time=None
+                         ) -> tuple[DataFrame, DataFrame]:
+    """The train rows and the validation rows of :func:`split_raw`."""
+    tagged = split_raw(events, p, max_time)
+    return (tagged.where(F.col("split") == "train").drop("split"),
+            tagged.where(F.col("split") == "validation").drop("split"))
+
+
+def train_validation_samples(events: DataFrame, p: PrepParams) -> DataFrame:
+    """H06 in one pass: train and validation samples with a ``split`` column.
+
+    Both sets go through the same sampling and history jobs keyed by split (each person is in
+    exactly one split), instead of two separate runs of the whole chain.
+    """
+    return prepared_samples(split_raw(events, p), p, group="split")
 
 
 def train_validation_sets(events: DataFrame, p: PrepParams, *, materialize=None
                           ) -> tuple[DataFrame, DataFrame]:
-    """Train and validation samples. ``materialize(df, name)`` may cut lineage."""
-    train_raw, val_raw, _ = train_validation_raw(events, p)
+    """(train samples, validation samples). ``materialize(df, name)`` may write them."""
+    both = train_validation_samples(events, p)
     if materialize is not None:
-        train_raw = materialize(train_raw, "train_raw")
-        val_raw = materialize(val_raw, "validation_raw")
-    return prepared_samples(train_raw, p), prepared_samples(val_raw, p)
+        both = materialize(both, "prepared_samples")
+    return (both.where(F.col("split") == "train").drop("split"),
+            both.where(F.col("split") == "validation").drop("split"))
 
 
 def preprocess_dataset(spark: SparkSession, events: DataFrame, out_path: str, p: PrepParams,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,15 +69,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into ``spark.checkpoint.dir`` (shared storage on a cluster).
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as a parquet table under ``spark.checkpoint.dir`` and read it back.
 
-    Used at the stage boundaries where a result is read more than once (split sets, sample
-    points, event positions): the plan stops growing, the stage is computed once, and a lost
-    executor does not force recomputation of everything upstream.
+    Used at the stage boundaries where a result is read more than once (split sets, person
+    summaries, sample points, event positions): the plan stops growing, the stage is computed
+    exactly once (a single write job, no recompute as with an RDD checkpoint), later readers get
+    column pruning, and a lost executor does not force recomputation of everything upstream.
+    The folder is the shared one the cluster names; it is only chosen here when unset (tests).
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "eventide-stages", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
