@@ -10,16 +10,13 @@ def token_ids(events: DataFrame, vocab: DataFrame, column: str = "DefinitionId",
               out: str = "token_id") -> DataFrame:
     """Left join on the vocabulary; unknown or NULL tokens get id = vocabulary size.
 
-    The vocabulary is one row per distinct event type. It is joined as a plain equi-join so AQE
-    can pick a broadcast from its measured size at run time; the vocabulary size is a one-row
-    aggregate joined on a constant key as a broadcast (fixed size).
+    The vocabulary is one row per distinct event type, joined as a plain equi-join so AQE can
+    pick a broadcast from its measured size at run time; its size is read once as a scalar.
     """
-    size = vocab.agg(F.count(F.lit(1)).cast("int").alias("_vsize")).withColumn("_k", F.lit(1))
+    size = vocab.count()
     v = vocab.select(F.col("token").alias(column), F.col("token_id").alias("_tid"))
-    j = (events.join(v, column, "left").withColumn("_k", F.lit(1))
-         .join(F.broadcast(size), "_k", "left"))
-    return j.withColumn(out, F.coalesce(F.col("_tid"), F.col("_vsize")).cast("int")).drop(
-        "_tid", "_k", "_vsize")
+    j = events.join(v, column, "left")
+    return j.withColumn(out, F.coalesce(F.col("_tid"), F.lit(size)).cast("int")).drop("_tid")
 
 
 def id_array(history_col: str, vocab_map_col: str, vocab_size_col: str,

@@ -13,34 +13,34 @@ def classification_metrics(scored: DataFrame, *, score: str = "score", actual: s
     AUC is the rank-sum statistic with ties counted half, over scores rounded to
     ``score_decimals``: the rows are first reduced to one row per distinct rounded score (at
     most 10**decimals + 1 rows, a bound independent of the data size), and only that small
-    table is ordered.
+    table is ordered; the confusion counts come from the same table in the same aggregate.
     """
     rows = scored.where(F.col(score).isNotNull()).select(
         F.round(F.col(score), score_decimals).alias("_s"), F.col(actual).cast("int").alias("_y"))
-    conf = rows.agg(
-        F.sum(F.when((F.col("_s") >= threshold) & (F.col("_y") == 1), 1).otherwise(0)).alias("tp"),
-        F.sum(F.when((F.col("_s") >= threshold) & (F.col("_y") == 0), 1).otherwise(0)).alias("fp"),
-        F.sum(F.when((F.col("_s") < threshold) & (F.col("_y") == 1), 1).otherwise(0)).alias("fn"),
-        F.sum(F.when((F.col("_s") < threshold) & (F.col("_y") == 0), 1).otherwise(0)).alias("tn"),
-    )
     per_score = rows.groupBy("_s").agg(
         F.sum(F.col("_y")).alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg"))
     below = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    auc_terms = per_score.select(
+    terms = per_score.select(
+        "_s", "_pos", "_neg",
         (F.col("_pos") * (F.coalesce(F.sum("_neg").over(below), F.lit(0))
-                          + 0.5 * F.col("_neg"))).alias("_t"), "_pos", "_neg")
-    auc = auc_terms.agg((F.sum("_t") / (F.sum("_pos") * F.sum("_neg"))).alias("auc"))
-    tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
+                          + 0.5 * F.col("_neg"))).alias("_t"))
+    hi = F.col("_s") >= F.lit(threshold)
+    m = terms.agg(
+        (F.sum("_t") / (F.sum("_pos") * F.sum("_neg"))).alias("auc"),
+        F.sum(F.when(hi, F.col("_pos")).otherwise(0)).cast("double").alias("tp"),
+        F.sum(F.when(hi, F.col("_neg")).otherwise(0)).cast("double").alias("fp"),
+        F.sum(F.when(~hi, F.col("_pos")).otherwise(0)).cast("double").alias("fn"),
+        F.sum(F.when(~hi, F.col("_neg")).otherwise(0)).cast("double").alias("tn"))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     prec = tp / F.nullif(tp + fp, F.lit(0.0))
     rec = tp / F.nullif(tp + fn, F.lit(0.0))
-    return conf.withColumn("_k", F.lit(1)).join(
-        F.broadcast(auc.withColumn("_k", F.lit(1))), "_k").select(
+    return m.select(
         "auc",
         (2 * prec * rec / F.nullif(prec + rec, F.lit(0.0))).alias("f1"),
         prec.alias("precission"),
         rec.alias("recall"),
         ((tp + tn) / (tp + tn + fp + fn)).alias("accuracy"),
-        (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).cast("bigint").alias("n"),
+        (tp + fp + fn + tn).cast("bigint").alias("n"),
     )
 
 

@@ -53,8 +53,11 @@ def attach_pdf(df: DataFrame, pdf: DataFrame) -> DataFrame:
     if keys:
         out = out.withColumn("_g", F.lit(GLOBAL_SEGMENT)).join(glob, [*keys, "_g"], "left")
     else:
-        # exactly one global row (group-by key '*'): a one-row broadcast keyed on the constant
-        out = out.withColumn("_g", F.lit(GLOBAL_SEGMENT)).join(F.broadcast(glob), "_g", "left")
+        # exactly one global row (group-by key '*'): read it as a scalar, use it as a literal
+        row = glob.first()
+        fallback = (F.array(*[F.lit(float(v)) for v in row["_pdf_all"]]) if row is not None
+                    else F.lit(None).cast("array<double>"))
+        out = out.withColumn("_pdf_all", fallback)
     return out.withColumn("pdf", F.coalesce("_pdf_seg", "_pdf_all")).drop(
         "_seg", "_g", "_pdf_seg", "_pdf_all")
 

@@ -7,28 +7,29 @@ from pyspark.sql import functions as F
 
 from eventide.functions.time import epoch_us
 
-MAX_BROADCAST_VOCAB = 1_000_000
+MAX_LITERAL_VOCAB = 10_000
 
 
 def training_rows(samples: DataFrame, vocab: DataFrame, *,
-                  max_broadcast_vocab: int = MAX_BROADCAST_VOCAB) -> DataFrame:
+                  max_literal_vocab: int = MAX_LITERAL_VOCAB) -> DataFrame:
     """samples (history, label, ...) -> action_ids ARRAY<INT>, times ARRAY<BIGINT>, label.
 
     Padding and unknown tokens map to the vocabulary size; padded times stay NULL. The
-    vocabulary is counted first: up to ``max_broadcast_vocab`` entries it travels as one
-    broadcast map (a checked size); beyond that the history is exploded and equi-joined.
+    vocabulary is counted first: up to ``max_literal_vocab`` entries it is collected and used
+    as a literal map in the expression (a checked size); beyond that the history is exploded
+    and equi-joined with the vocabulary.
     """
     size = vocab.count()
     secs = lambda x: F.floor(epoch_us(x.getField("OccurredTime")) / F.lit(1_000_000)).cast("bigint")
     keep = [c for c in samples.columns if c != "history"]
-    if size <= max_broadcast_vocab:
-        vmap = vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", "token_id")))
-                         .alias("_vmap")).withColumn("_k", F.lit(1))
-        j = samples.withColumn("_k", F.lit(1)).join(F.broadcast(vmap), "_k")
-        return j.select(
+    if size <= max_literal_vocab:
+        entries = vocab.select("token", "token_id").collect()
+        vmap = (F.create_map(*[x for r in entries for x in (F.lit(r.token), F.lit(int(r.token_id)))])
+                if entries else F.create_map().cast("map<string,int>"))
+        return samples.select(
             *keep,
             F.transform("history", lambda x: F.coalesce(
-                F.col("_vmap").getItem(x.getField("DefinitionId")), F.lit(size)).cast("int"))
+                vmap.getItem(x.getField("DefinitionId")), F.lit(size)).cast("int"))
             .alias("action_ids"),
             F.transform("history", secs).alias("times"))
     ex = samples.select(*keep, F.posexplode("history").alias("_i", "_e"))

@@ -343,12 +343,9 @@ def _feat_sql() -> str:
     + f"\nSELECT EventKey, {_feat_sql()} FROM e, st")
 def q_time_features(spark: SparkSession, sf: str) -> DataFrame:
     ev = load_events(spark, sf, "events")
-    st = time_mean_std(ev)
-    secs = tf.epoch_seconds("OccurredTime")
-    # one-row statistics table: a broadcast with a fixed size, keyed on a constant
-    j = ev.select("EventKey", secs.alias("_s"), F.lit(1).alias("_k")).join(
-        F.broadcast(st.withColumn("_k", F.lit(1))), "_k")
-    feats = tf.time_features(F.col("_s"), F.col("mean").cast("double"), F.col("std").cast("double"))
+    st = time_mean_std(ev).first()  # two scalars (A04), used as literals
+    j = ev.select("EventKey", tf.epoch_seconds("OccurredTime").alias("_s"))
+    feats = tf.time_features(F.col("_s"), F.lit(float(st["mean"])), F.lit(float(st["std"])))
     return j.select("EventKey", *[F.round(c, 6).alias(n) for n, c in feats])
 
 

@@ -426,10 +426,9 @@ _TRACK_CTES = [
 
 
 def _track_requests(ev: DataFrame) -> DataFrame:
-    lo = ev.agg(F.min("OccurredTime").alias("requested_at"))
+    start, _ = time_bounds_values(ev)  # the feed's start: one scalar, used as a literal
     per = ev.groupBy("AccountId").agg(F.count(F.lit(1)).alias("total_no_of_records"))
-    # one-row aggregate (global start time): broadcast keyed on a constant
-    return per.withColumn("_k", F.lit(1)).join(F.broadcast(lo.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    return per.withColumn("requested_at", ts_lit(start))
 
 
 def _progress(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,7 +125,7 @@ def on_training_model_start(cfg: FlowConfig) -> Callable[[DataFrame, int], None]
             {"req_AccountId": "AccountId", "req_ApplicationId": "ApplicationId",
              "req_ModelId": "ModelId"})
         write_run_table(canonical_events(ext), f"{cfg.root_path}/extract",
-                        datetime.utcnow().strftime("%Y-%m-%d"))
+                        datetime.now(timezone.utc).replace(tzinfo=None).strftime("%Y-%m-%d"))
         publish(status.where("current_step_percentage = 1.0"), TRAINING_MODEL_STATUS,
                 "training_model_status", bootstrap=cfg.bootstrap, path=cfg.out_topics)
 
@@ -150,7 +150,7 @@ def on_training_model_status(cfg: FlowConfig) -> Callable[[DataFrame, int], None
         publish(training_status_steps(ready), TRAINING_MODEL_STATUS, "training_model_status",
                 bootstrap=cfg.bootstrap, path=cfg.out_topics)
         p = PrepParams(horizon_days=cfg.horizon_days, history_size=cfg.history_size)
-        today = datetime.utcnow()
+        today = datetime.now(timezone.utc).replace(tzinfo=None)
         for r in ready.collect():  # one row per model (bounded by the registry)
             ev = read_run_table(spark, f"{cfg.root_path}/extract", account_id=r.AccountId,
                                 model_id=r.ModelId, dt=today.strftime("%Y-%m-%d"))
@@ -185,7 +185,7 @@ def on_start_prediction(cfg: FlowConfig) -> Callable[[DataFrame, int], None]:
                 path=cfg.out_topics)
         latest = registry.groupBy("AccountId", "ModelId").agg(
             F.max_by("model_path", "trained_at").alias("model_path"))
-        as_of = datetime.utcnow()
+        as_of = datetime.now(timezone.utc).replace(tzinfo=None)
         paths = [r.model_path for r in latest.join(hit.select("AccountId", "ModelId"),
                                                    ["AccountId", "ModelId"]).collect()]
         if not paths:

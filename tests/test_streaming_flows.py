@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from conftest import make_events
 
@@ -43,7 +43,7 @@ def test_validated_feed_dedupes_and_quarantines(spark):
 
 def _events_table(spark, path):
     # recent events: scoring happens "now" and a last event over 1,000 days old has no score
-    base = datetime.utcnow().replace(microsecond=0) - timedelta(days=150)
+    base = datetime.now(timezone.utc).replace(tzinfo=None).replace(microsecond=0) - timedelta(days=150)
     rows = []
     for p in range(1, 9):
         for k in range(6 + p):
