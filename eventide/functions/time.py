@@ -96,3 +96,9 @@ def time_features(seconds: Column, mean: Column, std: Column) -> list[tuple[str,
         out.append((f"{name}_cos", c))
     out.append(("z", (seconds.cast("double") - mean) / std))
     return out
+
+
+def sample_key(person: Column | str, t0: Column | str) -> Column:
+    """C14: text key ``{PersonId}_{t0}`` for exports (samples stay keyed by the two columns)."""
+    return F.concat(_c(person).cast("string"), F.lit("_"),
+                    F.date_format(_c(t0), "yyyy-MM-dd HH:mm:ss.SSSSSS"))

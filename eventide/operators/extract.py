@@ -76,3 +76,8 @@ def account_counts(events: DataFrame, accounts: DataFrame | None = None) -> Data
 
 def event_columns(events: DataFrame) -> DataFrame:
     return events.select(*EVENT_COLUMNS, "EventKey")
+
+
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """A small preview (the limit is the feature here)."""
+    return df.limit(int(n))

@@ -122,10 +122,11 @@ def preprocess_dataset(spark: SparkSession, events: DataFrame, out_path: str, p:
 
     Stage tables double as lineage cuts (K01): each is written once and read back.
     """
-    from eventide.sinks.tables import write_and_read
+    from eventide.sinks.tables import rebalance, write_and_read
 
     def mat(df: DataFrame, name: str) -> DataFrame:
-        return write_and_read(spark, df, f"{out_path}/{name}")
+        # AQE sizes the files (advisory partition size) instead of a fixed file count
+        return write_and_read(spark, rebalance(df), f"{out_path}/{name}")
 
     vocab_src = events
     if vocab_from_training_only:

@@ -106,3 +106,9 @@ def read_jdbc_events(spark: SparkSession, url: str, table: str, *, account_id: i
     for k, v in (properties or {}).items():
         reader = reader.option(k, v)
     return reader.load().where(F.col("AccountId") == F.lit(int(account_id)))
+
+
+def read_prepared(spark: SparkSession, out_path: str) -> dict[str, DataFrame]:
+    """The tables written by the preprocessing run (vocabulary, time statistics, sets)."""
+    names = ("vocab", "time_stats", "test_prepared", "train_prepared", "validation_prepared")
+    return {n: spark.read.parquet(os.path.join(out_path, n)) for n in names}
