@@ -94,7 +94,7 @@ def time_features(seconds: Column, mean: Column, std: Column) -> list[tuple[str,
         s, c = phase_sin_cos(seconds, name)
         out.append((f"{name}_sin", s))
         out.append((f"{name}_cos", c))
-    out.append(("z", (seconds.cast("double") - mean) / std))
+    out.append(("z", (seconds.cast("double") - mean) / F.nullif(std, F.lit(0.0))))
     return out
 
 

@@ -24,5 +24,5 @@ def id_array(history_col: str, vocab_map_col: str, vocab_size_col: str,
     """C05 helper: map every history entry's token through a MAP column; pad / unknown -> size."""
     return F.transform(
         F.col(history_col),
-        lambda x: F.coalesce(F.col(vocab_map_col).getItem(x.getField(field)),
+        lambda x: F.coalesce(F.try_element_at(F.col(vocab_map_col), x.getField(field)),
                              F.col(vocab_size_col)).cast("int"))

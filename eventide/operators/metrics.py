@@ -26,7 +26,7 @@ def classification_metrics(scored: DataFrame, *, score: str = "score", actual: s
                           + 0.5 * F.col("_neg"))).alias("_t"))
     hi = F.col("_s") >= F.lit(threshold)
     m = terms.agg(
-        (F.sum("_t") / (F.sum("_pos") * F.sum("_neg"))).alias("auc"),
+        (F.sum("_t") / F.nullif(F.sum("_pos") * F.sum("_neg"), F.lit(0))).alias("auc"),
         F.sum(F.when(hi, F.col("_pos")).otherwise(0)).cast("double").alias("tp"),
         F.sum(F.when(hi, F.col("_neg")).otherwise(0)).cast("double").alias("fp"),
         F.sum(F.when(~hi, F.col("_pos")).otherwise(0)).cast("double").alias("fn"),
@@ -39,7 +39,7 @@ def classification_metrics(scored: DataFrame, *, score: str = "score", actual: s
         (2 * prec * rec / F.nullif(prec + rec, F.lit(0.0))).alias("f1"),
         prec.alias("precission"),
         rec.alias("recall"),
-        ((tp + tn) / (tp + tn + fp + fn)).alias("accuracy"),
+        ((tp + tn) / F.nullif(tp + tn + fp + fn, F.lit(0.0))).alias("accuracy"),
         (tp + fp + fn + tn).cast("bigint").alias("n"),
     )
 

@@ -29,7 +29,7 @@ def training_rows(samples: DataFrame, vocab: DataFrame, *,
         return samples.select(
             *keep,
             F.transform("history", lambda x: F.coalesce(
-                vmap.getItem(x.getField("DefinitionId")), F.lit(size)).cast("int"))
+                F.try_element_at(vmap, x.getField("DefinitionId")), F.lit(size)).cast("int"))
             .alias("action_ids"),
             F.transform("history", secs).alias("times"))
     ex = samples.select(*keep, F.posexplode("history").alias("_i", "_e"))
