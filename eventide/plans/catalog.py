@@ -310,14 +310,24 @@ _OR_H56 = f"({MX} - INTERVAL 56 DAY)"
 
 @register("label_distribution", S.with_ctes(
     S.EV_ORDERS, f"h AS ({_hist_sql('ev', _OR_H56, 64)})", f"n AS ({_next_sql('ev', _OR_H56)})")
-    + f"""SELECT {S.label('n.next_time', _OR_H56)} AS label, CAST(count(*) AS BIGINT) AS n
-FROM h LEFT JOIN n USING (PersonId) GROUP BY 1""")
+    + f"""SELECT 't0' AS label_from, {S.label('n.next_time', _OR_H56)} AS label, CAST(count(*) AS BIGINT) AS n
+FROM h LEFT JOIN n USING (PersonId) GROUP BY 1, 2
+UNION ALL
+SELECT 'last_event' AS label_from, {S.label('n.next_time', 'h.last_time')} AS label, CAST(count(*) AS BIGINT) AS n
+FROM h LEFT JOIN n USING (PersonId) GROUP BY 1, 2""")
 def q_label_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    """C02 / C03 at one t0 (max - 56 d): labels measured from t0 and from the last event (Q1)."""
     ev = load_events(spark, sf, "orders")
     _, mx = time_bounds_values(ev)
     t0 = mx - timedelta(days=56)
-    s = with_label(histories_at(ev, t0, 64).withColumn("t0", ts_lit(t0)), label_from="t0")
-    return s.groupBy("label").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    s = histories_at(ev, t0, 64).withColumn("t0", ts_lit(t0))
+    out = None
+    for ref in ("t0", "last_event"):
+        d = with_label(s, label_from=ref).groupBy("label").agg(
+            F.count(F.lit(1)).cast("bigint").alias("n")).select(
+            F.lit(ref).alias("label_from"), "label", "n")
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 # ---- C06-C09 ---------------------------------------------------------------------------------
