@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from eventide.config import DAY_US, Defaults
 from eventide.functions.time import epoch_us, ts_lit
 from eventide.session import cut_lineage
-from eventide.operators.filters import persons_active_in_window, persons_with_history, time_cutoff
-from eventide.operators.history import histories_at, histories_for_samples, with_label
+from eventide.operators.filters import time_cutoff
+from eventide.operators.history import (histories_at, histories_for_samples, last_history_time,
+                                        with_label)
 from eventide.operators.sampling import person_summary, sample_points
 from eventide.operators.split import user_split
 from eventide.operators.stats import time_bounds_values, time_mean_std, vocabulary
@@ -46,9 +47,12 @@ def test_set(events: DataFrame, p: PrepParams, max_time=None) -> DataFrame:
     if max_time is None:
         _, max_time = time_bounds_values(events)
     horizon = max_time - timedelta(days=p.horizon_days)
-    active = persons_active_in_window(events, horizon, p.horizon_days)
-    samples = histories_at(active, horizon, p.history_size).withColumn("t0", ts_lit(horizon))
-    return with_label(samples, label_from=p.label_from)
+    # F03 without a semi-join: "an event strictly inside (horizon - h, horizon)" is the same as
+    # "the latest event before the horizon is later than horizon - h", and that event is the
+    # last history entry of the per-person aggregate anyway.
+    samples = histories_at(events, horizon, p.history_size).where(
+        last_history_time() > ts_lit(horizon - timedelta(days=p.horizon_days)))
+    return with_label(samples.withColumn("t0", ts_lit(horizon)), label_from=p.label_from)
 
 
 def prepared_samples(raw: DataFrame, p: PrepParams, group: str | None = None) -> DataFrame:
@@ -78,15 +82,20 @@ def prepared_samples(raw: DataFrame, p: PrepParams, group: str | None = None) ->
 def split_raw(events: DataFrame, p: PrepParams, max_time=None) -> DataFrame:
     """H06 first half: F01 at max - h, F02 at max - 2h, P01 split -> rows with a split column.
 
-    A lineage cut: both splits and everything sampled from them read this table.
+    F02 and the split share one person set: the persons with an event before max - 2h are
+    split (P01), and a single inner join of the cut rows with that split table both keeps only
+    those persons (F02) and tags their rows. A lineage cut: both splits and everything sampled
+    from them read this table.
     """
     if max_time is None:
         _, max_time = time_bounds_values(events)
     cut = max_time - timedelta(days=p.horizon_days)
     before = time_cutoff(events, cut)
-    with_hist = persons_with_history(before, cut - timedelta(days=p.horizon_days))
-    split = user_split(with_hist, ratio=p.split_ratio, seed=p.seed)
-    return cut_lineage(with_hist.join(split.select("PersonId", "split"), "PersonId"), "split_raw")
+    persons = (time_cutoff(before, cut - timedelta(days=p.horizon_days))
+               .select("PersonId").distinct())
+    split = user_split(persons, ratio=p.split_ratio, seed=p.seed)
+    tagged = before.join(split.select("PersonId", "split"), "PersonId", "inner")
+    return cut_lineage(tagged, "split_raw")
 
 
 def train_validation_raw(events: DataFrame, p: PrepParams, max_time=None
