@@ -99,19 +99,21 @@ def histories_for_samples(events: DataFrame, samples: DataFrame, history_size: i
     ev = events.select(
         "PersonId", epoch_us("OccurredTime").alias("_t"), F.lit(1).alias("_kind"),
         *HISTORY_FIELDS)
+    # extra sample columns ride along on the sample rows (no join back to the samples)
     sm = samples.select("PersonId", epoch_us("t0").alias("_t"), F.lit(0).alias("_kind"),
-                        "t0")
+                        "t0", *extra)
     u = ev.unionByName(sm, allowMissingColumns=True)
     order = [F.col("_t"), F.col("_kind"), F.col("OccurredTimeTicks"), F.col("DefinitionId"),
              F.col("EventKey")]
     r = chunked_running_sum(u, ["PersonId"], "_t", order, "_kind", chunk_us, out="_run")
     if materialize:
-        r = cut_lineage(r)
+        r = cut_lineage(r, "event_positions")
     ev_pos = r.where(F.col("_kind") == 1).select(
         "PersonId", F.col("_run").alias("_pos"), event_struct().alias("_e"))
-    sm_c = r.where(F.col("_kind") == 0).select("PersonId", "t0", F.col("_run").alias("_c"))
+    sm_c = r.where(F.col("_kind") == 0).select("PersonId", "t0", F.col("_run").alias("_c"),
+                                               *extra)
     want = sm_c.select(
-        "PersonId", "t0", "_c",
+        "PersonId", "t0", "_c", *extra,
         F.explode(F.sequence(F.greatest(F.col("_c") - F.lit(h - 1), F.lit(1)).cast("bigint"),
                              (F.col("_c") + 1).cast("bigint"))).alias("_pos"))
     got = want.join(ev_pos, ["PersonId", "_pos"], "left")
@@ -119,16 +121,14 @@ def histories_for_samples(events: DataFrame, samples: DataFrame, history_size: i
         F.sort_array(F.collect_list(F.when(F.col("_pos") <= F.col("_c"), F.col("_e"))))
         .alias("_h"),
         F.max(F.when(F.col("_pos") == F.col("_c") + 1, F.col("_e"))).alias("next_event"),
+        *[F.first(c).alias(c) for c in extra],
     )
-    out = agg.select(
+    return agg.select(
         "PersonId", "t0",
         pad_left(F.col("_h"), h, etype).alias("history"),
         F.size("_h").cast("int").alias("history_len"),
-        "next_event",
+        "next_event", *extra,
     )
-    if extra:
-        out = out.join(samples, ["PersonId", "t0"], "left")
-    return out
 
 
 def last_history_time(history: str = "history") -> Column:

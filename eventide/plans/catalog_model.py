@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.config import DAY_US
-from eventide.functions.churn import cdf, churn_probability
+from eventide.functions.churn import cdf, cdf_after, churn_probability
 from eventide.functions.time import epoch_us, ts_lit, ts_text
 from eventide.operators import extract as X
 from eventide.operators.history import days_since_last, histories_at
@@ -239,6 +239,8 @@ def q_bucket_pdf(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("churn_curve", S.with_ctes(*_orders_train_ctes(), *_pdf_ctes()) + f"""
 SELECT segment, CAST(d AS INTEGER) AS d, round({_cdf_sql('', _dbl('d'))}, 6) AS cdf,
+       round(({_cdf_sql('', '28.0')} - {_cdf_sql('', _dbl('d'))})
+             / nullif(1.0 - {_cdf_sql('', _dbl('d'))}, 0.0), 6) AS cond_cdf_28,
        round({_churn_sql('', _dbl('d'))}, 6) AS churn
 FROM pdf, range(0, 29) t(d)""")
 def q_churn_curve(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,6 +249,7 @@ def q_churn_curve(spark: SparkSession, sf: str) -> DataFrame:
     x = F.col("d").cast("double")
     return grid.select("segment", F.col("d").cast("int").alias("d"),
                        F.round(cdf(F.col("pdf"), x), 6).alias("cdf"),
+                       F.round(cdf_after(F.col("pdf"), F.lit(28.0), x), 6).alias("cond_cdf_28"),
                        F.round(churn_probability(F.col("pdf"), x), 6).alias("churn"))
 
 

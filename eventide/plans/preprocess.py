@@ -74,7 +74,7 @@ def prepared_samples(raw: DataFrame, p: PrepParams, group: str | None = None) ->
     pts = sample_points(None, history_size=p.history_size, buckets=p.sample_buckets,
                         seed=p.seed, chunk_days=p.chunk_days, persons=persons,
                         group=group or "_one", bounds=bounds)
-    pts = cut_lineage(pts.drop("_one"), "sample_points")
+    pts = pts.drop("_one")
     samples = histories_for_samples(raw.drop(*g), pts, p.history_size, chunk_days=p.chunk_days)
     return with_label(samples, label_from=p.label_from)
 
