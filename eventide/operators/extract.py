@@ -66,9 +66,15 @@ def registered_models(events: DataFrame) -> DataFrame:
     return events.select("AccountId", "ModelId", "ApplicationId").dropDuplicates()
 
 
-def account_counts(events: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
-    """Rows per account. With ``accounts`` given, an account without rows keeps NULL."""
+def account_counts(events: DataFrame, accounts: DataFrame | None = None, *,
+                   with_time: bool = False) -> DataFrame:
+    """Rows per account. With ``accounts`` given, an account without rows keeps NULL.
+
+    ``with_time`` adds the time of the count (the tracker's poll time in a live run).
+    """
     counts = events.groupBy("AccountId").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+    if with_time:
+        counts = counts.withColumn("counted_at", F.localtimestamp())
     if accounts is None:
         return counts
     return accounts.select("AccountId").dropDuplicates().join(counts, "AccountId", "left")

@@ -111,7 +111,7 @@ def on_training_model_start(cfg: FlowConfig) -> Callable[[DataFrame, int], None]
     from eventide.operators.extract import canonical_events
     from eventide.plans.requests import download_status
     from eventide.plans.scoring import request_extract
-    from eventide.sinks.tables import write_run_table
+    from eventide.sinks.tables import partitions_present, write_run_table
     from eventide.sources.tables import read_events
 
     def handle(batch: DataFrame, epoch: int) -> None:
@@ -120,12 +120,17 @@ def on_training_model_start(cfg: FlowConfig) -> Callable[[DataFrame, int], None]
         status = download_status(starts)
         publish(status.where("current_step_percentage = 0.0"), TRAINING_MODEL_STATUS,
                 "training_model_status", bootstrap=cfg.bootstrap, path=cfg.out_topics)
-        ext = request_extract(read_events(spark, cfg.events_path), starts)
+        day = datetime.now(timezone.utc).replace(tzinfo=None).strftime("%Y-%m-%d")
+        keys = starts.select("AccountId", "ApplicationId", "ModelId").withColumn("dt", F.lit(day))
+        # A request whose extract already exists for today is not downloaded again
+        present = partitions_present(spark, f"{cfg.root_path}/extract", keys)
+        todo = starts.join(present.drop("dt"), ["AccountId", "ApplicationId", "ModelId"],
+                           "left_anti")
+        ext = request_extract(read_events(spark, cfg.events_path), todo)
         ext = ext.drop("AccountId", "ApplicationId", "ModelId").withColumnsRenamed(
             {"req_AccountId": "AccountId", "req_ApplicationId": "ApplicationId",
              "req_ModelId": "ModelId"})
-        write_run_table(canonical_events(ext), f"{cfg.root_path}/extract",
-                        datetime.now(timezone.utc).replace(tzinfo=None).strftime("%Y-%m-%d"))
+        write_run_table(canonical_events(ext), f"{cfg.root_path}/extract", day)
         publish(status.where("current_step_percentage = 1.0"), TRAINING_MODEL_STATUS,
                 "training_model_status", bootstrap=cfg.bootstrap, path=cfg.out_topics)
 
@@ -140,7 +145,7 @@ def on_training_model_status(cfg: FlowConfig) -> Callable[[DataFrame, int], None
     """
     from eventide.plans.preprocess import PrepParams, train_validation_sets
     from eventide.plans.requests import prediction_requests, ready_to_train, training_status_steps
-    from eventide.plans.scoring import ChurnPipeline
+    from eventide.plans.scoring import ChurnPipeline, trained_today
     from eventide.sinks.tables import read_run_table
 
     def handle(batch: DataFrame, epoch: int) -> None:
@@ -151,7 +156,13 @@ def on_training_model_status(cfg: FlowConfig) -> Callable[[DataFrame, int], None
                 bootstrap=cfg.bootstrap, path=cfg.out_topics)
         p = PrepParams(horizon_days=cfg.horizon_days, history_size=cfg.history_size)
         today = datetime.now(timezone.utc).replace(tzinfo=None)
-        for r in ready.collect():  # one row per model (bounded by the registry)
+        # A model already trained today is reused, not trained again
+        try:
+            done = trained_today(spark, cfg.root_path, today.strftime("%Y-%m-%d"))
+            todo = ready.join(done, ["AccountId", "ModelId"], "left_anti")
+        except Exception:  # no registry yet
+            todo = ready
+        for r in todo.collect():  # one row per model (bounded by the registry)
             ev = read_run_table(spark, f"{cfg.root_path}/extract", account_id=r.AccountId,
                                 model_id=r.ModelId, dt=today.strftime("%Y-%m-%d"))
             train, _ = train_validation_sets(ev, p)

@@ -81,6 +81,10 @@ def test_message_handlers_end_to_end(spark):
     flows.on_start_prediction(cfg)(spark.read.text(f"{d}/topics/start_prediction"), 1)
     preds = [json.loads(x.value) for x in spark.read.text(f"{d}/topics/prediction").collect()]
     assert len(preds) == 8
+    # the same start and status messages again: extract and model are reused, not redone
+    flows.on_training_model_start(cfg)(spark.read.text(f"{d}/in/start"), 2)
+    flows.on_training_model_status(cfg)(spark.read.text(f"{d}/topics/training_model_status"), 2)
+    assert spark.read.parquet(f"{d}/root/registry").count() == 1
     assert all(0.0 <= p["score"] <= 1.0 for p in preds)
     assert {p["PersonId"] for p in preds} == set(range(1, 9))
     _ = EVENT_SCHEMA
