@@ -21,7 +21,6 @@ from eventide.operators import extract as X
 from eventide.operators.filters import persons_active_in_window, persons_with_history, time_cutoff
 from eventide.operators.history import (histories_at, last_history_time, next_event_at,
                                         with_label)
-from eventide.operators.sampling import sample_points
 from eventide.operators.split import user_split
 from eventide.operators.stats import time_bounds_values, time_mean_std, vocabulary
 from eventide.plans import sqlparts as S

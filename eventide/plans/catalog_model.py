@@ -11,7 +11,7 @@ from eventide.config import DAY_US
 from eventide.functions.churn import cdf, cdf_after, churn_probability
 from eventide.functions.time import epoch_us, ts_lit, ts_text
 from eventide.operators import extract as X
-from eventide.operators.history import days_since_last, histories_at
+from eventide.operators.history import histories_at
 from eventide.operators.metrics import classification_metrics, mean_log_loss
 from eventide.operators.model import GLOBAL_SEGMENT, attach_pdf, bucket_pdf, score_histories
 from eventide.operators.sampling import sample_points
@@ -19,7 +19,7 @@ from eventide.operators.stats import time_bounds_values, vocabulary
 from eventide.operators.validate import parse_and_validate
 from eventide.plans import sqlparts as S
 from eventide.plans.catalog import (_SPLIT_SQL, EVP, MX, ORP, _hist_sql, _next_sql, _sample_view,
-                                    _types, register)
+                                    register)
 from eventide.plans.preprocess import (test_set, train_validation_raw,
                                        train_validation_samples, train_validation_sets)
 from eventide.plans.requests import (download_status, latest_status, prediction_requests,

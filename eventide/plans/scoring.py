@@ -8,6 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventide.config import BUCKET_EDGES_DAYS, HISTORY_SIZE, PREDICT_EXTRACT_ROWS
 from eventide.functions.time import ts_lit
@@ -48,10 +49,7 @@ def histories_per_request(extract: DataFrame, as_of: datetime | Column, *,
     ext = (extract.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
            .where(F.col("_rn") <= F.lit(int(extract_rows))))
     t0 = ts_lit(as_of)
-    etype = ext.select(*HISTORY_FIELDS).schema
-    from pyspark.sql import types as T
-
-    etype = T.StructType(list(etype.fields))
+    etype = T.StructType([ext.schema[c] for c in HISTORY_FIELDS])
     hw = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in HISTORY_FIELDS[:4]])
     before = (ext.where(F.col("OccurredTime") < t0).withColumn("_hr", F.row_number().over(hw))
               .where(F.col("_hr") <= F.lit(int(history_size))))
