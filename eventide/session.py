@@ -47,6 +47,33 @@ def build_session(
     return spark
 
 
+def cluster_conf(executors: int = 1000, cores_per_executor: int = 8) -> dict[str, str]:
+    """Settings for a large cluster (100 TB class inputs); pass as ``extra`` to build_session.
+
+    * Shuffle partitions start at ~3 per core and AQE coalesces them to 256 MB targets, so
+      partitions fit executor memory without a per-job guess; skewed partitions are split.
+    * Scan splits of 256 MB keep the task count of a 100 TB scan near 400k.
+    * No automatic broadcast beyond 64 MB: explicit broadcasts are only used for tables with a
+      proven bound (see README); AQE may still switch a join to broadcast from measured sizes.
+    * ``spark.checkpoint.dir`` is left to the cluster (shared storage); it is never set here.
+    """
+    cores = executors * cores_per_executor
+    return {
+        "spark.sql.shuffle.partitions": str(3 * cores),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+        "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.2",
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def use_utc(spark: SparkSession) -> None:
     """All event times are zone-less; epoch arithmetic goes through a UTC cast."""
     if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
