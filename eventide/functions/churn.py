@@ -39,8 +39,13 @@ def cdf_after(pdf: Column, x: Column, days: Column, **kw) -> Column:
 
 
 def churn_probability(pdf: Column, days: Column, time_to_churn: float = BUCKET_EDGES_DAYS[-1],
-                      **kw) -> Column:
-    """S(max(ttc, d)) / S(d) with S = 1 - F; equals 1 once d >= ttc (when S(d) > 0)."""
+                      *, clamp_days: bool = False, **kw) -> Column:
+    """S(max(ttc, d)) / S(d) with S = 1 - F; equals 1 once d >= ttc (when S(d) > 0).
+
+    Beyond the CDF tail the score is NULL (Q10); ``clamp_days`` caps d at the tail instead.
+    """
+    if clamp_days:
+        days = F.least(days, F.lit(float(kw.get("tail_days", CDF_TAIL_DAYS))))
     ttc = F.lit(float(time_to_churn))
     x = F.greatest(ttc, days)
     fd = cdf(pdf, days, **kw)

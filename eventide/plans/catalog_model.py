@@ -95,20 +95,25 @@ def _sample_hist_ctes(raw: str, h: int) -> list[str]:
     ]
 
 
-def _orders_train_ctes() -> list[str]:
-    """`orders` train / validation chain: F01 (max-28d), F02 (max-56d), P01 0.8, P05, histories."""
+def _train_ctes(src: str, p) -> list[str]:
+    """Train / validation chain: F01 (max-h), F02 (max-2h), P01, P05, histories, labels."""
+    h = p.horizon_days
     return [
-        S.EV_ORDERS,
-        f"cut AS (SELECT * FROM ev WHERE OccurredTime < {MX} - INTERVAL 28 DAY)",
+        src,
+        f"cut AS (SELECT * FROM ev WHERE OccurredTime < {MX} - INTERVAL {h} DAY)",
         f"""wh AS (SELECT * FROM cut WHERE PersonId IN (
-             SELECT PersonId FROM cut WHERE OccurredTime < {MX} - INTERVAL 56 DAY))""",
-        _SPLIT_SQL.format(ratio=ORP.split_ratio, seed=ORP.seed, src="wh"),
+             SELECT PersonId FROM cut WHERE OccurredTime < {MX} - INTERVAL {2 * h} DAY))""",
+        _SPLIT_SQL.format(ratio=p.split_ratio, seed=p.seed, src="wh"),
         "raw AS (SELECT wh.*, split.split AS g FROM wh JOIN split USING (PersonId))",
-        *_sampling_ctes("raw", ORP.history_size, ORP.sample_buckets, ORP.seed, ORP.horizon_days),
-        *_sample_hist_ctes("raw", ORP.history_size),
+        *_sampling_ctes("raw", p.history_size, p.sample_buckets, p.seed, h),
+        *_sample_hist_ctes("raw", p.history_size),
     ]
 
 
+def _orders_train_ctes() -> list[str]:
+    return _train_ctes(S.EV_ORDERS, ORP)
+
+
 def _pdf_ctes(src: str = "ts", where: str = "g = 'train'") -> list[str]:
     ps = ", ".join(
         f"({_dbl(f'sum(CASE WHEN label = {k} THEN 1 ELSE 0 END)')} + 1.0) / ({_dbl('count(*)')} + {N_CLASSES}.0) AS p{k}"
@@ -183,6 +188,15 @@ def q_train_samples(spark: SparkSession, sf: str) -> DataFrame:
     return _sample_view(both, "split", ts_text("t0").alias("t0"))
 
 
+@register("train_samples_events", S.with_ctes(*_train_ctes(S.EV_EVENTS, EVP)) + f"""
+SELECT g AS split, PersonId, {S.ts('t0')} AS t0, history_len, history_types,
+       {S.ts('last_time')} AS last_time, next_type, {S.ts('next_time')} AS next_time, label FROM ts""")
+def q_train_samples_events(spark: SparkSession, sf: str) -> DataFrame:
+    """H06 on `events` (7-day horizon, H = 8): microsecond times, many samples per person."""
+    both = train_validation_samples(load_events(spark, sf, "events"), EVP)
+    return _sample_view(both, "split", ts_text("t0").alias("t0"))
+
+
 @register("dataset_sizes", S.with_ctes(*_orders_train_ctes()) + """
 SELECT g AS split, CAST(count(DISTINCT (PersonId, t0)) AS BIGINT) AS n_samples,
        CAST(count(DISTINCT PersonId) AS BIGINT) AS n_persons FROM ts GROUP BY g""")
