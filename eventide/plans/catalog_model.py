@@ -471,6 +471,16 @@ def q_latest_status(spark: SparkSession, sf: str) -> DataFrame:
     return latest_status(st, "poll", keys=("AccountId",))
 
 
+@register("training_starts", S.with_ctes(*_TRACK_CTES) + """
+SELECT q.AccountId, q.ApplicationId, q.ModelId, 'churn' AS task_type, p.no_of_records
+FROM (SELECT DISTINCT AccountId, ModelId, ApplicationId FROM ev) q
+JOIN (SELECT AccountId, no_of_records FROM prog WHERE is_last) p USING (AccountId)""")
+def q_training_starts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every training request whose ingestion finished, with the final row count."""
+    ev, prog = _progress(spark, sf)
+    return training_starts(prog, training_requests(X.registered_models(ev)))
+
+
 @register("ready_to_train", S.with_ctes(*_TRACK_CTES) + """
 SELECT q.AccountId, q.ApplicationId, q.ModelId, CAST(0 AS INTEGER) AS current_step,
        1.0::DOUBLE AS current_step_percentage, CAST(3 AS INTEGER) AS total_no_of_steps
