@@ -23,7 +23,8 @@ from eventide.plans.catalog import (_SPLIT_SQL, EVP, MX, ORP, _hist_sql, _next_s
 from eventide.plans.preprocess import (test_set, train_validation_raw,
                                        train_validation_samples, train_validation_sets)
 from eventide.plans.requests import (download_status, latest_status, prediction_requests,
-                                     ready_to_train, routed, training_requests)
+                                     ready_to_train, routed, training_requests,
+                                     training_status_steps)
 from eventide.plans.scoring import score_requests
 from eventide.schema import EVENT_MESSAGE
 from eventide.sources.tables import load_events
@@ -481,6 +482,20 @@ def q_training_starts(spark: SparkSession, sf: str) -> DataFrame:
     return training_starts(prog, training_requests(X.registered_models(ev)))
 
 
+@register("model_status", S.with_ctes(*_TRACK_CTES) + """
+SELECT q.AccountId, q.ApplicationId, q.ModelId, CAST(s.step AS INTEGER) AS current_step,
+       CAST(s.pct AS DOUBLE) AS current_step_percentage, CAST(3 AS INTEGER) AS total_no_of_steps
+FROM (SELECT DISTINCT AccountId, ModelId, ApplicationId FROM ev) q
+CROSS JOIN (VALUES (0, 0.0), (0, 1.0), (1, 0.0), (1, 1.0), (2, 0.0), (2, 1.0)) s(step, pct)
+WHERE q.AccountId IN (SELECT AccountId FROM prog WHERE is_last)""")
+def q_model_status(spark: SparkSession, sf: str) -> DataFrame:
+    """E03 + F08 + E04: every status message of the training pipeline of each started model."""
+    ev, prog = _progress(spark, sf)
+    starts = training_starts(prog, training_requests(X.registered_models(ev)))
+    download = download_status(starts)
+    return download.unionByName(training_status_steps(ready_to_train(download)))
+
+
 @register("ready_to_train", S.with_ctes(*_TRACK_CTES) + """
 SELECT q.AccountId, q.ApplicationId, q.ModelId, CAST(0 AS INTEGER) AS current_step,
        1.0::DOUBLE AS current_step_percentage, CAST(3 AS INTEGER) AS total_no_of_steps
