@@ -482,12 +482,15 @@ def q_training_starts(spark: SparkSession, sf: str) -> DataFrame:
     return training_starts(prog, training_requests(X.registered_models(ev)))
 
 
-@register("model_status", S.with_ctes(*_TRACK_CTES) + """
+_MODEL_STATUS_SQL = """
 SELECT q.AccountId, q.ApplicationId, q.ModelId, CAST(s.step AS INTEGER) AS current_step,
        CAST(s.pct AS DOUBLE) AS current_step_percentage, CAST(3 AS INTEGER) AS total_no_of_steps
 FROM (SELECT DISTINCT AccountId, ModelId, ApplicationId FROM ev) q
 CROSS JOIN (VALUES (0, 0.0), (0, 1.0), (1, 0.0), (1, 1.0), (2, 0.0), (2, 1.0)) s(step, pct)
-WHERE q.AccountId IN (SELECT AccountId FROM prog WHERE is_last)""")
+WHERE q.AccountId IN (SELECT AccountId FROM prog WHERE is_last)"""
+
+
+@register("model_status", S.with_ctes(*_TRACK_CTES) + _MODEL_STATUS_SQL)
 def q_model_status(spark: SparkSession, sf: str) -> DataFrame:
     """E03 + F08 + E04: every status message of the training pipeline of each started model."""
     ev, prog = _progress(spark, sf)
@@ -496,6 +499,18 @@ def q_model_status(spark: SparkSession, sf: str) -> DataFrame:
     return download.unionByName(training_status_steps(ready_to_train(download)))
 
 
+@register("latest_model_status", S.with_ctes(*_TRACK_CTES, f"st AS ({_MODEL_STATUS_SQL})") + """
+SELECT AccountId, ApplicationId, ModelId, current_step, current_step_percentage, total_no_of_steps
+FROM (SELECT *, row_number() OVER (PARTITION BY AccountId, ApplicationId, ModelId
+                                   ORDER BY current_step DESC, current_step_percentage DESC) AS rn
+      FROM st) WHERE rn = 1""")
+def q_latest_model_status(spark: SparkSession, sf: str) -> DataFrame:
+    """E08 over the model-status messages: the furthest step reached per model."""
+    st = q_model_status(spark, sf)
+    order = F.struct("current_step", "current_step_percentage")
+    return latest_status(st, order, keys=("AccountId", "ApplicationId", "ModelId"))
+
+
 @register("ready_to_train", S.with_ctes(*_TRACK_CTES) + """
 SELECT q.AccountId, q.ApplicationId, q.ModelId, CAST(0 AS INTEGER) AS current_step,
        1.0::DOUBLE AS current_step_percentage, CAST(3 AS INTEGER) AS total_no_of_steps
