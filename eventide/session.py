@@ -90,9 +90,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="eventide-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(d)
+    # lineage cuts are parquet tables and need only the folder; register it for RDD checkpoints
+    # too where a SparkContext exists (not under Spark Connect)
+    try:
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(d)
+    except Exception:  # noqa: BLE001 - no SparkContext in this session type
+        pass
     return d
 
 
