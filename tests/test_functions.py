@@ -107,3 +107,27 @@ def test_churn_beyond_tail_is_null_unless_clamped(spark):
     assert beyond.b == at_tail.a == at_tail.b  # clamped: the score at the tail
     df3 = spark.createDataFrame([(pdf, 500.0)], "pdf array<double>, d double")
     assert math.isclose(df3.select(churn_probability(F.col("pdf"), F.col("d"))).first()[0], 1.0)
+
+
+def test_churn_matches_numpy_interpolation_for_random_pdfs(spark):
+    rng = np.random.default_rng(7)
+    pdfs = rng.dirichlet(np.ones(6) * 0.7, size=60)
+    days = [0.0, 0.5, 1.0, 2.5, 6.9, 13.0, 20.0, 27.9, 28.0, 40.0, 365.0, 999.0]
+    rows = [(i, [float(v) for v in p], d) for i, p in enumerate(pdfs) for d in days]
+    df = spark.createDataFrame(rows, "i int, pdf array<double>, d double")
+    got = {(r.i, r.d): r.c for r in df.select(
+        "i", "d", churn_probability(F.col("pdf"), F.col("d")).alias("c")).collect()}
+    knots = [0, 1, 3, 7, 14, 28, 1000]
+    for i, p in enumerate(pdfs):
+        ys = np.concatenate([[0.0], np.cumsum(p)])
+        prev = -1.0
+        for d in days:
+            fd = np.interp(d, knots, ys)
+            want = (1 - np.interp(max(28.0, d), knots, ys)) / (1 - fd) if 1 - fd > 1e-12 else None
+            c = got[(i, d)]
+            if want is None or c is None:
+                continue
+            assert abs(c - want) < 1e-9
+            assert -1e-12 <= c <= 1 + 1e-12
+            assert c >= prev - 1e-9  # non-decreasing in days since the last event
+            prev = c
