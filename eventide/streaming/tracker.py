@@ -82,58 +82,76 @@ def training_starts(progress: DataFrame, requests: DataFrame) -> DataFrame:
 
 # ---- streaming form ---------------------------------------------------------------------------
 
-STATE_SCHEMA = "count long, last_change_ms long, started_ms long, done boolean"
+STATE_SCHEMA = "count long, last_change_ms long, started_ms long, done boolean, limit long"
 OUTPUT_SCHEMA = ("AccountId long, no_of_records long, total_no_of_records long, "
                  "finished boolean, aborted boolean")
 
 
-def tracker_state_fn(limit: int, p: TrackerParams = TrackerParams()):
+def tracker_state_fn(default_limit: int, p: TrackerParams = TrackerParams()):
     """E01 stream: per-account state machine for ``applyInPandasWithState``.
 
     Each micro-batch adds the arrived rows to the count; a status row is emitted when the count
-    changes; a processing-time timeout fires the idle / abort checks between batches.
+    changes; a processing-time timeout fires the idle / abort checks between batches. The limit
+    comes with the rows (``_limit``, the request's total) and is kept in the state.
     """
     import pandas as pd
 
+    def status(account, count, limit, finished, aborted):
+        return pd.DataFrame({"AccountId": [account], "no_of_records": [count],
+                             "total_no_of_records": [limit], "finished": [finished],
+                             "aborted": [aborted]})
+
     def fn(key, pdfs, state):
         (account,) = key
         now_ms = state.getCurrentProcessingTimeMs()
         if state.exists:
-            count, last_ms, started_ms, done = state.get
+            count, last_ms, started_ms, done, limit = state.get
         else:
-            count, last_ms, started_ms, done = 0, None, now_ms, False
+            count, last_ms, started_ms, done, limit = 0, None, now_ms, False, default_limit
         if done:
             return
         if state.hasTimedOut:
             idle = last_ms is not None and (now_ms - last_ms) > p.idle_s * 1000
             abort = last_ms is None and (now_ms - started_ms) > p.abort_s * 1000
             if idle or abort:
-                state.update((count, last_ms, started_ms, True))
-                yield pd.DataFrame({"AccountId": [account], "no_of_records": [count],
-                                    "total_no_of_records": [limit], "finished": [True],
-                                    "aborted": [bool(abort)]})
+                state.update((count, last_ms, started_ms, True, limit))
+                yield status(account, count, limit, True, bool(abort))
                 return
         else:
-            n = sum(len(pdf) for pdf in pdfs)
+            n = 0
+            for pdf in pdfs:
+                n += len(pdf)
+                if "_limit" in pdf and len(pdf) and pd.notna(pdf["_limit"].iloc[0]):
+                    limit = int(pdf["_limit"].iloc[0])
             if n > 0:
                 count += n
                 last_ms = now_ms
                 fin = count >= limit
-                state.update((count, last_ms, started_ms, fin))
-                yield pd.DataFrame({"AccountId": [account], "no_of_records": [count],
-                                    "total_no_of_records": [limit], "finished": [fin],
-                                    "aborted": [False]})
+                state.update((count, last_ms, started_ms, fin, limit))
+                yield status(account, count, limit, fin, False)
                 if fin:
                     return
-        state.update((count, last_ms, started_ms, False))
+        state.update((count, last_ms, started_ms, False, limit))
         state.setTimeoutDuration(int(math.ceil(p.poll_s * 1000)))
 
     return fn
 
 
-def progress_stream(arrivals_stream: DataFrame, limit: int, p: TrackerParams = TrackerParams()
-                    ) -> DataFrame:
-    """E01 over a stream of arrivals (AccountId, ...): status rows as they change."""
-    return arrivals_stream.select("AccountId").groupBy("AccountId").applyInPandasWithState(
-        tracker_state_fn(limit, p), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
+def progress_stream(arrivals_stream: DataFrame, limit: int | DataFrame,
+                    p: TrackerParams = TrackerParams()) -> DataFrame:
+    """E01 over a stream of arrivals (AccountId, ...): status rows as they change.
+
+    ``limit`` is one number for every account, or a requests table (AccountId,
+    total_no_of_records) joined to the stream (stream-static join) so each account finishes on
+    its own request's total.
+    """
+    if isinstance(limit, DataFrame):
+        req = limit.select("AccountId", F.col("total_no_of_records").cast("bigint").alias("_limit"))
+        rows = arrivals_stream.select("AccountId").join(req, "AccountId", "left")
+        default = 0
+    else:
+        rows = arrivals_stream.select("AccountId", F.lit(int(limit)).cast("bigint").alias("_limit"))
+        default = int(limit)
+    return rows.groupBy("AccountId").applyInPandasWithState(
+        tracker_state_fn(default, p), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
         "ProcessingTimeTimeout")

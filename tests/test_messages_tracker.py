@@ -108,6 +108,26 @@ def test_tracker_stream_counts_match_batch(spark):
     assert {r.AccountId: r.n for r in got.collect()} == {0: 8, 1: 4}
 
 
+def test_tracker_stream_finishes_on_each_requests_limit(spark):
+    from eventide.streaming.tracker import progress_stream
+
+    d = tempfile.mkdtemp(prefix="eventide-stream-")
+    for i, n in enumerate((3, 4, 5)):
+        spark.createDataFrame([(i % 2, j) for j in range(n)], "AccountId long, x long") \
+            .write.mode("append").parquet(f"{d}/in")
+    src = spark.readStream.schema("AccountId long, x long").option("maxFilesPerTrigger", 1) \
+        .parquet(f"{d}/in")
+    reqs = spark.createDataFrame([(0, 8), (1, 100)], "AccountId long, total_no_of_records long")
+    q = (progress_stream(src, reqs, TrackerParams(poll_s=1, idle_s=3600, abort_s=3600))
+         .writeStream.format("memory").queryName("tracker_limits").outputMode("append")
+         .option("checkpointLocation", f"{d}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    rows = spark.sql("SELECT * FROM tracker_limits").collect()
+    fin = {r.AccountId: (r.no_of_records, r.total_no_of_records) for r in rows if r.finished}
+    assert fin == {0: (8, 8)}  # account 0 reached its request's total; account 1 did not
+    assert max(r.no_of_records for r in rows if r.AccountId == 1) == 4
+
+
 def test_route_requests_hit_and_miss(spark):
     reqs = spark.createDataFrame([(1, None, "a", "churn"), (2, "x", "b", "churn")],
                                  "AccountId long, ApplicationId string, ModelId string, task_type string")
