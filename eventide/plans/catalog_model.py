@@ -299,6 +299,30 @@ def q_churn_scores(spark: SparkSession, sf: str) -> DataFrame:
                          F.round("score", 6).alias("score"))
 
 
+@register("churn_scores_events", S.with_ctes(
+    *_train_ctes(S.EV_EVENTS, EVP), *_pdf_ctes(),
+    """ext AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY PersonId ORDER BY
+        OccurredTimeTicks DESC, OccurredTime DESC, DefinitionId DESC, EventKey DESC) AS rn0 FROM ev)
+        WHERE rn0 <= 32)""",
+    f"hq AS ({_hist_sql('ext', MX, 8)})",
+    f"""sc AS (SELECT pp.PersonId, coalesce(hq.history_len, 0) AS history_len, hq.last_time, {_P}
+        FROM (SELECT DISTINCT PersonId FROM ext) pp LEFT JOIN hq USING (PersonId) {_J})""") + f"""
+SELECT PersonId, CAST(history_len AS INTEGER) AS history_len,
+       round({_days_sql(MX, 'last_time')}, 6) AS days,
+       round(CASE WHEN history_len > 0 THEN {_churn_sql('', _days_sql(MX, 'last_time'))} END, 6) AS score
+FROM sc""")
+def q_churn_scores_events(spark: SparkSession, sf: str) -> DataFrame:
+    """M03 on `events`: fractional days since the last event, scores inside (0, 1)."""
+    ev = load_events(spark, sf, "events")
+    train, _ = train_validation_sets(ev, EVP)
+    pdf = bucket_pdf(train)
+    _, mx = time_bounds_values(ev)
+    hist = histories_at(X.latest_per_person(ev, 32), mx, EVP.history_size, include_empty=True)
+    scored = score_histories(hist, pdf, ts_lit(mx))
+    return scored.select("PersonId", "history_len", F.round("days", 6).alias("days"),
+                         F.round("score", 6).alias("score"))
+
+
 # ---- A09 / A10 ----------------------------------------------------------------------------
 
 _OR_HZ = f"({MX} - INTERVAL 28 DAY)"
