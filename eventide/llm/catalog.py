@@ -11,20 +11,27 @@ from eventide.llm.exact_dedup import EXACT_SQL, exact_dedup
 from eventide.llm.host_reputation import REPUTATION_SQL, host_reputation
 from eventide.llm.language_id import language_id
 from eventide.llm.minhash_dedup import minhash_dedup
+from eventide.llm.packing import packing
+from eventide.llm.pseudo_likelihood import pseudo_likelihood
 from eventide.llm.quality_rules import quality_rules
+from eventide.llm.quotation_linking import QUOTATION_SQL, quotation_linking
 from eventide.llm.source_mix import MIX_SQL, source_mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash_dedup,
     "op2_quality_rules": quality_rules,
+    "op3_quotation_linking": quotation_linking,
     "op4_exact_dedup": exact_dedup,
     "op5_source_mix": source_mix,
+    "op6_pseudo_likelihood": pseudo_likelihood,
     "op7_host_reputation": host_reputation,
+    "op8_packing": packing,
     "op9_language_id": language_id,
     "op10_bpe_codec": bpe_codec,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_quotation_linking": QUOTATION_SQL,
     "op4_exact_dedup": EXACT_SQL,
     "op5_source_mix": MIX_SQL,
     "op7_host_reputation": REPUTATION_SQL,
