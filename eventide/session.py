@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+
 
 def build_session(
     master: str | None = None,
@@ -81,41 +86,52 @@ def use_utc(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, which this library only reads.
 
-    On a cluster the setting must point at shared storage and is only read here. When it is
-    unset (local tests) a scratch folder is created and registered, once per session.
+    Where it is unset, a single-machine session (``local[...]``) gets a scratch folder, once; any
+    other session is an error, since executors could not see each other's files.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="eventide-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    # lineage cuts are parquet tables and need only the folder; register it for RDD checkpoints
-    # too where a SparkContext exists (not under Spark Connect)
-    try:
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(d)
-    except Exception:  # noqa: BLE001 - no SparkContext in this session type
-        pass
     return d
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once as a parquet table under ``spark.checkpoint.dir`` and read it back.
+    """Write ``df`` once as a Parquet table under ``spark.checkpoint.dir`` and read it back.
 
-    Used at the stage boundaries where a result is read more than once (split sets, person
-    summaries, sample points, event positions): the plan stops growing, the stage is computed
-    exactly once (a single write job, no recompute as with an RDD checkpoint), later readers get
-    column pruning, and a lost executor does not force recomputation of everything upstream.
-    The folder is the shared one the cluster names; it is only chosen here when unset (tests).
+    Used where a result is read more than once: the plan stops growing, the stage is computed
+    exactly once, later readers get column pruning, and a lost executor does not force
+    recomputation of what lies before. ``drop_stages`` or ``stages`` remove the tables.
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "eventide-stages", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
-def stage_path(spark: SparkSession, name: str) -> str:
-    """A table location under the shared checkpoint folder (for K01 stage boundaries)."""
-    return os.path.join(checkpoint_dir(spark), "stages", name)
+def drop_stages(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the stage tables this process has written, but for the first ``keep`` of them.
+
+    To be called when the results built on them have been written or collected.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while len(_WRITTEN) > keep:
+        p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        p.getFileSystem(conf).delete(p, True)
+
+
+@contextlib.contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """Stage tables written inside the block are removed at its end, also after an error."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        drop_stages(spark, before)
