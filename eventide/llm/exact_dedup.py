@@ -31,6 +31,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # a store is closed once its batch is in the shared folder: executors hold open stores of running tasks only
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 ARRIVAL = "digest string, doc_id long, file string, row long"
 
@@ -60,7 +62,7 @@ def _restore(spark: SparkSession, before: dict[str, str | None]) -> None:
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def remember(spark: SparkSession, arrivals: str, state: str, files_per_batch: int = 64) -> None:
+def remember(spark: SparkSession, arrivals: str, state: str, bytes_per_batch: int = 64 << 30) -> None:
     """Run every arrival file not seen yet through the keyed state under ``state``, then stop.
 
     ``arrivals`` is a folder of Parquet files of ARRIVAL rows; files are taken in bounded
@@ -68,7 +70,7 @@ def remember(spark: SparkSession, arrivals: str, state: str, files_per_batch: in
     """
     before = _with_conf(spark, STATE_CONF)
     try:
-        stream = (spark.readStream.schema(ARRIVAL).option("maxFilesPerTrigger", files_per_batch)
+        stream = (spark.readStream.schema(ARRIVAL).option("maxBytesPerTrigger", bytes_per_batch)
                   .parquet(arrivals).groupBy("digest")
                   .agg(F.min(identifier()).alias("first"), F.count("*").alias("copies")))
         (stream.writeStream.format("noop").outputMode("update").option("checkpointLocation", state)
@@ -114,10 +116,11 @@ def exact_groups(docs: DataFrame, digest: Column | None = None, state: str | Non
     seen = cut_lineage(known(spark, state), "exact-known")
     # full texts of the rows whose digest the state holds more than once
     hits = seen.where("copies > 1").select("digest", "first")
-    texts = full.select(*slim, "norm").join(hits, "digest")
     is_first = (F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row"))
-    firsts = texts.where(is_first).select(F.col("digest").alias("_digest"), F.col("norm").alias("_norm"))
-    differ = (texts.where(~is_first).join(firsts, F.col("digest") == F.col("_digest"))
+    texts = cut_lineage(full.select(*slim, "norm").join(hits, "digest")
+                        .select("digest", "norm", is_first.alias("is_first")), "exact-hits")
+    firsts = texts.where("is_first").select(F.col("digest").alias("_digest"), F.col("norm").alias("_norm"))
+    differ = (texts.where("not is_first").join(firsts, F.col("digest") == F.col("_digest"))
               .where("norm <> _norm").select("digest").distinct())
     differ = cut_lineage(differ, "exact-collisions")
     same = seen.join(differ, "digest", "left_anti")
