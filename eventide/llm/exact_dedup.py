@@ -121,8 +121,9 @@ def exact_groups(docs: DataFrame, digest: Column | None = None, state: str | Non
                         .select("digest", "norm", is_first.alias("is_first")), "exact-hits")
     firsts = texts.where("is_first").select(F.col("digest").alias("_digest"), F.col("norm").alias("_norm"))
     differ = (texts.where("not is_first").join(firsts, F.col("digest") == F.col("_digest"))
-              .where("norm <> _norm").select("digest").distinct())
-    differ = cut_lineage(differ, "exact-collisions")
+              .where("norm <> _norm").select("digest"))
+    # stored before distinct(), which would keep Spark from splitting a digest of many copies
+    differ = cut_lineage(differ, "exact-collisions").distinct()
     same = seen.join(differ, "digest", "left_anti")
     plain = arrivals.join(same, "digest").select(*slim, "sha", "first", "copies")
     # exact way for digests that stand for several texts

@@ -103,9 +103,10 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     h = cut_lineage(h, "hosts")
     doms = h.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     sufs = h.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    top = _prior_strength(sufs, []).select(F.col("rate").alias("p0"), F.col("strength").alias("k0"))
-    suf = _prior_strength(doms, ["suffix"]).crossJoin(F.broadcast(top))  # one row
-    mean_s = (F.col("b") + F.col("k0") * F.col("p0")) / (F.col("m") + F.col("k0"))
+    top = _prior_strength(sufs, []).first()  # two numbers, null for an empty table
+    p0, k0 = F.lit(top["rate"] or 0.5), F.lit(top["strength"] or STRENGTH[1])
+    suf = _prior_strength(doms, ["suffix"])
+    mean_s = (F.col("b") + k0 * p0) / (F.col("m") + k0)
     suf = suf.select("suffix", mean_s.alias("p1"), F.col("strength").alias("k1"))
     dom = _prior_strength(h, ["suffix", "domain"]).join(suf, "suffix")
     mean_d = (F.col("b") + F.col("k1") * F.col("p1")) / (F.col("m") + F.col("k1"))
