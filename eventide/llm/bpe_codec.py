@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from eventide.llm.common import partitions, read
 from eventide.session import cut_lineage
 
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 32_000_000
 MAX_VOCAB = 1 << 20
 #: pieces of up to so many bytes are merged by plain scanning, longer ones with a heap
 SCAN_BYTES = 64
@@ -108,21 +109,44 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return _merge_scan(word, ranks) if len(word) <= SCAN_BYTES else _merge_heap(word, ranks)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """uint32 values byte plane by byte plane, which compresses far better than value by value."""
+    return a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(raw: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+
+
 def _pack(parts: list[bytes]) -> bytes:
     """Byte strings as lengths and content, compressed."""
     lengths = np.fromiter(map(len, parts), np.uint32, len(parts))
-    return zstandard.ZstdCompressor(level=1).compress(
-        np.uint32(len(parts)).tobytes() + lengths.tobytes() + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(
+        np.uint32(len(parts)).tobytes() + _planes(lengths) + b"".join(parts))
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(bounds, content) of packed byte strings."""
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
     n = int(data[:4].view(np.uint32)[0])
-    lengths = data[4:4 + 4 * n].view(np.uint32)
+    lengths = _from_planes(data[4:4 + 4 * n])
     return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), data[4 + 4 * n:]
 
 
+def _pack_places(places: np.ndarray, bucket_of: np.ndarray) -> bytes:
+    """A chunk's places and the word bucket of each place; places below 255 take one byte."""
+    rest = places[places >= 255] - 255
+    return _pack([np.minimum(places, 255).astype(np.uint8).tobytes(), _planes(rest), _planes(bucket_of)])
+
+
+def _unpack_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    bounds, data = _unpack(raw)
+    low, rest, bucket_of = (data[bounds[k]:bounds[k + 1]] for k in range(3))
+    places = low.astype(np.int64)
+    places[low == 255] += _from_planes(rest)
+    return places, _from_planes(bucket_of)
+
+
 def gather(bounds: np.ndarray, content: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenate content[bounds[p]:bounds[p + 1]] over ``places``; (bounds of the result, result)."""
     size = bounds[places + 1] - bounds[places]
@@ -144,105 +168,109 @@ class _Places(dict):
 
 
 def _split(docs: DataFrame, carry: list[str], pattern: str, chunk_chars: int, n_buckets: int) -> DataFrame:
-    """Rows of two kinds, both with ``chunk``: documents (bucket null) and word lists (bucket set)."""
-    carried = docs.select(*carry).schema
-    schema = "chunk string, bucket int, body binary, " + ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
-    body_at = len(carry)
+    """Three kinds of rows, all with ``chunk``:
+
+    * a document: its number in the chunk, how many pre-tokens it has, ``carry``;
+    * the chunk (bucket -1): the places of all its pre-tokens in the chunk's table, in order of
+      document and position, and the word bucket of each place;
+    * a word list (bucket from 0): the chunk's distinct pre-tokens of that bucket, in place order.
+
+    Places go by falling frequency in the chunk.
+    """
+    given = docs.select(*carry).schema
+    schema = "chunk string, bucket int, number int, n int, body binary" + "".join(
+        f", `{f.name}` {f.dataType.simpleString()}" for f in given)
+    names = ["chunk", "bucket", "number", "n", "body", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         task = TaskContext.get().partitionId()
-        names = ["chunk", "bucket", "body", *carry]
-        number, seen, chars = 0, _Places(), 0
-        packer = zstandard.ZstdCompressor(level=3)
-
-        def word_rows(types: list[pa.DataType]) -> pa.RecordBatch:
-            lists: dict[int, list[bytes]] = {}
-            where: dict[int, list[int]] = {}
-            for i, w in enumerate(seen):
-                raw = w.encode("utf-8", "surrogatepass")
-                k = _bucket(raw, n_buckets)
-                lists.setdefault(k, []).append(raw)
-                where.setdefault(k, []).append(i)
-            # sorted words compress well; their places in the chunk's table stay beside them
-            bodies = []
-            for k, ws in lists.items():
-                order = sorted(range(len(ws)), key=ws.__getitem__)
-                at = np.array([where[k][o] for o in order], np.uint32)
-                bodies.append(_pack([at.tobytes(), *(ws[o] for o in order)]))
+        chunk, seen, chars, counts, held, types = 0, _Places(), 0, [], [], []
+
+        def documents(b: pa.RecordBatch, a: int) -> pa.RecordBatch:
+            size = [len(h) for h in held[len(counts):]]
+            first = len(counts)
+            counts.extend(size)
+            k = len(size)
             return pa.RecordBatch.from_arrays(
-                [pa.array([f"{task}-{number}"] * len(lists)), pa.array(list(lists), pa.int32()),
-                 pa.array(bodies, pa.binary()), *(pa.nulls(len(lists), t) for t in types)], names=names)
+                [pa.array([f"{task}-{chunk}"] * k, pa.string()), pa.nulls(k, pa.int32()),
+                 pa.array(range(first, first + k), pa.int32()), pa.array(size, pa.int32()),
+                 pa.nulls(k, pa.binary()), *b.slice(a, k).columns[:len(carry)]], names=names)
+
+        def lists() -> pa.RecordBatch:
+            places = np.concatenate(held)
+            words = [w.encode("utf-8", "surrogatepass") for w in seen]
+            often = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[often] = np.arange(len(words))
+            bucket_of = np.fromiter((_bucket(words[i], n_buckets) for i in often), np.uint32, len(words))
+            by_bucket: dict[int, list[bytes]] = {}
+            for i, k in zip(often.tolist(), bucket_of.tolist()):
+                by_bucket.setdefault(k, []).append(words[i])
+            bodies = [_pack_places(rank[places], bucket_of), *map(_pack, by_bucket.values())]
+            k = len(bodies)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f"{task}-{chunk}"] * k), pa.array([-1, *by_bucket], pa.int32()), pa.nulls(k, pa.int32()),
+                 pa.nulls(k, pa.int32()), pa.array(bodies, pa.binary()), *(pa.nulls(k, t) for t in types)],
+                names=names)
 
-        types = None
         for b in batches:
-            types = [c.type for c in b.columns[:body_at]]
-            a, rows = 0, []
-            for r, t in enumerate(b.column(body_at)):
+            types = [c.type for c in b.columns[:len(carry)]]
+            a = 0
+            for r, t in enumerate(b.column(len(carry))):
                 text = t.as_py() or ""
                 got = find(text)
-                rows.append(packer.compress(
-                    np.fromiter(map(seen.__getitem__, got), np.uint32, len(got)).tobytes()))
+                held.append(np.fromiter(map(seen.__getitem__, got), np.uint32, len(got)))
                 chars += len(text)
                 if chars >= chunk_chars:
-                    yield _doc_rows(b, a, rows, f"{task}-{number}", names, body_at)
-                    yield word_rows(types)
-                    number, seen, chars, a, rows = number + 1, _Places(), 0, r + 1, []
-            if rows:
-                yield _doc_rows(b, a, rows, f"{task}-{number}", names, body_at)
-        if types is not None and (seen or chars):
-            yield word_rows(types)
+                    yield documents(b, a)
+                    yield lists()
+                    chunk, seen, chars, counts, held, a = chunk + 1, _Places(), 0, [], [], r + 1
+            if len(held) > len(counts):
+                yield documents(b, a)
+        if held:
+            yield lists()
 
     return docs.select(*carry, "text").mapInArrow(run, schema)
 
 
-def _doc_rows(b: pa.RecordBatch, a: int, rows: list[bytes], chunk: str, names: list[str], k: int) -> pa.RecordBatch:
-    part = b.slice(a, len(rows))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([chunk] * len(rows)), pa.nulls(len(rows), pa.int32()), pa.array(rows, pa.binary()),
-         *part.columns[:k]], names=names)
-
-
 def _encode_buckets(words: DataFrame, ranks) -> DataFrame:  # noqa: ANN001 - a broadcast of ranks
-    """(chunk, body) per word list: places in the chunk's table and the ids of the words there."""
+    """(chunk, bucket, body) per word list: the ids of its words, in its order."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         table = ranks.value
-        known: dict[bytes, bytes] = {}
+        known: dict[bytes, list[int]] = {}
         out = []
         for raw in group["body"]:
             bounds, content = _unpack(raw)
             data = content.tobytes()
-            ids = []
-            for a, b in zip(bounds[1:-1].tolist(), bounds[2:].tolist()):
+            ids: list[int] = []
+            sizes = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 w = data[a:b]
                 got = known.get(w)
                 if got is None:
-                    got = known[w] = np.array(encode_word(w, table), np.uint32).tobytes()
-                ids.append(got)
-            out.append(_pack([data[:bounds[1]], *ids]))
-        return pd.DataFrame({"chunk": group["chunk"], "body": out})
+                    got = known[w] = encode_word(w, table)
+                ids += got
+                sizes.append(len(got))
+            out.append(_pack([_planes(np.array(sizes, np.uint32)), _planes(np.array(ids, np.uint32))]))
+        return pd.DataFrame({"chunk": group["chunk"], "bucket": group["bucket"], "body": out})
 
-    return words.groupBy("bucket").applyInPandas(run, "chunk string, body binary")
+    return words.groupBy("bucket").applyInPandas(run, "chunk string, bucket int, body binary")
 
 
-def _chunk_table(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bounds, ids) of a chunk's words by place, from the answers of the buckets."""
-    answers = []
-    for raw in bodies:
+def _chunk_table(answers: list[tuple[int, bytes]], bucket_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, ids) of a chunk's words by place, from the answers (bucket, body)."""
+    sizes, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+    for _, raw in sorted(answers):
         bounds, content = _unpack(raw)
-        answers.append((content[:bounds[1]].view(np.uint32), np.diff(bounds)[1:] // 4,
-                        content[bounds[1]:].view(np.uint32)))
-    n = sum(len(p) for p, _, _ in answers)
-    place = np.concatenate([p for p, _, _ in answers]) if answers else np.zeros(0, np.uint32)
-    size = np.concatenate([s for _, s, _ in answers]) if answers else np.zeros(0, np.int64)
-    ids = np.concatenate([i for _, _, i in answers]) if answers else np.zeros(0, np.uint32)
-    starts = np.concatenate([[0], np.cumsum(size)])
-    order = np.empty(n, np.int64)
-    order[place] = np.arange(n)
-    bounds, ids = gather(starts, ids, order)
-    return bounds, ids
+        sizes.append(_from_planes(content[:bounds[1]]))
+        ids.append(_from_planes(content[bounds[1]:]))
+    starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+    # answers in order of bucket hold the places in order of (bucket, place)
+    at = np.empty(len(bucket_of), np.int64)
+    at[np.argsort(bucket_of, kind="stable")] = np.arange(len(bucket_of))
+    return gather(starts, np.concatenate(ids), at)
 
 
 def _decimal_table(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -298,8 +326,8 @@ def _reassembled(docs: DataFrame, carry: list[str], ranks: dict[bytes, int], pat
     n_buckets = n_buckets or 4 * partitions(spark)
     shared = spark.sparkContext.broadcast(ranks)
     rows = cut_lineage(_split(docs, carry, pattern, chunk_chars, n_buckets), "bpe-split")
-    answers = _encode_buckets(rows.where("bucket is not null").select("bucket", "chunk", "body"), shared)
-    texts = rows.where("bucket is null").drop("bucket")
+    answers = _encode_buckets(rows.where("bucket >= 0").select("bucket", "chunk", "body"), shared)
+    texts = rows.where("bucket is null or bucket < 0")
     added = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")] if digests \
         else [("ids", "binary")]
     arrow = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -307,21 +335,27 @@ def _reassembled(docs: DataFrame, carry: list[str], ranks: dict[bytes, int], pat
                        + [f"{n} {t}" for n, t in added])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        bounds, table = _chunk_table([x.as_buffer() for x in right.column("body")])
-        unzip = zstandard.ZstdDecompressor()
+        body = left.filter(pc.is_valid(left.column("body"))).column("body")[0].as_buffer()
+        left = left.filter(pc.is_null(left.column("body")))
+        places, bucket_of = _unpack_places(body)
+        bounds, table = _chunk_table(
+            list(zip(right.column("bucket").to_pylist(), right.column("body").to_pylist())), bucket_of)
+        number, n = left.column("number").to_numpy(), left.column("n").to_numpy()
+        ends = np.zeros(len(n) + 1, np.int64)
+        ends[number + 1] = n
+        ends = np.cumsum(ends)
         out: list[tuple] = []
         if digests:
             decoder = Decoder(shared.value)
             dec_bounds, dec = _decimal_table(len(decoder.bounds) - 1)
-        for body in left.column("body"):
-            places = np.frombuffer(unzip.decompress(body.as_buffer()), np.uint32).astype(np.int64)
-            ids = gather(bounds, table, places)[1]
+        for k in number:
+            ids = gather(bounds, table, places[ends[k]:ends[k + 1]])[1]
             if digests:
                 text = gather(dec_bounds, dec, ids.astype(np.int64))[1].tobytes()
                 out.append((len(ids), hashlib.sha256(text[:-1]).hexdigest(),
                             hashlib.sha256(decoder(ids)).hexdigest()))
             else:
-                out.append((ids.tobytes(),))
+                out.append((ids.astype("<u4").tobytes(),))
         res = left.select(carry)
         for k, (name, t) in enumerate(added):
             res = res.append_column(name, pa.array([o[k] for o in out], arrow[t]))
