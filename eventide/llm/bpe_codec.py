@@ -121,7 +121,7 @@ def _from_planes(raw: np.ndarray) -> np.ndarray:
 def _pack(parts: list[bytes]) -> bytes:
     """Byte strings as lengths and content, compressed."""
     lengths = np.fromiter(map(len, parts), np.uint32, len(parts))
-    return zstandard.ZstdCompressor(level=3).compress(
+    return zstandard.ZstdCompressor(level=9).compress(
         np.uint32(len(parts)).tobytes() + _planes(lengths) + b"".join(parts))
 
 
