@@ -85,6 +85,8 @@ def linked(messages: DataFrame) -> DataFrame:
     here = (said.where("conv_id is not null").groupBy(F.col("conv_id").alias("c"), F.col("hash").alias("h"))
             .agg(F.min("turn").alias("here")))
     first = said.groupBy(F.col("hash").alias("g")).agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    # stored, so that the joins read plain tables and Spark can split a passage that many quote
+    here, first = cut_lineage(here, "own-passages"), cut_lineage(first, "first-passages")
     q = messages.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*")
     j = q.join(here, (F.col("conv_id") == F.col("c")) & (F.col("hash") == F.col("h")), "left")
     j = j.join(first, F.col("hash") == F.col("g"), "left")
@@ -100,20 +102,24 @@ def reply_trees(parents: DataFrame) -> DataFrame:
     """(conv_id, turn, root_turn, depth) from ``parents(conv_id, turn, parent_turn)``.
 
     A parent has a smaller turn. Each round replaces every pointer by the pointer of the message it
-    points to, so the longest chain halves.
+    points to, so the longest chain halves; messages that have met their root leave the rounds.
     """
     t = parents.groupBy("conv_id", "turn").agg(F.min("parent_turn").alias("up"))
-    t = t.select("conv_id", "turn", "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("depth"))
-    t = cut_lineage(t.withColumn("root_turn", F.coalesce("up", "turn")), "reply-trees")
+    t = cut_lineage(t.select("conv_id", "turn", "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("depth"),
+                             F.coalesce("up", "turn").alias("root_turn")), "reply-trees")
+    found = t.where("up is null")
     while True:
-        to = t.select(F.col("conv_id").alias("c"), F.col("turn").alias("p"), F.col("up").alias("up2"),
-                      F.col("depth").alias("d2"), F.col("root_turn").alias("r2"))
-        t = t.join(to, (F.col("conv_id") == F.col("c")) & (F.col("up") == F.col("p")), "left").select(
-            "conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-            F.coalesce("r2", "root_turn").alias("root_turn"))
+        climbing = t.where("up is not null")
+        if not climbing.limit(1).count():
+            return found.select("conv_id", "turn", "root_turn", "depth")
+        to = found.unionAll(climbing).select(
+            F.col("conv_id").alias("c"), F.col("turn").alias("p"), F.col("up").alias("up2"),
+            F.col("depth").alias("d2"), F.col("root_turn").alias("r2"))
+        t = climbing.join(to, (F.col("conv_id") == F.col("c")) & (F.col("up") == F.col("p"))).select(
+            "conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"),
+            F.col("r2").alias("root_turn"))
         t = cut_lineage(t, "reply-trees")
-        if not t.where("up is not null").limit(1).count():
-            return t.select("conv_id", "turn", "root_turn", "depth")
+        found = found.unionAll(t.where("up is null"))
 
 
 def conversations(messages: DataFrame) -> DataFrame:
