@@ -195,7 +195,7 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def train(docs: DataFrame, words: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
+def train(docs: DataFrame, words: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH) -> np.ndarray:
     """Weights after ``epochs`` rounds of local training and averaging over all documents."""
     sc = docs.sparkSession.sparkContext
     vector = Network().vector
@@ -213,8 +213,8 @@ def train(docs: DataFrame, words: np.ndarray, epochs: int = EPOCHS) -> np.ndarra
                     ids = token_ids(w.hash, known)
                     around = contexts(ids, w.doc)
                     order = rng.permutation(len(ids))
-                    for i in range(0, len(ids), BATCH):
-                        rows = order[i:i + BATCH]
+                    for i in range(0, len(ids), batch):
+                        rows = order[i:i + batch]
                         train_step(net, grown, around[rows], ids[rows])
                     seen += len(ids)
             if seen:
