@@ -39,14 +39,12 @@ def cdf_after(pdf: Column, x: Column, days: Column, **kw) -> Column:
 
 
 def churn_probability(pdf: Column, days: Column, time_to_churn: float = BUCKET_EDGES_DAYS[-1],
-                      *, clamp_days: bool = False, **kw) -> Column:
-    """S(max(ttc, d)) / S(d) with S = 1 - F; equals 1 once d >= ttc (when S(d) > 0).
+                      **kw) -> Column:
+    """S(max(ttc, d)) / S(d) with S = 1 - F.
 
-    Beyond the CDF tail the score is NULL (Q10); ``clamp_days`` caps d at the tail instead.
+    From ``time_to_churn`` days on this is S(d) / S(d) = 1, also beyond the CDF's tail, where a
+    person is idle longer than the curve reaches. Negative days -> NULL.
     """
-    if clamp_days:
-        days = F.least(days, F.lit(float(kw.get("tail_days", CDF_TAIL_DAYS))))
     ttc = F.lit(float(time_to_churn))
-    x = F.greatest(ttc, days)
-    fd = cdf(pdf, days, **kw)
-    return (F.lit(1.0) - cdf(pdf, x, **kw)) / F.nullif(F.lit(1.0) - fd, F.lit(0.0))
+    left = (F.lit(1.0) - cdf(pdf, ttc, **kw)) / F.nullif(F.lit(1.0) - cdf(pdf, days, **kw), F.lit(0.0))
+    return F.when(days >= ttc, F.when(pdf.isNotNull(), F.lit(1.0))).otherwise(left)

@@ -17,12 +17,3 @@ def token_ids(events: DataFrame, vocab: DataFrame, column: str = "DefinitionId",
     v = vocab.select(F.col("token").alias(column), F.col("token_id").alias("_tid"))
     j = events.join(v, column, "left")
     return j.withColumn(out, F.coalesce(F.col("_tid"), F.lit(size)).cast("int")).drop("_tid")
-
-
-def id_array(history_col: str, vocab_map_col: str, vocab_size_col: str,
-             field: str = "DefinitionId") -> F.Column:
-    """C05 helper: map every history entry's token through a MAP column; pad / unknown -> size."""
-    return F.transform(
-        F.col(history_col),
-        lambda x: F.coalesce(F.try_element_at(F.col(vocab_map_col), x.getField(field)),
-                             F.col(vocab_size_col)).cast("int"))

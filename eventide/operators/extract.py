@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.schema import EVENT_COLUMNS, ORDER_COLUMNS
+from eventide.schema import ORDER_COLUMNS
 
 
 def dedupe_events(events: DataFrame) -> DataFrame:
@@ -80,10 +80,6 @@ def account_counts(events: DataFrame, accounts: DataFrame | None = None, *,
     return accounts.select("AccountId").dropDuplicates().join(counts, "AccountId", "left")
 
 
-def event_columns(events: DataFrame) -> DataFrame:
-    return events.select(*EVENT_COLUMNS, "EventKey")
-
-
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     """A small preview (the limit is the feature here)."""
     return df.limit(int(n))

@@ -5,25 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.session import cut_lineage
+
 
 def classification_metrics(scored: DataFrame, *, score: str = "score", actual: str = "actual",
-                           threshold: float = 0.5, score_decimals: int = 6) -> DataFrame:
+                           threshold: float = 0.5) -> DataFrame:
     """Auc, f1, precission, recall, accuracy (the message's field spelling), n.
 
-    AUC is the rank-sum statistic with ties counted half, over scores rounded to
-    ``score_decimals``: the rows are first reduced to one row per distinct rounded score (at
-    most 10**decimals + 1 rows, a bound independent of the data size), and only that small
-    table is ordered; the confusion counts come from the same table in the same aggregate.
+    AUC is the rank-sum statistic with ties counted half, over the exact scores. Equal scores are
+    summed first; the distinct scores are dealt to ranges, counted inside each range, and offset by
+    the totals of the ranges below, so no task orders more than one range.
     """
     rows = scored.where(F.col(score).isNotNull()).select(
-        F.round(F.col(score), score_decimals).alias("_s"), F.col(actual).cast("int").alias("_y"))
+        F.col(score).alias("_s"), F.col(actual).cast("int").alias("_y"))
     per_score = rows.groupBy("_s").agg(
         F.sum(F.col("_y")).alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg"))
-    below = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    terms = per_score.select(
-        "_s", "_pos", "_neg",
-        (F.col("_pos") * (F.coalesce(F.sum("_neg").over(below), F.lit(0))
-                          + 0.5 * F.col("_neg"))).alias("_t"))
+    ranged = cut_lineage(per_score.repartitionByRange("_s").withColumn("_p", F.spark_partition_id()),
+                         "scores")
+    lower = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    start = ranged.groupBy("_p").agg(F.sum("_neg").alias("_n")).select(
+        F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_start"))
+    below = Window.partitionBy("_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    terms = (ranged.withColumn("_in", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
+             .join(start, F.col("_p") == F.col("_q"))
+             .select("_s", "_pos", "_neg",
+                     (F.col("_pos") * (F.col("_start") + F.col("_in") + 0.5 * F.col("_neg"))).alias("_t")))
     hi = F.col("_s") >= F.lit(threshold)
     m = terms.agg(
         (F.sum("_t") / F.nullif(F.sum("_pos") * F.sum("_neg"), F.lit(0))).alias("auc"),

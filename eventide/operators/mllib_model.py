@@ -45,7 +45,8 @@ def fit_classifier(train: DataFrame, mean: float, std: float, *, max_iter: int =
     data = featurize(train.where(F.col("label").isNotNull()), mean, std).withColumn(
         "label_d", F.col("label").cast("double"))
     pipe = Pipeline(stages=[
-        CountVectorizer(inputCol="tokens", outputCol="type_counts", minDF=1.0),
+        # every event type: the default would drop the rarer ones beyond 262,144
+        CountVectorizer(inputCol="tokens", outputCol="type_counts", minDF=1.0, vocabSize=2**31 - 1),
         VectorAssembler(inputCols=["type_counts", *NUMERIC], outputCol="features",
                         handleInvalid="keep"),
         LogisticRegression(featuresCol="features", labelCol="label_d", family="multinomial",

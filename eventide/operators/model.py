@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from eventide.config import BUCKET_EDGES_DAYS
 from eventide.functions.churn import churn_probability
 from eventide.operators.history import days_since_last
+from eventide.session import cut_lineage
 
 GLOBAL_SEGMENT = "*"
 
@@ -46,6 +47,8 @@ def attach_pdf(df: DataFrame, pdf: DataFrame) -> DataFrame:
     AQE turns the join into a broadcast at run time only when its measured size allows.
     """
     keys = [k for k in ("AccountId", "ModelId") if k in pdf.columns and k in df.columns]
+    if not keys:
+        pdf = cut_lineage(pdf, "pdf")  # read twice: its training chain runs once
     seg = pdf.select(*keys, F.col("segment").alias("_seg"), F.col("pdf").alias("_pdf_seg"))
     glob = pdf.where(F.col("segment") == GLOBAL_SEGMENT).select(
         *keys, F.col("segment").alias("_g"), F.col("pdf").alias("_pdf_all"))
@@ -54,7 +57,7 @@ def attach_pdf(df: DataFrame, pdf: DataFrame) -> DataFrame:
         out = out.withColumn("_g", F.lit(GLOBAL_SEGMENT)).join(glob, [*keys, "_g"], "left")
     else:
         # exactly one global row (group-by key '*'): read it as a scalar, use it as a literal
-        row = glob.first()
+        row = glob.first()  # of the stored table
         fallback = (F.array(*[F.lit(float(v)) for v in row["_pdf_all"]]) if row is not None
                     else F.lit(None).cast("array<double>"))
         out = out.withColumn("_pdf_all", fallback)
@@ -66,7 +69,7 @@ def score_histories(hist: DataFrame, pdf: DataFrame, as_of: Column,
                     time_to_churn: float = BUCKET_EDGES_DAYS[-1]) -> DataFrame:
     """Days since the last event (C13) -> churn probability (C12) per row.
 
-    Empty history -> NULL score (Q9); more than the CDF tail -> NULL (Q10).
+    Empty history -> NULL score (Q9); a person idle beyond the CDF tail scores 1.
     """
     scored = attach_pdf(hist, pdf).withColumn("days", days_since_last(as_of))
     return scored.withColumn(

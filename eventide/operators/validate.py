@@ -49,12 +49,6 @@ def validate(df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
         "valid", F.size("reasons") == 0)
 
 
-def split_valid(df: DataFrame, schema: T.StructType | None = None
-                ) -> tuple[DataFrame, DataFrame]:
-    v = validate(df, schema)
-    return v.where("valid").drop("reasons", "valid"), v.where("NOT valid").drop("valid")
-
-
 def parse_and_validate(raw: DataFrame, schema: T.StructType, value_col: str = "value"
                        ) -> DataFrame:
     """from_json (permissive) then the rules; unparseable text is quarantined as ``json``."""

@@ -134,8 +134,8 @@ def _cdf_sql(p: str, x: str) -> str:
 
 
 def _churn_sql(p: str, d: str) -> str:
-    return (f"((1.0 - {_cdf_sql(p, f'greatest(28.0, {d})')}) / "
-            f"nullif(1.0 - {_cdf_sql(p, d)}, 0.0))")
+    return (f"(CASE WHEN {d} >= 28.0 THEN (CASE WHEN {p}p0 IS NOT NULL THEN 1.0::DOUBLE END) "
+            f"ELSE (1.0 - {_cdf_sql(p, '28.0')}) / nullif(1.0 - {_cdf_sql(p, d)}, 0.0) END)")
 
 
 def _pdf_pick(seg: str) -> tuple[str, str]:
@@ -339,7 +339,7 @@ _JT, _PT = _pdf_pick("h.last_type")
     f"""tsc AS (SELECT PersonId, {_churn_sql('', _days_sql(_OR_HZ, 'last_time'))} AS score,
         CASE WHEN next_time IS NULL OR epoch_us(next_time) - epoch_us({_OR_HZ}) >= {28 * DAY_US}
              THEN 1 ELSE 0 END AS actual FROM tsb)""",
-    "r AS (SELECT round(score, 6) AS s, actual AS y FROM tsc WHERE score IS NOT NULL)",
+    "r AS (SELECT score AS s, actual AS y FROM tsc WHERE score IS NOT NULL)",
     """cf AS (SELECT sum(CASE WHEN s >= 0.5 AND y = 1 THEN 1 ELSE 0 END) AS tp,
         sum(CASE WHEN s >= 0.5 AND y = 0 THEN 1 ELSE 0 END) AS fp,
         sum(CASE WHEN s < 0.5 AND y = 1 THEN 1 ELSE 0 END) AS fn,

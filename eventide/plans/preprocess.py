@@ -149,9 +149,3 @@ def preprocess_dataset(spark: SparkSession, events: DataFrame, out_path: str, p:
     mat(validation, "validation_prepared")
     return {k: f"{out_path}/{k}" for k in ("vocab", "time_stats", "test_prepared",
                                            "train_prepared", "validation_prepared")}
-
-
-def tag_split(train: DataFrame, validation: DataFrame) -> DataFrame:
-    """Both sets in one frame with a split column."""
-    return (train.withColumn("split", F.lit("train"))
-            .unionByName(validation.withColumn("split", F.lit("validation"))))

@@ -14,6 +14,7 @@ from eventide.config import BUCKET_EDGES_DAYS, HISTORY_SIZE, PREDICT_EXTRACT_ROW
 from eventide.functions.time import ts_lit
 from eventide.operators.history import HISTORY_FIELDS, event_struct, pad_left
 from eventide.operators.model import bucket_pdf, score_histories
+from eventide.session import cut_lineage
 
 REQUEST_KEYS = ["AccountId", "ApplicationId", "ModelId"]
 MAX_BROADCAST_REQUESTS = 100_000
@@ -85,7 +86,7 @@ class ChurnPipeline:
     pdf: DataFrame | None = None
 
     def fit(self, train_samples: DataFrame) -> ChurnPipeline:
-        self.pdf = bucket_pdf(train_samples, alpha=self.alpha)
+        self.pdf = cut_lineage(bucket_pdf(train_samples, alpha=self.alpha), "model")
         return self
 
     def score(self, events: DataFrame, requests: DataFrame, as_of: datetime) -> DataFrame:
@@ -96,11 +97,18 @@ class ChurnPipeline:
 
     def save(self, spark: SparkSession, registry_path: str, account_id: int, model_id: str,
              trained_at: datetime) -> str:
-        """Write the pdf table and append a registry row (AccountId, ModelId, path, time)."""
-        path = os.path.join(registry_path, "models", f"AccountId-{account_id}",
-                            f"ModelId-{model_id}", trained_at.strftime("%Y-%m-%d"))
+        """Write the model's pdf rows and append a registry row (AccountId, ModelId, path, time).
+
+        All models lie in one table, partitioned by account, model and day; training again on a
+        day replaces that partition only.
+        """
+        models = os.path.join(registry_path, "models")
+        day = trained_at.strftime("%Y-%m-%d")
         (self.pdf.withColumn("AccountId", F.lit(int(account_id)).cast("bigint"))
-         .withColumn("ModelId", F.lit(str(model_id))).write.mode("overwrite").parquet(path))
+         .withColumn("ModelId", F.lit(str(model_id))).withColumn("trained_on", F.lit(day))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("AccountId", "ModelId", "trained_on").parquet(models))
+        path = os.path.join(models, f"AccountId={account_id}", f"ModelId={model_id}", f"trained_on={day}")
         row = spark.createDataFrame(
             [(int(account_id), str(model_id), path, trained_at)],
             "AccountId long, ModelId string, model_path string, trained_at timestamp_ntz")
@@ -117,3 +125,19 @@ def trained_today(spark: SparkSession, registry_path: str, day: str) -> DataFram
     reg = spark.read.parquet(os.path.join(registry_path, "registry"))
     return reg.where(F.to_date("trained_at") == F.lit(day).cast("date")).select(
         "AccountId", "ModelId").distinct()
+
+
+MODELS_SCHEMA = ("segment string, n bigint, pdf array<double>, AccountId bigint, ModelId string, "
+                 "trained_on string")
+
+
+def latest_models(spark: SparkSession, registry_path: str, registry: DataFrame, wanted: DataFrame) -> DataFrame:
+    """pdf rows of the latest model of each distinct (AccountId, ModelId) in ``wanted``.
+
+    Models are found by a join on the keys of the models table; no list of paths on the driver.
+    """
+    keys = ["AccountId", "ModelId"]
+    latest = (registry.join(wanted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys)
+              .agg(F.date_format(F.max("trained_at"), "yyyy-MM-dd").alias("trained_on")))
+    models = spark.read.schema(MODELS_SCHEMA).parquet(os.path.join(registry_path, "models"))
+    return models.join(latest, [*keys, "trained_on"], "left_semi").drop("trained_on")

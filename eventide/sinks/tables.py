@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RUN_PARTITIONS = ["AccountId", "ApplicationId", "ModelId", "dt"]
+RUN_TYPES = {"AccountId": T.LongType(), "ApplicationId": T.StringType(), "ModelId": T.StringType(),
+             "dt": T.StringType()}
+ORDER = ("PersonId", "OccurredTime", "OccurredTimeTicks", "DefinitionId", "EventKey")
 
 
 def write_and_read(spark: SparkSession, df: DataFrame, path: str, *, mode: str = "overwrite",
@@ -23,20 +27,36 @@ def rebalance(df: DataFrame, *cols: str) -> DataFrame:
     return df.hint("rebalance", *cols) if cols else df.hint("rebalance")
 
 
-def write_run_table(df: DataFrame, path: str, dt: str) -> None:
+def _one_form(c: str) -> Column:
+    """The empty string and NULL are one key of the layout."""
+    return F.when(F.col(c) != "", F.col(c))
+
+
+def write_run_table(df: DataFrame, path: str, dt: str, order: tuple[str, ...] = ORDER) -> None:
     """Run layout partitioned by account / application / model / date.
 
-    Dynamic partition overwrite replaces only the partitions present in ``df``.
+    Dynamic partition overwrite replaces only the partitions present in ``df``. Rows are ranged and
+    sorted by layout columns, then ``order``: every file keeps the person order, files of a
+    partition do not overlap, and a task writes to few partitions.
     """
-    (df.withColumn("dt", F.lit(dt)).write.mode("overwrite")
+    keys = [*RUN_PARTITIONS, *[c for c in order if c in df.columns]]
+    (df.withColumn("ApplicationId", _one_form("ApplicationId")).withColumn("dt", F.lit(dt))
+     .repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
      .partitionBy(*RUN_PARTITIONS).parquet(path))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_run_table(spark: SparkSession, path: str, *, account_id: int | None = None,
                    model_id: str | None = None, dt: str | None = None) -> DataFrame:
-    """K03 read with partition pruning on the layout columns."""
-    df = spark.read.parquet(path)
+    """K03 read with partition pruning; layout columns keep their declared types ("007" stays text)."""
+    found = spark.read.parquet(path).schema
+    schema = T.StructType([T.StructField(f.name, RUN_TYPES.get(f.name, f.dataType)) for f in found])
+    df = spark.read.schema(schema).parquet(path)
     if account_id is not None:
         df = df.where(F.col("AccountId") == F.lit(int(account_id)))
     if model_id is not None:
@@ -47,12 +67,17 @@ def read_run_table(spark: SparkSession, path: str, *, account_id: int | None = N
 
 
 def partitions_present(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """Which (AccountId, ApplicationId, ModelId, dt) already have data (skip list)."""
-    try:
-        existing = spark.read.parquet(path).select(*RUN_PARTITIONS).distinct()
-    except Exception:  # no table yet: nothing present
+    """Which (AccountId, ApplicationId, ModelId, dt) already have data (skip list).
+
+    Keys match null-safe; a NULL and an empty application are the same key.
+    """
+    if not path_exists(spark, path):
         return keys.limit(0)
-    return keys.join(existing, RUN_PARTITIONS, "left_semi")
+    there = read_run_table(spark, path).select(*[F.col(c).alias(f"_{c}") for c in RUN_PARTITIONS]).distinct()
+    cond = _one_form("ApplicationId").eqNullSafe(F.col("_ApplicationId"))
+    for c in ("AccountId", "ModelId", "dt"):
+        cond &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return keys.join(there, cond, "left_semi")
 
 
 def write_extract(df: DataFrame, path: str, *, chunk_rows: int = 1_000_000) -> None:

@@ -7,11 +7,12 @@ for a topic in tests. Consumer groups are replaced by the query checkpoint.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +20,10 @@ from eventide.functions.messages import encode_messages
 from eventide.operators.validate import parse_and_validate
 from eventide.schema import (EVENT_MESSAGE, PREDICTION, START_PREDICTION, TRAINING_MODEL_START,
                              TRAINING_MODEL_STATUS, TRAINING_REQUEST)
+from eventide.session import cut_lineage, stages
+from eventide.sinks.tables import path_exists
+
+log = logging.getLogger(__name__)
 
 
 # ---- topics -----------------------------------------------------------------------------------
@@ -57,32 +62,54 @@ def publish(df: DataFrame, schema: T.StructType, topic: str, *, bootstrap: str |
 
 # ---- S09: validated event feed ----------------------------------------------------------------
 
-def validated_events(raw_stream: DataFrame, *, watermark: str = "1 day"
-                     ) -> tuple[DataFrame, DataFrame]:
-    """S09 + V01 + A08: parsed, validated and de-duplicated event stream, and the quarantine.
+def validated_events(raw_stream: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S09 + V01: the parsed, validated event stream, and the quarantine.
 
-    Duplicates are dropped within the watermark (``dropDuplicatesWithinWatermark``): the
-    watermark only bounds the dedupe state, it never drops a late but new event.
+    No watermark: an event may be late by any time. Repeats are dropped where the feed is stored
+    (``append_new_events``), so there is no state that would have to forget.
     """
     checked = parse_and_validate(raw_stream, EVENT_MESSAGE)
-    cols = [f.name for f in EVENT_MESSAGE.fields]
-    # watermarks need TIMESTAMP: a UTC cast of the zone-less event time, used only for the state
-    valid = (checked.where("valid").select(*cols)
-             .withColumn("_event_ts", F.col("OccurredTime").cast("timestamp"))
-             .withWatermark("_event_ts", watermark)
-             .dropDuplicatesWithinWatermark(cols).drop("_event_ts"))
+    valid = checked.where("valid").select(*[f.name for f in EVENT_MESSAGE.fields])
     quarantine = checked.where("NOT valid").select(
         F.col("_raw").alias("value"), "reasons", F.current_timestamp().alias("seen_at"))
     return valid, quarantine
 
 
+def append_new_events(path: str) -> Callable[[DataFrame, int], None]:
+    """A08 on the stored feed: append the events of a batch that the table does not hold yet.
+
+    The table is partitioned by account and day, and only the days of the batch are compared, so
+    the cost follows the batch and not the age of the feed. Replaying a batch adds nothing.
+    """
+    cols = [f.name for f in EVENT_MESSAGE.fields]
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select(*cols).dropDuplicates().withColumn("day", F.to_date("OccurredTime"))
+        with stages(spark):
+            new = cut_lineage(new, "feed")
+            days = new.agg(F.min("day"), F.max("day")).first()
+            if days[0] is None:
+                return
+            if path_exists(spark, path):
+                schema = T.StructType([*EVENT_MESSAGE.fields, T.StructField("day", T.DateType())])
+                old = (spark.read.schema(schema).parquet(path)
+                       .where(F.col("day").between(F.lit(days[0]), F.lit(days[1])))
+                       .select(*[F.col(c).alias(f"_{c}") for c in [*cols, "day"]]))
+                same = F.col("day") == F.col("_day")
+                for c in cols:
+                    same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+                new = new.join(old, same, "left_anti")
+            new.write.mode("append").partitionBy("AccountId", "day").parquet(path)
+
+    return handle
+
+
 def start_feed(valid: DataFrame, quarantine: DataFrame, out_path: str, checkpoint: str, *,
                trigger: dict | None = None):
-    """Sinks of the feed: events to parquet partitioned by account, quarantine beside it."""
+    """Sinks of the feed: new events to parquet by account and day, quarantine beside it."""
     trig = trigger or {"availableNow": True}
-    q1 = (valid.writeStream.format("parquet").option("path", f"{out_path}/events")
-          .option("checkpointLocation", f"{checkpoint}/events").partitionBy("AccountId")
-          .trigger(**trig).start())
+    q1 = run_handler(valid, append_new_events(f"{out_path}/events"), f"{checkpoint}/events", trigger=trig)
     q2 = (quarantine.writeStream.format("parquet").option("path", f"{out_path}/quarantine")
           .option("checkpointLocation", f"{checkpoint}/quarantine").trigger(**trig).start())
     return q1, q2
@@ -123,9 +150,10 @@ def on_training_model_start(cfg: FlowConfig) -> Callable[[DataFrame, int], None]
         day = datetime.now(timezone.utc).replace(tzinfo=None).strftime("%Y-%m-%d")
         keys = starts.select("AccountId", "ApplicationId", "ModelId").withColumn("dt", F.lit(day))
         # A request whose extract already exists for today is not downloaded again
-        present = partitions_present(spark, f"{cfg.root_path}/extract", keys)
-        todo = starts.join(present.drop("dt"), ["AccountId", "ApplicationId", "ModelId"],
-                           "left_anti")
+        p = partitions_present(spark, f"{cfg.root_path}/extract", keys).select(
+            F.col("AccountId").alias("_a"), F.col("ApplicationId").alias("_p"), F.col("ModelId").alias("_m"))
+        todo = starts.join(p, F.col("AccountId").eqNullSafe(F.col("_a")) & F.col("ModelId").eqNullSafe(F.col("_m"))
+                           & F.col("ApplicationId").eqNullSafe(F.col("_p")), "left_anti")
         ext = request_extract(read_events(spark, cfg.events_path), todo)
         ext = ext.drop("AccountId", "ApplicationId", "ModelId").withColumnsRenamed(
             {"req_AccountId": "AccountId", "req_ApplicationId": "ApplicationId",
@@ -137,11 +165,22 @@ def on_training_model_start(cfg: FlowConfig) -> Callable[[DataFrame, int], None]
     return handle
 
 
+def model_extract(extract: DataFrame) -> DataFrame:
+    """The training events of one model among the extracts of its applications.
+
+    An extract without application holds all events of the account, so it stands for the others;
+    without one, the applications' extracts are disjoint and all are used. No event appears twice.
+    """
+    whole = extract.where("ApplicationId is null")
+    return whole if whole.limit(1).count() else extract
+
+
 def on_training_model_status(cfg: FlowConfig) -> Callable[[DataFrame, int], None]:
     """F08 gate -> preprocess (step 1) -> fit (step 2) -> register -> prediction request.
 
-    Each gated model trains as its own set of distributed jobs; the batch holds one row per
-    model, so the loop is over models, never over persons or events.
+    A model is (AccountId, ModelId), however many applications asked for it: it trains once, as its
+    own set of distributed jobs; the loop is over models, never over persons or events. Each status
+    goes out when its step has been done, so a failure leaves no 100 % behind.
     """
     from eventide.plans.preprocess import PrepParams, train_validation_sets
     from eventide.plans.requests import prediction_requests, ready_to_train, training_status_steps
@@ -152,22 +191,32 @@ def on_training_model_status(cfg: FlowConfig) -> Callable[[DataFrame, int], None
         spark = batch.sparkSession
         ready = ready_to_train(_parse(batch, TRAINING_MODEL_STATUS)).select(
             "AccountId", "ApplicationId", "ModelId").distinct()
-        publish(training_status_steps(ready), TRAINING_MODEL_STATUS, "training_model_status",
-                bootstrap=cfg.bootstrap, path=cfg.out_topics)
+        steps = training_status_steps(ready)
+
+        def tell(step: int, share: float) -> None:
+            publish(steps.where((F.col("current_step") == step) & (F.col("current_step_percentage") == share)),
+                    TRAINING_MODEL_STATUS, "training_model_status", bootstrap=cfg.bootstrap, path=cfg.out_topics)
+
         p = PrepParams(horizon_days=cfg.horizon_days, history_size=cfg.history_size)
         today = datetime.now(timezone.utc).replace(tzinfo=None)
-        # A model already trained today is reused, not trained again
-        try:
-            done = trained_today(spark, cfg.root_path, today.strftime("%Y-%m-%d"))
-            todo = ready.join(done, ["AccountId", "ModelId"], "left_anti")
-        except Exception:  # no registry yet
-            todo = ready
-        for r in todo.collect():  # one row per model (bounded by the registry)
-            ev = read_run_table(spark, f"{cfg.root_path}/extract", account_id=r.AccountId,
-                                model_id=r.ModelId, dt=today.strftime("%Y-%m-%d"))
-            train, _ = train_validation_sets(ev, p)
-            ChurnPipeline(history_size=cfg.history_size).fit(train).save(
-                spark, cfg.root_path, r.AccountId, r.ModelId, today)
+        day = today.strftime("%Y-%m-%d")
+        todo = ready.select("AccountId", "ModelId").distinct()
+        if path_exists(spark, f"{cfg.root_path}/registry"):
+            # A model already trained today is reused, not trained again
+            todo = todo.join(trained_today(spark, cfg.root_path, day), ["AccountId", "ModelId"], "left_anti")
+        with stages(spark):
+            tell(1, 0.0)
+            sets = []
+            for r in todo.collect():  # one row per model (bounded by the registry)
+                ev = model_extract(read_run_table(spark, f"{cfg.root_path}/extract", account_id=r.AccountId,
+                                                  model_id=r.ModelId, dt=day))
+                sets.append((r, cut_lineage(train_validation_sets(ev, p)[0], "train")))
+            tell(1, 1.0)
+            tell(2, 0.0)
+            for r, train in sets:
+                ChurnPipeline(history_size=cfg.history_size).fit(train).save(
+                    spark, cfg.root_path, r.AccountId, r.ModelId, today)
+            tell(2, 1.0)
         publish(prediction_requests(ready), START_PREDICTION, "start_prediction",
                 bootstrap=cfg.bootstrap, path=cfg.out_topics)
 
@@ -175,37 +224,40 @@ def on_training_model_status(cfg: FlowConfig) -> Callable[[DataFrame, int], None
 
 
 def on_start_prediction(cfg: FlowConfig) -> Callable[[DataFrame, int], None]:
-    """J07 routing; hits are scored for all their persons in one job (M03 + F10 + K07)."""
+    """J07 routing; hits are scored for all their persons in one job (M03 + F10 + K07).
+
+    One message per (request, person); persons without a score are counted in the same job (F10)
+    and reported as ``null_predictions``.
+    """
     import os
 
     from eventide.plans.requests import prediction_messages, route_requests
-    from eventide.plans.scoring import score_requests
+    from eventide.plans.scoring import latest_models, score_requests
     from eventide.sources.tables import read_events
 
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         reqs = _parse(batch, START_PREDICTION)
-        reg_path = os.path.join(cfg.root_path, "registry")
-        try:
-            registry = spark.read.parquet(reg_path)
-        except Exception:  # nothing trained yet
+        if path_exists(spark, os.path.join(cfg.root_path, "registry")):
+            registry = spark.read.parquet(os.path.join(cfg.root_path, "registry"))
+        else:  # nothing trained yet
             registry = spark.createDataFrame(
                 [], "AccountId long, ModelId string, model_path string, trained_at timestamp_ntz")
         hit, miss = route_requests(reqs, registry)
         publish(miss, TRAINING_REQUEST, "start_training_data", bootstrap=cfg.bootstrap,
                 path=cfg.out_topics)
-        latest = registry.groupBy("AccountId", "ModelId").agg(
-            F.max_by("model_path", "trained_at").alias("model_path"))
-        as_of = datetime.now(timezone.utc).replace(tzinfo=None)
-        paths = [r.model_path for r in latest.join(hit.select("AccountId", "ModelId"),
-                                                   ["AccountId", "ModelId"]).collect()]
-        if not paths:
+        if not hit.limit(1).count():
             return
-        pdf = spark.read.parquet(*paths)  # one small pdf table per model
+        as_of = datetime.now(timezone.utc).replace(tzinfo=None)
+        pdf = latest_models(spark, cfg.root_path, registry, hit)
         scores = score_requests(read_events(spark, cfg.events_path), hit, pdf, as_of,
                                 extract_rows=cfg.extract_rows, history_size=cfg.history_size)
-        good, _ = prediction_messages(scores, F.lit(as_of).cast("timestamp_ntz"))
+        seen = Observation("null_predictions")
+        good, _ = prediction_messages(scores, F.lit(as_of).cast("timestamp_ntz"), observation=seen)
         publish(good, PREDICTION, "prediction", bootstrap=cfg.bootstrap, path=cfg.out_topics)
+        nulls = seen.get.get("null_scores") or 0
+        if nulls:
+            log.warning("%d of %d persons have no score", nulls, seen.get["scored"])
 
     return handle
 

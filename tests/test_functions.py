@@ -96,17 +96,12 @@ def test_parse_event_time_both_shapes(spark):
     assert got == [datetime(2023, 7, 10, 13, 27, 0, 123456), datetime(2023, 7, 10, 13, 27, 0)]
 
 
-def test_churn_beyond_tail_is_null_unless_clamped(spark):
-    pdf = [0.1, 0.2, 0.3, 0.2, 0.1, 0.1]
-    df = spark.createDataFrame([(pdf, 1200.0), (pdf, 1000.0)], "pdf array<double>, d double")
-    r = df.select("d", churn_probability(F.col("pdf"), F.col("d")).alias("a"),
-                  churn_probability(F.col("pdf"), F.col("d"), clamp_days=True).alias("b")
-                  ).orderBy("d").collect()
-    at_tail, beyond = r[0], r[1]
-    assert beyond.a is None                   # Q10: no CDF beyond the tail
-    assert beyond.b == at_tail.a == at_tail.b  # clamped: the score at the tail
-    df3 = spark.createDataFrame([(pdf, 500.0)], "pdf array<double>, d double")
-    assert math.isclose(df3.select(churn_probability(F.col("pdf"), F.col("d"))).first()[0], 1.0)
+def test_churn_is_one_from_the_threshold_on_also_beyond_the_tail(spark):
+    pdf = [0.05, 0.25, 0.15, 0.2, 0.3, 0.05]
+    rows = [(pdf, d) for d in (28.0, 500.0, 1000.0, 1000.5, 4000.0)] + [(pdf, -1.0), (None, 4000.0)]
+    df = spark.createDataFrame(rows, "pdf array<double>, d double")
+    got = [r.c for r in df.select(churn_probability(F.col("pdf"), F.col("d")).alias("c")).collect()]
+    assert got == [1.0] * 5 + [None, None]
 
 
 def test_churn_matches_numpy_interpolation_for_random_pdfs(spark):
