@@ -487,6 +487,44 @@ def q_ingest_progress(spark: SparkSession, sf: str) -> DataFrame:
                        "no_of_records", "total_no_of_records", "is_last")
 
 
+def _half_way(ev: DataFrame) -> DataFrame:
+    """Two requests per account: at the feed's start, and half way, when rows are there already."""
+    lo, hi = time_bounds_values(ev)
+    half = lo + timedelta(seconds=int((hi - lo).total_seconds() // 2))
+    per = ev.groupBy("AccountId").agg(F.count(F.lit(1)).alias("total_no_of_records"))
+    return per.select("AccountId", "total_no_of_records",
+                      F.explode(F.array(ts_lit(lo), ts_lit(half))).alias("requested_at"))
+
+
+@register("request_progress", S.with_ctes(
+    S.EV_EVENTS,
+    """rq AS (SELECT AccountId, CAST(count(*) AS BIGINT) AS lim,
+        unnest([epoch_us((SELECT min(OccurredTime) FROM ev)),
+                epoch_us((SELECT min(OccurredTime) FROM ev)) + 1000000 * CAST(floor(
+                    (epoch_us((SELECT max(OccurredTime) FROM ev)) - epoch_us((SELECT min(OccurredTime) FROM ev)))
+                    / 2000000.0) AS BIGINT)]) AS t0 FROM ev GROUP BY AccountId)""",
+    f"""pl AS (SELECT r.AccountId, r.t0, r.lim, greatest(0, CAST(ceil((epoch_us(e.OccurredTime) - r.t0)
+        / {_dbl(TRACK.poll_s * 1_000_000)}) AS BIGINT)) AS poll, count(*) AS n
+        FROM rq r JOIN ev e USING (AccountId) GROUP BY ALL)""",
+    """c1 AS (SELECT *, sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cnt,
+        lag(poll) OVER w AS prev_poll, min(poll) OVER (PARTITION BY AccountId, t0) AS first_poll
+        FROM pl WINDOW w AS (PARTITION BY AccountId, t0 ORDER BY poll))""",
+    f"""c2 AS (SELECT *, CASE WHEN coalesce(lag(cnt) OVER w >= lim, false)
+        OR coalesce((poll - prev_poll) * {TRACK.poll_s} > {TRACK.idle_s}, false) THEN 1 ELSE 0 END AS stop
+        FROM c1 WINDOW w AS (PARTITION BY AccountId, t0 ORDER BY poll))""",
+    """c3 AS (SELECT *, max(stop) OVER (PARTITION BY AccountId, t0 ORDER BY poll
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stopped FROM c2)""") + f"""
+SELECT AccountId, {S.ts('make_timestamp(t0)')} AS requested_at, poll, CAST(cnt AS BIGINT) AS no_of_records,
+       lim AS total_no_of_records, poll = max(poll) OVER (PARTITION BY AccountId, t0) AS is_last
+FROM c3 WHERE stopped = 0 AND NOT (first_poll * {TRACK.poll_s} > {TRACK.abort_s})""")
+def q_request_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """E01 with several requests per account, the later one meeting rows that are there already."""
+    ev = load_events(spark, sf, "events")
+    prog = progress_batch(ev.select("AccountId", F.col("OccurredTime").alias("arrival_time")), _half_way(ev), TRACK)
+    return prog.select("AccountId", ts_text("requested_at").alias("requested_at"), "poll", "no_of_records",
+                       "total_no_of_records", "is_last")
+
+
 @register("latest_status", S.with_ctes(*_TRACK_CTES) + """
 SELECT AccountId, max(poll) AS poll, arg_max(no_of_records, poll) AS no_of_records,
        arg_max(total_no_of_records, poll) AS total_no_of_records FROM prog GROUP BY AccountId""")

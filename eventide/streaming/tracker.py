@@ -35,26 +35,25 @@ def progress_batch(arrivals: DataFrame, requests: DataFrame, p: TrackerParams =
 
     arrivals: AccountId, ``arrival_col`` (one row per ingested row).
     requests: AccountId, requested_at (timestamp), total_no_of_records (the limit).
-    Returns one row per emitted status: AccountId, poll, poll_time, no_of_records,
-    total_no_of_records, is_last (the status the training start carries).
-    Accounts that abort emit nothing.
+    Returns one row per emitted status: AccountId, requested_at, poll, poll_time, no_of_records,
+    total_no_of_records, is_last (the status the training start carries). Requests of an account
+    are followed apart; equal ones (several models asked for at once) are one. Poll 0 counts what
+    was there at the request. Requests that abort emit nothing.
     """
     poll_us = int(p.poll_s) * SECOND_US
+    key = ["AccountId", "_t0", "_limit"]
     req = requests.select("AccountId", epoch_us("requested_at").alias("_t0"),
-                          F.col("total_no_of_records").cast("bigint").alias("_limit"))
-    arr = arrivals.select("AccountId", epoch_us(arrival_col).alias("_a"))
-    # pre-aggregate per (account, poll index): skewed accounts shrink before the window
-    j = arr.join(req.select("AccountId", "_t0"), "AccountId", "inner").where(
-        F.col("_a") >= F.col("_t0"))
-    polls = j.groupBy("AccountId", F.ceil((F.col("_a") - F.col("_t0")) / F.lit(poll_us))
-                      .cast("bigint").alias("poll")).agg(F.count(F.lit(1)).alias("_n"))
-    polls = polls.join(req, "AccountId", "inner")
-    w = Window.partitionBy("AccountId").orderBy("poll")
+                          F.col("total_no_of_records").cast("bigint").alias("_limit")).distinct()
+    # rows of one instant first: what meets the requests is one row per (account, instant)
+    arr = arrivals.groupBy("AccountId", epoch_us(arrival_col).alias("_a")).agg(F.count(F.lit(1)).alias("_k"))
+    poll = F.greatest(F.lit(0), F.ceil((F.col("_a") - F.col("_t0")) / F.lit(poll_us))).cast("bigint")
+    polls = arr.join(req, "AccountId", "inner").groupBy(*key, poll.alias("poll")).agg(F.sum("_k").alias("_n"))
+    w = Window.partitionBy(*key).orderBy("poll")
     cum = polls.select(
         "*",
         F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("no_of_records"),
         F.lag("poll").over(w).alias("_prev_poll"),
-        F.min("poll").over(Window.partitionBy("AccountId")).alias("_first_poll"),
+        F.min("poll").over(Window.partitionBy(*key)).alias("_first_poll"),
     )
     cum = cum.withColumn("_prev_count", F.lag("no_of_records").over(w))
     stop = ((F.col("_prev_count") >= F.col("_limit"))
@@ -63,9 +62,9 @@ def progress_batch(arrivals: DataFrame, requests: DataFrame, p: TrackerParams =
     cum = cum.withColumn("_stopped", F.max("_stop").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     alive = cum.where((F.col("_stopped") == 0)
                       & ~(F.col("_first_poll") * F.lit(p.poll_s) > F.lit(p.abort_s)))
-    last = F.max("poll").over(Window.partitionBy("AccountId"))
+    last = F.max("poll").over(Window.partitionBy(*key))
     return alive.select(
-        "AccountId", "poll",
+        "AccountId", from_epoch_us(F.col("_t0")).alias("requested_at"), "poll",
         from_epoch_us(F.col("_t0") + F.col("poll") * F.lit(poll_us)).alias("poll_time"),
         F.col("no_of_records").cast("bigint").alias("no_of_records"),
         F.col("_limit").alias("total_no_of_records"),
@@ -74,65 +73,68 @@ def progress_batch(arrivals: DataFrame, requests: DataFrame, p: TrackerParams =
 
 
 def training_starts(progress: DataFrame, requests: DataFrame) -> DataFrame:
-    """A training-start message (final count) for every request that did not abort."""
-    fin = progress.where("is_last").select("AccountId", "no_of_records")
-    return requests.join(fin, "AccountId", "inner").select(
+    """A training-start message (final count) for every request that did not abort.
+
+    Requests that carry requested_at and total_no_of_records meet their own progress; requests
+    without a time meet the account's.
+    """
+    own = [c for c in ("requested_at", "total_no_of_records") if "requested_at" in requests.columns]
+    fin = progress.where("is_last").select("AccountId", *own, "no_of_records")
+    return requests.join(fin, ["AccountId", *own], "inner").select(
         "AccountId", "ApplicationId", "ModelId", "task_type", "no_of_records")
 
 
 # ---- streaming form ---------------------------------------------------------------------------
 
-STATE_SCHEMA = "count long, last_change_ms long, started_ms long, done boolean, limit long"
+STATE_SCHEMA = "count long, last_change_ms long, open string, done string"
 OUTPUT_SCHEMA = ("AccountId long, no_of_records long, total_no_of_records long, "
                  "finished boolean, aborted boolean")
 
 
-def tracker_state_fn(default_limit: int, p: TrackerParams = TrackerParams()):
+def tracker_state_fn(p: TrackerParams = TrackerParams()):
     """E01 stream: per-account state machine for ``applyInPandasWithState``.
 
-    Each micro-batch adds the arrived rows to the count; a status row is emitted when the count
-    changes; a processing-time timeout fires the idle / abort checks between batches. The limit
-    comes with the rows (``_limit``, the request's total) and is kept in the state.
+    Each micro-batch brings the arrived rows and, beside them, the account's requests (``asked``:
+    name -> limit). Every open request gets a status when the count changes; it is done when the
+    count reaches its limit, or when a processing-time timeout finds no change for ``idle_s``. A
+    request of a new name (next week's) is open again and starts from the count so far; names no
+    longer asked for are forgotten. Accounts that nobody asked for are counted silently.
     """
+    import json
+
     import pandas as pd
 
-    def status(account, count, limit, finished, aborted):
-        return pd.DataFrame({"AccountId": [account], "no_of_records": [count],
-                             "total_no_of_records": [limit], "finished": [finished],
-                             "aborted": [aborted]})
+    def statuses(account, count, told):
+        return pd.DataFrame([(account, count, limit, fin, False) for limit, fin in told],
+                            columns=["AccountId", "no_of_records", "total_no_of_records", "finished", "aborted"])
 
     def fn(key, pdfs, state):
-        (account,) = key
         now_ms = state.getCurrentProcessingTimeMs()
-        if state.exists:
-            count, last_ms, started_ms, done, limit = state.get
-        else:
-            count, last_ms, started_ms, done, limit = 0, None, now_ms, False, default_limit
-        if done:
-            return
+        count, last_ms, waiting, done = state.get if state.exists else (0, now_ms, "{}", "[]")
+        waiting, done = json.loads(waiting), json.loads(done)
+        told = []
         if state.hasTimedOut:
-            idle = last_ms is not None and (now_ms - last_ms) > p.idle_s * 1000
-            abort = last_ms is None and (now_ms - started_ms) > p.abort_s * 1000
-            if idle or abort:
-                state.update((count, last_ms, started_ms, True, limit))
-                yield status(account, count, limit, True, bool(abort))
-                return
+            if now_ms - last_ms > p.idle_s * 1000:
+                told = [(limit, True) for limit in waiting.values()]
+                done, waiting = [*done, *waiting], {}
         else:
-            n = 0
+            n, asked = 0, {}
             for pdf in pdfs:
                 n += len(pdf)
-                if "_limit" in pdf and len(pdf) and pd.notna(pdf["_limit"].iloc[0]):
-                    limit = int(pdf["_limit"].iloc[0])
-            if n > 0:
-                count += n
-                last_ms = now_ms
-                fin = count >= limit
-                state.update((count, last_ms, started_ms, fin, limit))
-                yield status(account, count, limit, fin, False)
-                if fin:
-                    return
-        state.update((count, last_ms, started_ms, False, limit))
-        state.setTimeoutDuration(int(math.ceil(p.poll_s * 1000)))
+                if len(pdf) and pdf["asked"].iloc[0] is not None:
+                    asked = json.loads(pdf["asked"].iloc[0])
+            count += n
+            last_ms = now_ms if n else last_ms
+            done = [d for d in done if d in asked]
+            waiting = {k: v for k, v in asked.items() if k not in done}
+            told = [(v, count >= v) for v in waiting.values()]
+            done += [k for k, v in waiting.items() if count >= v]
+            waiting = {k: v for k, v in waiting.items() if count < v}
+        state.update((count, last_ms, json.dumps(waiting), json.dumps(done)))
+        if waiting:
+            state.setTimeoutDuration(int(math.ceil(p.poll_s * 1000)))
+        if told:
+            yield statuses(key[0], count, told)
 
     return fn
 
@@ -141,17 +143,18 @@ def progress_stream(arrivals_stream: DataFrame, limit: int | DataFrame,
                     p: TrackerParams = TrackerParams()) -> DataFrame:
     """E01 over a stream of arrivals (AccountId, ...): status rows as they change.
 
-    ``limit`` is one number for every account, or a requests table (AccountId,
-    total_no_of_records) joined to the stream (stream-static join) so each account finishes on
-    its own request's total.
+    ``limit`` is one number for every account, or a requests table (AccountId, total_no_of_records
+    and, if there, requested_at). The requests of an account are one row of the stream-static join,
+    so several requests do not multiply its arrivals.
     """
     if isinstance(limit, DataFrame):
-        req = limit.select("AccountId", F.col("total_no_of_records").cast("bigint").alias("_limit"))
-        rows = arrivals_stream.select("AccountId").join(req, "AccountId", "left")
-        default = 0
+        named = [c for c in ("requested_at", "total_no_of_records") if c in limit.columns]
+        asked = limit.select("AccountId", F.concat_ws("|", *[F.col(c).cast("string") for c in named]).alias("k"),
+                             F.col("total_no_of_records").cast("bigint").alias("v")).distinct()
+        asked = asked.groupBy("AccountId").agg(
+            F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("asked"))
+        rows = arrivals_stream.select("AccountId").join(asked, "AccountId", "left")
     else:
-        rows = arrivals_stream.select("AccountId", F.lit(int(limit)).cast("bigint").alias("_limit"))
-        default = int(limit)
+        rows = arrivals_stream.select("AccountId", F.lit('{"all": %d}' % int(limit)).alias("asked"))
     return rows.groupBy("AccountId").applyInPandasWithState(
-        tracker_state_fn(default, p), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
-        "ProcessingTimeTimeout")
+        tracker_state_fn(p), OUTPUT_SCHEMA, STATE_SCHEMA, "append", "ProcessingTimeTimeout")

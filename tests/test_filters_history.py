@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from conftest import E_ONE, E_SMALL, SF_SMALL, make_events, ts
+from conftest import SF_SMALL, VISITS, make_events, ts
 
 from eventide.operators.filters import (persons_active_in_window, persons_with_history,
                                         time_cutoff)
@@ -16,53 +16,54 @@ def _rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_time_cutoff_golden(spark):
-    ev = make_events(spark, E_SMALL)
-    got = _rows(time_cutoff(ev, datetime(2023, 7, 14)), "PersonId", "OccurredTime")
-    assert got == [(1, ts("2023-07-10 13:27:00.123456")), (1, ts("2023-07-12 13:27:01.246912")),
-                   (2, ts("2023-07-13 13:27:01.246912"))]
+def _visits(keep):
+    return sorted((p, ts(t)) for p, t, _ in VISITS if keep(p, ts(t)))
+
+
+def test_time_cutoff_keeps_earlier_rows(spark):
+    cut = datetime(2031, 3, 15, 23, 59, 59, 500000)  # exactly one visit's time, which stays out
+    got = _rows(time_cutoff(make_events(spark, VISITS), cut), "PersonId", "OccurredTime")
+    assert got == _visits(lambda p, t: t < cut) and len(got) == 3
 
 
 def test_time_cutoff_is_strict(spark):
-    ev = make_events(spark, [(1, "2023-07-14 00:00:00", "a"), (1, "2023-07-13 23:59:59", "a")])
-    assert time_cutoff(ev, datetime(2023, 7, 14)).count() == 1
+    ev = make_events(spark, [(4, "2031-05-01 00:00:00", "a"), (4, "2031-04-30 23:59:59.999999", "a")])
+    assert time_cutoff(ev, datetime(2031, 5, 1)).count() == 1
 
 
 def test_persons_with_history_keeps_all_rows(spark):
-    ev = make_events(spark, E_SMALL)
-    got = _rows(persons_with_history(ev, datetime(2023, 7, 12)), "PersonId", "OccurredTime")
-    # both rows of person 1, including the one after the threshold
-    assert got == [(1, ts("2023-07-10 13:27:00.123456")), (1, ts("2023-07-12 13:27:01.246912"))]
+    got = _rows(persons_with_history(make_events(spark, VISITS), datetime(2031, 3, 4)), "PersonId", "OccurredTime")
+    # both rows of person 10, the later one too; person 20 starts after the threshold
+    assert got == _visits(lambda p, t: p == 10) and len(got) == 2
 
 
 def test_active_window_is_open_on_both_ends(spark):
-    ev = make_events(spark, [(1, "2023-07-10 00:00:00", "a"), (2, "2023-07-03 00:00:00", "a"),
-                             (3, "2023-07-05 00:00:00", "a")])
-    got = persons_active_in_window(ev, datetime(2023, 7, 10), 7)
-    assert sorted(r.PersonId for r in got.collect()) == [3]
+    end = datetime(2031, 6, 20)
+    ev = make_events(spark, [(5, str(end), "a"), (6, str(end - timedelta(days=9)), "a"),
+                             (7, str(end - timedelta(microseconds=1)), "a"),
+                             (8, str(end - timedelta(days=9) + timedelta(microseconds=1)), "a")])
+    got = persons_active_in_window(ev, end, 9)
+    assert sorted(r.PersonId for r in got.collect()) == [7, 8]
 
 
 def test_next_event_found_and_not_found(spark):
-    ev = make_events(spark, E_ONE)
-    hit = next_event_at(ev, datetime(2023, 7, 19)).first()
-    assert hit.next_event.DefinitionId == "one"
-    assert hit.next_event.OccurredTime == ts("2023-07-28 13:27:05.740736")
-    miss = next_event_at(ev, datetime(2023, 7, 29)).first()
-    assert miss.next_event is None
+    ev = make_events(spark, VISITS)
+    after = {r.PersonId: r.next_event for r in next_event_at(ev, datetime(2031, 3, 16)).collect()}
+    assert (after[20].DefinitionId, after[20].OccurredTime) == ("pay", datetime(2031, 3, 21, 6))
+    assert after[10].DefinitionId == "close" and after[30].DefinitionId == "pay"
+    assert all(r.next_event is None for r in next_event_at(ev, datetime(2031, 4, 1)).collect())
 
 
 def test_next_event_includes_t0(spark):
-    ev = make_events(spark, [(1, "2023-07-19 00:00:00", "at"), (1, "2023-07-20 00:00:00", "x")])
-    assert next_event_at(ev, datetime(2023, 7, 19)).first().next_event.DefinitionId == "at"
+    ev = make_events(spark, [(1, "2031-07-01 05:00:00", "now"), (1, "2031-07-01 05:00:01", "next")])
+    assert next_event_at(ev, datetime(2031, 7, 1, 5)).first().next_event.DefinitionId == "now"
 
 
 def test_history_padding_and_order(spark):
-    ev = make_events(spark, E_SMALL)
-    h = {r.PersonId: r for r in histories_at(ev, datetime(2023, 7, 27), 4).collect()}
-    p2 = h[2]
-    assert p2.history_len == 2
-    assert [e.DefinitionId if e else None for e in p2.history] == [None, None, "two", "two"]
-    assert p2.next_event.DefinitionId == "one"
+    h = {r.PersonId: r for r in histories_at(make_events(spark, VISITS), datetime(2031, 3, 20), 5).collect()}
+    assert h[20].history_len == 3 and h[20].next_event.DefinitionId == "pay"
+    assert [e and (e.DefinitionId, e.OccurredTime.day) for e in h[20].history] == [
+        None, None, ("open", 4), ("open", 9), ("close", 15)]
 
 
 def test_history_sizes_below_at_above_h(spark):

@@ -13,28 +13,33 @@ from eventide.functions.churn import cdf, cdf_after, churn_probability
 from eventide.functions.labels import day_bucket, next_event_label
 from eventide.functions.time import parse_event_time, phase, time_features
 
-PDF = [0.1, 0.2, 0.3, 0.4, 0.0, 0.0]
+PDF = [0.07, 0.13, 0.21, 0.09, 0.36, 0.14]
+EDGES = (1, 3, 7, 14, 28)
 
 
-def test_day_bucket_golden(spark):
-    df = spark.createDataFrame([(d,) for d in (0, 2, 4, 8, 16, 32)], "d long")
-    got = [r.b for r in df.select(day_bucket(F.col("d") * DAY_US).alias("b")).collect()]
-    assert got == [0, 1, 2, 3, 4, 5]
+def _around_edges():
+    """(microseconds, bucket): one microsecond before, on and after every bucket edge."""
+    for k, e in enumerate(EDGES):
+        for us in (-1, 0, 1):
+            yield e * DAY_US + us, k + (us >= 0)
 
 
-def test_next_event_label_golden(spark):
-    t0 = datetime(2023, 7, 10)
-    deltas = [timedelta(hours=23, minutes=59), timedelta(days=1), timedelta(days=3),
-              timedelta(days=7), timedelta(days=14), timedelta(days=15), timedelta(days=28),
-              timedelta(days=32), None]
-    rows = [(t0, t0 + d if d is not None else None) for d in deltas]
-    df = spark.createDataFrame(rows, "t0 timestamp_ntz, nxt timestamp_ntz")
+def test_day_bucket_on_both_sides_of_every_edge(spark):
+    rows = [(0, 0), *_around_edges(), (400 * DAY_US, 5)]
+    df = spark.createDataFrame(rows, "us long, want int")
+    assert [r.b for r in df.select(day_bucket(F.col("us")).alias("b")).collect()] == [w for _, w in rows]
+
+
+def test_next_event_label_on_both_sides_of_every_edge(spark):
+    t0 = datetime(2031, 2, 11, 16, 45)
+    rows = [(t0, t0 + timedelta(microseconds=us), w) for us, w in _around_edges()] + [(t0, None, 5), (t0, t0, 0)]
+    df = spark.createDataFrame(rows, "t0 timestamp_ntz, nxt timestamp_ntz, want int")
     got = [r.l for r in df.select(next_event_label(F.col("nxt"), F.col("t0")).alias("l")).collect()]
-    assert got == [0, 1, 2, 3, 4, 4, 5, 5, 5]
+    assert got == [w for _, _, w in rows]
 
 
 def test_phase_in_range(spark):
-    df = spark.createDataFrame([(x,) for x in (1662994700, 1682329500, 1670535600)], "s long")
+    df = spark.createDataFrame([(x,) for x in (1925000000, 1931234567, 1950000001)], "s long")
     for p, per in (("day", 86400), ("week", 604800), ("month", 2628000), ("year", 31536000)):
         for r in df.select(phase(F.col("s"), p).alias("v")).collect():
             assert 0 <= r.v < per
@@ -72,7 +77,7 @@ def test_cdf_outside_range_is_null(spark):
 
 
 def test_conditional_cdf_after_days(spark):
-    df = spark.createDataFrame([([0.1, 0.2, 0.3, 0.2, 0.1, 0.1], float(x)) for x in range(5, 29)],
+    df = spark.createDataFrame([(PDF, float(x)) for x in range(5, 29)],
                                "pdf array<double>, x double")
     got = [r.c for r in df.select(cdf_after(F.col("pdf"), F.col("x"), F.lit(5.0)).alias("c"))
            .orderBy("x").collect()]
@@ -81,7 +86,7 @@ def test_conditional_cdf_after_days(spark):
 
 
 def test_churn_in_unit_interval_and_monotone_in_days(spark):
-    pdf = [0.1, 0.2, 0.3, 0.2, 0.1, 0.1]
+    pdf = PDF
     df = spark.createDataFrame([(pdf, float(d)) for d in range(0, 29)], "pdf array<double>, d double")
     got = [r.c for r in df.select(churn_probability(F.col("pdf"), F.col("d")).alias("c"))
            .orderBy("d").collect()]
@@ -91,9 +96,9 @@ def test_churn_in_unit_interval_and_monotone_in_days(spark):
 
 
 def test_parse_event_time_both_shapes(spark):
-    df = spark.createDataFrame([("2023-07-10 13:27:00.123456",), ("2023-07-10 13:27:00",)], "t string")
+    df = spark.createDataFrame([("2031-11-30 04:05:06.070809",), ("2031-11-30 04:05:06",)], "t string")
     got = [r.p for r in df.select(parse_event_time("t").alias("p")).collect()]
-    assert got == [datetime(2023, 7, 10, 13, 27, 0, 123456), datetime(2023, 7, 10, 13, 27, 0)]
+    assert got == [datetime(2031, 11, 30, 4, 5, 6, 70809), datetime(2031, 11, 30, 4, 5, 6)]
 
 
 def test_churn_is_one_from_the_threshold_on_also_beyond_the_tail(spark):

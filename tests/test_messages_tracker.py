@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -12,24 +13,29 @@ from eventide.functions.messages import encode_messages, message_key, to_message
 from eventide.operators.validate import parse_and_validate
 from eventide.plans.requests import route_requests, routed
 from eventide.schema import EVENT_MESSAGE, PREDICTION, TRAINING_REQUEST
-from eventide.streaming.tracker import TrackerParams, progress_batch
+from eventide.streaming.tracker import TrackerParams, progress_batch, training_starts
 
 
-def test_message_key_golden(spark):
-    df = spark.createDataFrame([(12345, "10001", "churn")], "AccountId long, ModelId string, task_type string")
-    assert df.select(message_key(df).alias("k")).first().k == "AccountId='12345', ModelId='10001'"
-    assert df.select(message_key(df, ["task_type"]).alias("k")).first().k == "task_type='churn'"
-    assert df.select(message_key(df, ["AccountId", "Nope"]).alias("k")).first().k == "AccountId='12345', "
+def test_message_key_format(spark):
+    # fixed format: name='value' pairs, comma separated; an unknown name leaves its place empty
+    df = spark.createDataFrame([(7, "m-42", "churn")], "AccountId long, ModelId string, task_type string")
+
+    def key(*names):
+        return df.select(message_key(df, *([list(names)] if names else [])).alias("k")).first().k
+
+    assert key() == "AccountId='7', ModelId='m-42'"
+    assert key("ModelId") == "ModelId='m-42'" and key("ModelId", "Other") == "ModelId='m-42', "
 
 
 def test_prediction_json_shape(spark):
     df = spark.createDataFrame(
-        [(1, None, "m", 7, datetime(2021, 3, 28, 0, 34, 8, 123), "churn", 0.5)],
+        [(31, "web", "m-42", 900, datetime(2031, 8, 9, 10, 11, 12, 131415), "churn", 0.25)],
         "AccountId long, ApplicationId string, ModelId string, PersonId long, "
         "prediction_time timestamp_ntz, task_type string, score double")
     v = json.loads(df.select(to_message(PREDICTION).alias("v")).first().v)
-    assert v == {"AccountId": 1, "ApplicationId": None, "ModelId": "m", "PersonId": 7,
-                 "prediction_time": "2021-03-28T00:34:08", "task_type": "churn", "score": 0.5}
+    # fixed format: field names of the message; times to the second
+    assert v == {"AccountId": 31, "ApplicationId": "web", "ModelId": "m-42", "PersonId": 900,
+                 "prediction_time": "2031-08-09T10:11:12", "task_type": "churn", "score": 0.25}
 
 
 def test_training_request_roundtrip(spark):
@@ -42,9 +48,9 @@ def test_training_request_roundtrip(spark):
 
 def test_validation_quarantines_bad_rows(spark):
     msgs = [
-        '{"AccountId":1,"ApplicationId":null,"ModelId":"m","DefinitionId":"a","OccurredTime":"2021-03-28T00:34:08","OccurredTimeTicks":5,"PersonId":3}',
-        '{"AccountId":-1,"ApplicationId":null,"ModelId":"m","DefinitionId":"","OccurredTime":"2021-03-28T00:34:08","OccurredTimeTicks":5,"PersonId":3}',
-        '{"AccountId":1,"ModelId":"m","OccurredTime":"2021-03-28T00:34:08","OccurredTimeTicks":5,"PersonId":3}',
+        '{"AccountId":1,"ApplicationId":null,"ModelId":"m","DefinitionId":"a","OccurredTime":"2031-08-09T10:11:12","OccurredTimeTicks":5,"PersonId":3}',
+        '{"AccountId":-1,"ApplicationId":null,"ModelId":"m","DefinitionId":"","OccurredTime":"2031-08-09T10:11:12","OccurredTimeTicks":5,"PersonId":3}',
+        '{"AccountId":1,"ModelId":"m","OccurredTime":"2031-08-09T10:11:12","OccurredTimeTicks":5,"PersonId":3}',
         'not json at all',
     ]
     df = spark.createDataFrame([(m,) for m in msgs], "value string")
@@ -66,29 +72,52 @@ def _req(spark, limit):
                                  "AccountId long, requested_at timestamp_ntz, total_no_of_records long")
 
 
+def _polls(spark, secs, limit, **p):
+    out = progress_batch(_arrivals(spark, secs), _req(spark, limit), TrackerParams(**p))
+    return [(r.poll, r.no_of_records, r.is_last) for r in out.orderBy("poll").collect()]
+
+
 def test_tracker_emits_on_change_and_finishes_on_limit(spark):
-    # count 9 at poll 1 (a status), 10 at poll 2 (gap 5 s, not > idle 5 s) -> finished by limit
-    arr = _arrivals(spark, [1] * 9 + [6])
-    out = progress_batch(arr, _req(spark, 10), TrackerParams(poll_s=5, idle_s=5, abort_s=10))
-    rows = [(r.poll, r.no_of_records, r.is_last) for r in out.orderBy("poll").collect()]
-    assert rows == [(1, 9, False), (2, 10, True)]
-    # a poll counts every row arrived by its time, so the final count may pass the limit
-    arr2 = _arrivals(spark, [1] * 9 + [6] + [7] * 5)
-    out2 = progress_batch(arr2, _req(spark, 10), TrackerParams(poll_s=5, idle_s=5, abort_s=10))
-    assert [(r.poll, r.no_of_records) for r in out2.orderBy("poll").collect()] == [(1, 9), (2, 15)]
+    # polls every 3 s: 2 rows by 3 s, none by 6 s, 4 more by 9 s, which passes the limit of 5
+    assert _polls(spark, [1, 2, 7, 8, 9, 9, 11], 5, poll_s=3, idle_s=60, abort_s=60) == [(1, 2, False), (3, 6, True)]
+    assert _polls(spark, [3, 3], 2, poll_s=3, idle_s=60, abort_s=60) == [(1, 2, True)]
 
 
 def test_tracker_finishes_by_idle_time(spark):
-    # change at poll 1, next data only after more than the idle time -> not seen
-    arr = _arrivals(spark, [1] * 9 + [30])
-    out = progress_batch(arr, _req(spark, 10), TrackerParams(poll_s=5, idle_s=10, abort_s=100))
-    assert [(r.poll, r.no_of_records) for r in out.collect()] == [(1, 9)]
+    # 12 s without a change is not more than the idle time, 15 s is
+    assert _polls(spark, [2, 14], 9, poll_s=3, idle_s=12, abort_s=60) == [(1, 1, False), (5, 2, True)]
+    assert _polls(spark, [2, 17], 9, poll_s=3, idle_s=12, abort_s=60) == [(1, 1, True)]
 
 
 def test_tracker_aborts_without_data(spark):
-    arr = _arrivals(spark, [30])
-    out = progress_batch(arr, _req(spark, 10), TrackerParams(poll_s=5, idle_s=1, abort_s=2))
-    assert out.count() == 0
+    assert _polls(spark, [40], 9, poll_s=3, idle_s=6, abort_s=30) == []
+
+
+def test_tracker_counts_rows_that_were_there_before(spark):
+    assert _polls(spark, [-500, -3, 0], 2, poll_s=3, idle_s=6, abort_s=30) == [(0, 3, True)]
+    assert _polls(spark, [-500, 4], 2, poll_s=3, idle_s=6, abort_s=30) == [(0, 1, False), (2, 2, True)]
+
+
+def test_tracker_keeps_requests_of_one_account_apart(spark):
+    t0 = datetime(2024, 1, 1)
+    reqs = [(1, t0, 3, "x"), (1, t0, 3, "y"), (1, t0 + timedelta(seconds=30), 5, "x"), (2, t0, 1, "z")]
+    req = spark.createDataFrame(reqs, "AccountId long, requested_at timestamp_ntz, total_no_of_records long, ModelId string")
+    req = req.withColumn("ApplicationId", F.lit(None).cast("string")).withColumn("task_type", F.lit("churn"))
+    prog = progress_batch(_arrivals(spark, [1, 1, 2, 31, 32]), req, TrackerParams(poll_s=5, idle_s=20, abort_s=20))
+    got = sorted((r.requested_at.second, r.poll, r.no_of_records, r.is_last) for r in prog.collect())
+    assert got == [(0, 1, 3, True), (30, 0, 3, False), (30, 1, 5, True)]  # account 2 aborts
+    starts = sorted((r.ModelId, r.no_of_records) for r in training_starts(prog, req).collect())
+    assert starts == [("x", 3), ("x", 5), ("y", 3)]
+
+
+def _wait(query, reached, seconds=90):
+    """Timeouts keep the stream running, so it is stopped once the result is there."""
+    end = time.time() + seconds
+    try:
+        while not reached() and time.time() < end:
+            time.sleep(0.5)
+    finally:
+        query.stop()
 
 
 def test_tracker_stream_counts_match_batch(spark):
@@ -102,10 +131,14 @@ def test_tracker_stream_counts_match_batch(spark):
         .parquet(f"{d}/in")
     q = (progress_stream(src, limit=100, p=TrackerParams(poll_s=1, idle_s=3600, abort_s=3600))
          .writeStream.format("memory").queryName("tracker_out").outputMode("append")
-         .option("checkpointLocation", f"{d}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    got = spark.sql("SELECT AccountId, max(no_of_records) AS n FROM tracker_out GROUP BY AccountId")
-    assert {r.AccountId: r.n for r in got.collect()} == {0: 8, 1: 4}
+         .option("checkpointLocation", f"{d}/ckpt").start())
+
+    def counts():
+        out = spark.sql("SELECT AccountId, max(no_of_records) AS n FROM tracker_out GROUP BY AccountId")
+        return {r.AccountId: r.n for r in out.collect()}
+
+    _wait(q, lambda: counts() == {0: 8, 1: 4})
+    assert counts() == {0: 8, 1: 4}
 
 
 def test_tracker_stream_finishes_on_each_requests_limit(spark):
@@ -117,15 +150,16 @@ def test_tracker_stream_finishes_on_each_requests_limit(spark):
             .write.mode("append").parquet(f"{d}/in")
     src = spark.readStream.schema("AccountId long, x long").option("maxFilesPerTrigger", 1) \
         .parquet(f"{d}/in")
-    reqs = spark.createDataFrame([(0, 8), (1, 100)], "AccountId long, total_no_of_records long")
+    # two requests for account 0, no request for account 1
+    reqs = spark.createDataFrame([(0, 8), (0, 8), (0, 3)], "AccountId long, total_no_of_records long")
     q = (progress_stream(src, reqs, TrackerParams(poll_s=1, idle_s=3600, abort_s=3600))
          .writeStream.format("memory").queryName("tracker_limits").outputMode("append")
-         .option("checkpointLocation", f"{d}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination(120)
+         .option("checkpointLocation", f"{d}/ckpt").start())
+    _wait(q, lambda: spark.sql("SELECT * FROM tracker_limits WHERE finished").count() >= 2)
     rows = spark.sql("SELECT * FROM tracker_limits").collect()
-    fin = {r.AccountId: (r.no_of_records, r.total_no_of_records) for r in rows if r.finished}
-    assert fin == {0: (8, 8)}  # account 0 reached its request's total; account 1 did not
-    assert max(r.no_of_records for r in rows if r.AccountId == 1) == 4
+    fin = sorted((r.AccountId, r.no_of_records, r.total_no_of_records) for r in rows if r.finished)
+    assert [(a, t) for a, _, t in fin] == [(0, 3), (0, 8)] and {r.AccountId for r in rows} == {0}
+    assert max(n for _, n, _ in fin) == 8  # not multiplied by the number of requests
 
 
 def test_route_requests_hit_and_miss(spark):
