@@ -6,36 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.time import epoch_us
+from eventide.session import cut_lineage
 
-MAX_LITERAL_VOCAB = 10_000
 
-
-def training_rows(samples: DataFrame, vocab: DataFrame, *,
-                  max_literal_vocab: int = MAX_LITERAL_VOCAB) -> DataFrame:
+def training_rows(samples: DataFrame, vocab: DataFrame) -> DataFrame:
     """samples (history, label, ...) -> action_ids ARRAY<INT>, times ARRAY<BIGINT>, label.
 
-    Padding and unknown tokens map to the vocabulary size; padded times stay NULL. The
-    vocabulary is counted first: up to ``max_literal_vocab`` entries it is collected and used
-    as a literal map in the expression (a checked size); beyond that the history is exploded
-    and equi-joined with the vocabulary.
+    Padding and unknown tokens map to the vocabulary size; padded times stay NULL. Histories are
+    exploded and equi-joined with the vocabulary, whatever its size: Spark broadcasts it where its
+    measured size allows. Rows that repeat are kept apart by a row number.
     """
     size = vocab.count()
-    secs = lambda x: F.floor(epoch_us(x.getField("OccurredTime")) / F.lit(1_000_000)).cast("bigint")
+    secs = F.floor(epoch_us(F.col("_e.OccurredTime")) / F.lit(1_000_000)).cast("bigint")
     keep = [c for c in samples.columns if c != "history"]
-    if size <= max_literal_vocab:
-        entries = vocab.select("token", "token_id").collect()
-        vmap = (F.create_map(*[x for r in entries for x in (F.lit(r.token), F.lit(int(r.token_id)))])
-                if entries else F.create_map().cast("map<string,int>"))
-        return samples.select(
-            *keep,
-            F.transform("history", lambda x: F.coalesce(
-                F.try_element_at(vmap, x.getField("DefinitionId")), F.lit(size)).cast("int"))
-            .alias("action_ids"),
-            F.transform("history", secs).alias("times"))
-    ex = samples.select(*keep, F.posexplode("history").alias("_i", "_e"))
+    rows = cut_lineage(samples.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    ex = rows.select("_row", F.posexplode("history").alias("_i", "_e"))
     v = vocab.select(F.col("token").alias("_tok"), "token_id")
-    j = ex.join(v, ex["_e.DefinitionId"] == v["_tok"], "left")
-    g = j.groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct(
-        "_i", F.coalesce("token_id", F.lit(size)).cast("int").alias("_a"),
-        secs(F.col("_e")).alias("_s")))).alias("_z"))
-    return g.select(*keep, F.col("_z._a").alias("action_ids"), F.col("_z._s").alias("times"))
+    j = ex.join(v, F.col("_e.DefinitionId") == F.col("_tok"), "left")
+    g = j.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(
+        "_i", F.coalesce("token_id", F.lit(size)).cast("int").alias("_a"), secs.alias("_s")))).alias("_z"))
+    out = rows.drop("history").join(g, "_row", "left")
+    return out.select(*keep, F.coalesce(F.col("_z._a"), F.array().cast("array<int>")).alias("action_ids"),
+                      F.coalesce(F.col("_z._s"), F.array().cast("array<bigint>")).alias("times"))

@@ -17,7 +17,6 @@ from eventide.operators.model import bucket_pdf, score_histories
 from eventide.session import cut_lineage
 
 REQUEST_KEYS = ["AccountId", "ApplicationId", "ModelId"]
-MAX_BROADCAST_REQUESTS = 100_000
 
 
 def request_extract(events: DataFrame, requests: DataFrame) -> DataFrame:
@@ -27,10 +26,8 @@ def request_extract(events: DataFrame, requests: DataFrame) -> DataFrame:
     rows its own extract would read. Output columns: request keys (``req_*``) + event columns.
     """
     req = requests.select(*[F.col(k).alias(f"req_{k}") for k in REQUEST_KEYS]).distinct()
-    # one row per registered model: broadcast after checking the count, else a shuffle join
-    # (AQE splits a skewed account there)
-    if req.count() <= MAX_BROADCAST_REQUESTS:
-        req = F.broadcast(req)
+    # one row per registered model, stored: Spark knows its size and broadcasts it where it is small
+    req = cut_lineage(req, "requests")
     cond = (F.col("AccountId") == F.col("req_AccountId")) & (
         F.col("req_ApplicationId").isNull() | (F.col("req_ApplicationId") == "")
         | (F.col("ApplicationId") == F.col("req_ApplicationId")))
