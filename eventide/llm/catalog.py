@@ -13,7 +13,7 @@ from eventide.llm.language_id import language_id
 from eventide.llm.minhash_dedup import minhash_dedup
 from eventide.llm.packing import packing
 from eventide.llm.pseudo_likelihood import pseudo_likelihood
-from eventide.llm.quality_rules import quality_rules
+from eventide.llm.quality_rules import QUALITY_SQL, quality_rules
 from eventide.llm.quotation_linking import QUOTATION_SQL, quotation_linking
 from eventide.llm.source_mix import MIX_SQL, source_mix
 
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_quality_rules": QUALITY_SQL,
     "op3_quotation_linking": QUOTATION_SQL,
     "op4_exact_dedup": EXACT_SQL,
     "op5_source_mix": MIX_SQL,

@@ -219,3 +219,61 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     for m, v in measures().items():
         bad |= F.coalesce((v < F.col(f"lo_{m}")) | (v > F.col(f"hi_{m}")), F.lit(False))
     return j.where(~bad).select(*docs.columns)
+
+
+def _level_sql(name: str, keys: tuple[str, ...]) -> str:
+    by = "".join(f"{k}, " for k in keys)
+    return f"""{name} AS (SELECT {by}measure, max(total) AS n, min(edge) FILTER (upto >= 0.25 * total) AS q25,
+       min(edge) FILTER (upto >= 0.75 * total) AS q75 FROM (
+  SELECT *, CASE WHEN bucket = 0 THEN 0.0 ELSE pow({GAMMA}::DOUBLE, bucket - 1) END AS edge,
+         sum(m) OVER (PARTITION BY {by}measure ORDER BY bucket) AS upto, sum(m) OVER (PARTITION BY {by}measure) AS total
+  FROM (SELECT {by}measure, bucket, sum(n) AS m FROM sk GROUP BY {by}measure, bucket)) GROUP BY {by}measure)"""
+
+
+def _verdict_sql() -> str:
+    arms = " ".join(f"WHEN {m} < lo_{m} OR {m} > hi_{m} THEN '{m}'" for m in SAFE)
+    return f"CASE WHEN base_failed THEN 'base' {arms} END"
+
+
+_MEASURE_SQL = {"word_length": ("word_chars", "n_words"), "symbols": ("n_symbols", "n_words"),
+                "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"),
+                "echoes": ("n_echoes", "n_words")}
+
+QUALITY_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+      FROM (SELECT rid, regexp_extract_all(t, '[^ 	-]+') AS ws FROM d)),
+win AS (SELECT rid, i, w, lag(w) OVER p AS prev, CASE WHEN lead(i, 7) OVER p IS NOT NULL THEN list(w) OVER (
+      PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) END AS g
+      FROM w WINDOW p AS (PARTITION BY rid ORDER BY i)),
+hit AS (SELECT *, CASE WHEN g IS NOT NULL AND count(*) OVER (PARTITION BY rid, g) > 1 THEN 1 ELSE 0 END AS h FROM win),
+cov AS (SELECT *, max(h) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS r FROM hit),
+wa AS (SELECT rid, count(*) AS n_words, sum(length(w)) AS word_chars, sum(r) AS n_repeat_words,
+       count(*) FILTER (w = prev) AS n_echoes FROM cov GROUP BY rid),
+la AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+       FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d)
+       WHERE regexp_matches(l, '[^ 	-]') GROUP BY rid),
+f AS (SELECT doc_id, lang, source, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+      length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0)::BIGINT AS n_lines,
+      coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+      coalesce(n_echoes, 0)::BIGINT AS n_echoes FROM d LEFT JOIN wa USING (rid) LEFT JOIN la USING (rid)),
+m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed, {", ".join(
+    f"CASE WHEN {b} > 0 THEN 1000 * {a} // {b} ELSE 0 END AS {k}" for k, (a, b) in _MEASURE_SQL.items())} FROM f),
+u AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {k} AS v FROM m WHERE n_words >= {MIN_WORDS}" for k in SAFE)}),
+sk AS (SELECT lang, source, measure, CASE WHEN v <= 0 THEN 0 ELSE ceil(ln(v) / ln({GAMMA}::DOUBLE)) + 1 END AS bucket,
+       count(*) AS n FROM u GROUP BY ALL),
+{_level_sql("g", ("lang", "source"))},
+{_level_sql("l", ("lang",))},
+{_level_sql("c", ())},
+q AS (SELECT g.lang, g.source, g.measure,
+      CASE WHEN g.n >= {MIN_DOCS} THEN g.q25 WHEN l.n >= {MIN_DOCS} THEN l.q25 ELSE c.q25 END AS q25,
+      CASE WHEN g.n >= {MIN_DOCS} THEN g.q75 WHEN l.n >= {MIN_DOCS} THEN l.q75 ELSE c.q75 END AS q75
+      FROM g JOIN l ON l.lang IS NOT DISTINCT FROM g.lang AND l.measure = g.measure JOIN c ON c.measure = g.measure),
+fe AS (SELECT lang, source, {", ".join(
+    f"max(least({a}.0, q25 - {SPREADS} * (q75 - q25))) FILTER (measure = '{k}') AS lo_{k}, "
+    f"max(greatest({b}.0, q75 + {SPREADS} * (q75 - q25))) FILTER (measure = '{k}') AS hi_{k}" for k, (a, b) in SAFE.items())}
+    FROM q GROUP BY lang, source),
+v AS (SELECT m.*, {_verdict_sql()} AS reason FROM m LEFT JOIN fe
+      ON fe.lang IS NOT DISTINCT FROM m.lang AND fe.source IS NOT DISTINCT FROM m.source)
+SELECT doc_id, {", ".join(FEATURES)}, base_failed, reason IS NULL AS kept, reason, lang, source FROM v
+"""
