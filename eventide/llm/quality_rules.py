@@ -242,7 +242,7 @@ _MEASURE_SQL = {"word_length": ("word_chars", "n_words"), "symbols": ("n_symbols
 QUALITY_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
-      FROM (SELECT rid, regexp_extract_all(t, '[^ 	-]+') AS ws FROM d)),
+      FROM (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),
 win AS (SELECT rid, i, w, lag(w) OVER p AS prev, CASE WHEN lead(i, 7) OVER p IS NOT NULL THEN list(w) OVER (
       PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) END AS g
       FROM w WINDOW p AS (PARTITION BY rid ORDER BY i)),
@@ -252,7 +252,7 @@ wa AS (SELECT rid, count(*) AS n_words, sum(length(w)) AS word_chars, sum(r) AS
        count(*) FILTER (w = prev) AS n_echoes FROM cov GROUP BY rid),
 la AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
        FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d)
-       WHERE regexp_matches(l, '[^ 	-]') GROUP BY rid),
+       WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
 f AS (SELECT doc_id, lang, source, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
       length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0)::BIGINT AS n_lines,
       coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
