@@ -1,4 +1,4 @@
-"""Structured Streaming dataflow: topics in, validated feeds, message handlers.
+"""Structured Streaming dataflow: topics in, validated feeds, message handlers.
 
 Topics are read with the Kafka source when it is on the classpath; every function also takes
 any streaming DataFrame with a ``value`` text column, so a file source (JSON lines) stands in
@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventide.functions.messages import encode_messages
+from eventide.functions.messages import encode_messages, from_message, to_message
 from eventide.operators.validate import parse_and_validate
 from eventide.schema import (EVENT_MESSAGE, PREDICTION, START_PREDICTION, TRAINING_MODEL_START,
-                             TRAINING_MODEL_STATUS, TRAINING_REQUEST)
+                             TRAINING_DATA_STATUS, TRAINING_MODEL_STATUS, TRAINING_REQUEST)
 from eventide.session import cut_lineage, stages
 from eventide.sinks.tables import path_exists
+from eventide.streaming.tracker import TrackerParams, progress_stream
 
 log = logging.getLogger(__name__)
 
@@ -115,7 +116,7 @@ def start_feed(valid: DataFrame, quarantine: DataFrame, out_path: str, checkpoin
     return q1, q2
 
 
-# ---- E03-E05 handlers -------------------------------------------------------------------------
+# ---- E01-E05 handlers -------------------------------------------------------------------------
 
 @dataclass
 class FlowConfig:
@@ -133,6 +134,37 @@ def _parse(batch: DataFrame, schema: T.StructType) -> DataFrame:
     return v.select(*[f.name for f in schema.fields]).dropDuplicates()
 
 
+def training_data_progress(raw_requests: DataFrame, events: DataFrame,
+                           p: TrackerParams = TrackerParams()) -> DataFrame:
+    """The progress of each request of the training-data topic over the feed of valid events.
+
+    ``request`` is the request's own message; equal messages while one is open are one request.
+    """
+    asked = parse_and_validate(raw_requests, TRAINING_REQUEST).where("valid").select(
+        "AccountId", to_message(TRAINING_REQUEST).alias("request"), "total_no_of_records")
+    return progress_stream(events, asked, p)
+
+
+def on_training_data_progress(cfg: FlowConfig) -> Callable[[DataFrame, int], None]:
+    """A data status per change; a finished request starts the training, an aborted one does not."""
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        with stages(batch.sparkSession):
+            rows = cut_lineage(batch.select(
+                from_message(F.col("request"), TRAINING_REQUEST).alias("m"), "no_of_records", "finished", "aborted"),
+                "progress")
+            rows = rows.select("m.*", "no_of_records", "finished", "aborted")
+            publish(rows.where("not aborted").select(*[f.name for f in TRAINING_DATA_STATUS.fields]),
+                    TRAINING_DATA_STATUS, "training_data_status", bootstrap=cfg.bootstrap, path=cfg.out_topics)
+            publish(rows.where("finished").select(*[f.name for f in TRAINING_MODEL_START.fields]),
+                    TRAINING_MODEL_START, "training_model_start", bootstrap=cfg.bootstrap, path=cfg.out_topics)
+            lost = rows.where("aborted").count()
+            if lost:
+                log.error("%d requests aborted: no data arrived", lost)
+
+    return handle
+
+
 def on_training_model_start(cfg: FlowConfig) -> Callable[[DataFrame, int], None]:
     """Extract each requested account (S01 + W03) into the run layout; status 0 % / 100 %."""
     from eventide.operators.extract import canonical_events

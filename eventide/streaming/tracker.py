@@ -87,74 +87,107 @@ def training_starts(progress: DataFrame, requests: DataFrame) -> DataFrame:
 # ---- streaming form ---------------------------------------------------------------------------
 
 STATE_SCHEMA = "count long, last_change_ms long, open string, done string"
-OUTPUT_SCHEMA = ("AccountId long, no_of_records long, total_no_of_records long, "
+OUTPUT_SCHEMA = ("AccountId long, request string, no_of_records long, total_no_of_records long, "
                  "finished boolean, aborted boolean")
 
 
-def tracker_state_fn(p: TrackerParams = TrackerParams()):
+def tracker_state_fn(p: TrackerParams = TrackerParams(), *, standing: bool = True):
     """E01 stream: per-account state machine for ``applyInPandasWithState``.
 
-    Each micro-batch brings the arrived rows and, beside them, the account's requests (``asked``:
-    name -> limit). Every open request gets a status when the count changes; it is done when the
-    count reaches its limit, or when a processing-time timeout finds no change for ``idle_s``. A
-    request of a new name (next week's) is open again and starts from the count so far; names no
-    longer asked for are forgotten. Accounts that nobody asked for are counted silently.
+    Rows are counts of arrivals (``n``) and requests (``asked``: name -> limit). An open request
+    gets a status when the count changes, the first one as soon as there is a count. It is done
+    when the count reaches its limit, or when a processing-time timeout finds no change for
+    ``idle_s``; it aborts when ``abort_s`` after it was made still no row is there.
+
+    ``standing`` requests come with every batch: a name that is done stays done while it is asked
+    for, and names no longer asked for are forgotten. Otherwise a request comes once, as a message;
+    the same one is open again when it comes after the end of the first. Accounts that nobody asks
+    for are counted silently.
     """
     import json
 
     import pandas as pd
 
-    def statuses(account, count, told):
-        return pd.DataFrame([(account, count, limit, fin, False) for limit, fin in told],
-                            columns=["AccountId", "no_of_records", "total_no_of_records", "finished", "aborted"])
+    columns = ["AccountId", "request", "no_of_records", "total_no_of_records", "finished", "aborted"]
 
     def fn(key, pdfs, state):
         now_ms = state.getCurrentProcessingTimeMs()
         count, last_ms, waiting, done = state.get if state.exists else (0, now_ms, "{}", "[]")
-        waiting, done = json.loads(waiting), json.loads(done)
-        told = []
-        if state.hasTimedOut:
-            if now_ms - last_ms > p.idle_s * 1000:
-                told = [(limit, True) for limit in waiting.values()]
-                done, waiting = [*done, *waiting], {}
-        else:
-            n, asked = 0, {}
-            for pdf in pdfs:
-                n += len(pdf)
-                if len(pdf) and pdf["asked"].iloc[0] is not None:
-                    asked = json.loads(pdf["asked"].iloc[0])
-            count += n
-            last_ms = now_ms if n else last_ms
+        waiting, done = json.loads(waiting), json.loads(done)  # waiting: name -> [limit, asked at]
+        n, asked = 0, {}
+        for pdf in pdfs if not state.hasTimedOut else ():
+            n += int(pdf["n"].sum())
+            for text in pdf["asked"].dropna().unique():
+                asked.update(json.loads(text))
+        count, last_ms = count + n, now_ms if n else last_ms
+        if standing and not state.hasTimedOut:
             done = [d for d in done if d in asked]
-            waiting = {k: v for k, v in asked.items() if k not in done}
-            told = [(v, count >= v) for v in waiting.values()]
-            done += [k for k, v in waiting.items() if count >= v]
-            waiting = {k: v for k, v in waiting.items() if count < v}
+            waiting = {k: v for k, v in waiting.items() if k in asked}
+        new = {k: [v, now_ms] for k, v in asked.items() if k not in waiting and k not in done}
+        waiting.update(new)
+        told = []
+        for name, (limit, since) in list(waiting.items()):
+            quiet = now_ms - max(last_ms, since)
+            if count and (count >= limit or quiet > p.idle_s * 1000):
+                told.append((key[0], name, count, limit, True, False))
+            elif not count and now_ms - since > p.abort_s * 1000:
+                told.append((key[0], name, 0, limit, False, True))
+            else:
+                if count and (n or name in new):
+                    told.append((key[0], name, count, limit, False, False))
+                continue
+            del waiting[name]
+            if standing:
+                done.append(name)
         state.update((count, last_ms, json.dumps(waiting), json.dumps(done)))
         if waiting:
             state.setTimeoutDuration(int(math.ceil(p.poll_s * 1000)))
         if told:
-            yield statuses(key[0], count, told)
+            yield pd.DataFrame(told, columns=columns)
 
     return fn
 
 
+def _task_counts(arrivals: DataFrame) -> DataFrame:
+    """(AccountId, n): arrivals counted per task, so a hot account is one row of a task."""
+    import pandas as pd
+
+    def run(pdfs):
+        total = {}
+        for pdf in pdfs:
+            for account, n in pdf["AccountId"].value_counts().items():
+                total[account] = total.get(account, 0) + int(n)
+        if total:
+            yield pd.DataFrame({"AccountId": list(total), "n": list(total.values())})
+
+    return (arrivals.where("AccountId is not null").select(F.col("AccountId").cast("long"))
+            .mapInPandas(run, "AccountId long, n long"))
+
+
 def progress_stream(arrivals_stream: DataFrame, limit: int | DataFrame,
                     p: TrackerParams = TrackerParams()) -> DataFrame:
     """E01 over a stream of arrivals (AccountId, ...): status rows as they change.
 
-    ``limit`` is one number for every account, or a requests table (AccountId, total_no_of_records
-    and, if there, requested_at). The requests of an account are one row of the stream-static join,
-    so several requests do not multiply its arrivals.
+    ``limit`` is one number for every account, a table of standing requests (AccountId,
+    total_no_of_records and, if there, requested_at), or a stream of requests (AccountId, request,
+    total_no_of_records). A stream of requests opens state for an account by itself, so a request
+    of an account without any row aborts in time. The requests of an account are one row beside its
+    counts, so several requests do not multiply its arrivals.
     """
-    if isinstance(limit, DataFrame):
+    counted = _task_counts(arrivals_stream)
+    if not isinstance(limit, DataFrame):
+        rows = counted.withColumn("asked", F.lit('{"all": %d}' % int(limit)))
+    elif limit.isStreaming:
+        one = F.to_json(F.create_map("request", F.col("total_no_of_records").cast("bigint")))
+        rows = counted.withColumn("asked", F.lit(None).cast("string")).unionByName(
+            limit.select(F.col("AccountId").cast("long"), F.lit(0).cast("long").alias("n"), one.alias("asked")))
+    else:
         named = [c for c in ("requested_at", "total_no_of_records") if c in limit.columns]
         asked = limit.select("AccountId", F.concat_ws("|", *[F.col(c).cast("string") for c in named]).alias("k"),
                              F.col("total_no_of_records").cast("bigint").alias("v")).distinct()
         asked = asked.groupBy("AccountId").agg(
             F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("asked"))
-        rows = arrivals_stream.select("AccountId").join(asked, "AccountId", "left")
-    else:
-        rows = arrivals_stream.select("AccountId", F.lit('{"all": %d}' % int(limit)).alias("asked"))
+        rows = counted.join(asked, "AccountId", "left")
+    standing = not (isinstance(limit, DataFrame) and limit.isStreaming)
     return rows.groupBy("AccountId").applyInPandasWithState(
-        tracker_state_fn(p), OUTPUT_SCHEMA, STATE_SCHEMA, "append", "ProcessingTimeTimeout")
+        tracker_state_fn(p, standing=standing), OUTPUT_SCHEMA, STATE_SCHEMA, "append", "ProcessingTimeTimeout")

@@ -162,6 +162,70 @@ def test_tracker_stream_finishes_on_each_requests_limit(spark):
     assert max(n for _, n, _ in fin) == 8  # not multiplied by the number of requests
 
 
+def test_tracker_stream_of_requests_counts_and_aborts(spark):
+    from eventide.streaming.tracker import progress_stream
+
+    d = tempfile.mkdtemp(prefix="eventide-stream-")
+    spark.createDataFrame([(4, i) for i in range(7)], "AccountId long, x long").write.parquet(f"{d}/in")
+    asked = [(4, "a", 7), (4, "b", 0), (4, "c", 50), (6, "d", 5)]
+    spark.createDataFrame(asked, "AccountId long, request string, total_no_of_records long").write.parquet(f"{d}/req")
+    src = spark.readStream.schema("AccountId long, x long").parquet(f"{d}/in")
+    req = spark.readStream.schema("AccountId long, request string, total_no_of_records long").parquet(f"{d}/req")
+    q = (progress_stream(src, req, TrackerParams(poll_s=1, idle_s=3, abort_s=3))
+         .writeStream.format("memory").queryName("tracker_asked").outputMode("append")
+         .option("checkpointLocation", f"{d}/ckpt").start())
+    _wait(q, lambda: spark.sql("SELECT * FROM tracker_asked WHERE finished OR aborted").count() >= 4)
+    end = {r.request: (r.no_of_records, r.total_no_of_records, r.finished, r.aborted)
+           for r in spark.sql("SELECT * FROM tracker_asked WHERE finished OR aborted").collect()}
+    assert end == {"a": (7, 7, True, False), "b": (7, 0, True, False), "c": (7, 50, True, False),
+                   "d": (0, 5, False, True)}
+
+
+class _State:
+    """What ``tracker_state_fn`` sees of a group's state, with a clock of its own."""
+
+    def __init__(self):
+        self.now, self.value, self.hasTimedOut = 0, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def getCurrentProcessingTimeMs(self):  # noqa: N802
+        return self.now
+
+    def update(self, value):
+        self.value = value
+
+    def setTimeoutDuration(self, ms):  # noqa: N802
+        self.wait = ms
+
+
+def _step(fn, state, at_s, rows=None):
+    import pandas as pd
+
+    state.now, state.hasTimedOut = at_s * 1000, rows is None
+    pdfs = [] if rows is None else [pd.DataFrame(rows, columns=["AccountId", "n", "asked"])]
+    return [tuple(r)[1:] for out in fn((4,), iter(pdfs), state) for r in out.itertuples(index=False)]
+
+
+def test_tracker_state_follows_messages():
+    from eventide.streaming.tracker import tracker_state_fn
+
+    fn, s = tracker_state_fn(TrackerParams(poll_s=1, idle_s=10, abort_s=20), standing=False), _State()
+    assert _step(fn, s, 0, [(4, 0, '{"x": 5}')]) == []
+    assert _step(fn, s, 19) == []
+    assert _step(fn, s, 21) == [("x", 0, 5, False, True)]
+    # rows that nobody asks for are counted; the next week's request finds them
+    assert _step(fn, s, 30, [(4, 3, None)]) == []
+    assert _step(fn, s, 900, [(4, 0, '{"x": 5}')]) == [("x", 3, 5, False, False)]
+    # the idle time runs from the request, not from the rows of the week before
+    assert _step(fn, s, 909) == []
+    assert _step(fn, s, 910, [(4, 1, None)]) == [("x", 4, 5, False, False)]
+    assert _step(fn, s, 921) == [("x", 4, 5, True, False)]
+    assert _step(fn, s, 2000, [(4, 1, '{"x": 5, "y": 9}')]) == [
+        ("x", 5, 5, True, False), ("y", 5, 9, False, False)]
+
+
 def test_route_requests_hit_and_miss(spark):
     reqs = spark.createDataFrame([(1, None, "a", "churn"), (2, "x", "b", "churn")],
                                  "AccountId long, ApplicationId string, ModelId string, task_type string")

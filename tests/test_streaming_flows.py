@@ -118,6 +118,26 @@ def test_one_prediction_per_application_and_person(spark, monkeypatch):
     assert {r.f for r in again.select(F.input_file_name().alias("f")).collect()} == before
 
 
+def test_training_data_requests_start_the_training(spark):
+    from eventide.streaming.tracker import TrackerParams
+
+    d = tempfile.mkdtemp(prefix="eventide-data-")
+    _write_lines(f"{d}/topics/events", [_event_msg(3, i, "2024-05-01T00:00:0%d" % i) for i in range(4)])
+    ask = {"ApplicationId": None, "task_type": "churn"}
+    _write_lines(f"{d}/topics/start_training_data", [
+        json.dumps({"AccountId": 3, "ModelId": "k", "total_no_of_records": 4, **ask}),
+        json.dumps({"AccountId": 8, "ModelId": "k", "total_no_of_records": 4, **ask})])
+    cfg = flows.FlowConfig(events_path="", root_path="", out_topics=f"{d}/out")
+    events, _ = flows.validated_events(flows.read_topic(spark, "events", path=f"{d}/topics"))
+    asked = flows.read_topic(spark, "start_training_data", path=f"{d}/topics")
+    progress = flows.training_data_progress(asked, events, TrackerParams(poll_s=1, idle_s=60, abort_s=60))
+    flows.run_handler(progress, flows.on_training_data_progress(cfg), f"{d}/ckpt").awaitTermination(120)
+    said = [json.loads(r.value) for r in spark.read.text(f"{d}/out/training_data_status").collect()]
+    assert said == [{"AccountId": 3, "ModelId": "k", "no_of_records": 4, "total_no_of_records": 4}]
+    starts = [json.loads(r.value) for r in spark.read.text(f"{d}/out/training_model_start").collect()]
+    assert starts == [{"AccountId": 3, "ModelId": "k", "no_of_records": 4, **ask}]
+
+
 def _events_table(spark, path):
     base = datetime.now(timezone.utc).replace(tzinfo=None).replace(microsecond=0) - timedelta(days=150)
     rows = []
