@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,7 @@ from eventide.operators.validate import parse_and_validate
 from eventide.plans import sqlparts as S
 from eventide.plans.catalog import (_SPLIT_SQL, EVP, MX, ORP, _hist_sql, _next_sql, _sample_view,
                                     register)
-from eventide.plans.preprocess import (test_set, train_validation_raw,
-                                       train_validation_samples, train_validation_sets)
+from eventide.plans.preprocess import shared_train_validation, test_set, train_validation_raw
 from eventide.plans.requests import (download_status, latest_status, prediction_requests,
                                      ready_to_train, routed, training_requests,
                                      training_status_steps)
@@ -148,10 +148,19 @@ def _pdf_pick(seg: str) -> tuple[str, str]:
 
 # ---- Spark helpers ------------------------------------------------------------------------
 
+def _samples(spark: SparkSession, sf: str, source: str) -> DataFrame:
+    """The train and validation samples of a table, prepared once for all queries."""
+    return shared_train_validation(spark, os.path.join(sf, f"{source}.parquet"),
+                                   lambda: load_events(spark, sf, source), ORP if source == "orders" else EVP)
+
+
+def _sets(spark: SparkSession, sf: str, source: str) -> tuple[DataFrame, DataFrame]:
+    both = _samples(spark, sf, source)
+    return tuple(both.where(F.col("split") == s).drop("split") for s in ("train", "validation"))
+
+
 def _orders_train_sets(spark: SparkSession, sf: str):
-    ev = load_events(spark, sf, "orders")
-    train, val = train_validation_sets(ev, ORP)
-    return ev, train, val
+    return load_events(spark, sf, "orders"), *_sets(spark, sf, "orders")
 
 
 def _orders_pdf(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -185,7 +194,7 @@ def q_sample_points(spark: SparkSession, sf: str) -> DataFrame:
 SELECT g AS split, PersonId, {S.ts('t0')} AS t0, history_len, history_types,
        {S.ts('last_time')} AS last_time, next_type, {S.ts('next_time')} AS next_time, label FROM ts""")
 def q_train_samples(spark: SparkSession, sf: str) -> DataFrame:
-    both = train_validation_samples(load_events(spark, sf, "orders"), ORP)
+    both = _samples(spark, sf, "orders")
     return _sample_view(both, "split", ts_text("t0").alias("t0"))
 
 
@@ -194,7 +203,7 @@ SELECT g AS split, PersonId, {S.ts('t0')} AS t0, history_len, history_types,
        {S.ts('last_time')} AS last_time, next_type, {S.ts('next_time')} AS next_time, label FROM ts""")
 def q_train_samples_events(spark: SparkSession, sf: str) -> DataFrame:
     """H06 on `events` (7-day horizon, H = 8): microsecond times, many samples per person."""
-    both = train_validation_samples(load_events(spark, sf, "events"), EVP)
+    both = _samples(spark, sf, "events")
     return _sample_view(both, "split", ts_text("t0").alias("t0"))
 
 
@@ -202,7 +211,7 @@ def q_train_samples_events(spark: SparkSession, sf: str) -> DataFrame:
 SELECT g AS split, CAST(count(DISTINCT (PersonId, t0)) AS BIGINT) AS n_samples,
        CAST(count(DISTINCT PersonId) AS BIGINT) AS n_persons FROM ts GROUP BY g""")
 def q_dataset_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    both = train_validation_samples(load_events(spark, sf, "orders"), ORP)
+    both = _samples(spark, sf, "orders")
     return both.groupBy("split").agg(
         F.count_distinct("PersonId", "t0").cast("bigint").alias("n_samples"),
         F.count_distinct("PersonId").cast("bigint").alias("n_persons"))
@@ -314,7 +323,7 @@ FROM sc""")
 def q_churn_scores_events(spark: SparkSession, sf: str) -> DataFrame:
     """M03 on `events`: fractional days since the last event, scores inside (0, 1)."""
     ev = load_events(spark, sf, "events")
-    train, _ = train_validation_sets(ev, EVP)
+    train, _ = _sets(spark, sf, "events")
     pdf = bucket_pdf(train)
     _, mx = time_bounds_values(ev)
     hist = histories_at(X.latest_per_person(ev, 32), mx, EVP.history_size, include_empty=True)

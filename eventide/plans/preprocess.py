@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import timedelta
 
@@ -10,7 +13,8 @@ from pyspark.sql import functions as F
 
 from eventide.config import DAY_US, Defaults
 from eventide.functions.time import epoch_us, ts_lit
-from eventide.session import cut_lineage
+from eventide.session import checkpoint_dir, cut_lineage
+from eventide.sinks.tables import input_state, rebalance, write_and_read, write_once
 from eventide.operators.filters import time_cutoff
 from eventide.operators.history import (histories_at, histories_for_samples, last_history_time,
                                         with_label)
@@ -125,14 +129,38 @@ def train_validation_sets(events: DataFrame, p: PrepParams, *, materialize=None
             both.where(F.col("split") == "validation").drop("split"))
 
 
+#: raised when the layout or the meaning of the prepared sets changes
+PREPARED_FORMAT = 1
+
+
+def prepared_dir(spark: SparkSession) -> str:
+    return os.path.join(checkpoint_dir(spark), "eventide-prepared")
+
+
+def shared_train_validation(spark: SparkSession, input_path: str, load: Callable[[], DataFrame],
+                            p: PrepParams) -> DataFrame:
+    """H06 prepared once per input and parameters, in the shared folder, for all that read it.
+
+    The table is partitioned by split. It is named by the input's present content and ``p``, so a
+    changed input is prepared anew. ``drop_prepared`` removes all of them.
+    """
+    name = hashlib.sha256(f"{PREPARED_FORMAT} {input_state(spark, input_path)} {p!r}".encode()).hexdigest()[:32]
+    return write_once(spark, os.path.join(prepared_dir(spark), f"samples-{name}"),
+                      lambda: train_validation_samples(load(), p), "split")
+
+
+def drop_prepared(spark: SparkSession) -> None:
+    """Delete the prepared sets of this shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(prepared_dir(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def preprocess_dataset(spark: SparkSession, events: DataFrame, out_path: str, p: PrepParams,
                        *, vocab_from_training_only: bool = False) -> dict[str, str]:
     """Vocabulary, time statistics, test set, train / validation sets, written as tables.
 
     Stage tables double as lineage cuts (K01): each is written once and read back.
     """
-    from eventide.sinks.tables import rebalance, write_and_read
-
     def mat(df: DataFrame, name: str) -> DataFrame:
         # AQE sizes the files (advisory partition size) instead of a fixed file count
         return write_and_read(spark, rebalance(df), f"{out_path}/{name}")

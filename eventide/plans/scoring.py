@@ -23,9 +23,10 @@ def request_extract(events: DataFrame, requests: DataFrame) -> DataFrame:
     """S01 per request: the account's rows, and only the request's application when it is set.
 
     An equi-join on AccountId plus the application predicate: every request gets exactly the
-    rows its own extract would read. Output columns: request keys (``req_*``) + event columns.
+    rows its own extract would read. Output columns: the request keys that ``requests`` has
+    (``req_*``) + event columns.
     """
-    req = requests.select(*[F.col(k).alias(f"req_{k}") for k in REQUEST_KEYS]).distinct()
+    req = requests.select(*[F.col(k).alias(f"req_{k}") for k in REQUEST_KEYS if k in requests.columns]).distinct()
     # one row per registered model, stored: Spark knows its size and broadcasts it where it is small
     req = cut_lineage(req, "requests")
     cond = (F.col("AccountId") == F.col("req_AccountId")) & (
@@ -39,37 +40,43 @@ def histories_per_request(extract: DataFrame, as_of: datetime | Column, *,
                           history_size: int = HISTORY_SIZE) -> DataFrame:
     """W01 (latest ``extract_rows`` per person and request) then H08 (last H before as_of).
 
-    Every person of the extract appears, with an empty history when nothing precedes as_of.
+    Every person of the extract appears, with an empty history when nothing precedes as_of. One
+    shuffle: the window and the aggregate share their keys, and a list has at most
+    ``extract_rows`` entries.
     """
-    keys = [f"req_{k}" for k in REQUEST_KEYS] + ["PersonId"]
+    asked = [k for k in REQUEST_KEYS if f"req_{k}" in extract.columns]
+    keys = [f"req_{k}" for k in asked] + ["PersonId"]
     order = [F.col(c).desc() for c in ("OccurredTimeTicks", "OccurredTime", "DefinitionId",
                                        "EventKey")]
     ext = (extract.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
            .where(F.col("_rn") <= F.lit(int(extract_rows))))
     t0 = ts_lit(as_of)
     etype = T.StructType([ext.schema[c] for c in HISTORY_FIELDS])
-    hw = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in HISTORY_FIELDS[:4]])
-    before = (ext.where(F.col("OccurredTime") < t0).withColumn("_hr", F.row_number().over(hw))
-              .where(F.col("_hr") <= F.lit(int(history_size))))
-    hist = before.groupBy(*keys).agg(F.sort_array(F.collect_list(event_struct())).alias("_h"))
-    persons = ext.select(*keys).distinct()
-    # null-safe key match: a request without an application id is a valid key
-    h = hist.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_h")
-    cond = [persons[k].eqNullSafe(h[f"_h_{k}"]) for k in keys]
-    out = persons.join(h, cond, "left")
+    hist = ext.groupBy(*keys).agg(F.sort_array(F.collect_list(
+        F.when(F.col("OccurredTime") < t0, event_struct()))).alias("_all"))
+    first = F.greatest(F.size("_all") - F.lit(int(history_size) - 1), F.lit(1))
+    out = hist.withColumn("_h", F.slice("_all", first, F.lit(int(history_size))))
     return out.select(
-        *[F.col(f"req_{k}").alias(k) for k in REQUEST_KEYS], "PersonId",
+        *[F.col(f"req_{k}").alias(k) for k in asked], "PersonId",
         pad_left(F.col("_h"), history_size, etype).alias("history"),
-        F.coalesce(F.size("_h"), F.lit(0)).cast("int").alias("history_len"))
+        F.size("_h").cast("int").alias("history_len"))
 
 
 def score_requests(events: DataFrame, requests: DataFrame, pdf: DataFrame,
                    as_of: datetime, *, extract_rows: int = PREDICT_EXTRACT_ROWS,
                    history_size: int = HISTORY_SIZE,
                    time_to_churn: float = BUCKET_EDGES_DAYS[-1]) -> DataFrame:
-    """M03 for every (request, person): churn score at ``as_of``."""
-    hist = histories_per_request(request_extract(events, requests), as_of,
+    """M03 for every (request, person): churn score at ``as_of``.
+
+    A model does not choose rows, so histories are built per (account, application) and meet their
+    models at the end.
+    """
+    wanted = cut_lineage(requests.select(*REQUEST_KEYS).distinct(), "wanted")
+    hist = histories_per_request(request_extract(events, wanted.drop("ModelId")), as_of,
                                  extract_rows=extract_rows, history_size=history_size)
+    models = wanted.select(F.col("AccountId").alias("_a"), F.col("ApplicationId").alias("_p"), "ModelId")
+    hist = hist.join(models, (F.col("AccountId") == F.col("_a")) & F.col("ApplicationId").eqNullSafe(F.col("_p")))
+    hist = hist.select(*REQUEST_KEYS, "PersonId", "history", "history_len")
     return score_histories(hist, pdf, ts_lit(as_of), time_to_churn)
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventide.session import stages
+
 RUN_PARTITIONS = ["AccountId", "ApplicationId", "ModelId", "dt"]
 RUN_TYPES = {"AccountId": T.LongType(), "ApplicationId": T.StringType(), "ModelId": T.StringType(),
              "dt": T.StringType()}
@@ -22,6 +27,32 @@ def write_and_read(spark: SparkSession, df: DataFrame, path: str, *, mode: str =
     return spark.read.parquet(path)
 
 
+def input_state(spark: SparkSession, path: str) -> str:
+    """What names the present content of an input: place, bytes, number of files, time of change."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    total = fs.getContentSummary(p)
+    return (f"{fs.makeQualified(p).toString()} {total.getLength()} {total.getFileCount()} "
+            f"{fs.getFileStatus(p).getModificationTime()}")
+
+
+def write_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], *partition_by: str) -> DataFrame:
+    """The table at ``path``, built if it is not there yet.
+
+    It is written beside its place and moved there when complete, so readers never see a part of
+    it; of two writers at a time one wins and the other's table is dropped.
+    """
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        own = f"{path}-{uuid.uuid4().hex}"
+        with stages(spark):
+            build().write.partitionBy(*partition_by).parquet(own)
+        to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(to(path)) or not fs.rename(to(own), to(path)):
+            fs.delete(to(own), True)
+    return spark.read.parquet(path)
+
+
 def rebalance(df: DataFrame, *cols: str) -> DataFrame:
     """Let AQE size the output files (advisoryPartitionSizeInBytes) via REBALANCE."""
     return df.hint("rebalance", *cols) if cols else df.hint("rebalance")
