@@ -10,8 +10,9 @@ def token_ids(events: DataFrame, vocab: DataFrame, column: str = "DefinitionId",
               out: str = "token_id") -> DataFrame:
     """Left join on the vocabulary; unknown or NULL tokens get id = vocabulary size.
 
-    The vocabulary is one row per distinct event type, joined as a plain equi-join so AQE can
-    pick a broadcast from its measured size at run time; its size is read once as a scalar.
+    ``vocab`` is a stored table of one row per distinct event type, so Spark knows its size: it is
+    broadcast below ``spark.sql.autoBroadcastJoinThreshold``, where the events are not shuffled on
+    their few types, and joined by shuffle beyond it. Its number of rows is read as a scalar.
     """
     size = vocab.count()
     v = vocab.select(F.col("token").alias(column), F.col("token_id").alias("_tid"))

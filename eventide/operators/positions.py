@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.session import cut_lineage
+
 
 def hex8_uniform(text: Column) -> Column:
     """A number in [0, 1) from the first 8 hex digits of md5(text) (identical in DuckDB)."""
@@ -59,3 +61,26 @@ def chunked_running_sum(
     return (d.join(offsets, [*keys, "_chunk"], "inner")
             .withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
             .drop("_chunk", "_off", "_local"))
+
+
+def ranged_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str,
+                       out: str = "running") -> DataFrame:
+    """The running sum of :func:`chunked_running_sum` when nothing bounds the rows of a time chunk.
+
+    Rows are dealt to ranges of (keys, order) of about equal size, summed inside a range, and
+    offset by the totals of the key's ranges before it. The ranges are stored, since their bounds
+    come from a sample; no task orders more than one range.
+    """
+    keys = list(keys)
+    d = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (d.groupBy(*keys, "_range").agg(F.sum(weight).alias("_w"))
+               .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"),
+                       F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_off")))
+    local = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return (d.withColumn("_local", F.sum(weight).over(local)).join(offsets, same)
+            .withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
+            .drop("_range", "_r", "_off", "_local", *[f"_k_{k}" for k in keys]))

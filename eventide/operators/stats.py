@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.config import SECOND_US
 from eventide.functions.time import epoch_us
+from eventide.operators.positions import ranged_running_sum
+from eventide.session import cut_lineage
 
 
 def time_bounds(events: DataFrame) -> DataFrame:
@@ -29,14 +31,14 @@ def distinct_persons(events: DataFrame) -> DataFrame:
 
 
 def vocabulary(events: DataFrame, column: str = "DefinitionId") -> DataFrame:
-    """Distinct values -> dense 0-based ids in sorted order.
+    """Distinct values -> dense 0-based ids in sorted order, as a stored table.
 
-    The distinct runs as a distributed aggregate; only the (small) set of distinct values is
-    ranked in one window.
+    Numbered range by range, so no task orders all values; stored, so Spark knows the size of the
+    table when it joins it.
     """
     vals = events.where(F.col(column).isNotNull()).select(F.col(column).alias("token")).distinct()
-    return vals.select("token", (F.row_number().over(Window.orderBy("token")) - 1)
-                       .cast("int").alias("token_id"))
+    ids = ranged_running_sum(vals.withColumn("_one", F.lit(1)), [], ["token"], "_one")
+    return cut_lineage(ids.select("token", (F.col("running") - 1).cast("int").alias("token_id")), "vocab")
 
 
 def time_mean_std(events: DataFrame) -> DataFrame:

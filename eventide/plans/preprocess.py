@@ -76,7 +76,7 @@ def prepared_samples(raw: DataFrame, p: PrepParams, group: str | None = None) ->
         bounds = bounds.withColumn("_one", F.lit(1))
         persons = persons.withColumn("_one", F.lit(1))
     pts = sample_points(None, history_size=p.history_size, buckets=p.sample_buckets,
-                        seed=p.seed, chunk_days=p.chunk_days, persons=persons,
+                        seed=p.seed, persons=persons,
                         group=group or "_one", bounds=bounds)
     pts = pts.drop("_one")
     samples = histories_for_samples(raw.drop(*g), pts, p.history_size, chunk_days=p.chunk_days)

@@ -91,21 +91,34 @@ def account_events(events: DataFrame, account_id: int, application_id: str | Non
 
 
 def read_jdbc_events(spark: SparkSession, url: str, table: str, *, account_id: int,
-                     partition_column: str = "PersonId", lower: int = 0, upper: int = 1 << 40,
-                     num_partitions: int = 64, fetchsize: int = 1_000_000,
-                     properties: dict[str, str] | None = None) -> DataFrame:
+                     application_id: str | None = None, latest_n: int | None = None,
+                     partition_column: str = "PersonId", num_partitions: int = 64,
+                     fetchsize: int = 1_000_000, properties: dict[str, str] | None = None) -> DataFrame:
     """Parallel extract from a SQL store, split on a numeric column.
 
-    The account predicate is a DataFrame filter, so Spark pushes it into each partition's query.
+    The splits lie between the account's smallest and largest value of that column, which the store
+    computes. Account and application are DataFrame filters, so Spark pushes them into each
+    partition's query; repeats and all but the ``latest_n`` rows of a person go on Spark's side.
     """
     use_utc(spark)
-    reader = (spark.read.format("jdbc").option("url", url).option("dbtable", table)
-              .option("partitionColumn", partition_column).option("lowerBound", lower)
-              .option("upperBound", upper).option("numPartitions", num_partitions)
-              .option("fetchsize", fetchsize))
-    for k, v in (properties or {}).items():
-        reader = reader.option(k, v)
-    return reader.load().where(F.col("AccountId") == F.lit(int(account_id)))
+
+    def reader(**options):
+        return spark.read.format("jdbc").options(url=url, fetchsize=fetchsize, **(properties or {}), **options)
+
+    ends = reader(query=f"SELECT MIN({partition_column}) AS lo, MAX({partition_column}) AS hi "
+                        f"FROM {table} WHERE AccountId = {int(account_id)}").load().first()
+    split = {} if ends[0] is None else {"partitionColumn": partition_column, "numPartitions": num_partitions,
+                                        "lowerBound": int(ends[0]), "upperBound": int(ends[1]) + 1}
+    return extracted(reader(dbtable=table, **split).load(), account_id, application_id, latest_n)
+
+
+def extracted(rows: DataFrame, account_id: int, application_id: str | None = None,
+              latest_n: int | None = None) -> DataFrame:
+    """S01 + A08 + W01: an account's distinct rows, the latest of each person if asked for."""
+    from eventide.operators.extract import dedupe_events, latest_per_person
+
+    out = dedupe_events(account_events(rows, account_id, application_id))
+    return latest_per_person(out, latest_n) if latest_n else out
 
 
 def read_prepared(spark: SparkSession, out_path: str) -> dict[str, DataFrame]:

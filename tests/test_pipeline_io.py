@@ -78,3 +78,45 @@ def test_sample_key_and_preview(spark):
     df = spark.createDataFrame([(5, datetime(2023, 7, 10, 1, 2, 3))], "p long, t timestamp_ntz")
     assert df.select(sample_key("p", "t").alias("k")).first().k == "5_2023-07-10 01:02:03.000000"
     assert preview(load_events(spark, SF_SMALL, "events"), 3).count() == 3
+
+
+def test_prepared_sets_are_built_once_per_input(spark, tmp_path):
+    from eventide.plans.preprocess import PrepParams, drop_prepared, prepared_dir, shared_train_validation
+    from eventide.session import stages
+    from eventide.sources.tables import read_events
+
+    path, built = f"{tmp_path}/events", []
+    p = PrepParams(horizon_days=7, history_size=4, sample_buckets=2)
+
+    def load():
+        built.append(1)
+        return read_events(spark, path)
+
+    def some(days):
+        return make_events(spark, [(u, f"2032-01-{1 + (u + k) % days:02d} 10:00:0{k}", "xyz"[k % 3])
+                                   for u in range(9) for k in range(8)])
+
+    some(28).write.parquet(path)
+    with stages(spark):
+        first = shared_train_validation(spark, path, load, p)
+        n = first.count()
+    again = shared_train_validation(spark, path, load, p)
+    assert len(built) == 1 and again.count() == n > 0 and {r.split for r in again.collect()} <= {"train", "validation"}
+    shared_train_validation(spark, path, load, PrepParams(horizon_days=6, history_size=4, sample_buckets=2))
+    assert len(built) == 2  # other parameters
+    some(27).write.mode("append").parquet(path)
+    shared_train_validation(spark, path, load, p)
+    assert len(built) == 3  # other input
+    assert len(os.listdir(prepared_dir(spark))) >= 3 and not [x for x in os.listdir(prepared_dir(spark)) if len(x) > 45]
+    drop_prepared(spark)
+    assert not os.path.exists(prepared_dir(spark))
+
+
+def test_extract_of_a_store_is_distinct_and_latest(spark):
+    from eventide.sources.tables import extracted
+
+    rows = [(1, f"2032-02-0{d} 00:00:00", "x", 5, a, d) for d in range(1, 7) for a in ("m", "n")]
+    ev = make_events(spark, [*rows, *rows, (2, "2032-02-01 00:00:00", "x", 6, "m", 99)])
+    assert extracted(ev, 5).count() == 12
+    got = extracted(ev, 5, "n", latest_n=2).collect()
+    assert sorted((r.ApplicationId, r.EventKey) for r in got) == [("n", 5), ("n", 6)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventide.config import DAY_US
@@ -57,3 +58,16 @@ def test_hot_person_histories_match_single_t0_form(spark):
             want = ([e.EventKey if e else None for e in r.history],
                     r.next_event.EventKey if r.next_event else None)
             assert many[(r.PersonId, t)] == want, (r.PersonId, t)
+
+
+def test_ranged_running_sum_spreads_rows_of_one_instant(spark):
+    """All rows of a key at one time, where a window per time chunk would be one task."""
+    from eventide.operators.positions import ranged_running_sum
+
+    df = spark.range(4000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.lit(None)).alias("k"),
+                                  F.lit(5).alias("t"), "id", (F.col("id") % 2).alias("w"))
+    got = ranged_running_sum(df, ["k"], ["t", "id"], "w", out="r")
+    want = df.withColumn("r", F.sum("w").over(
+        Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)))
+    assert sorted(map(tuple, got.select("id", "r").collect())) == sorted(map(tuple, want.select("id", "r").collect()))
+    assert ranged_running_sum(df.limit(0), ["k"], ["t", "id"], "w").count() == 0

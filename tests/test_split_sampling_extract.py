@@ -88,7 +88,7 @@ def test_sampling_equals_brute_force(spark):
     lo = min(r.OccurredTime for r in rows)
     hi = max(r.OccurredTime for r in rows) - timedelta(days=7)
     got = sample_points(ev, min_time=lo, max_time=hi, history_size=8, buckets=3, seed=5,
-                        chunk_days=0.5, materialize=False)
+                        materialize=False)
     got = {(r.PersonId, int((r.t0 - datetime(1970, 1, 1)) / timedelta(microseconds=1)))
            for r in got.collect()}
     assert got == _brute_sampling(rows, lo, hi, 8, 3, 5)
