@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from eventide.config import DAY_US
 from eventide.functions.churn import cdf, cdf_after, churn_probability
-from eventide.functions.time import epoch_us, ts_lit, ts_text
+from eventide.functions.time import ts_lit, ts_text
 from eventide.operators import extract as X
 from eventide.operators.history import histories_at
-from eventide.operators.metrics import classification_metrics, mean_log_loss
+from eventide.operators.metrics import mean_log_loss
 from eventide.operators.model import GLOBAL_SEGMENT, attach_pdf, bucket_pdf, score_histories
 from eventide.operators.sampling import sample_points
 from eventide.operators.stats import time_bounds_values, vocabulary
@@ -25,7 +25,7 @@ from eventide.plans.preprocess import shared_train_validation, test_set, train_v
 from eventide.plans.requests import (download_status, latest_status, prediction_requests,
                                      ready_to_train, routed, training_requests,
                                      training_status_steps)
-from eventide.plans.scoring import score_requests
+from eventide.plans.scoring import horizon_metrics, score_requests
 from eventide.schema import EVENT_MESSAGE
 from eventide.sources.tables import load_events
 from eventide.streaming.tracker import TrackerParams, progress_batch, training_starts
@@ -366,12 +366,7 @@ SELECT round(auc, 6) AS auc,
        round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, CAST(tp + fp + fn + tn AS BIGINT) AS n FROM m""")
 def q_score_metrics(spark: SparkSession, sf: str) -> DataFrame:
     ev, pdf, _ = _orders_pdf(spark, sf)
-    tst = test_set(ev, ORP)
-    scored = score_histories(tst, pdf, F.col("t0")).withColumn(
-        "actual", (F.col("next_event").isNull() | (
-            epoch_us(F.col("next_event.OccurredTime")) - epoch_us("t0")
-            >= F.lit(28 * DAY_US))).cast("int"))
-    m = classification_metrics(scored)
+    m = horizon_metrics(ev, pdf, ORP)
     return m.select(*[F.round(c, 6).alias(c) for c in
                       ("auc", "f1", "precission", "recall", "accuracy")], "n")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.config import SUPPORTED_TASK_TYPE
-from eventide.schema import PREDICTION, START_PREDICTION, TRAINING_MODEL_STATUS, TRAINING_REQUEST
+from eventide.schema import MODEL_METRICS, PREDICTION, START_PREDICTION, TRAINING_MODEL_STATUS, TRAINING_REQUEST
 
 MODEL_KEY = ["AccountId", "ModelId"]
 TOTAL_STEPS = 3
@@ -77,6 +79,22 @@ def ready_to_train(statuses: DataFrame, account_id: int | None = None,
     return out
 
 
+def metrics_messages(requests: DataFrame, metrics: DataFrame, timestamp: datetime,
+                     task_type: str = SUPPORTED_TASK_TYPE) -> DataFrame:
+    """A09 as messages: the one row of metrics of a model for each request of it.
+
+    A metric without a value (all persons of one kind, say) leaves an incomplete message, which is
+    not sent.
+    """
+    row = metrics.first()  # seven numbers
+    values = {f.name: row[f.name] for f in MODEL_METRICS.fields if f.name in metrics.columns}
+    if any(v is None for v in values.values()):
+        return requests.sparkSession.createDataFrame([], MODEL_METRICS)
+    return _project(requests.withColumns({
+        "timestamp": F.lit(timestamp), "task_type": F.lit(task_type), **{k: F.lit(v) for k, v in values.items()}}),
+        MODEL_METRICS)
+
+
 def latest_status(statuses: DataFrame, order: Column | str, keys=("AccountId", "ModelId"),
                   ) -> DataFrame:
     """The latest status row per key (``max_by`` over a struct of the fields)."""

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventide.config import BUCKET_EDGES_DAYS, HISTORY_SIZE, PREDICT_EXTRACT_ROWS
-from eventide.functions.time import ts_lit
+from eventide.config import BUCKET_EDGES_DAYS, DAY_US, HISTORY_SIZE, PREDICT_EXTRACT_ROWS
+from eventide.functions.time import epoch_us, ts_lit
 from eventide.operators.history import HISTORY_FIELDS, event_struct, pad_left
+from eventide.operators.metrics import classification_metrics
 from eventide.operators.model import bucket_pdf, score_histories
+from eventide.plans.preprocess import PrepParams, test_set
 from eventide.session import cut_lineage
 
 REQUEST_KEYS = ["AccountId", "ApplicationId", "ModelId"]
@@ -80,6 +82,18 @@ def score_requests(events: DataFrame, requests: DataFrame, pdf: DataFrame,
     return score_histories(hist, pdf, ts_lit(as_of), time_to_churn)
 
 
+def horizon_metrics(events: DataFrame, pdf: DataFrame, p: PrepParams,
+                    time_to_churn: float = BUCKET_EDGES_DAYS[-1]) -> DataFrame:
+    """A09 on the test set (H05): scores at the horizon against whether the person stayed away.
+
+    A person has churned without an event in the ``time_to_churn`` days from the horizon on.
+    """
+    scored = score_histories(test_set(events, p), pdf, F.col("t0"), time_to_churn)
+    away = epoch_us(F.col("next_event.OccurredTime")) - epoch_us("t0") >= F.lit(int(time_to_churn * DAY_US))
+    return classification_metrics(
+        scored.withColumn("actual", (F.col("next_event").isNull() | away).cast("int")))
+
+
 @dataclass
 class ChurnPipeline:
     """Fit on labelled samples, score persons at an explicit ``as_of`` (no default)."""

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from eventide.functions.messages import encode_messages, from_message, to_message
 from eventide.operators.validate import parse_and_validate
-from eventide.schema import (EVENT_MESSAGE, PREDICTION, START_PREDICTION, TRAINING_MODEL_START,
+from eventide.schema import (EVENT_MESSAGE, MODEL_METRICS, PREDICTION, START_PREDICTION, TRAINING_MODEL_START,
                              TRAINING_DATA_STATUS, TRAINING_MODEL_STATUS, TRAINING_REQUEST)
 from eventide.session import cut_lineage, stages
 from eventide.sinks.tables import path_exists
@@ -208,15 +208,16 @@ def model_extract(extract: DataFrame) -> DataFrame:
 
 
 def on_training_model_status(cfg: FlowConfig) -> Callable[[DataFrame, int], None]:
-    """F08 gate -> preprocess (step 1) -> fit (step 2) -> register -> prediction request.
+    """F08 gate -> preprocess (step 1) -> fit (step 2), register, metrics -> prediction request.
 
     A model is (AccountId, ModelId), however many applications asked for it: it trains once, as its
     own set of distributed jobs; the loop is over models, never over persons or events. Each status
     goes out when its step has been done, so a failure leaves no 100 % behind.
     """
     from eventide.plans.preprocess import PrepParams, train_validation_sets
-    from eventide.plans.requests import prediction_requests, ready_to_train, training_status_steps
-    from eventide.plans.scoring import ChurnPipeline, trained_today
+    from eventide.plans.requests import (metrics_messages, prediction_requests, ready_to_train,
+                                         training_status_steps)
+    from eventide.plans.scoring import ChurnPipeline, horizon_metrics, trained_today
     from eventide.sinks.tables import read_run_table
 
     def handle(batch: DataFrame, epoch: int) -> None:
@@ -242,12 +243,15 @@ def on_training_model_status(cfg: FlowConfig) -> Callable[[DataFrame, int], None
             for r in todo.collect():  # one row per model (bounded by the registry)
                 ev = model_extract(read_run_table(spark, f"{cfg.root_path}/extract", account_id=r.AccountId,
                                                   model_id=r.ModelId, dt=day))
-                sets.append((r, cut_lineage(train_validation_sets(ev, p)[0], "train")))
+                sets.append((r, ev, cut_lineage(train_validation_sets(ev, p)[0], "train")))
             tell(1, 1.0)
             tell(2, 0.0)
-            for r, train in sets:
-                ChurnPipeline(history_size=cfg.history_size).fit(train).save(
-                    spark, cfg.root_path, r.AccountId, r.ModelId, today)
+            for r, ev, train in sets:
+                model = ChurnPipeline(history_size=cfg.history_size).fit(train)
+                model.save(spark, cfg.root_path, r.AccountId, r.ModelId, today)
+                asked = ready.where((F.col("AccountId") == r.AccountId) & (F.col("ModelId") == r.ModelId))
+                publish(metrics_messages(asked, horizon_metrics(ev, model.pdf, p), today), MODEL_METRICS,
+                        "model_metrics", bootstrap=cfg.bootstrap, path=cfg.out_topics)
             tell(2, 1.0)
         publish(prediction_requests(ready), START_PREDICTION, "start_prediction",
                 bootstrap=cfg.bootstrap, path=cfg.out_topics)

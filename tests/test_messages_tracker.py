@@ -235,3 +235,17 @@ def test_route_requests_hit_and_miss(spark):
     m = miss.first()
     assert (m.AccountId, m.total_no_of_records) == (2, 0)
     assert {r.AccountId: r.route for r in routed(reqs, reg).collect()} == {1: "predict", 2: "train"}
+
+
+def test_metrics_become_one_message_per_request(spark):
+    from eventide.operators.metrics import classification_metrics
+    from eventide.plans.requests import metrics_messages
+
+    reqs = spark.createDataFrame([(3, None, "k"), (3, "b", "k")], "AccountId long, ApplicationId string, ModelId string")
+    scored = spark.createDataFrame([(0.9, 1), (0.7, 0), (0.2, 0), (0.6, 1)], "score double, actual int")
+    at = datetime(2033, 4, 5, 6)
+    got = metrics_messages(reqs, classification_metrics(scored), at).orderBy("ApplicationId").collect()
+    assert [(r.ApplicationId, r.timestamp, r.auc, r.recall, r.accuracy) for r in got] == [
+        (None, at, 0.75, 1.0, 0.75), ("b", at, 0.75, 1.0, 0.75)]
+    # one kind of persons only: there is no AUC, so no message
+    assert metrics_messages(reqs, classification_metrics(scored.where("actual = 1")), at).count() == 0

@@ -120,3 +120,10 @@ def test_extract_of_a_store_is_distinct_and_latest(spark):
     assert extracted(ev, 5).count() == 12
     got = extracted(ev, 5, "n", latest_n=2).collect()
     assert sorted((r.ApplicationId, r.EventKey) for r in got) == [("n", 5), ("n", 6)]
+
+
+def test_counts_carry_their_time(spark):
+    ev = make_events(spark, [(1, "2032-02-01 00:00:00", "x", 5), (2, "2032-02-01 00:00:00", "x", 5)])
+    before = spark.sql("SELECT localtimestamp() AS t").first().t
+    row = account_counts(ev, with_time=True).first()
+    assert row.n_rows == 2 and before <= row.counted_at <= spark.sql("SELECT localtimestamp() AS t").first().t

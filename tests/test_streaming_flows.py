@@ -105,6 +105,9 @@ def test_one_prediction_per_application_and_person(spark, monkeypatch):
 
     flows.on_training_model_status(cfg)(spark.read.text(f"{d}/topics/training_model_status"), 1)
     assert spark.read.parquet(f"{d}/root/registry").count() == 1
+    metrics = [json.loads(x.value) for x in spark.read.text(f"{d}/topics/model_metrics").collect()]
+    assert all(0 <= m[k] <= 1 for m in metrics for k in ("auc", "f1", "precission", "recall", "accuracy"))
+    assert len(metrics) in (0, 3) and len({m["ApplicationId"] for m in metrics}) == len(metrics)
     flows.on_start_prediction(cfg)(spark.read.text(f"{d}/topics/start_prediction"), 0)
     preds = [json.loads(x.value) for x in spark.read.text(f"{d}/topics/prediction").collect()]
     got = sorted((x["ApplicationId"] or "", x["PersonId"]) for x in preds)
