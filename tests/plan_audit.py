@@ -35,7 +35,10 @@ def main() -> None:
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session("local[8]", shuffle_partitions=8)
+    only = sys.argv[2:]
     for name, fn in queries().items():
+        if only and name not in only:
+            continue
         a = audit(fn(spark, sf))
         print(f"{name:26s} shuffles={a['shuffles']:3d} bcast={a['broadcasts']:2d} "
               f"nlj={a['nested_loop']} single={a['single_partition']} pushed={a['pushed_filters']}")
