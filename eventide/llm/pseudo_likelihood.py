@@ -2,14 +2,17 @@
 
 A small bidirectional network predicts every token from ``SIDE`` tokens on either side: the
 neighbours' embeddings (one table per relative place) are added, pass through tanh and a two-step
-softmax (token class, then token in its class). A document's score is the sum of the log
-probabilities of its tokens, each masked in turn.
-
-Everything is learned from the whole corpus. The vocabulary comes from counts of all words (partial
-counts per task, then a shuffle by word); words beyond the ``FREQUENT`` most frequent share hashed
-tokens. Training is data-parallel: each task runs Adagrad over its documents from common starting
+softmax (token class, then token in its class). Words beyond the ``FREQUENT`` most frequent share
+hashed tokens; a third factor is the probability of the word among those of its token. A document's
+score is the sum of the log probabilities of its words, each masked in turn.
+
+Everything is learned from the whole corpus. All words are counted (partial counts per task, then a
+shuffle by word) into a stored table, which grows with the corpus: the third factor of a word seen n
+times is n / (N + 1), N being the occurrences of all words of its token; the rest, 1 / (N + 1), is
+that of a word never counted. Chunks of about ``CHUNK_WORDS`` such words ask the table for each
+distinct word once, in a join by word, and the answers meet the chunk's documents again. Training is data-parallel: each task runs Adagrad over its documents from common starting
 weights, and the tasks' weights, weighted by tokens, are averaged block by block in a second
-shuffle. Weights have a fixed size, so only they and the vocabulary are broadcast.
+shuffle. Weights have a fixed size, so only they, the frequent words and N are broadcast.
 
 Null or empty text: no tokens, score 0, mean null. Repeated rows are scored each. A corpus without
 words gives every document score 0; an empty table gives no rows. Extra columns are not read.
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +46,8 @@ EPOCHS = 1
 BLOCK = 1 << 13
 #: distinct words that a task counts before it passes its counts on
 COUNTED = 1 << 20
+#: words with a shared token in one chunk of documents (a longer document is a chunk of its own)
+CHUNK_WORDS = 1 << 22
 
 _PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
 
@@ -167,12 +173,30 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> np.ndarray:
     """Sorted hashes of the FREQUENT most frequent words (ties by hash)."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    counts = word_counts(docs) if counts is None else counts
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     return np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
 
 
+def token_totals(counts: DataFrame, words: np.ndarray) -> np.ndarray:
+    """Occurrences of all words of each token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(TOKENS, np.int64)
+        for b in batches:
+            ids = token_ids(b.column(0).to_numpy().view(np.uint64), words)
+            np.add.at(total, ids, b.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(TOKENS)), pa.array(total)], names=["token", "n"])
+
+    got = counts.select("word", "n").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    out = np.zeros(TOKENS, np.int64)
+    for r in got.collect():  # TOKENS rows
+        out[r["token"]] = r["n"]
+    return out
+
+
 def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Running sums over rows sorted by block."""
     block, total, weight = None, None, 0.0
@@ -234,35 +258,83 @@ def train(docs: DataFrame, words: np.ndarray, epochs: int = EPOCHS, batch: int =
     return vector
 
 
-def score(docs: DataFrame, words: np.ndarray, vector: np.ndarray, carry: list[str]) -> DataFrame:
-    """``carry`` plus n_tokens, score (sum of log probabilities) and mean."""
-    shared = docs.sparkSession.sparkContext.broadcast((vector, words))
-    schema = docs.select(*carry).schema.add("n_tokens", "long").add("score", "double").add("mean", "double")
+def score(docs: DataFrame, words: np.ndarray, vector: np.ndarray, carry: list[str],
+          counts: DataFrame | None = None, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """``carry`` plus n_tokens, score (sum of log probabilities) and mean.
+
+    ``counts(word, n)`` is a stored table of word counts, those of ``docs`` by default.
+    """
+    counts = cut_lineage(word_counts(docs), "lm-counts") if counts is None else counts
+    totals = np.log(token_totals(counts, words) + 1.0)
+    totals[:FREQUENT] = 0  # tokens of one word
+    shared = docs.sparkSession.sparkContext.broadcast((vector, words, totals))
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema]
+    added = ["_chunk", "_tokens", "_base", "_rare", "_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, known = shared.value
+        weights, known, totals = shared.value
         net = Network(weights)
+        chunk = TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            word, place = np.unique(np.concatenate([h[3] for h in held]), return_inverse=True)
+            place, at = place.astype("<u4"), 0
+            for cols, n, base, rare, sizes in held:
+                ends = at + np.cumsum(sizes)
+                packed = [place[i:j].tobytes() for i, j in zip(ends - sizes, ends)]
+                at += len(rare)
+                yield pa.RecordBatch.from_arrays(
+                    [*cols, pa.array([chunk] * len(n), pa.int64()), pa.array(n, pa.int64()), pa.array(base),
+                     pa.array(packed, pa.binary()), pa.nulls(len(n), pa.list_(pa.int64()))], names=[*carry, *added])
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.nulls(1, c.type) for c in held[0][0]), pa.array([chunk]), pa.nulls(1, pa.int64()),
+                 pa.nulls(1, pa.float64()), pa.nulls(1, pa.binary()),
+                 pa.array([word.view(np.int64)], pa.list_(pa.int64()))], names=[*carry, *added])
+
         for b in batches:
-            n, total = [np.zeros(0, np.int64)], [np.zeros(0)]
             for s in tb.slices(b.column(len(carry))):
                 w = tb.words(s, fold_case=True)
                 ids = token_ids(w.hash, known)
                 around = contexts(ids, w.doc)
                 logs = [log_probs(net, around[i:i + BATCH], ids[i:i + BATCH]) for i in range(0, len(ids), BATCH)]
-                each = np.concatenate(logs).astype(np.float64) if logs else np.zeros(0)
-                n.append(np.diff(w.first))
-                total.append(np.bincount(w.doc, each, minlength=s.n_docs) if len(ids) else np.zeros(s.n_docs))
-            count, sums = np.concatenate(n), np.concatenate(total)
-            mean = pa.array(sums / np.maximum(count, 1), mask=count == 0)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:len(carry)], pa.array(count, pa.int64()), pa.array(sums), mean],
-                names=[*carry, "n_tokens", "score", "mean"])
-
-    return docs.select(*carry, "text").mapInArrow(run, schema)
+                each = np.concatenate(logs).astype(np.float64) - totals[ids] if logs else np.zeros(0)
+                base = np.bincount(w.doc, each, minlength=s.n_docs) if len(ids) else np.zeros(s.n_docs)
+                far = ids >= FREQUENT
+                held.append(([c.slice(s.first, s.n_docs) for c in b.columns[:len(carry)]], np.diff(w.first), base,
+                             w.hash[far], np.bincount(w.doc[far], minlength=s.n_docs)))
+                if sum(len(h[3]) for h in held) >= chunk_words:
+                    yield from flushed()
+                    chunk, held = chunk + 1, []
+        if held:
+            yield from flushed()
+
+    rows = cut_lineage(docs.select(*carry, "text").mapInArrow(
+        run, ", ".join([*own, "_chunk bigint, _tokens bigint, _base double, _rare binary, _words array<bigint>"])), "lm-rows")
+    asked = rows.where("_words is not null").select(F.col("_chunk").alias("chunk"), F.posexplode("_words").alias("place", "word"))
+    # the logarithm of a count of 1 adds nothing
+    told = asked.join(counts.where("n > 1"), "word").select("chunk", "place", "n")
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, "<u4") for x in left.column("_rare").to_pylist()]
+        place = right.column("place").to_numpy()
+        size = max([int(p.max()) + 1 for p in parts if len(p)] + [int(place.max()) + 1 if len(place) else 0])
+        logs = np.zeros(size)
+        logs[place] = np.log(right.column("n").to_numpy())
+        count = left.column("_tokens").to_numpy()
+        sums = left.column("_base").to_numpy() + np.array([logs[p].sum() for p in parts])
+        out = left.select(carry).append_column("n_tokens", pa.array(count, pa.int64()))
+        return (out.append_column("score", pa.array(sums, pa.float64()))
+                .append_column("mean", pa.array(sums / np.maximum(count, 1), pa.float64(), mask=count == 0)))
+
+    texts = rows.where("_words is null").drop("_words")
+    return texts.groupBy("_chunk").cogroup(told.groupBy("chunk")).applyInArrow(
+        add, ", ".join([*own, "n_tokens bigint, score double, mean double"]))
 
 
 def pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op6: the pseudo log-likelihood of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    words = vocabulary(docs)
-    return score(docs, words, train(docs, words), ["doc_id"])
+    counts = cut_lineage(word_counts(docs), "lm-counts")
+    words = vocabulary(docs, counts)
+    return score(docs, words, train(docs, words), ["doc_id"], counts)
