@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,8 +85,9 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.xxhash64(text))
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, row, n_shingles, cls, halves) per row; cls and halves are null for the empty set."""
+def signatures(docs: DataFrame, width: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, row, n_shingles, cls, halves, carry) per row; cls and halves are null for the empty set."""
+    kept = ", ".join(["", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,12 +96,12 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             n, cls, halves = zip(*sig) if sig else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()),
-                 pa.array(halves, pa.list_(pa.int64()))],
-                names=["doc_id", "row", "n_shingles", "cls", "halves"])
+                 pa.array(halves, pa.list_(pa.int64())), *b.columns[3:]],
+                names=["doc_id", "row", "n_shingles", "cls", "halves", *carry])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       row_key(F.col("doc_id"), F.col("text")).alias("row"), "text").mapInArrow(
-        run, "doc_id long, row long, n_shingles long, cls binary, halves array<long>")
+                       row_key(F.col("doc_id"), F.col("text")).alias("row"), "text", *carry).mapInArrow(
+        run, "doc_id long, row long, n_shingles long, cls binary, halves array<long>" + kept)
 
 
 def full_sets(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
@@ -229,9 +231,13 @@ def _complete(members: DataFrame, sets: DataFrame, similarity: int, block: int)
 
 
 def near_groups(docs: DataFrame, width: int = 5, similarity: int = SIMILARITY,
-                block: int = BLOCK) -> DataFrame:
+                block: int = BLOCK, locator: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept, class_size.
 
+    With ``locator`` columns, which name a row, also these and first_row: true for the row of the
+    group that is the first by doc_id (nulls last), then locator, for the rows that repeat its id
+    and its set, and for rows without a shingle.
+
     * A-Z reads as a-z; words are runs outside ``[\\x20\\x09-\\x0D]``; a text of fewer than ``width``
       words is one shingle, its whole sequence; null, empty and blank texts have no shingle, link
       with nothing and are kept under their own id.
@@ -240,7 +246,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: int = SIMILARITY,
       all kept, and a group without any id keeps all its rows.
     * An empty table gives no rows. Other columns are not read.
     """
-    sig = cut_lineage(signatures(docs, width), "near-signatures")
+    sig = cut_lineage(signatures(docs, width, locator), "near-signatures")
     # equal sets have equal halves, so any of them serves
     classes = (sig.where("cls is not null").groupBy("cls")
                .agg(F.min("row").alias("row"), F.first("halves").alias("halves"),
@@ -275,18 +281,28 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: int = SIMILARITY,
     more = cut_lineage(_complete(open_members, sets, similarity, block), "near-more")
     final = components(links.unionAll(more))
     final = final.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    by_class = sig.groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("class_size"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *locator)
+    firsts = [F.min(place).alias("first")] if locator else []
+    by_class = sig.groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("class_size"), *firsts)
     named = (by_class.where("cls is not null").join(final, F.col("cls") == F.col("_node"), "left")
-             .select("cls", "low", "class_size", F.coalesce("_root", "cls").alias("root")))
+             .select("cls", "low", "class_size", F.coalesce("_root", "cls").alias("root"),
+                     *(["first"] if locator else [])))
     named = cut_lineage(named, "near-classes")
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = named.join(lowest, "root").select(F.col("cls").alias("_cls"), "component_id", "class_size")
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"),
+                                       *([F.min(F.struct("first", "cls")).alias("_first")] if locator else []))
+    ids = named.join(lowest, "root").select(F.col("cls").alias("_cls"), "component_id", "class_size",
+                                            *(["_first"] if locator else []))
+    added = []
+    if locator:
+        repeat = (F.col("doc_id") == F.col("_first.first.doc_id")) & (F.col("cls") == F.col("_first.cls"))
+        chosen = F.col("cls").isNull() | place.eqNullSafe(F.col("_first.first")) | F.coalesce(repeat, F.lit(False))
+        added = [*locator, chosen.alias("first_row")]
     return (sig.join(ids, F.col("cls") == F.col("_cls"), "left")
             .withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id"))
                         .otherwise(F.col("component_id")))
             .select("doc_id", "n_shingles", "component_id",
                     F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
-                    F.coalesce("class_size", F.lit(1)).alias("class_size")))
+                    F.coalesce("class_size", F.lit(1)).alias("class_size"), *added))
 
 
 def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,6 +311,13 @@ def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents without those whose group has a smaller doc_id (5 words, 0.8)."""
-    gone = near_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    """Pipeline stage: the first row of each group (5 words, 0.8) and its repeats; rows go by place, not by id."""
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    try:
+        there = docs.select(*docs.columns, *place)
+    except AnalysisException:  # not read from files
+        there = cut_lineage(docs, "near-input").select(*docs.columns, *place)
+    gone = near_groups(there, locator=("_file", "_row")).where("not first_row").select(
+        F.col("_file").alias("file"), F.col("_row").alias("row"))
+    return (there.join(gone, (F.col("_file") == F.col("file")) & (F.col("_row") == F.col("row")), "left_anti")
+            .select(*docs.columns))

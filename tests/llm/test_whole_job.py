@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from eventide.llm import pseudo_likelihood
+from eventide.llm import minhash_dedup, pseudo_likelihood
 from eventide.llm import textbytes as tb
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, label string, size string"
@@ -44,3 +44,22 @@ def test_words_that_share_a_token_have_their_own_probability(spark):
             net = pseudo_likelihood.log_probs(pseudo_likelihood.Network(vector), edge, np.array([token[w]]))[0]
             assert abs(got[100 + i] - (net + math.log(n[w] / (total + 1)))) < 1e-4
     assert any(len({n[w] for w in ws}) > 1 for ws in alike.values())
+
+
+# ---- 1 ----------------------------------------------------------------------------------------
+
+
+def test_near_stage_goes_by_row_not_by_id(spark, tmp_path):
+    def text(seed, changed=None):
+        return " ".join(f"w{seed}x{i}" if i != changed else "other" for i in range(120))
+
+    rows = [(3, text("a")), (None, text("a", 119)),  # a null id near a numbered document
+            (None, text("b")),  # clean and unique, without id
+            (5, text("c")), (9, text("c", 119)), (5, text("a", 0)),  # 5 twice, once near 3
+            (None, text("d")), (None, text("d", 119)),  # near copies without ids
+            (7, ""), (7, ""), (5, text("c", 3))]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(*r, "en", "s", 1, None, None) for r in rows], DOCS).coalesce(1).write.parquet(path)
+    got = minhash_dedup.stage(spark, spark.read.parquet(path), "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(
+        [rows[0], rows[2], rows[3], rows[6], rows[8], rows[9]], key=repr)
