@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.llm.common import partitions, read
@@ -41,6 +41,8 @@ CHUNK_CHARS = 32_000_000
 MAX_VOCAB = 1 << 20
 #: pieces of up to so many bytes are merged by plain scanning, longer ones with a heap
 SCAN_BYTES = 64
+#: documents decoded into one Arrow batch
+DECODED_ROWS = 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -302,37 +304,43 @@ class Decoder:
 def encode(docs: DataFrame, carry: list[str], ranks: dict[bytes, int], pattern: str,
            chunk_chars: int = CHUNK_CHARS, n_buckets: int | None = None) -> DataFrame:
     """``carry`` columns plus ``ids`` (packed little-endian uint32) for each row of ``docs``."""
-    return _reassembled(docs, carry, ranks, pattern, chunk_chars, n_buckets, digests=False)
+    return _reassembled(docs, carry, ranks, pattern, chunk_chars, n_buckets)
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], carry: list[str]) -> DataFrame:
-    """``carry`` plus ``decoded`` (bytes) from packed ``ids``."""
+def decode(encoded: DataFrame, ranks: dict[bytes, int], carry: list[str], spell: bool = False) -> DataFrame:
+    """``carry`` plus ``decoded`` (bytes) from packed ``ids``; ``spell`` adds ``spelled``, the ids as
+    decimal numbers with commas between."""
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
+    added = ["decoded", "spelled"] if spell else ["decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
-        for b in batches:
-            out = [decoder(np.frombuffer(x.as_buffer(), np.uint32)) for x in b.column(len(carry))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:len(carry)], pa.array(out, pa.binary())],
-                                             names=[*carry, "decoded"])
-
-    schema = encoded.select(*carry).schema.add("decoded", "binary")
+        bounds, content = _decimal_table(len(decoder.bounds) - 1)
+        for whole in batches:
+            for i in range(0, whole.num_rows, DECODED_ROWS):
+                b = whole.slice(i, DECODED_ROWS)
+                ids = [np.frombuffer(x.as_buffer(), np.uint32) for x in b.column(len(carry))]
+                out = [pa.array([decoder(x) for x in ids], pa.binary())]
+                if spell:
+                    out.append(pa.array([gather(bounds, content, x.astype(np.int64))[1].tobytes()[:-1] for x in ids],
+                                        pa.binary()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:len(carry)], *out], names=[*carry, *added])
+
+    schema = encoded.select(*carry).schema
+    for c in added:
+        schema = schema.add(c, "binary")
     return encoded.select(*carry, "ids").mapInArrow(run, schema)
 
 
 def _reassembled(docs: DataFrame, carry: list[str], ranks: dict[bytes, int], pattern: str,
-                 chunk_chars: int, n_buckets: int | None, digests: bool) -> DataFrame:
+                 chunk_chars: int, n_buckets: int | None) -> DataFrame:
     spark = docs.sparkSession
     n_buckets = n_buckets or 4 * partitions(spark)
     shared = spark.sparkContext.broadcast(ranks)
     rows = cut_lineage(_split(docs, carry, pattern, chunk_chars, n_buckets), "bpe-split")
     answers = _encode_buckets(rows.where("bucket >= 0").select("bucket", "chunk", "body"), shared)
     texts = rows.where("bucket is null or bucket < 0")
-    added = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")] if digests \
-        else [("ids", "binary")]
-    arrow = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema]
-                       + [f"{n} {t}" for n, t in added])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema] + ["ids binary"])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         body = left.filter(pc.is_valid(left.column("body"))).column("body")[0].as_buffer()
@@ -344,30 +352,15 @@ def _reassembled(docs: DataFrame, carry: list[str], ranks: dict[bytes, int], pat
         ends = np.zeros(len(n) + 1, np.int64)
         ends[number + 1] = n
         ends = np.cumsum(ends)
-        out: list[tuple] = []
-        if digests:
-            decoder = Decoder(shared.value)
-            dec_bounds, dec = _decimal_table(len(decoder.bounds) - 1)
-        for k in number:
-            ids = gather(bounds, table, places[ends[k]:ends[k + 1]])[1]
-            if digests:
-                text = gather(dec_bounds, dec, ids.astype(np.int64))[1].tobytes()
-                out.append((len(ids), hashlib.sha256(text[:-1]).hexdigest(),
-                            hashlib.sha256(decoder(ids)).hexdigest()))
-            else:
-                out.append((ids.astype("<u4").tobytes(),))
-        res = left.select(carry)
-        for k, (name, t) in enumerate(added):
-            res = res.append_column(name, pa.array([o[k] for o in out], arrow[t]))
-        return res
+        out = [gather(bounds, table, places[ends[k]:ends[k + 1]])[1].astype("<u4").tobytes() for k in number]
+        return left.select(carry).append_column("ids", pa.array(out, pa.binary()))
 
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def encoded_digests(docs: DataFrame, carry: list[str], ranks: dict[bytes, int], pattern: str,
-                    chunk_chars: int = CHUNK_CHARS, n_buckets: int | None = None) -> DataFrame:
-    """``carry`` plus n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded text."""
-    return _reassembled(docs, carry, ranks, pattern, chunk_chars, n_buckets, digests=True)
+def digests() -> list[Column]:
+    """Digest columns of ``decode(spell=True)``."""
+    return [F.sha2("spelled", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
 
 
 def production() -> tuple[dict[bytes, int], str]:
@@ -378,11 +371,19 @@ def production() -> tuple[dict[bytes, int], str]:
 
 def bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op10: every document encoded and decoded."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return encoded_digests(docs, ["doc_id"], *production())
+    ranks, pattern = production()
+    n_tokens = F.floor(F.octet_length("ids") / 4).alias("n_tokens")
+    encoded = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], ranks, pattern)
+    back = decode(encoded.select("doc_id", n_tokens, "ids"), ranks, ["doc_id", "n_tokens"], spell=True)
+    return back.select("doc_id", "n_tokens", *digests())
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: doc_id, lang, source and the digests of ids and decoded text."""
-    return encoded_digests(docs.select("doc_id", "lang", "source", "text"), ["doc_id", "lang", "source"],
-                           *production())
+    """Last pipeline stage: doc_id, lang, source, the packed ids, and digests of ids and decoded text."""
+    carry = ["doc_id", "lang", "source"]
+    ranks, pattern = production()
+    n_tokens = F.floor(F.octet_length("ids") / 4).alias("n_tokens")
+    # stored, so that the workers that reassemble and those that decode need no memory at the same time
+    encoded = cut_lineage(encode(docs.select(*carry, "text"), carry, ranks, pattern), "bpe-ids")
+    back = decode(encoded, ranks, [*carry, "ids"], spell=True)
+    return back.select(*carry, "ids", n_tokens, *digests())

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import defaultdict
 
 import numpy as np
 
-from eventide.llm import minhash_dedup, pseudo_likelihood
+from eventide.llm import bpe_codec, minhash_dedup, pseudo_likelihood
 from eventide.llm import textbytes as tb
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, label string, size string"
@@ -63,3 +64,21 @@ def test_near_stage_goes_by_row_not_by_id(spark, tmp_path):
     got = minhash_dedup.stage(spark, spark.read.parquet(path), "").collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(
         [rows[0], rows[2], rows[3], rows[6], rows[8], rows[9]], key=repr)
+
+
+# ---- 10 ---------------------------------------------------------------------------------------
+
+
+def test_last_stage_returns_the_ids(spark):
+    rows = [(1, "One two three, four"), (2, None), (None, "\u6f22\u5b57 \u00f1and\u00fa  x")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, None, None) for r in rows], DOCS)
+    ranks, _ = bpe_codec.production()
+    token = {r: t for t, r in ranks.items()}
+    out = {r["doc_id"]: r for r in bpe_codec.stage(spark, docs, "").collect()}
+    for doc_id, text in rows:
+        r = out[doc_id]
+        ids = np.frombuffer(bytes(r["ids"]), "<u4").tolist()
+        decoded = b"".join(token[i] for i in ids)
+        assert decoded.decode() == (text or "") and len(ids) == r["n_tokens"]
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(decoded).hexdigest()
