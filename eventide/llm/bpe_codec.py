@@ -6,11 +6,13 @@
 2. *Encode.* The chunks' distinct pre-tokens are dealt by hash into word buckets, so equal
    pre-tokens of all chunks meet and each is merged by rank once.
 3. *Join back.* A bucket answers every chunk with the ids of the pre-tokens it sent, in its order.
-4. *Reassemble.* Places, tables and ids meet again by chunk, and a document's ids are those of its
-   pre-tokens by position. Decoding takes ids alone and joins the table of token bytes.
+4. *Reassemble.* Places, tables and ids meet again by chunk, sorted so that a chunk's ids come first
+   and its documents follow block by block; a document's ids are those of its pre-tokens by position.
+   Decoding takes ids alone and joins the table of token bytes.
 
 Nothing grows with the corpus in one task: a chunk is bounded by its characters (a longer document
-is a chunk of its own), a bucket by the number of buckets, which follows the shuffle partitions.
+ends its chunk), a task that reassembles holds the ids of one chunk's distinct pre-tokens and one
+block, a bucket is bounded by the number of buckets, which follows the shuffle partitions.
 A frequent word costs one entry per chunk. The rank table is bounded by ``MAX_VOCAB`` entries.
 
 Null text encodes as the empty text, with no ids. Repeated rows and ids are encoded each; columns of
@@ -27,22 +29,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.llm.common import partitions, read
+from eventide.llm.packed import Places, from_planes, gather, pack, pack_places, planes, unpack, unpack_places
 from eventide.session import cut_lineage
 
 CHUNK_CHARS = 32_000_000
+#: documents of about so many characters are given their ids at once
+BLOCK_CHARS = 1_000_000
 MAX_VOCAB = 1 << 20
 #: pieces of up to so many bytes are merged by plain scanning, longer ones with a heap
 SCAN_BYTES = 64
-#: documents decoded into one Arrow batch
-DECODED_ROWS = 256
+#: bytes of ids decoded into one Arrow batch (a longer document is one of its own)
+DECODED_BYTES = 1 << 21
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -111,110 +114,63 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return _merge_scan(word, ranks) if len(word) <= SCAN_BYTES else _merge_heap(word, ranks)
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """uint32 values byte plane by byte plane, which compresses far better than value by value."""
-    return a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _from_planes(raw: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
-
-
-def _pack(parts: list[bytes]) -> bytes:
-    """Byte strings as lengths and content, compressed."""
-    lengths = np.fromiter(map(len, parts), np.uint32, len(parts))
-    return zstandard.ZstdCompressor(level=9).compress(
-        np.uint32(len(parts)).tobytes() + _planes(lengths) + b"".join(parts))
-
-
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(bounds, content) of packed byte strings."""
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    n = int(data[:4].view(np.uint32)[0])
-    lengths = _from_planes(data[4:4 + 4 * n])
-    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), data[4 + 4 * n:]
-
-
-def _pack_places(places: np.ndarray, bucket_of: np.ndarray) -> bytes:
-    """A chunk's places and the word bucket of each place; places below 255 take one byte."""
-    rest = places[places >= 255] - 255
-    return _pack([np.minimum(places, 255).astype(np.uint8).tobytes(), _planes(rest), _planes(bucket_of)])
-
-
-def _unpack_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    bounds, data = _unpack(raw)
-    low, rest, bucket_of = (data[bounds[k]:bounds[k + 1]] for k in range(3))
-    places = low.astype(np.int64)
-    places[low == 255] += _from_planes(rest)
-    return places, _from_planes(bucket_of)
-
-
-def gather(bounds: np.ndarray, content: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenate content[bounds[p]:bounds[p + 1]] over ``places``; (bounds of the result, result)."""
-    size = bounds[places + 1] - bounds[places]
-    ends = np.concatenate([[0], np.cumsum(size)])
-    at = np.arange(ends[-1]) + np.repeat(bounds[places] - ends[:-1], size)
-    return ends, content[at]
-
-
 def _bucket(word: bytes, n: int) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=4).digest(), "little") % n
 
 
-class _Places(dict):
-    """Words in the order in which they were first seen."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def _split(docs: DataFrame, carry: list[str], pattern: str, chunk_chars: int, n_buckets: int) -> DataFrame:
-    """Three kinds of rows, all with ``chunk``:
+    """Rows of a chunk, told apart by ``part`` and ``number``:
 
-    * a document: its number in the chunk, how many pre-tokens it has, ``carry``;
-    * the chunk (bucket -1): the places of all its pre-tokens in the chunk's table, in order of
-      document and position, and the word bucket of each place;
-    * a word list (bucket from 0): the chunk's distinct pre-tokens of that bucket, in place order.
+    * part -2: the chunk's distinct pre-tokens of one word bucket, in place order;
+    * part -1: the word bucket of each place;
+    * part k, number -1: the places of the pre-tokens of block k, in order of document and position;
+    * part k, number i: the i-th document of block k, how many pre-tokens it has, ``carry``.
 
-    Places go by falling frequency in the chunk.
+    Blocks hold about ``BLOCK_CHARS`` of whole documents. Places go by falling frequency in the chunk.
     """
     given = docs.select(*carry).schema
-    schema = "chunk string, bucket int, number int, n int, body binary" + "".join(
-        f", `{f.name}` {f.dataType.simpleString()}" for f in given)
-    names = ["chunk", "bucket", "number", "n", "body", *carry]
+    fixed = ["chunk", "part", "number", "n", "bucket", "body"]
+    schema = "chunk string, part int, number int, n int, bucket int, body binary" + "".join(
+        f", `_c{i}` {f.dataType.simpleString()}" for i, f in enumerate(given))
+    names = [*fixed, *[f"_c{i}" for i in range(len(carry))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         task = TaskContext.get().partitionId()
-        chunk, seen, chars, counts, held, types = 0, _Places(), 0, [], [], []
+        chunk, seen, chars = 0, Places(), 0
+        blocks: list[list[np.ndarray]] = [[]]  # places of the documents of each block
+        block_chars, told, types = 0, 0, []
 
         def documents(b: pa.RecordBatch, a: int) -> pa.RecordBatch:
-            size = [len(h) for h in held[len(counts):]]
-            first = len(counts)
-            counts.extend(size)
+            size = [len(h) for h in blocks[-1][told:]]
             k = len(size)
             return pa.RecordBatch.from_arrays(
-                [pa.array([f"{task}-{chunk}"] * k, pa.string()), pa.nulls(k, pa.int32()),
-                 pa.array(range(first, first + k), pa.int32()), pa.array(size, pa.int32()),
+                [pa.array([f"{task}-{chunk}"] * k, pa.string()), pa.array([len(blocks) - 1] * k, pa.int32()),
+                 pa.array(range(told, told + k), pa.int32()), pa.array(size, pa.int32()), pa.nulls(k, pa.int32()),
                  pa.nulls(k, pa.binary()), *b.slice(a, k).columns[:len(carry)]], names=names)
 
-        def lists() -> pa.RecordBatch:
-            places = np.concatenate(held)
+        def lists() -> Iterator[pa.RecordBatch]:
             words = [w.encode("utf-8", "surrogatepass") for w in seen]
-            often = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")
-            rank = np.empty(len(words), np.int64)
-            rank[often] = np.arange(len(words))
+            count = np.zeros(len(words), np.int64)
+            for block in blocks:
+                count += np.bincount(np.concatenate([*block, np.zeros(0, np.uint32)]), minlength=len(words))
+            often = np.argsort(-count, kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[often] = np.arange(len(words), dtype=np.uint32)
             bucket_of = np.fromiter((_bucket(words[i], n_buckets) for i in often), np.uint32, len(words))
             by_bucket: dict[int, list[bytes]] = {}
             for i, k in zip(often.tolist(), bucket_of.tolist()):
                 by_bucket.setdefault(k, []).append(words[i])
-            bodies = [_pack_places(rank[places], bucket_of), *map(_pack, by_bucket.values())]
-            k = len(bodies)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([f"{task}-{chunk}"] * k), pa.array([-1, *by_bucket], pa.int32()), pa.nulls(k, pa.int32()),
-                 pa.nulls(k, pa.int32()), pa.array(bodies, pa.binary()), *(pa.nulls(k, t) for t in types)],
-                names=names)
+            rows = [(-1, None, None, pack([planes(bucket_of)])),
+                    *((-2, None, k, pack(w)) for k, w in by_bucket.items())]
+            rows += [(i, -1, None, pack_places(rank[np.concatenate(block)]))
+                     for i, block in enumerate(blocks) if block]
+            part, number, bucket, body = zip(*rows)
+            k = len(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f"{task}-{chunk}"] * k), pa.array(part, pa.int32()), pa.array(number, pa.int32()),
+                 pa.nulls(k, pa.int32()), pa.array(bucket, pa.int32()), pa.array(body, pa.binary()),
+                 *(pa.nulls(k, t) for t in types)], names=names)
 
         for b in batches:
             types = [c.type for c in b.columns[:len(carry)]]
@@ -222,16 +178,20 @@ def _split(docs: DataFrame, carry: list[str], pattern: str, chunk_chars: int, n_
             for r, t in enumerate(b.column(len(carry))):
                 text = t.as_py() or ""
                 got = find(text)
-                held.append(np.fromiter(map(seen.__getitem__, got), np.uint32, len(got)))
-                chars += len(text)
-                if chars >= chunk_chars:
+                blocks[-1].append(np.fromiter(map(seen.__getitem__, got), np.uint32, len(got)))
+                chars, block_chars = chars + len(text), block_chars + len(text)
+                if block_chars >= BLOCK_CHARS or chars >= chunk_chars:
                     yield documents(b, a)
-                    yield lists()
-                    chunk, seen, chars, counts, held, a = chunk + 1, _Places(), 0, [], [], r + 1
-            if len(held) > len(counts):
+                    blocks.append([])
+                    block_chars, told, a = 0, 0, r + 1
+                if chars >= chunk_chars:
+                    yield from lists()
+                    chunk, seen, chars, blocks = chunk + 1, Places(), 0, [[]]
+            if len(blocks[-1]) > told:
                 yield documents(b, a)
-        if held:
-            yield lists()
+                told = len(blocks[-1])
+        if blocks[0]:
+            yield from lists()
 
     return docs.select(*carry, "text").mapInArrow(run, schema)
 
@@ -244,7 +204,7 @@ def _encode_buckets(words: DataFrame, ranks) -> DataFrame:  # noqa: ANN001 - a b
         known: dict[bytes, list[int]] = {}
         out = []
         for raw in group["body"]:
-            bounds, content = _unpack(raw)
+            bounds, content = unpack(raw)
             data = content.tobytes()
             ids: list[int] = []
             sizes = []
@@ -255,7 +215,7 @@ def _encode_buckets(words: DataFrame, ranks) -> DataFrame:  # noqa: ANN001 - a b
                     got = known[w] = encode_word(w, table)
                 ids += got
                 sizes.append(len(got))
-            out.append(_pack([_planes(np.array(sizes, np.uint32)), _planes(np.array(ids, np.uint32))]))
+            out.append(pack([planes(np.array(sizes, np.uint32)), planes(np.array(ids, np.uint32))]))
         return pd.DataFrame({"chunk": group["chunk"], "bucket": group["bucket"], "body": out})
 
     return words.groupBy("bucket").applyInPandas(run, "chunk string, bucket int, body binary")
@@ -265,9 +225,9 @@ def _chunk_table(answers: list[tuple[int, bytes]], bucket_of: np.ndarray) -> tup
     """(bounds, ids) of a chunk's words by place, from the answers (bucket, body)."""
     sizes, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
     for _, raw in sorted(answers):
-        bounds, content = _unpack(raw)
-        sizes.append(_from_planes(content[:bounds[1]]))
-        ids.append(_from_planes(content[bounds[1]:]))
+        bounds, content = unpack(raw)
+        sizes.append(from_planes(content[:bounds[1]]))
+        ids.append(from_planes(content[bounds[1]:]))
     starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
     # answers in order of bucket hold the places in order of (bucket, place)
     at = np.empty(len(bucket_of), np.int64)
@@ -317,8 +277,10 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], carry: list[str], spell:
         decoder = Decoder(shared.value)
         bounds, content = _decimal_table(len(decoder.bounds) - 1)
         for whole in batches:
-            for i in range(0, whole.num_rows, DECODED_ROWS):
-                b = whole.slice(i, DECODED_ROWS)
+            size = np.cumsum([len(x.as_buffer()) + 64 for x in whole.column(len(carry))])
+            edges = np.flatnonzero(np.diff(size // DECODED_BYTES, prepend=-1)).tolist() + [whole.num_rows]
+            for i, j in zip(edges[:-1], edges[1:]):
+                b = whole.slice(i, j - i)
                 ids = [np.frombuffer(x.as_buffer(), np.uint32) for x in b.column(len(carry))]
                 out = [pa.array([decoder(x) for x in ids], pa.binary())]
                 if spell:
@@ -335,27 +297,49 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], carry: list[str], spell:
 def _reassembled(docs: DataFrame, carry: list[str], ranks: dict[bytes, int], pattern: str,
                  chunk_chars: int, n_buckets: int | None) -> DataFrame:
     spark = docs.sparkSession
-    n_buckets = n_buckets or 4 * partitions(spark)
+    n_buckets = n_buckets or partitions(spark)
     shared = spark.sparkContext.broadcast(ranks)
     rows = cut_lineage(_split(docs, carry, pattern, chunk_chars, n_buckets), "bpe-split")
-    answers = _encode_buckets(rows.where("bucket >= 0").select("bucket", "chunk", "body"), shared)
-    texts = rows.where("bucket is null or bucket < 0")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema] + ["ids binary"])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        body = left.filter(pc.is_valid(left.column("body"))).column("body")[0].as_buffer()
-        left = left.filter(pc.is_null(left.column("body")))
-        places, bucket_of = _unpack_places(body)
-        bounds, table = _chunk_table(
-            list(zip(right.column("bucket").to_pylist(), right.column("body").to_pylist())), bucket_of)
-        number, n = left.column("number").to_numpy(), left.column("n").to_numpy()
-        ends = np.zeros(len(n) + 1, np.int64)
-        ends[number + 1] = n
-        ends = np.cumsum(ends)
-        out = [gather(bounds, table, places[ends[k]:ends[k + 1]])[1].astype("<u4").tobytes() for k in number]
-        return left.select(carry).append_column("ids", pa.array(out, pa.binary()))
-
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    answers = _encode_buckets(rows.where("part = -2").select("bucket", "chunk", "body"), shared)
+    # each chunk's answers, then the bucket of each place, then its blocks, each followed by its documents
+    stream = (rows.where("part > -2").unionByName(answers.withColumn("part", F.lit(-2)), allowMissingColumns=True)
+              .repartition("chunk").sortWithinPartitions("chunk", "part", "bucket", "number"))
+    given = docs.select(*carry).schema
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given] + ["ids binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers: list[tuple[int, bytes]] = []
+        bounds = table = places = None
+        at = 0  # pre-tokens of the block given out so far
+        for b in batches:
+            part, number = (b.column(i).fill_null(-1).to_numpy() for i in (1, 2))
+            n = b.column(3).fill_null(0).to_numpy().astype(np.int64)
+            i = 0
+            while i < b.num_rows:
+                if number[i] < 0:
+                    body = b.column(5)[i].as_buffer()
+                    if part[i] == -2:
+                        answers.append((b.column(4)[i].as_py(), body.to_pybytes()))
+                    elif part[i] == -1:
+                        found, data = unpack(body)
+                        bounds, table = _chunk_table(answers, from_planes(data[found[0]:found[1]]))
+                        answers = []
+                    else:
+                        places, at = unpack_places(body), 0
+                    i += 1
+                    continue
+                j = i + int(np.argmax(np.append(number[i:] < 0, True)))
+                ends = np.concatenate([[0], np.cumsum(n[i:j])])
+                found, ids = gather(bounds, table, places[at:at + ends[-1]])
+                offsets = (4 * found[ends]).astype(np.int64)
+                out = pa.Array.from_buffers(pa.large_binary(), j - i, [
+                    None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
+                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[6:], out.cast(pa.binary())],
+                                                 names=[*carry, "ids"])
+                at += int(ends[-1])
+                i = j
+
+    return stream.mapInArrow(run, schema)
 
 
 def digests() -> list[Column]:
