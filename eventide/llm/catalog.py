@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from eventide.llm.bpe_codec import bpe_codec
+from eventide.llm.conversation_repair import conversation_repair
 from eventide.llm.exact_dedup import EXACT_SQL, exact_dedup
 from eventide.llm.host_reputation import REPUTATION_SQL, host_reputation
 from eventide.llm.language_id import language_id
@@ -16,6 +17,8 @@ from eventide.llm.pseudo_likelihood import pseudo_likelihood
 from eventide.llm.quality_rules import QUALITY_SQL, quality_rules
 from eventide.llm.quotation_linking import QUOTATION_SQL, quotation_linking
 from eventide.llm.source_mix import MIX_SQL, source_mix
+from eventide.llm.token_alignment import token_alignment
+from eventide.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash_dedup,
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing,
     "op9_language_id": language_id,
     "op10_bpe_codec": bpe_codec,
+    "op11_token_alignment": token_alignment,
+    "op12_conversation_repair": conversation_repair,
+    "op13_token_counts": token_counts,
 }
 
 ORACLES: dict[str, str] = {
