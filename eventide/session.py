@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import os
 import re
 import tempfile
@@ -11,7 +12,25 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[str] = []
+
+class StageTables:
+    """The stage tables of one job. Only their owner removes them, whatever other threads do."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def drop(self, spark: SparkSession) -> None:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        paths, self.paths = self.paths, []
+        for path in paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
+#: the owner of what a thread stores now; a new thread begins outside of any ``stages`` block
+_OWNER: contextvars.ContextVar[StageTables | None] = contextvars.ContextVar("stage_tables", default=None)
+_UNOWNED = StageTables()
 
 
 def build_session(
@@ -106,32 +125,41 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
 
     Used where a result is read more than once: the plan stops growing, the stage is computed
     exactly once, later readers get column pruning, and a lost executor does not force
-    recomputation of what lies before. ``drop_stages`` or ``stages`` remove the tables.
+    recomputation of what lies before. The table belongs to the innermost ``stages`` block of this
+    thread and goes with it; outside of any block it stays until ``drop_stages``.
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "eventide-stages", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    _WRITTEN.append(path)
+    (_OWNER.get() or _UNOWNED).paths.append(path)
     return spark.read.parquet(path)
 
 
-def drop_stages(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the stage tables this process has written, but for the first ``keep`` of them.
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the stage tables written outside of any ``stages`` block.
 
-    To be called when the results built on them have been written or collected.
+    To be called when the results built on them have been written or collected, and no other thread
+    works outside of a block.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_WRITTEN) > keep:
-        p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        p.getFileSystem(conf).delete(p, True)
+    _UNOWNED.drop(spark)
 
 
 @contextlib.contextmanager
-def stages(spark: SparkSession) -> Iterator[None]:
-    """Stage tables written inside the block are removed at its end, also after an error."""
-    before = len(_WRITTEN)
+def stages(spark: SparkSession) -> Iterator[StageTables]:
+    """Stage tables that this thread writes inside the block are removed at its end, also after an error."""
+    own = StageTables()
+    before = _OWNER.set(own)
     try:
-        yield
+        yield own
     finally:
-        drop_stages(spark, before)
+        _OWNER.reset(before)
+        own.drop(spark)
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_timed_state(spark: SparkSession) -> None:
+    """State with timers lives in RocksDB stores; queries started from now on use them."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != ROCKSDB:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

@@ -21,8 +21,9 @@ from eventide.operators.validate import parse_and_validate
 from eventide.schema import (EVENT_MESSAGE, MODEL_METRICS, PREDICTION, START_PREDICTION, TRAINING_MODEL_START,
                              TRAINING_DATA_STATUS, TRAINING_MODEL_STATUS, TRAINING_REQUEST)
 from eventide.session import cut_lineage, stages
+from eventide.sinks.outbox import append_once, is_sent, mark_sent, run_name
 from eventide.sinks.tables import path_exists
-from eventide.streaming.tracker import TrackerParams, progress_stream
+from eventide.streaming.tracker import TrackerParams, open_requests, progress_stream
 
 log = logging.getLogger(__name__)
 
@@ -49,16 +50,27 @@ def read_topic(spark: SparkSession, topic: str, *, bootstrap: str | None = None,
 
 
 def publish(df: DataFrame, schema: T.StructType, topic: str, *, bootstrap: str | None = None,
-            path: str | None = None, key_attrs=("AccountId", "ModelId")) -> None:
-    """K06 (batch): encode rows as messages and append them to a topic in one distributed write."""
+            path: str | None = None, key_attrs=("AccountId", "ModelId"), once: str | None = None) -> bool:
+    """K06 (batch): encode rows as messages and append them to a topic in one distributed write.
+
+    ``once`` names this set of messages: a set that is out is not sent again (see ``sinks.outbox``; with
+    a broker, ``path`` holds the ledger). Returns whether this call sent them.
+    """
     msgs = encode_messages(df, schema, key_attrs)
     if bootstrap:
+        if once and path and is_sent(df.sparkSession, path, topic, once):
+            return False
         (msgs.write.format("kafka").option("kafka.bootstrap.servers", bootstrap)
          .option("topic", topic).save())
+        if once and path:
+            mark_sent(df.sparkSession, path, topic, once)
+    elif path and once:
+        return append_once(msgs.select("value"), path, topic, once)
     elif path:
         msgs.select("value").write.mode("append").text(f"{path}/{topic}")
     else:
         raise ValueError("publish needs bootstrap servers or a path")
+    return True
 
 
 # ---- S09: validated event feed ----------------------------------------------------------------
@@ -129,20 +141,32 @@ class FlowConfig:
     horizon_days: int = 28
 
 
+class Sender:
+    """What one run of a handler sends; a repeated run sends nothing twice."""
+
+    def __init__(self, cfg: FlowConfig, batch: DataFrame, handler: str, epoch: int) -> None:
+        self.cfg, self.run = cfg, run_name(batch, handler, epoch)
+
+    def __call__(self, df: DataFrame, schema: T.StructType, topic: str, step: str = "all") -> bool:
+        return publish(df, schema, topic, bootstrap=self.cfg.bootstrap, path=self.cfg.out_topics,
+                       once=f"{self.run}-{step}")
+
+
 def _parse(batch: DataFrame, schema: T.StructType) -> DataFrame:
     v = parse_and_validate(batch, schema).where("valid")
     return v.select(*[f.name for f in schema.fields]).dropDuplicates()
 
 
-def training_data_progress(raw_requests: DataFrame, events: DataFrame,
-                           p: TrackerParams = TrackerParams()) -> DataFrame:
+def training_data_progress(raw_requests: DataFrame, events: DataFrame, p: TrackerParams = TrackerParams(),
+                           *, stored: DataFrame | None = None) -> DataFrame:
     """The progress of each request of the training-data topic over the feed of valid events.
 
     ``request`` is the request's own message; equal messages while one is open are one request.
+    ``stored`` are events of the feed from before this stream, which count from its first run on.
     """
     asked = parse_and_validate(raw_requests, TRAINING_REQUEST).where("valid").select(
         "AccountId", to_message(TRAINING_REQUEST).alias("request"), "total_no_of_records")
-    return progress_stream(events, asked, p)
+    return progress_stream(events, asked, p, stored=stored)
 
 
 def on_training_data_progress(cfg: FlowConfig) -> Callable[[DataFrame, int], None]:
@@ -154,10 +178,11 @@ def on_training_data_progress(cfg: FlowConfig) -> Callable[[DataFrame, int], Non
                 from_message(F.col("request"), TRAINING_REQUEST).alias("m"), "no_of_records", "finished", "aborted"),
                 "progress")
             rows = rows.select("m.*", "no_of_records", "finished", "aborted")
-            publish(rows.where("not aborted").select(*[f.name for f in TRAINING_DATA_STATUS.fields]),
-                    TRAINING_DATA_STATUS, "training_data_status", bootstrap=cfg.bootstrap, path=cfg.out_topics)
-            publish(rows.where("finished").select(*[f.name for f in TRAINING_MODEL_START.fields]),
-                    TRAINING_MODEL_START, "training_model_start", bootstrap=cfg.bootstrap, path=cfg.out_topics)
+            send = Sender(cfg, batch, "training-data", epoch)
+            send(rows.where("not aborted").select(*[f.name for f in TRAINING_DATA_STATUS.fields]),
+                 TRAINING_DATA_STATUS, "training_data_status")
+            send(rows.where("finished").select(*[f.name for f in TRAINING_MODEL_START.fields]),
+                 TRAINING_MODEL_START, "training_model_start")
             lost = rows.where("aborted").count()
             if lost:
                 log.error("%d requests aborted: no data arrived", lost)
@@ -177,8 +202,8 @@ def on_training_model_start(cfg: FlowConfig) -> Callable[[DataFrame, int], None]
         spark = batch.sparkSession
         starts = _parse(batch, TRAINING_MODEL_START)
         status = download_status(starts)
-        publish(status.where("current_step_percentage = 0.0"), TRAINING_MODEL_STATUS,
-                "training_model_status", bootstrap=cfg.bootstrap, path=cfg.out_topics)
+        send = Sender(cfg, batch, "model-start", epoch)
+        send(status.where("current_step_percentage = 0.0"), TRAINING_MODEL_STATUS, "training_model_status", "0")
         day = datetime.now(timezone.utc).replace(tzinfo=None).strftime("%Y-%m-%d")
         keys = starts.select("AccountId", "ApplicationId", "ModelId").withColumn("dt", F.lit(day))
         # A request whose extract already exists for today is not downloaded again
@@ -191,8 +216,7 @@ def on_training_model_start(cfg: FlowConfig) -> Callable[[DataFrame, int], None]
             {"req_AccountId": "AccountId", "req_ApplicationId": "ApplicationId",
              "req_ModelId": "ModelId"})
         write_run_table(canonical_events(ext), f"{cfg.root_path}/extract", day)
-        publish(status.where("current_step_percentage = 1.0"), TRAINING_MODEL_STATUS,
-                "training_model_status", bootstrap=cfg.bootstrap, path=cfg.out_topics)
+        send(status.where("current_step_percentage = 1.0"), TRAINING_MODEL_STATUS, "training_model_status", "1")
 
     return handle
 
@@ -280,8 +304,8 @@ def on_start_prediction(cfg: FlowConfig) -> Callable[[DataFrame, int], None]:
             registry = spark.createDataFrame(
                 [], "AccountId long, ModelId string, model_path string, trained_at timestamp_ntz")
         hit, miss = route_requests(reqs, registry)
-        publish(miss, TRAINING_REQUEST, "start_training_data", bootstrap=cfg.bootstrap,
-                path=cfg.out_topics)
+        send = Sender(cfg, batch, "start-prediction", epoch)
+        send(miss, TRAINING_REQUEST, "start_training_data")
         if not hit.limit(1).count():
             return
         as_of = datetime.now(timezone.utc).replace(tzinfo=None)
@@ -290,7 +314,8 @@ def on_start_prediction(cfg: FlowConfig) -> Callable[[DataFrame, int], None]:
                                 extract_rows=cfg.extract_rows, history_size=cfg.history_size)
         seen = Observation("null_predictions")
         good, _ = prediction_messages(scores, F.lit(as_of).cast("timestamp_ntz"), observation=seen)
-        publish(good, PREDICTION, "prediction", bootstrap=cfg.bootstrap, path=cfg.out_topics)
+        if not send(good, PREDICTION, "prediction"):
+            return  # a repeated batch: nothing ran that could be counted
         nulls = seen.get.get("null_scores") or 0
         if nulls:
             log.warning("%d of %d persons have no score", nulls, seen.get["scored"])
@@ -303,3 +328,22 @@ def run_handler(stream: DataFrame, handler: Callable[[DataFrame, int], None], ch
     """Attach a handler with ``foreachBatch``; the checkpoint replaces the consumer group."""
     return (stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def run_until_closed(progress: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str,
+                     p: TrackerParams = TrackerParams()) -> None:
+    """E01 as a bounded run: ends when all input has been read and no request is open any more.
+
+    Polls every ``poll_s``. What comes later is read by the next run from the same checkpoint; a run that
+    fails raises, and the next one goes on where it stood.
+    """
+    spark = progress.sparkSession
+    query = run_handler(progress, handler, checkpoint, trigger={"processingTime": f"{p.poll_s} seconds"})
+    try:
+        while not query.awaitTermination(p.poll_s):
+            last = query.lastProgress
+            if (last is not None and last["numInputRows"] == 0 and not query.status["isDataAvailable"]
+                    and open_requests(spark, checkpoint) == 0):
+                break
+    finally:
+        query.stop()

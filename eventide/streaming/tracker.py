@@ -12,14 +12,18 @@ check (count >= limit, inclusive) and the idle check (gap > idle, strict) cut th
 
 from __future__ import annotations
 
-import math
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from eventide.config import SECOND_US, TRACKER_ABORT_S, TRACKER_IDLE_S, TRACKER_POLL_S
 from eventide.functions.time import epoch_us, from_epoch_us
+from eventide.session import use_timed_state
 
 
 @dataclass(frozen=True)
@@ -86,71 +90,108 @@ def training_starts(progress: DataFrame, requests: DataFrame) -> DataFrame:
 
 # ---- streaming form ---------------------------------------------------------------------------
 
-STATE_SCHEMA = "count long, last_change_ms long, open string, done string"
 OUTPUT_SCHEMA = ("AccountId long, request string, no_of_records long, total_no_of_records long, "
                  "finished boolean, aborted boolean")
+OUTPUT = ["AccountId", "request", "no_of_records", "total_no_of_records", "finished", "aborted"]
+#: the state variable that holds the open requests; empty when nothing is left to follow
+OPEN = "open"
 
 
-def tracker_state_fn(p: TrackerParams = TrackerParams(), *, standing: bool = True):
-    """E01 stream: per-account state machine for ``applyInPandasWithState``.
+class RequestTracker(StatefulProcessor):
+    """E01 stream: the requests of one account, each with its own end.
 
-    Rows are counts of arrivals (``n``) and requests (``asked``: name -> limit). An open request
-    gets a status when the count changes, the first one as soon as there is a count. It is done
-    when the count reaches its limit, or when a processing-time timeout finds no change for
-    ``idle_s``; it aborts when ``abort_s`` after it was made still no row is there.
+    Rows are counts of arrivals (``n``) and requests (``asked``: name -> limit as JSON). An open request
+    gets a status when the count changes, the first one as soon as there is a count. It is done when
+    the count reaches its limit, or when nothing has changed for more than ``idle_s``; it aborts when
+    more than ``abort_s`` after it was made still no row is there. One timer per account stands at the
+    earliest end of its open requests, so an account without open requests has none.
 
-    ``standing`` requests come with every batch: a name that is done stays done while it is asked
-    for, and names no longer asked for are forgotten. Otherwise a request comes once, as a message;
-    the same one is open again when it comes after the end of the first. Accounts that nobody asks
-    for are counted silently.
+    Ended requests leave the state. ``standing`` requests come with every batch: a name that is done
+    stays done while it is asked for. Otherwise a request comes once, as a message; the same one is
+    open again when it comes after the end of the first. Rows that nobody asks for are counted.
     """
-    import json
 
-    import pandas as pd
+    def __init__(self, p: TrackerParams = TrackerParams(), *, standing: bool = True) -> None:
+        self.p, self.standing = p, standing
 
-    columns = ["AccountId", "request", "no_of_records", "total_no_of_records", "finished", "aborted"]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "count long, changed long")
+        self.open = handle.getMapState(OPEN, "request string", "total long, since long")
+        self.done = handle.getMapState("done", "request string", "at long")
+        self.due = handle.getValueState("due", "at long")
 
-    def fn(key, pdfs, state):
-        now_ms = state.getCurrentProcessingTimeMs()
-        count, last_ms, waiting, done = state.get if state.exists else (0, now_ms, "{}", "[]")
-        waiting, done = json.loads(waiting), json.loads(done)  # waiting: name -> [limit, asked at]
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803, ANN001
+        self.seen.update((int(initialState["n"].sum()), timerValues.getCurrentProcessingTimeInMs()))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
         n, asked = 0, {}
-        for pdf in pdfs if not state.hasTimedOut else ():
+        for pdf in rows:
             n += int(pdf["n"].sum())
             for text in pdf["asked"].dropna().unique():
                 asked.update(json.loads(text))
-        count, last_ms = count + n, now_ms if n else last_ms
-        if standing and not state.hasTimedOut:
-            done = [d for d in done if d in asked]
-            waiting = {k: v for k, v in waiting.items() if k in asked}
-        new = {k: [v, now_ms] for k, v in asked.items() if k not in waiting and k not in done}
-        waiting.update(new)
-        told = []
-        for name, (limit, since) in list(waiting.items()):
-            quiet = now_ms - max(last_ms, since)
-            if count and (count >= limit or quiet > p.idle_s * 1000):
-                told.append((key[0], name, count, limit, True, False))
-            elif not count and now_ms - since > p.abort_s * 1000:
-                told.append((key[0], name, 0, limit, False, True))
+        yield from self._turn(key[0], timerValues.getCurrentProcessingTimeInMs(), n, asked, self.standing)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
+        self.due.clear()
+        yield from self._turn(key[0], timerValues.getCurrentProcessingTimeInMs(), 0, {}, False)
+
+    def _turn(self, account: int, now: int, n: int, asked: dict[str, int], only_asked: bool) -> Iterator[pd.DataFrame]:
+        count, changed = self.seen.get() if self.seen.exists() else (0, now)
+        if n or not self.seen.exists():
+            count, changed = count + n, now if n else changed
+            self.seen.update((count, changed))
+        waiting = {k[0]: v for k, v in self.open.iterator()}
+        done = {k[0] for k in self.done.keys()} if self.standing else set()
+        if only_asked:
+            for name in [x for x in waiting if x not in asked]:
+                self.open.removeKey((name,))
+                del waiting[name]
+            for name in [x for x in done if x not in asked]:
+                self.done.removeKey((name,))
+                done.remove(name)
+        new = {k: (int(v), now) for k, v in asked.items() if k not in waiting and k not in done}
+        for name, value in new.items():
+            self.open.updateValue((name,), value)
+        told, ends = [], []
+        for name, (limit, since) in {**waiting, **new}.items():
+            if count:
+                end = max(changed, since) + int(self.p.idle_s * 1000) + 1
+                over = count >= limit or now >= end
             else:
-                if count and (n or name in new):
-                    told.append((key[0], name, count, limit, False, False))
+                end = since + int(self.p.abort_s * 1000) + 1
+                over = now >= end
+            if over:
+                told.append((account, name, count, limit, count > 0, count == 0))
+                self.open.removeKey((name,))
+                if self.standing:
+                    self.done.updateValue((name,), (now,))
                 continue
-            del waiting[name]
-            if standing:
-                done.append(name)
-        state.update((count, last_ms, json.dumps(waiting), json.dumps(done)))
-        if waiting:
-            state.setTimeoutDuration(int(math.ceil(p.poll_s * 1000)))
+            ends.append(end)
+            if count and (n or name in new):
+                told.append((account, name, count, limit, False, False))
+        self._timer(min(ends, default=None))
         if told:
-            yield pd.DataFrame(told, columns=columns)
+            yield pd.DataFrame(told, columns=OUTPUT)
+
+    def _timer(self, at: int | None) -> None:
+        before = self.due.get()[0] if self.due.exists() else None
+        if before == at:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+        if at is None:
+            self.due.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.due.update((at,))
 
-    return fn
+    def close(self) -> None:
+        pass
 
 
 def _task_counts(arrivals: DataFrame) -> DataFrame:
     """(AccountId, n): arrivals counted per task, so a hot account is one row of a task."""
-    import pandas as pd
 
     def run(pdfs):
         total = {}
@@ -164,16 +205,21 @@ def _task_counts(arrivals: DataFrame) -> DataFrame:
             .mapInPandas(run, "AccountId long, n long"))
 
 
-def progress_stream(arrivals_stream: DataFrame, limit: int | DataFrame,
-                    p: TrackerParams = TrackerParams()) -> DataFrame:
+def progress_stream(arrivals_stream: DataFrame, limit: int | DataFrame, p: TrackerParams = TrackerParams(),
+                    *, stored: DataFrame | None = None) -> DataFrame:
     """E01 over a stream of arrivals (AccountId, ...): status rows as they change.
 
     ``limit`` is one number for every account, a table of standing requests (AccountId,
     total_no_of_records and, if there, requested_at), or a stream of requests (AccountId, request,
     total_no_of_records). A stream of requests opens state for an account by itself, so a request
     of an account without any row aborts in time. The requests of an account are one row beside its
-    counts, so several requests do not multiply its arrivals.
+    counts, so several requests do not multiply its arrivals. ``stored`` (AccountId, ...) are rows that
+    were there before the stream began; they count from the first run on.
+
+    Timers wait for the clock, so ``availableNow`` would never end: run it with a processing-time
+    trigger, or for as long as a request is open with ``flows.run_until_closed``.
     """
+    use_timed_state(arrivals_stream.sparkSession)
     counted = _task_counts(arrivals_stream)
     if not isinstance(limit, DataFrame):
         rows = counted.withColumn("asked", F.lit('{"all": %d}' % int(limit)))
@@ -189,5 +235,15 @@ def progress_stream(arrivals_stream: DataFrame, limit: int | DataFrame,
             F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("asked"))
         rows = counted.join(asked, "AccountId", "left")
     standing = not (isinstance(limit, DataFrame) and limit.isStreaming)
-    return rows.groupBy("AccountId").applyInPandasWithState(
-        tracker_state_fn(p, standing=standing), OUTPUT_SCHEMA, STATE_SCHEMA, "append", "ProcessingTimeTimeout")
+    first = None
+    if stored is not None:
+        first = stored.where("AccountId is not null").groupBy(F.col("AccountId").cast("long").alias("AccountId")).agg(
+            F.count(F.lit(1)).alias("n")).groupBy("AccountId")
+    return rows.groupBy("AccountId").transformWithStateInPandas(
+        RequestTracker(p, standing=standing), OUTPUT_SCHEMA, "Append", "ProcessingTime", first)
+
+
+def open_requests(spark: SparkSession, checkpoint: str) -> int:
+    """How many requests the stream at ``checkpoint`` still follows, after its last finished batch."""
+    return (spark.read.format("statestore").option("path", checkpoint).option("stateVarName", OPEN)
+            .load().count())

@@ -181,51 +181,114 @@ def test_tracker_stream_of_requests_counts_and_aborts(spark):
                    "d": (0, 5, False, True)}
 
 
-class _State:
-    """What ``tracker_state_fn`` sees of a group's state, with a clock of its own."""
+class _Handle:
+    """State and timers of one group, as ``RequestTracker`` sees them, with a clock of its own."""
+
+    class Value:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Map(dict):
+        def iterator(self):
+            return iter(list(self.items()))
+
+        def updateValue(self, key, value):  # noqa: N802
+            self[key] = value
+
+        def removeKey(self, key):  # noqa: N802
+            del self[key]
 
     def __init__(self):
-        self.now, self.value, self.hasTimedOut = 0, None, False
+        self.now, self.timers = 0, set()
 
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
+    def getValueState(self, name, schema):  # noqa: N802
+        return self.Value()
 
-    def getCurrentProcessingTimeMs(self):  # noqa: N802
-        return self.now
+    def getMapState(self, name, key, value):  # noqa: N802
+        return self.Map()
 
-    def update(self, value):
-        self.value = value
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
 
-    def setTimeoutDuration(self, ms):  # noqa: N802
-        self.wait = ms
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
 
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.now
 
-def _step(fn, state, at_s, rows=None):
+
+def _step(tracker, handle, at_s, rows=None):
+    """Rows at a time, or what the timers due until then do."""
     import pandas as pd
 
-    state.now, state.hasTimedOut = at_s * 1000, rows is None
-    pdfs = [] if rows is None else [pd.DataFrame(rows, columns=["AccountId", "n", "asked"])]
-    return [tuple(r)[1:] for out in fn((4,), iter(pdfs), state) for r in out.itertuples(index=False)]
+    if rows is None:
+        out = []
+        for t in sorted(t for t in handle.timers if t <= at_s * 1000):
+            handle.now = at_s * 1000
+            handle.timers.remove(t)
+            out += [tuple(r)[1:] for x in tracker.handleExpiredTimer((4,), handle, None) for r in x.itertuples(index=False)]
+        return out
+    handle.now = at_s * 1000
+    pdfs = [pd.DataFrame(rows, columns=["AccountId", "n", "asked"])]
+    return [tuple(r)[1:] for x in tracker.handleInputRows((4,), iter(pdfs), handle) for r in x.itertuples(index=False)]
 
 
-def test_tracker_state_follows_messages():
-    from eventide.streaming.tracker import tracker_state_fn
+def _tracker(standing, **p):
+    from eventide.streaming.tracker import RequestTracker
+
+    handle, tracker = _Handle(), RequestTracker(TrackerParams(**p), standing=standing)
+    tracker.init(handle)
+    return tracker, handle
 
-    fn, s = tracker_state_fn(TrackerParams(poll_s=1, idle_s=10, abort_s=20), standing=False), _State()
-    assert _step(fn, s, 0, [(4, 0, '{"x": 5}')]) == []
-    assert _step(fn, s, 19) == []
-    assert _step(fn, s, 21) == [("x", 0, 5, False, True)]
+
+def test_tracker_state_follows_messages():
+    t, s = _tracker(False, poll_s=1, idle_s=10, abort_s=20)
+    assert _step(t, s, 0, [(4, 0, '{"x": 5}')]) == [] and s.timers == {20_001}
+    assert _step(t, s, 20) == []
+    assert _step(t, s, 21) == [("x", 0, 5, False, True)]
+    # an ended request leaves neither state nor timer
+    assert not t.open and not t.done and not s.timers
     # rows that nobody asks for are counted; the next week's request finds them
-    assert _step(fn, s, 30, [(4, 3, None)]) == []
-    assert _step(fn, s, 900, [(4, 0, '{"x": 5}')]) == [("x", 3, 5, False, False)]
+    assert _step(t, s, 30, [(4, 3, None)]) == [] and not s.timers
+    assert _step(t, s, 900, [(4, 0, '{"x": 5}')]) == [("x", 3, 5, False, False)]
     # the idle time runs from the request, not from the rows of the week before
-    assert _step(fn, s, 909) == []
-    assert _step(fn, s, 910, [(4, 1, None)]) == [("x", 4, 5, False, False)]
-    assert _step(fn, s, 921) == [("x", 4, 5, True, False)]
-    assert _step(fn, s, 2000, [(4, 1, '{"x": 5, "y": 9}')]) == [
+    assert _step(t, s, 909) == []
+    assert _step(t, s, 910, [(4, 1, None)]) == [("x", 4, 5, False, False)] and s.timers == {920_001}
+    assert _step(t, s, 921) == [("x", 4, 5, True, False)]
+    assert _step(t, s, 2000, [(4, 1, '{"x": 5, "y": 9}')]) == [
         ("x", 5, 5, True, False), ("y", 5, 9, False, False)]
 
 
+def test_each_request_has_its_own_end():
+    t, s = _tracker(False, poll_s=1, idle_s=10, abort_s=20)
+    assert _step(t, s, 0, [(4, 0, '{"a": 9}')]) == []
+    assert _step(t, s, 8, [(4, 0, '{"b": 9}')]) == [] and s.timers == {20_001}
+    assert _step(t, s, 21) == [("a", 0, 9, False, True)] and s.timers == {28_001}
+    assert _step(t, s, 25, [(4, 2, '{"c": 2}')]) == [("b", 2, 9, False, False), ("c", 2, 2, True, False)]
+    assert s.timers == {35_001}
+    assert _step(t, s, 36) == [("b", 2, 9, True, False)] and not s.timers and not t.open
+
+
+def test_standing_requests_stay_done_while_they_are_asked_for():
+    t, s = _tracker(True, poll_s=1, idle_s=10, abort_s=20)
+    assert _step(t, s, 0, [(4, 2, '{"a": 2, "b": 7}')]) == [("a", 2, 2, True, False), ("b", 2, 7, False, False)]
+    assert _step(t, s, 1, [(4, 1, '{"a": 2, "b": 7}')]) == [("b", 3, 7, False, False)]
+    assert _step(t, s, 2, [(4, 1, '{"c": 4}')]) == [("c", 4, 4, True, False)]
+    assert not t.open and set(t.done) == {("c",)}
+    assert _step(t, s, 3, [(4, 0, '{"a": 2}')]) == [("a", 4, 2, True, False)]
+
+
 def test_route_requests_hit_and_miss(spark):
     reqs = spark.createDataFrame([(1, None, "a", "churn"), (2, "x", "b", "churn")],
                                  "AccountId long, ApplicationId string, ModelId string, task_type string")

@@ -127,3 +127,67 @@ def test_counts_carry_their_time(spark):
     before = spark.sql("SELECT localtimestamp() AS t").first().t
     row = account_counts(ev, with_time=True).first()
     assert row.n_rows == 2 and before <= row.counted_at <= spark.sql("SELECT localtimestamp() AS t").first().t
+
+
+def test_input_state_follows_every_file(spark, tmp_path):
+    import os
+
+    from eventide.sinks.tables import input_state
+
+    at = f"{tmp_path}/in"
+    spark.range(10).selectExpr("id", "id % 2 AS k").write.partitionBy("k").parquet(at)
+    before = input_state(spark, at)
+    assert input_state(spark, at) == before
+    (part,) = (os.path.join(r, f) for r, _, fs in os.walk(f"{at}/k=1") for f in fs if f.startswith("part-"))
+    folder = os.stat(at).st_mtime_ns
+    with open(part, "r+b") as f:  # same length, same folders, another time
+        f.write(f.read(1))
+    os.utime(part, ns=(1_000_000_000_000, 1_000_000_000_000))
+    assert os.stat(at).st_mtime_ns == folder and input_state(spark, at) != before
+
+
+def test_incomplete_tables_are_replaced(spark, tmp_path):
+    import os
+
+    from eventide.sinks.tables import write_once
+
+    at = f"{tmp_path}/once"
+    spark.range(3).write.parquet(at)
+    os.remove(f"{at}/_SUCCESS")
+    assert write_once(spark, at, lambda: spark.range(5)).count() == 5
+    assert write_once(spark, at, lambda: spark.range(7)).count() == 5
+    assert [f for f in os.listdir(tmp_path) if f != "once"] == []
+
+
+def test_stage_tables_belong_to_their_job(spark):
+    """Threads that store and read inside their own blocks leave each other's tables alone."""
+    import os
+    import threading
+
+    from eventide.session import cut_lineage, stages
+
+    outside = cut_lineage(spark.range(4), "outside")
+    failures, kept = [], []
+
+    def work(k):
+        try:
+            for i in range(6):
+                with stages(spark) as own:
+                    a = cut_lineage(spark.range(100 + k), "a")
+                    with stages(spark):
+                        b = cut_lineage(a.where("id % 2 = 0"), "b")
+                        assert b.count() == (100 + k + 1) // 2
+                    assert a.count() == 100 + k
+                    kept.append(list(own.paths))
+                assert not any(os.path.exists(p) for p in kept[-1]) or len(kept) > 1
+        except Exception as e:  # noqa: BLE001 - reported below
+            failures.append(e)
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert failures == [] and len(kept) == 24
+    assert not any(os.path.exists(p) for paths in kept for p in paths)
+    assert outside.count() == 4

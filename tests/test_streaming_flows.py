@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from eventide.schema import EVENT_SCHEMA
 from eventide.sinks import tables as flows_tables
 from eventide.streaming import flows
+from eventide.streaming.tracker import TrackerParams
 
 
 def _write_lines(path, lines):
@@ -35,8 +36,7 @@ def test_validated_feed_dedupes_and_quarantines(spark):
     raw = flows.read_topic(spark, "events", path=f"{d}/topics")
     valid, quarantine = flows.validated_events(raw)
     q1, q2 = flows.start_feed(valid, quarantine, f"{d}/out", f"{d}/ckpt")
-    q1.awaitTermination(120)
-    q2.awaitTermination(120)
+    assert q1.awaitTermination(120) and q2.awaitTermination(120)
     ev = spark.read.parquet(f"{d}/out/events")
     assert sorted((r.PersonId, str(r.OccurredTime)) for r in ev.collect()) == [
         (7, "2024-01-01 00:00:01"), (8, "2024-01-01 00:00:03")]
@@ -52,7 +52,7 @@ def test_late_events_of_any_age_are_kept(spark):
         _write_lines(f"{d}/topics/events", list(lines))
         valid, quarantine = flows.validated_events(raw)
         for q in flows.start_feed(valid, quarantine, f"{d}/out", f"{d}/ckpt"):
-            q.awaitTermination(120)
+            assert q.awaitTermination(120)
 
     first, late = _event_msg(4, 1, "2024-03-20T10:00:00"), _event_msg(4, 1, "2024-03-02T09:00:00")
     batch(first)
@@ -122,8 +122,6 @@ def test_one_prediction_per_application_and_person(spark, monkeypatch):
 
 
 def test_training_data_requests_start_the_training(spark):
-    from eventide.streaming.tracker import TrackerParams
-
     d = tempfile.mkdtemp(prefix="eventide-data-")
     _write_lines(f"{d}/topics/events", [_event_msg(3, i, "2024-05-01T00:00:0%d" % i) for i in range(4)])
     ask = {"ApplicationId": None, "task_type": "churn"}
@@ -133,14 +131,107 @@ def test_training_data_requests_start_the_training(spark):
     cfg = flows.FlowConfig(events_path="", root_path="", out_topics=f"{d}/out")
     events, _ = flows.validated_events(flows.read_topic(spark, "events", path=f"{d}/topics"))
     asked = flows.read_topic(spark, "start_training_data", path=f"{d}/topics")
-    progress = flows.training_data_progress(asked, events, TrackerParams(poll_s=1, idle_s=60, abort_s=60))
-    flows.run_handler(progress, flows.on_training_data_progress(cfg), f"{d}/ckpt").awaitTermination(120)
+    p = TrackerParams(poll_s=1, idle_s=60, abort_s=4)
+    progress = flows.training_data_progress(asked, events, p)
+    flows.run_until_closed(progress, flows.on_training_data_progress(cfg), f"{d}/ckpt", p)
+    assert not spark.streams.active
     said = [json.loads(r.value) for r in spark.read.text(f"{d}/out/training_data_status").collect()]
     assert said == [{"AccountId": 3, "ModelId": "k", "no_of_records": 4, "total_no_of_records": 4}]
     starts = [json.loads(r.value) for r in spark.read.text(f"{d}/out/training_model_start").collect()]
     assert starts == [{"AccountId": 3, "ModelId": "k", "no_of_records": 4, **ask}]
 
 
+def test_a_later_run_goes_on_with_counts_and_stored_rows(spark):
+    """The second run of the tracker knows what the first has counted; stored events count from the start."""
+    d = tempfile.mkdtemp(prefix="eventide-again-")
+    p = TrackerParams(poll_s=1, idle_s=3, abort_s=3)
+    ask = {"AccountId": 3, "ApplicationId": None, "task_type": "churn"}
+    stored = spark.createDataFrame([(3, i) for i in range(5)], "AccountId long, x long")
+
+    def run(rows, model, limit):
+        _write_lines(f"{d}/topics/events", [_event_msg(3, i, f"2024-05-01T00:00:{i:02d}") for i in rows])
+        _write_lines(f"{d}/topics/start_training_data", [
+            json.dumps({**ask, "ModelId": model, "total_no_of_records": limit})])
+        cfg = flows.FlowConfig(events_path="", root_path="", out_topics=f"{d}/out")
+        events, _ = flows.validated_events(flows.read_topic(spark, "events", path=f"{d}/topics"))
+        asked = flows.read_topic(spark, "start_training_data", path=f"{d}/topics")
+        progress = flows.training_data_progress(asked, events, p, stored=stored)
+        flows.run_until_closed(progress, flows.on_training_data_progress(cfg), f"{d}/ckpt", p)
+        assert not spark.streams.active
+        starts = [json.loads(r.value) for r in spark.read.text(f"{d}/out/training_model_start").collect()]
+        return {r["ModelId"]: r["no_of_records"] for r in starts}
+
+    assert run(range(4), "a", 9) == {"a": 9}
+    # the limit is not reached: the run ends by idle time
+    assert run(range(10, 13), "b", 99) == {"a": 9, "b": 12}
+
+
+def test_handlers_repeated_with_one_epoch_send_nothing_twice(spark, monkeypatch):
+    from eventide.sinks import outbox
+
+    d = tempfile.mkdtemp(prefix="eventide-once-")
+    cfg = flows.FlowConfig(events_path="", root_path=f"{d}/root", out_topics=f"{d}/out")
+    asked = json.dumps({"AccountId": 1, "ApplicationId": None, "ModelId": "m", "task_type": "churn",
+                        "total_no_of_records": 3})
+    rows = spark.createDataFrame([(asked, 3, True, False), (asked, 2, False, False)],
+                                 "request string, no_of_records long, finished boolean, aborted boolean")
+
+    def said(topic):
+        return spark.read.text(f"{d}/out/{topic}").count()
+
+    handle = flows.on_training_data_progress(cfg)
+    # a crash after the staged messages were final, and one between two moves
+    for fail_at in (1, 2):
+        real, calls = outbox.mark_sent, []
+
+        def crash(*a, **k):
+            calls.append(a)
+            if len(calls) == fail_at:
+                raise OSError("lost")
+            return real(*a, **k)
+
+        with monkeypatch.context() as m:
+            m.setattr(outbox, "mark_sent", crash)
+            try:
+                handle(rows, 7)
+                raise AssertionError("the failure was swallowed")
+            except OSError:
+                pass
+        assert said("training_data_status") == 2
+    for _ in range(2):
+        handle(rows, 7)
+        assert (said("training_data_status"), said("training_model_start")) == (2, 1)
+    handle(rows, 8)  # another epoch is another batch
+    assert (said("training_data_status"), said("training_model_start")) == (4, 2)
+
+
+def test_a_restarted_query_sends_what_the_lost_batch_did_not(spark):
+    """The batch fails between its two topics; the query's next start repeats it with the same epoch."""
+    d = tempfile.mkdtemp(prefix="eventide-replay-")
+    _write_lines(f"{d}/in/start", [json.dumps({"AccountId": 5, "ApplicationId": None, "ModelId": "m",
+                                               "task_type": "churn", "total_no_of_records": 2})])
+    cfg = flows.FlowConfig(events_path="", root_path="", out_topics=f"{d}/out")
+    raw = flows.read_topic(spark, "start", path=f"{d}/in")
+    runs = []
+
+    def handle(batch, epoch):
+        send = flows.Sender(cfg, batch, "test", epoch)
+        rows = flows._parse(batch, flows.TRAINING_REQUEST)
+        send(rows, flows.TRAINING_REQUEST, "one")
+        runs.append(send.run)
+        if len(runs) == 1:
+            raise OSError("lost")
+        send(rows, flows.TRAINING_REQUEST, "two")
+
+    for _ in range(2):
+        try:
+            flows.run_handler(raw, handle, f"{d}/ckpt").awaitTermination(60)
+        except Exception as e:  # noqa: BLE001 - the query's own exception
+            assert "lost" in str(e)
+    assert len(runs) == 2 and runs[0] == runs[1] and "direct" not in runs[0]
+    assert spark.read.text(f"{d}/out/one").count() == spark.read.text(f"{d}/out/two").count() == 1
+
+
 def _events_table(spark, path):
     base = datetime.now(timezone.utc).replace(tzinfo=None).replace(microsecond=0) - timedelta(days=150)
     rows = []
