@@ -414,12 +414,12 @@ def q_prediction_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    from eventide.plans import catalog_model  # noqa: F401  (registers the model / flow queries)
+    from eventide.plans import catalog_learn, catalog_model  # noqa: F401  (registers the model / flow queries)
 
     return dict(QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    from eventide.plans import catalog_model  # noqa: F401
+    from eventide.plans import catalog_learn, catalog_model  # noqa: F401
 
     return dict(ORACLES)

@@ -138,7 +138,7 @@ def test_input_state_follows_every_file(spark, tmp_path):
     spark.range(10).selectExpr("id", "id % 2 AS k").write.partitionBy("k").parquet(at)
     before = input_state(spark, at)
     assert input_state(spark, at) == before
-    (part,) = (os.path.join(r, f) for r, _, fs in os.walk(f"{at}/k=1") for f in fs if f.startswith("part-"))
+    part, *_ = (os.path.join(r, f) for r, _, fs in os.walk(f"{at}/k=1") for f in fs if f.startswith("part-"))
     folder = os.stat(at).st_mtime_ns
     with open(part, "r+b") as f:  # same length, same folders, another time
         f.write(f.read(1))
