@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -86,45 +87,48 @@ def next_event_at(events: DataFrame, t0: datetime) -> DataFrame:
 
 
 def histories_for_samples(events: DataFrame, samples: DataFrame, history_size: int, *,
-                          chunk_days: float = 1.0, materialize: bool = True) -> DataFrame:
+                          chunk_days: float = 1.0, materialize: bool = True,
+                          by: Sequence[str] = ()) -> DataFrame:
     """J05 + J06 for many (PersonId, t0) samples (positional equi-join design).
 
     ``samples`` must be distinct on (PersonId, t0). Output: PersonId, t0, history,
-    history_len, next_event, plus any extra sample columns carried through.
+    history_len, next_event, plus any extra sample columns carried through. With ``by`` (such as
+    AccountId, ModelId) a person has a log of its own under every key, and so have its samples.
     """
     h = int(history_size)
     chunk_us = max(1, int(chunk_days * DAY_US))
     etype = _elem_type(events)
-    extra = [c for c in samples.columns if c not in ("PersonId", "t0")]
+    person = ["PersonId", *by]
+    extra = [c for c in samples.columns if c not in (*person, "t0")]
     ev = events.select(
-        "PersonId", epoch_us("OccurredTime").alias("_t"), F.lit(1).alias("_kind"),
-        *HISTORY_FIELDS)
+        "PersonId", *[c for c in by if c not in HISTORY_FIELDS], epoch_us("OccurredTime").alias("_t"),
+        F.lit(1).alias("_kind"), *HISTORY_FIELDS)
     # extra sample columns ride along on the sample rows (no join back to the samples)
-    sm = samples.select("PersonId", epoch_us("t0").alias("_t"), F.lit(0).alias("_kind"),
+    sm = samples.select(*person, epoch_us("t0").alias("_t"), F.lit(0).alias("_kind"),
                         "t0", *extra)
     u = ev.unionByName(sm, allowMissingColumns=True)
     order = [F.col("_t"), F.col("_kind"), F.col("OccurredTimeTicks"), F.col("DefinitionId"),
              F.col("EventKey")]
-    r = chunked_running_sum(u, ["PersonId"], "_t", order, "_kind", chunk_us, out="_run")
+    r = chunked_running_sum(u, person, "_t", order, "_kind", chunk_us, out="_run")
     if materialize:
         r = cut_lineage(r, "event_positions")
     ev_pos = r.where(F.col("_kind") == 1).select(
-        "PersonId", F.col("_run").alias("_pos"), event_struct().alias("_e"))
-    sm_c = r.where(F.col("_kind") == 0).select("PersonId", "t0", F.col("_run").alias("_c"),
+        *person, F.col("_run").alias("_pos"), event_struct().alias("_e"))
+    sm_c = r.where(F.col("_kind") == 0).select(*person, "t0", F.col("_run").alias("_c"),
                                                *extra)
     want = sm_c.select(
-        "PersonId", "t0", "_c", *extra,
+        *person, "t0", "_c", *extra,
         F.explode(F.sequence(F.greatest(F.col("_c") - F.lit(h - 1), F.lit(1)).cast("bigint"),
                              (F.col("_c") + 1).cast("bigint"))).alias("_pos"))
-    got = want.join(ev_pos, ["PersonId", "_pos"], "left")
-    agg = got.groupBy("PersonId", "t0").agg(
+    got = want.join(ev_pos, [*person, "_pos"], "left")
+    agg = got.groupBy(*person, "t0").agg(
         F.sort_array(F.collect_list(F.when(F.col("_pos") <= F.col("_c"), F.col("_e"))))
         .alias("_h"),
         F.max(F.when(F.col("_pos") == F.col("_c") + 1, F.col("_e"))).alias("next_event"),
         *[F.first(c).alias(c) for c in extra],
     )
     return agg.select(
-        "PersonId", "t0",
+        *person, "t0",
         pad_left(F.col("_h"), h, etype).alias("history"),
         F.size("_h").cast("int").alias("history_len"),
         "next_event", *extra,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,29 +11,29 @@ from eventide.session import cut_lineage
 
 
 def classification_metrics(scored: DataFrame, *, score: str = "score", actual: str = "actual",
-                           threshold: float = 0.5) -> DataFrame:
-    """Auc, f1, precission, recall, accuracy (the message's field spelling), n.
+                           threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
+    """[by,] auc, f1, precission, recall, accuracy (the message's field spelling), n.
 
     AUC is the rank-sum statistic with ties counted half, over the exact scores. Equal scores are
     summed first; the distinct scores are dealt to ranges, counted inside each range, and offset by
     the totals of the ranges below, so no task orders more than one range.
     """
     rows = scored.where(F.col(score).isNotNull()).select(
-        F.col(score).alias("_s"), F.col(actual).cast("int").alias("_y"))
-    per_score = rows.groupBy("_s").agg(
+        *by, F.col(score).alias("_s"), F.col(actual).cast("int").alias("_y"))
+    per_score = rows.groupBy(*by, "_s").agg(
         F.sum(F.col("_y")).alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg"))
-    ranged = cut_lineage(per_score.repartitionByRange("_s").withColumn("_p", F.spark_partition_id()),
+    ranged = cut_lineage(per_score.repartitionByRange(*by, "_s").withColumn("_p", F.spark_partition_id()),
                          "scores")
-    lower = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    start = ranged.groupBy("_p").agg(F.sum("_neg").alias("_n")).select(
-        F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_start"))
-    below = Window.partitionBy("_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    start = ranged.groupBy(*by, "_p").agg(F.sum("_neg").alias("_n")).select(
+        *by, "_p", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_start"))
+    below = Window.partitionBy(*by, "_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     terms = (ranged.withColumn("_in", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
-             .join(start, F.col("_p") == F.col("_q"))
-             .select("_s", "_pos", "_neg",
+             .join(start, [*by, "_p"])
+             .select(*by, "_s", "_pos", "_neg",
                      (F.col("_pos") * (F.col("_start") + F.col("_in") + 0.5 * F.col("_neg"))).alias("_t")))
     hi = F.col("_s") >= F.lit(threshold)
-    m = terms.agg(
+    m = terms.groupBy(*by).agg(
         (F.sum("_t") / F.nullif(F.sum("_pos") * F.sum("_neg"), F.lit(0))).alias("auc"),
         F.sum(F.when(hi, F.col("_pos")).otherwise(0)).cast("double").alias("tp"),
         F.sum(F.when(hi, F.col("_neg")).otherwise(0)).cast("double").alias("fp"),
@@ -41,7 +43,7 @@ def classification_metrics(scored: DataFrame, *, score: str = "score", actual: s
     prec = tp / F.nullif(tp + fp, F.lit(0.0))
     rec = tp / F.nullif(tp + fn, F.lit(0.0))
     return m.select(
-        "auc",
+        *by, "auc",
         (2 * prec * rec / F.nullif(prec + rec, F.lit(0.0))).alias("f1"),
         prec.alias("precission"),
         rec.alias("recall"),

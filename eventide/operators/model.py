@@ -7,6 +7,8 @@ labelled training samples. The segment is the type of the last history event; a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,18 +25,21 @@ def segment_of(history: str = "history") -> Column:
 
 
 def bucket_pdf(samples: DataFrame, *, alpha: float = 1.0,
-               n_classes: int = len(BUCKET_EDGES_DAYS) + 1) -> DataFrame:
-    """segment, n, pdf ARRAY<DOUBLE>(n_classes). Samples without a label are dropped (Q9)."""
+               n_classes: int = len(BUCKET_EDGES_DAYS) + 1, by: Sequence[str] = ()) -> DataFrame:
+    """[by,] segment, n, pdf ARRAY<DOUBLE>(n_classes). Samples without a label are dropped (Q9).
+
+    With ``by`` (AccountId, ModelId) every key has a model of its own, all counted in one job.
+    """
     lab = samples.where(F.col("label").isNotNull()).select(
-        segment_of().alias("segment"), "label")
-    both = lab.unionByName(lab.select(F.lit(GLOBAL_SEGMENT).alias("segment"), "label"))
-    counts = both.groupBy("segment").agg(
+        *by, segment_of().alias("segment"), "label")
+    both = lab.unionByName(lab.withColumn("segment", F.lit(GLOBAL_SEGMENT)))
+    counts = both.groupBy(*by, "segment").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(F.when(F.col("label") == k, 1).otherwise(0)).alias(f"_c{k}")
           for k in range(n_classes)])
     denom = F.col("n") + F.lit(alpha * n_classes)
     return counts.select(
-        "segment", F.col("n").cast("bigint").alias("n"),
+        *by, "segment", F.col("n").cast("bigint").alias("n"),
         F.array(*[(F.col(f"_c{k}") + F.lit(alpha)) / denom for k in range(n_classes)])
         .alias("pdf"))
 

@@ -16,6 +16,7 @@ A slot with no candidate yields no sample. Samples are distinct on (PersonId, t0
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -40,10 +41,14 @@ def random_second(lo_us: Column, hi_us: Column, u: Column) -> Column:
         lo_us + F.floor(u * range_s).cast("bigint") * F.lit(SECOND_US))
 
 
-def person_summary(events: DataFrame, seed: int, buckets: int, group: str | None = None
+def _columns(group: str | Sequence[str] | None) -> list[str]:
+    return [] if group is None else [group] if isinstance(group, str) else list(group)
+
+
+def person_summary(events: DataFrame, seed: int, buckets: int, group: str | Sequence[str] | None = None
                    ) -> DataFrame:
     """One row per person (and group): first / last event time, row count, logical bucket."""
-    g = [group] if group else []
+    g = _columns(group)
     persons = events.groupBy("PersonId", *g).agg(
         F.min("OccurredTime").alias("_first"), F.max("OccurredTime").alias("_last"),
         F.count(F.lit(1)).alias("_rows"))
@@ -54,23 +59,23 @@ def sample_points(events: DataFrame | None, *, min_time: datetime | Column | Non
                   max_time: datetime | Column | None = None, history_size: int,
                   buckets: int = 16, seed: int = 42,
                   persons: DataFrame | None = None, materialize: bool = True,
-                  group: str | None = None, bounds: DataFrame | None = None) -> DataFrame:
+                  group: str | Sequence[str] | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """(PersonId, t0, [group,] bucket, slot).
 
     ``persons`` may be a precomputed :func:`person_summary` (it is read twice: bucket totals
     and candidate ranks). With ``group`` (e.g. the split) buckets, budgets and t0 ranges are
     per group and ``bounds`` gives each group's range as (group, _lo_us, _hi_us) - one row per
-    group, broadcast. With ``materialize`` the running counts are a lineage cut, since both the
+    group, broadcast for one column of groups. With ``materialize`` the running counts are a lineage cut, since both the
     person ranks and the slot picks are read from them.
     """
-    g = [group] if group else []
+    g = _columns(group)
     if persons is None:
         persons = person_summary(events, seed, buckets, group)
     bstats = persons.groupBy(*g, "bucket").agg(
         F.sum("_rows").alias("_rows"), F.min("_first").alias("_bmin"),
         F.max("_last").alias("_bmax"))
     if bounds is not None:
-        bstats = bstats.join(F.broadcast(bounds), g)
+        bstats = bstats.join(F.broadcast(bounds) if len(g) == 1 else bounds, g)
         lo, hi = F.col("_lo_us"), F.col("_hi_us")
     else:
         lo, hi = epoch_us(ts_lit(min_time)), epoch_us(ts_lit(max_time))

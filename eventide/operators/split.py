@@ -9,6 +9,8 @@ small histogram, and a row_number inside each prefix. Global rank = persons in e
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,24 +22,29 @@ def split_key(seed: int) -> F.Column:
 
 
 def user_split(events: DataFrame, *, ratio: float = SPLIT_RATIO, seed: int = 42,
-               prefix_hex: int = 4) -> DataFrame:
-    """PersonId -> split ('train' | 'validation') and the global rank."""
-    persons = events.select("PersonId").distinct().withColumn("_key", split_key(seed))
+               prefix_hex: int = 4, by: Sequence[str] = ()) -> DataFrame:
+    """PersonId -> split ('train' | 'validation') and the global rank.
+
+    With ``by`` (such as AccountId, ModelId) the persons of every key are split for themselves, in the
+    same jobs and as they would be alone.
+    """
+    persons = events.select(*by, "PersonId").distinct().withColumn("_key", split_key(seed))
     persons = persons.withColumn("_prefix", F.substring("_key", 1, prefix_hex))
-    hist = persons.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    hist = persons.groupBy(*by, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     hist = hist.select(
-        "_prefix",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_prefix").rowsBetween(
+        *by, "_prefix",
+        F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_prefix").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy()).alias("_total"),
+        F.sum("_n").over(Window.partitionBy(*by)).alias("_total"),
     )
-    inside = Window.partitionBy("_prefix").orderBy("_key", "PersonId")
+    inside = Window.partitionBy(*by, "_prefix").orderBy("_key", "PersonId")
     ranked = persons.withColumn("_r", F.row_number().over(inside))
-    joined = ranked.join(F.broadcast(hist), "_prefix")
+    # one histogram is bounded; one per key is not
+    joined = ranked.join(hist if by else F.broadcast(hist), [*by, "_prefix"])
     k = F.floor(F.col("_total") * F.lit(float(ratio)))
     rank = (F.col("_before") + F.col("_r")).cast("bigint")
     return joined.select(
-        "PersonId",
+        *by, "PersonId",
         rank.alias("split_rank"),
         F.when(rank <= k, F.lit("train")).otherwise(F.lit("validation")).alias("split"),
     )

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.operators import context_tree as CT
+from eventide.operators import newton as N
 from eventide.operators.metrics import mean_log_loss
 from eventide.operators.model import attach_pdf, bucket_pdf
 from eventide.plans import sqlparts as S
 from eventide.plans.catalog import EVP, register
 from eventide.plans.catalog_model import _dbl, _pdf_cols, _pdf_ctes, _pdf_pick, _sets, _train_ctes
+from eventide.session import cut_lineage
 
 N_CLASSES = CT.N_CLASSES
 
@@ -89,3 +91,31 @@ def q_context_log_loss(spark: SparkSession, sf: str) -> DataFrame:
     a, b = (F.round(F.max(F.when(F.col("k") == k, F.col("log_loss"))), 6) for k in (0, 1))
     return both.agg(a.alias("log_loss"), F.max(F.when(F.col("k") == 0, F.col("n"))).alias("n"),
                     b.alias("last_type_log_loss")).withColumn("better", F.expr("log_loss < last_type_log_loss"))
+
+
+# ---- M02: all models in one fit ---------------------------------------------------------------
+
+def _model_of(person: str = "PersonId") -> list:
+    """The models of the test tables follow from the person (see ``sources.tables``)."""
+    return [F.pmod(F.col(person), F.lit(5)).cast("bigint").alias("AccountId"),
+            F.concat(F.lit("churn-"), F.pmod(F.col(person), F.lit(2)).cast("string")).alias("ModelId")]
+
+
+@register("model_regressions", S.with_ctes(*_train_ctes(S.EV_EVENTS, EVP)) + """
+SELECT CAST(PersonId % 5 AS BIGINT) AS AccountId, 'churn-' || CAST(PersonId % 2 AS VARCHAR) AS ModelId,
+       CAST(count(*) AS BIGINT) AS n, true AS converged, true AS at_minimum, """ + ", ".join(
+    f"round({_dbl(f'sum(CASE WHEN label = {k} THEN 1 ELSE 0 END)')}, 4) AS expected{k}" for k in range(N_CLASSES)) + """
+FROM ts WHERE g = 'train' AND label IS NOT NULL GROUP BY 1, 2""")
+def q_model_regressions(spark: SparkSession, sf: str) -> DataFrame:
+    """One regression per (AccountId, ModelId), all fitted at once.
+
+    At the minimum the free intercepts make each model expect as many samples of every bucket as its
+    training samples hold, which is what the SQL counts.
+    """
+    train, _ = _sets(spark, sf, "events")
+    by = ["AccountId", "ModelId"]
+    rows = train.where("label is not null").select(*_model_of(), "label", *N.history_features())
+    models = cut_lineage(N.fit_all(N.sufficient(rows, by, N.FEATURES), by), "regressions")
+    expected = N.predict_all(rows, models, by, N.FEATURES).groupBy(*by).agg(
+        *[F.round(F.sum(F.col("pdf").getItem(k)), 4).alias(f"expected{k}") for k in range(N_CLASSES)])
+    return models.select(*by, "n", "converged", (F.col("gradient_max") < 1e-6).alias("at_minimum")).join(expected, by)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import timedelta
 
@@ -59,27 +59,40 @@ def test_set(events: DataFrame, p: PrepParams, max_time=None) -> DataFrame:
     return with_label(samples.withColumn("t0", ts_lit(horizon)), label_from=p.label_from)
 
 
-def prepared_samples(raw: DataFrame, p: PrepParams, group: str | None = None) -> DataFrame:
+def test_set_by(events: DataFrame, p: PrepParams, by: Sequence[str]) -> DataFrame:
+    """H05 for every key of ``by`` in the same jobs, each at its own horizon."""
+    persons = events.groupBy(*by, "PersonId").agg(F.min("OccurredTime").alias("_first"), F.max("OccurredTime").alias("_last"))
+    persons = cut_lineage(persons, "persons")
+    ends = persons.groupBy(*by).agg((F.max("_last") - F.expr(f"INTERVAL {int(p.horizon_days)} DAYS")).alias("t0"))
+    samples = persons.join(ends, list(by)).where(F.col("_first") < F.col("t0")).select(*by, "PersonId", "t0")
+    out = histories_for_samples(events, samples, p.history_size, chunk_days=p.chunk_days, by=by)
+    recent = last_history_time() > F.col("t0") - F.expr(f"INTERVAL {int(p.horizon_days)} DAYS")
+    return with_label(out.where(recent), label_from=p.label_from)
+
+
+def prepared_samples(raw: DataFrame, p: PrepParams, group: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """P05 + J05/J06: sample (person, t0) over [data min, data max - h] and build histories.
 
     With ``group`` (a column such as the split) every group is sampled over its own range in
-    the same jobs; a person must belong to one group. The per-person summary is computed once
+    the same jobs; a person must belong to one group. With ``by`` as well, this holds for every key of
+    ``by`` by itself. The per-person summary is computed once
     and supplies both the time bounds and the sampling candidates; the sample points are a
     lineage cut.
     """
-    g = [group] if group else []
-    persons = cut_lineage(person_summary(raw, p.seed, p.sample_buckets, group), "persons")
+    g = [*by, group] if group else list(by)
+    persons = cut_lineage(person_summary(raw, p.seed, p.sample_buckets, g), "persons")
     bounds = persons.groupBy(*g).agg(
         epoch_us(F.min("_first")).alias("_lo_us"),
         (epoch_us(F.max("_last")) - F.lit(p.horizon_days * DAY_US)).alias("_hi_us"))
-    if not group:
+    if not g:
         bounds = bounds.withColumn("_one", F.lit(1))
         persons = persons.withColumn("_one", F.lit(1))
     pts = sample_points(None, history_size=p.history_size, buckets=p.sample_buckets,
                         seed=p.seed, persons=persons,
-                        group=group or "_one", bounds=bounds)
+                        group=g or "_one", bounds=bounds)
     pts = pts.drop("_one")
-    samples = histories_for_samples(raw.drop(*g), pts, p.history_size, chunk_days=p.chunk_days)
+    log = raw.drop(group) if group else raw
+    samples = histories_for_samples(log, pts, p.history_size, chunk_days=p.chunk_days, by=by)
     return with_label(samples, label_from=p.label_from)
 
 
@@ -102,6 +115,17 @@ def split_raw(events: DataFrame, p: PrepParams, max_time=None) -> DataFrame:
     return cut_lineage(tagged, "split_raw")
 
 
+def split_raw_by(events: DataFrame, p: PrepParams, by: Sequence[str]) -> DataFrame:
+    """``split_raw`` for every key of ``by`` (such as AccountId, ModelId), each as it would be alone."""
+    days = F.expr(f"INTERVAL {int(p.horizon_days)} DAYS")
+    ends = cut_lineage(events.groupBy(*by).agg((F.max("OccurredTime") - days).alias("_cut")), "ends")
+    before = events.join(ends, list(by)).where(F.col("OccurredTime") < F.col("_cut"))
+    persons = before.where(F.col("OccurredTime") < F.col("_cut") - days).select(*by, "PersonId")
+    split = user_split(persons, ratio=p.split_ratio, seed=p.seed, by=by)
+    tagged = before.drop("_cut").join(split.select(*by, "PersonId", "split"), [*by, "PersonId"])
+    return cut_lineage(tagged, "split_raw")
+
+
 def train_validation_raw(events: DataFrame, p: PrepParams, max_time=None
                          ) -> tuple[DataFrame, DataFrame]:
     """The train rows and the validation rows of :func:`split_raw`."""
@@ -110,12 +134,16 @@ def train_validation_raw(events: DataFrame, p: PrepParams, max_time=None
             tagged.where(F.col("split") == "validation").drop("split"))
 
 
-def train_validation_samples(events: DataFrame, p: PrepParams) -> DataFrame:
+def train_validation_samples(events: DataFrame, p: PrepParams, by: Sequence[str] = ()) -> DataFrame:
     """H06 in one pass: train and validation samples with a ``split`` column.
 
+    With ``by`` the samples of every key are those it would have alone, from the same jobs.
+
     Both sets go through the same sampling and history jobs keyed by split (each person is in
     exactly one split), instead of two separate runs of the whole chain.
     """
+    if by:
+        return prepared_samples(split_raw_by(events, p, by), p, group="split", by=by)
     return prepared_samples(split_raw(events, p), p, group="split")
 
 

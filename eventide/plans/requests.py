@@ -81,11 +81,15 @@ def ready_to_train(statuses: DataFrame, account_id: int | None = None,
 
 def metrics_messages(requests: DataFrame, metrics: DataFrame, timestamp: datetime,
                      task_type: str = SUPPORTED_TASK_TYPE) -> DataFrame:
-    """A09 as messages: the one row of metrics of a model for each request of it.
+    """A09 as messages: a model's row of metrics for each request of it.
 
-    A metric without a value (all persons of one kind, say) leaves an incomplete message, which is
-    not sent.
+    ``metrics`` is one row, for all requests, or has a row per (AccountId, ModelId). A metric without
+    a value (all persons of one kind, say) leaves an incomplete message, which is not sent.
     """
+    if set(MODEL_KEY) <= set(metrics.columns):
+        numbers = [c for c in metrics.columns if c not in MODEL_KEY]
+        rows = requests.join(metrics.dropna(subset=numbers), MODEL_KEY)
+        return _project(rows.withColumns({"timestamp": F.lit(timestamp), "task_type": F.lit(task_type)}), MODEL_METRICS)
     row = metrics.first()  # seven numbers
     values = {f.name: row[f.name] for f in MODEL_METRICS.fields if f.name in metrics.columns}
     if any(v is None for v in values.values()):

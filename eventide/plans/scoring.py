@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -15,7 +16,7 @@ from eventide.functions.time import epoch_us, ts_lit
 from eventide.operators.history import HISTORY_FIELDS, event_struct, pad_left
 from eventide.operators.metrics import classification_metrics
 from eventide.operators.model import bucket_pdf, score_histories
-from eventide.plans.preprocess import PrepParams, test_set
+from eventide.plans.preprocess import PrepParams, test_set, test_set_by
 from eventide.session import cut_lineage
 
 REQUEST_KEYS = ["AccountId", "ApplicationId", "ModelId"]
@@ -83,15 +84,17 @@ def score_requests(events: DataFrame, requests: DataFrame, pdf: DataFrame,
 
 
 def horizon_metrics(events: DataFrame, pdf: DataFrame, p: PrepParams,
-                    time_to_churn: float = BUCKET_EDGES_DAYS[-1]) -> DataFrame:
+                    time_to_churn: float = BUCKET_EDGES_DAYS[-1], by: Sequence[str] = ()) -> DataFrame:
     """A09 on the test set (H05): scores at the horizon against whether the person stayed away.
 
-    A person has churned without an event in the ``time_to_churn`` days from the horizon on.
+    A person has churned without an event in the ``time_to_churn`` days from the horizon on. With ``by``
+    one row per key, all models at once.
     """
-    scored = score_histories(test_set(events, p), pdf, F.col("t0"), time_to_churn)
+    tests = test_set_by(events, p, by) if by else test_set(events, p)
+    scored = score_histories(tests, pdf, F.col("t0"), time_to_churn)
     away = epoch_us(F.col("next_event.OccurredTime")) - epoch_us("t0") >= F.lit(int(time_to_churn * DAY_US))
     return classification_metrics(
-        scored.withColumn("actual", (F.col("next_event").isNull() | away).cast("int")))
+        scored.withColumn("actual", (F.col("next_event").isNull() | away).cast("int")), by=by)
 
 
 @dataclass
@@ -138,6 +141,25 @@ class ChurnPipeline:
         return cls(pdf=spark.read.parquet(path), **kw)
 
 
+MODEL_KEY = ["AccountId", "ModelId"]
+
+
+def save_models(pdf: DataFrame, registry_path: str, trained_at: datetime) -> None:
+    """M05 for all models of a table (AccountId, ModelId, segment, n, pdf) in two writes.
+
+    The models first, then their registry rows, so the registry names no model that is not there.
+    """
+    day = trained_at.strftime("%Y-%m-%d")
+    models = os.path.join(registry_path, "models")
+    (pdf.withColumn("trained_on", F.lit(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("AccountId", "ModelId", "trained_on").parquet(models))
+    path = F.concat(F.lit(f"{models}/AccountId="), F.col("AccountId").cast("string"), F.lit("/ModelId="), "ModelId",
+                    F.lit(f"/trained_on={day}"))
+    (pdf.select(F.col("AccountId").cast("bigint").alias("AccountId"), F.col("ModelId").cast("string").alias("ModelId"))
+     .distinct().select("*", path.alias("model_path"), F.lit(trained_at).cast("timestamp_ntz").alias("trained_at"))
+     .write.mode("append").parquet(os.path.join(registry_path, "registry")))
+
+
 def trained_today(spark: SparkSession, registry_path: str, day: str) -> DataFrame:
     """(AccountId, ModelId) already trained on ``day`` - reuse instead of retraining."""
     reg = spark.read.parquet(os.path.join(registry_path, "registry"))

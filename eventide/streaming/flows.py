@@ -222,63 +222,75 @@ def on_training_model_start(cfg: FlowConfig) -> Callable[[DataFrame, int], None]
 
 
 def model_extract(extract: DataFrame) -> DataFrame:
-    """The training events of one model among the extracts of its applications.
+    """The training events of each model (AccountId, ModelId) among the extracts of its applications.
 
     An extract without application holds all events of the account, so it stands for the others;
     without one, the applications' extracts are disjoint and all are used. No event appears twice.
     """
-    whole = extract.where("ApplicationId is null")
-    return whole if whole.limit(1).count() else extract
+    key = ["AccountId", "ModelId"]
+    whole = extract.where("ApplicationId is null").select(*key).distinct().withColumn("_whole", F.lit(True))
+    return extract.join(whole, key, "left").where("_whole is null or ApplicationId is null").drop("_whole")
 
 
 def on_training_model_status(cfg: FlowConfig) -> Callable[[DataFrame, int], None]:
     """F08 gate -> preprocess (step 1) -> fit (step 2), register, metrics -> prediction request.
 
-    A model is (AccountId, ModelId), however many applications asked for it: it trains once, as its
-    own set of distributed jobs; the loop is over models, never over persons or events. Each status
-    goes out when its step has been done, so a failure leaves no 100 % behind.
+    A model is (AccountId, ModelId), however many applications asked for it, and trains once. All models
+    of a batch are prepared, fitted, saved and measured in the same jobs, keyed by model; nothing loops
+    over them. Each status goes out when its step has been done; a model that got no fit (no events
+    left to learn from) has no 100 % of step 2 and no prediction request.
     """
-    from eventide.plans.preprocess import PrepParams, train_validation_sets
+    from eventide.operators.model import bucket_pdf
+    from eventide.plans.preprocess import PrepParams, train_validation_samples
     from eventide.plans.requests import (metrics_messages, prediction_requests, ready_to_train,
                                          training_status_steps)
-    from eventide.plans.scoring import ChurnPipeline, horizon_metrics, trained_today
+    from eventide.plans.scoring import MODEL_KEY, horizon_metrics, save_models, trained_today
     from eventide.sinks.tables import read_run_table
 
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        ready = ready_to_train(_parse(batch, TRAINING_MODEL_STATUS)).select(
-            "AccountId", "ApplicationId", "ModelId").distinct()
-        steps = training_status_steps(ready)
-
-        def tell(step: int, share: float) -> None:
-            publish(steps.where((F.col("current_step") == step) & (F.col("current_step_percentage") == share)),
-                    TRAINING_MODEL_STATUS, "training_model_status", bootstrap=cfg.bootstrap, path=cfg.out_topics)
-
+        send = Sender(cfg, batch, "model-status", epoch)
         p = PrepParams(horizon_days=cfg.horizon_days, history_size=cfg.history_size)
         today = datetime.now(timezone.utc).replace(tzinfo=None)
         day = today.strftime("%Y-%m-%d")
-        todo = ready.select("AccountId", "ModelId").distinct()
-        if path_exists(spark, f"{cfg.root_path}/registry"):
-            # A model already trained today is reused, not trained again
-            todo = todo.join(trained_today(spark, cfg.root_path, day), ["AccountId", "ModelId"], "left_anti")
+        registry = f"{cfg.root_path}/registry"
+
+        def tell(asked: DataFrame, step: int, share: float) -> None:
+            rows = training_status_steps(asked).where(
+                (F.col("current_step") == step) & (F.col("current_step_percentage") == share))
+            send(rows, TRAINING_MODEL_STATUS, "training_model_status", f"{step}-{share}")
+
         with stages(spark):
-            tell(1, 0.0)
-            sets = []
-            for r in todo.collect():  # one row per model (bounded by the registry)
-                ev = model_extract(read_run_table(spark, f"{cfg.root_path}/extract", account_id=r.AccountId,
-                                                  model_id=r.ModelId, dt=day))
-                sets.append((r, ev, cut_lineage(train_validation_sets(ev, p)[0], "train")))
-            tell(1, 1.0)
-            tell(2, 0.0)
-            for r, ev, train in sets:
-                model = ChurnPipeline(history_size=cfg.history_size).fit(train)
-                model.save(spark, cfg.root_path, r.AccountId, r.ModelId, today)
-                asked = ready.where((F.col("AccountId") == r.AccountId) & (F.col("ModelId") == r.ModelId))
-                publish(metrics_messages(asked, horizon_metrics(ev, model.pdf, p), today), MODEL_METRICS,
-                        "model_metrics", bootstrap=cfg.bootstrap, path=cfg.out_topics)
-            tell(2, 1.0)
-        publish(prediction_requests(ready), START_PREDICTION, "start_prediction",
-                bootstrap=cfg.bootstrap, path=cfg.out_topics)
+            ready = cut_lineage(ready_to_train(_parse(batch, TRAINING_MODEL_STATUS)).select(
+                "AccountId", "ApplicationId", "ModelId").distinct(), "ready")
+            if not ready.limit(1).count():
+                return
+            todo = ready.select(*MODEL_KEY).distinct()
+            if path_exists(spark, registry):
+                # A model already trained today is reused, not trained again
+                todo = todo.join(trained_today(spark, cfg.root_path, day), MODEL_KEY, "left_anti")
+            todo = cut_lineage(todo, "todo")
+            tell(ready, 1, 0.0)
+            if todo.limit(1).count() and path_exists(spark, f"{cfg.root_path}/extract"):
+                extract = read_run_table(spark, f"{cfg.root_path}/extract", dt=day).join(todo, MODEL_KEY, "left_semi")
+                events = cut_lineage(model_extract(extract), "model-events")
+                samples = train_validation_samples(events, p, MODEL_KEY)
+                train = cut_lineage(samples.where("split = 'train'"), "train")
+                tell(ready, 1, 1.0)
+                tell(ready, 2, 0.0)
+                pdf = cut_lineage(bucket_pdf(train, by=MODEL_KEY), "models")
+                if pdf.limit(1).count():
+                    save_models(pdf, cfg.root_path, today)
+                    asked = ready.join(todo, MODEL_KEY, "left_semi")
+                    send(metrics_messages(asked, horizon_metrics(events, pdf, p, by=MODEL_KEY), today), MODEL_METRICS,
+                         "model_metrics")
+            else:
+                tell(ready, 1, 1.0)
+                tell(ready, 2, 0.0)
+            if path_exists(spark, registry):
+                done = ready.join(trained_today(spark, cfg.root_path, day), MODEL_KEY, "left_semi")
+                tell(done, 2, 1.0)
+                send(prediction_requests(done), START_PREDICTION, "start_prediction")
 
     return handle
 
