@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventide.config import DAY_US
+from eventide.functions.time import epoch_us, ts_text
 from eventide.operators import context_tree as CT
+from eventide.operators import embedding as EM
 from eventide.operators import newton as N
 from eventide.operators.metrics import mean_log_loss
 from eventide.operators.model import attach_pdf, bucket_pdf
+from eventide.operators.positions import chunked_running_sum
 from eventide.plans import sqlparts as S
 from eventide.plans.catalog import EVP, register
 from eventide.plans.catalog_model import _dbl, _pdf_cols, _pdf_ctes, _pdf_pick, _sets, _train_ctes
-from eventide.session import cut_lineage
+from eventide.schema import EVENT_MESSAGE
+from eventide.session import cut_lineage, stage_path
+from eventide.sinks.seen import filters, new_events
+from eventide.sources.tables import load_events
 
 N_CLASSES = CT.N_CLASSES
 
@@ -119,3 +126,66 @@ def q_model_regressions(spark: SparkSession, sf: str) -> DataFrame:
     expected = N.predict_all(rows, models, by, N.FEATURES).groupBy(*by).agg(
         *[F.round(F.sum(F.col("pdf").getItem(k)), 4).alias(f"expected{k}") for k in range(N_CLASSES)])
     return models.select(*by, "n", "converged", (F.col("gradient_max") < 1e-6).alias("at_minimum")).join(expected, by)
+
+
+# ---- M01: event-type vectors ------------------------------------------------------------------
+
+def _positions(spark: SparkSession, sf: str) -> DataFrame:
+    """(PersonId, pos, DefinitionId) of the events log; a type here is an event's type and application."""
+    kind = F.concat("DefinitionId", F.lit("/"), F.coalesce("ApplicationId", F.lit("")))
+    ev = load_events(spark, sf, "events").select(
+        "PersonId", epoch_us("OccurredTime").alias("_t"), "OccurredTimeTicks", "DefinitionId", "EventKey",
+        kind.alias("_kind"), F.lit(1).alias("_one"))
+    order = [F.col(c) for c in ("_t", "OccurredTimeTicks", "DefinitionId", "EventKey")]
+    return cut_lineage(chunked_running_sum(ev, ["PersonId"], "_t", order, "_one", DAY_US, out="pos").select(
+        "PersonId", "pos", F.col("_kind").alias("DefinitionId")), "positions")
+
+
+_PAIRS = [
+    S.EV_EVENTS,
+    f"""ps AS (SELECT PersonId, DefinitionId || '/' || coalesce(ApplicationId, '') AS k,
+          row_number() OVER (PARTITION BY PersonId ORDER BY {S.ORDER_ASC}) AS pos FROM ev)""",
+    f"""one AS (SELECT a.k AS "row", b.k AS col, count(*) AS n FROM ps a JOIN ps b ON a.PersonId = b.PersonId
+          AND b.pos > a.pos AND b.pos <= a.pos + {EM.WINDOW} GROUP BY 1, 2)""",
+    'cc AS (SELECT "row", col, sum(n) AS n FROM (SELECT * FROM one UNION ALL SELECT col, "row", n FROM one) GROUP BY 1, 2)',
+    'marg AS (SELECT "row" AS k, sum(n) AS n FROM cc GROUP BY 1)',
+    f"""pm AS (SELECT cc."row", cc.col, cc.n, ln({_dbl('cc.n')} * (SELECT sum(n) FROM cc) / ({_dbl('a.n')} * {_dbl('b.n')})) + 1.0 AS value
+          FROM cc JOIN marg a ON a.k = cc."row" JOIN marg b ON b.k = cc.col)""",
+]
+
+
+@register("type_cooccurrence", S.with_ctes(*_PAIRS) + '\nSELECT "row", col, CAST(n AS BIGINT) AS n FROM cc')
+def q_type_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
+    """How often two event types stand near each other in a person's log."""
+    return EM.cooccurrence(_positions(spark, sf))
+
+
+@register("type_vectors", S.with_ctes(*_PAIRS) + """
+SELECT "row", col, round(value, 5) AS value, round(value, 5) AS from_vectors FROM pm WHERE value > 0""")
+def q_type_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The table of shifted PMI, and what the vectors of as many dimensions as there are types give
+    back for it."""
+    table = cut_lineage(EM.ppmi(EM.cooccurrence(_positions(spark, sf))), "pmi")
+    q, values = EM.factorised(table, rank=24, extra=0, rounds=1)
+    got = EM.approximated(table, q, values)
+    return got.select("row", "col", F.round("value", 5).alias("value"), F.round("approximate", 5).alias("from_vectors"))
+
+
+# ---- S09 / A08: what a batch adds to a stored feed ----------------------------------------------
+
+_FEED = [f.name for f in EVENT_MESSAGE.fields]
+
+
+@register("feed_new_events", S.with_ctes(S.EV_EVENTS) + f"""
+SELECT {", ".join(f for f in _FEED if f != "OccurredTime")}, {S.ts('OccurredTime')} AS OccurredTime FROM
+  (SELECT {", ".join(_FEED)} FROM ev EXCEPT SELECT {", ".join(_FEED)} FROM ev WHERE EventKey % 3 > 0)""")
+def q_feed_new_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Two thirds of the events are stored with their filters; all come again as one batch."""
+    ev = load_events(spark, sf, "events").select("EventKey", *_FEED, F.to_date("OccurredTime").alias("day"))
+    stored = cut_lineage(ev.where("EventKey % 3 > 0").drop("EventKey").dropDuplicates(), "stored")
+    feed = stage_path(spark, "feed")
+    filters(stored, _FEED).write.partitionBy("day").parquet(f"{feed}/filters")
+    stored.repartition("day").write.partitionBy("AccountId", "day").parquet(f"{feed}/events")
+    batch = cut_lineage(ev.drop("EventKey").dropDuplicates(), "batch")
+    new = new_events(batch, f"{feed}/events", f"{feed}/filters", _FEED)
+    return new.select(*[f for f in _FEED if f != "OccurredTime"], ts_text("OccurredTime").alias("OccurredTime"))

@@ -120,6 +120,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new place for a table in the shared folder, removed with the stage tables of its block."""
+    path = os.path.join(checkpoint_dir(spark), "eventide-stages", f"{name}-{uuid.uuid4().hex}")
+    (_OWNER.get() or _UNOWNED).paths.append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as a Parquet table under ``spark.checkpoint.dir`` and read it back.
 
@@ -129,9 +136,8 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     thread and goes with it; outside of any block it stays until ``drop_stages``.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "eventide-stages", f"{name}-{uuid.uuid4().hex}")
+    path = stage_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    (_OWNER.get() or _UNOWNED).paths.append(path)
     return spark.read.parquet(path)
 
 

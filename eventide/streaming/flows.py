@@ -22,6 +22,7 @@ from eventide.schema import (EVENT_MESSAGE, MODEL_METRICS, PREDICTION, START_PRE
                              TRAINING_DATA_STATUS, TRAINING_MODEL_STATUS, TRAINING_REQUEST)
 from eventide.session import cut_lineage, stages
 from eventide.sinks.outbox import append_once, is_sent, mark_sent, run_name
+from eventide.sinks.seen import filters, new_events
 from eventide.sinks.tables import path_exists
 from eventide.streaming.tracker import TrackerParams, open_requests, progress_stream
 
@@ -91,28 +92,21 @@ def validated_events(raw_stream: DataFrame) -> tuple[DataFrame, DataFrame]:
 def append_new_events(path: str) -> Callable[[DataFrame, int], None]:
     """A08 on the stored feed: append the events of a batch that the table does not hold yet.
 
-    The table is partitioned by account and day, and only the days of the batch are compared, so
-    the cost follows the batch and not the age of the feed. Replaying a batch adds nothing.
+    The table is partitioned by account and day, with filters of its events beside it (``sinks.seen``):
+    events that no filter has seen are stored at once, the others are compared with the stored
+    events of their own days. The cost follows the batch, not the age of the feed or of its events.
+    Replaying a batch adds nothing.
     """
     cols = [f.name for f in EVENT_MESSAGE.fields]
 
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch.select(*cols).dropDuplicates().withColumn("day", F.to_date("OccurredTime"))
         with stages(spark):
-            new = cut_lineage(new, "feed")
-            days = new.agg(F.min("day"), F.max("day")).first()
-            if days[0] is None:
+            new = cut_lineage(batch.select(*cols).dropDuplicates().withColumn("day", F.to_date("OccurredTime")), "feed")
+            new = cut_lineage(new_events(new, path, f"{path}-filters", cols), "new")
+            if not new.limit(1).count():
                 return
-            if path_exists(spark, path):
-                schema = T.StructType([*EVENT_MESSAGE.fields, T.StructField("day", T.DateType())])
-                old = (spark.read.schema(schema).parquet(path)
-                       .where(F.col("day").between(F.lit(days[0]), F.lit(days[1])))
-                       .select(*[F.col(c).alias(f"_{c}") for c in [*cols, "day"]]))
-                same = F.col("day") == F.col("_day")
-                for c in cols:
-                    same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-                new = new.join(old, same, "left_anti")
+            filters(new, cols).write.mode("append").partitionBy("day").parquet(f"{path}-filters")
             new.write.mode("append").partitionBy("AccountId", "day").parquet(path)
 
     return handle
