@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,15 +12,19 @@ from eventide.functions.time import epoch_us, ts_text
 from eventide.operators import context_tree as CT
 from eventide.operators import embedding as EM
 from eventide.operators import newton as N
+from eventide.operators.filters import time_cutoff
 from eventide.operators.metrics import mean_log_loss
 from eventide.operators.model import attach_pdf, bucket_pdf
 from eventide.operators.positions import chunked_running_sum
+from eventide.operators.stats import time_bounds_values
 from eventide.plans import sqlparts as S
-from eventide.plans.catalog import EVP, register
+from eventide.plans.catalog import EVP, LATEST_N, register
 from eventide.plans.catalog_model import _dbl, _pdf_cols, _pdf_ctes, _pdf_pick, _sets, _train_ctes
 from eventide.schema import EVENT_MESSAGE
 from eventide.session import cut_lineage, stage_path
+from eventide.sinks.latest import advance, read_latest
 from eventide.sinks.seen import filters, new_events
+from eventide.sinks.vocabulary import grow, read_vocabulary
 from eventide.sources.tables import load_events
 
 N_CLASSES = CT.N_CLASSES
@@ -189,3 +195,38 @@ def q_feed_new_events(spark: SparkSession, sf: str) -> DataFrame:
     batch = cut_lineage(ev.drop("EventKey").dropDuplicates(), "batch")
     new = new_events(batch, f"{feed}/events", f"{feed}/filters", _FEED)
     return new.select(*[f for f in _FEED if f != "OccurredTime"], ts_text("OccurredTime").alias("OccurredTime"))
+
+
+# ---- W01 / A03 by increments --------------------------------------------------------------------
+
+@register("latest_by_increments", S.with_ctes(S.EV_EVENTS) + f"""
+SELECT PersonId, EventKey, DefinitionId, {S.ts('OccurredTime')} AS OccurredTime
+FROM (SELECT *, row_number() OVER (PARTITION BY PersonId ORDER BY OccurredTimeTicks DESC,
+        OccurredTime DESC, DefinitionId DESC, EventKey DESC) AS rn FROM ev)
+WHERE rn <= {LATEST_N}""")
+def q_latest_by_increments(spark: SparkSession, sf: str) -> DataFrame:
+    """W01 from three increments of the log, in an order of arrival in which two thirds are late."""
+    ev = cut_lineage(load_events(spark, sf, "events").withColumn(
+        "arrival", F.pmod("EventKey", F.lit(3)) * F.lit(10**12) + F.col("EventKey")), "log")
+    path = f"{stage_path(spark, 'latest')}/rows"
+    for k in (1, 2, 3):
+        advance(ev.where(F.col("arrival") < F.lit(k * 10**12)), path, LATEST_N, mark="arrival")
+    return read_latest(spark, path).select(
+        "PersonId", "EventKey", "DefinitionId", ts_text("OccurredTime").alias("OccurredTime"))
+
+
+@register("stable_vocabulary", S.with_ctes(
+    S.EV_EVENTS, f"""ty AS (SELECT DefinitionId || '/' || coalesce(ApplicationId, '') AS token, min(CASE
+          WHEN OccurredTime < (SELECT min(OccurredTime) FROM ev) + INTERVAL 1 HOUR THEN 0
+          WHEN OccurredTime < (SELECT min(OccurredTime) FROM ev) + INTERVAL 3 HOUR THEN 1 ELSE 2 END) AS step
+        FROM ev GROUP BY 1)""") + """
+SELECT token, CAST(row_number() OVER (ORDER BY step, token) - 1 AS INTEGER) AS token_id FROM ty""")
+def q_stable_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """A03 by three growing inputs: the first hour, the first three hours, all; ids stay."""
+    kind = F.concat("DefinitionId", F.lit("/"), F.coalesce("ApplicationId", F.lit("")))
+    ev = load_events(spark, sf, "events").select("OccurredTime", kind.alias("DefinitionId"))
+    start, _ = time_bounds_values(ev)
+    path = stage_path(spark, "vocabulary")
+    for hours in (1, 3, None):
+        grow(ev if hours is None else time_cutoff(ev, start + timedelta(hours=hours)), path)
+    return read_vocabulary(spark, path)
