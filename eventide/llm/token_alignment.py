@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from eventide.llm.common import read
 from eventide.llm.packed import Places, from_planes, gather, pack, pack_places, planes, unpack, unpack_places
-from eventide.llm.vocabulary_files import ByteLevel, Pieces, TokenizerFile, segments
+from eventide.llm.vocabulary_files import ByteLevel, Pieces, TokenizerFile, runs, segments
 from eventide.session import cut_lineage
 
 MAX_IDS = 1 << 20
@@ -49,10 +49,10 @@ MAX_IDS = 1 << 20
 class Sizes(NamedTuple):
     """How much a task holds at once."""
 
-    chunk_chars: int = 8_000_000
+    chunk_chars: int = 24_000_000
     block_chars: int = 1_000_000
-    slice_chars: int = 500_000  # distinct segments encoded at once
-    slice_segments: int = 50_000  # segments whose links are made at once in the second pass
+    slice_chars: int = 100_000  # distinct segments encoded at once
+    slice_segments: int = 20_000  # segments whose links are made at once
 
 
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -97,31 +97,40 @@ class Aligner:
         self.byte_piece = b.is_byte()
 
     def encoded(self, parts: list[str]) -> Encoded:
-        """Ids of segments, each beginning with the space; token ends are checked on the way."""
+        """Ids of segments, each beginning with the space; token ends are checked on the way.
+
+        Segments are encoded in runs: a cut between two of them is as safe as it was in their texts.
+        """
         raw = [p.encode() for p in parts]
         bounds = np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)])
         data = np.frombuffer(b"".join(raw), np.uint8)
-        # A: characters of the segment
-        n_a, ids_a, chars = self.a.spans(parts)
-        seg = np.repeat(np.arange(len(parts)), n_a)
+        edges = runs(parts, self.cuts)
+        texts = ["".join(parts[i:j]) for i, j in zip(edges[:-1], edges[1:])]
+        # A: characters of the run
+        n, ids_a, chars = self.a.spans(texts)
+        run = np.repeat(np.arange(len(texts)), n)
         byte_of = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-        base = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])[seg]
+        base = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])[run]
         begin, end = byte_of[base + chars[:, 0]], byte_of[base + chars[:, 1]]
-        shares = np.zeros(len(seg), bool)
-        shares[1:] = (begin[1:] < end[:-1]) & (seg[1:] == seg[:-1])
+        shares = np.zeros(len(run), bool)
+        shares[1:] = (begin[1:] < end[:-1]) & (run[1:] == run[:-1])
         ends_a = _refined(begin, end, self.size_a[ids_a], shares)
-        # B: bytes of the segment after its space, which the model adds
-        n_b, ids_b, spans = self.b.spans([p[1:] for p in parts])
-        seg_b = np.repeat(np.arange(len(parts)), n_b)
-        begin, end = bounds[seg_b] + 1 + spans[:, 0], bounds[seg_b] + 1 + spans[:, 1]
+        # B: bytes of the run after its space, which the model adds
+        n, ids_b, spans = self.b.spans([t[1:] for t in texts])
+        run = np.repeat(np.arange(len(texts)), n)
+        base = bounds[edges[:-1]][run] + 1
+        begin, end = base + spans[:, 0], base + spans[:, 1]
         is_byte = self.byte_piece[ids_b]
-        falls = np.zeros(len(seg_b), bool)
-        falls[1:] = is_byte[1:] & is_byte[:-1] & (seg_b[1:] == seg_b[:-1])
+        falls = np.zeros(len(run), bool)
+        falls[1:] = is_byte[1:] & is_byte[:-1] & (run[1:] == run[:-1])
         ends_b = _refined(begin, end, self.size_b[ids_b], falls)
+        # no token reaches over a cut, so its end tells its segment
+        seg_a, seg_b = (np.searchsorted(bounds[1:], e) for e in (ends_a, ends_b))
+        n_a, n_b = (np.bincount(s, minlength=len(parts)) for s in (seg_a, seg_b))
         valid = (_same_bytes(bounds, data, *self.bytes_a, ids_a, n_a)
                  & _same_bytes(bounds, data, *self.bytes_b, ids_b, n_b))
         return Encoded(np.diff(bounds), valid, n_a, n_b, ids_a, ids_b,
-                       self._checked(bounds, valid, seg, ends_a, self.size_a[ids_a]),
+                       self._checked(bounds, valid, seg_a, ends_a, self.size_a[ids_a]),
                        self._checked(bounds, valid, seg_b, ends_b, self.size_b[ids_b]))
 
     @staticmethod
@@ -195,6 +204,51 @@ class Aligned:
     tokens: np.ndarray  # per segment, how many ids
 
 
+class Tokens(NamedTuple):
+    """The tokens of a chunk's distinct segments, as they are stored."""
+
+    length: np.ndarray
+    valid: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    ids_a: np.ndarray
+    ids_b: np.ndarray
+
+    def packed(self) -> bytes:
+        return pack([planes(x) for x in self])
+
+    @classmethod
+    def unpacked(cls, raw: pa.Buffer) -> Tokens:
+        bounds, data = unpack(raw)
+        length, valid, *rest = (from_planes(data[x:y]) for x, y in zip(bounds[:-1], bounds[1:]))
+        return cls(length, valid.astype(bool), *rest)
+
+    def slices(self, tools: Aligner, step: int) -> Iterator[tuple[int, int, Aligned]]:
+        """(first segment, next one, their links and groups), ``step`` segments at a time."""
+        at_a, at_b = (np.concatenate([[0], np.cumsum(n, dtype=np.int64)]) for n in (self.n_a, self.n_b))
+        for i in range(0, len(self.valid), step):
+            j = min(i + step, len(self.valid))
+            yield i, j, tools.decoded(
+                self.length[i:j].astype(np.int64), self.valid[i:j],
+                self.n_a[i:j].astype(np.int64), self.n_b[i:j].astype(np.int64),
+                self.ids_a[at_a[i]:at_a[j]].astype(np.int64), self.ids_b[at_b[i]:at_b[j]].astype(np.int64)).aligned()
+
+
+def _stored(tools: Aligner, texts: list[str], slice_chars: int) -> Tokens:
+    """All segments encoded, a slice at a time."""
+    parts, i = [(np.zeros(0, np.uint32), np.zeros(0, bool), *[np.zeros(0, np.uint32)] * 4)], 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= slice_chars):
+            size += len(texts[j])
+            j += 1
+        e = tools.encoded(texts[i:j])
+        parts.append((e.length.astype(np.uint32), e.valid, *(
+            x.astype(np.uint32) for x in (e.n_a, e.n_b, e.ids_a, e.ids_b))))
+        i = j
+    return Tokens(*(np.concatenate(x) for x in zip(*parts)))
+
+
 def _spelled(ids: np.ndarray, sign: np.ndarray, tokens: np.ndarray, table: tuple[np.ndarray, np.ndarray]
              ) -> tuple[np.ndarray, np.ndarray]:
     """(bounds, content) of the groups of each segment as text, each group with its closing ``;``."""
@@ -246,34 +300,23 @@ def _split(docs: DataFrame, carry: list[str], files, sizes: Sizes) -> DataFrame:
             return pa.RecordBatch.from_arrays([*plain.columns[:7], *b.slice(a, k).columns[:len(carry)]], names=names)
 
         def lists() -> Iterator[pa.RecordBatch]:
-            parts, texts = [], list(seen)
-            pairs, segs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= sizes.slice_chars):
-                    size += len(texts[j])
-                    j += 1
-                e = tools.encoded(texts[i:j])
-                links = e.aligned()
-                pairs.append(links.pair)
-                segs.append(links.link_seg + i)
-                parts.append((e.length, e.valid, e.n_a, e.n_b, e.ids_a, e.ids_b))
-                i = j
-            all_of = [np.concatenate(x) for x in zip(*parts)] or [np.zeros(0, np.int64)] * 6
-            body = pack([planes(x) for x in all_of])
-            valid = all_of[1].astype(bool)
-            uses = np.zeros(len(texts), np.int64)
+            tokens = _stored(tools, list(seen), sizes.slice_chars)
+            uses = np.zeros(len(seen), np.int64)
             for block in blocks:
-                good = [doc for doc in block if valid[doc].all()]
+                good = [doc for doc in block if tokens.valid[doc].all()]
                 if good:
-                    uses += np.bincount(np.concatenate(good), minlength=len(texts))
+                    uses += np.bincount(np.concatenate(good), minlength=len(uses))
+            pairs, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, _, part in tokens.slices(tools, sizes.slice_segments):
+                distinct, which = np.unique(part.pair, return_inverse=True)
+                pairs.append(distinct)
+                links.append(np.bincount(which, uses[part.link_seg + i], len(distinct)).astype(np.int64))
             distinct, which = np.unique(np.concatenate(pairs), return_inverse=True)
-            total = np.bincount(which, uses[np.concatenate(segs)], len(distinct)).astype(np.int64)
+            total = np.bincount(which, np.concatenate(links), len(distinct)).astype(np.int64)
             k, none = len(distinct), [None] * len(distinct)
             yield rows(np.full(k, -2), np.arange(k), none, distinct, total, none)
             filled = [i for i, block in enumerate(blocks) if block]
-            bodies = [body, *(pack_places(np.concatenate(blocks[i])) for i in filled)]
+            bodies = [tokens.packed(), *(pack_places(np.concatenate(blocks[i])) for i in filled)]
             k, none = len(bodies), [None] * len(bodies)
             yield rows([-1, *filled], [-1] * k, none, none, none, bodies)
 
@@ -371,28 +414,21 @@ def _chunk(tools: Aligner, body: pa.Buffer, known: list[pa.RecordBatch],
            decimals: tuple[np.ndarray, np.ndarray], step: int
            ) -> tuple[np.ndarray, list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Per segment of a chunk: validity, the six measures, the groups as text."""
-    bounds, data = unpack(body)
-    length, valid, n_a, n_b, ids_a, ids_b = (from_planes(data[x:y]) for x, y in zip(bounds[:-1], bounds[1:]))
-    valid = valid.astype(bool)
+    tokens = Tokens.unpacked(body)
     pair, count, best = (np.concatenate([np.zeros(0, np.int64), *(
         k.column(c).to_numpy(zero_copy_only=False) for k in known)]).astype(np.int64) for c in range(3))
-    at_a, at_b = (np.concatenate([[0], np.cumsum(n, dtype=np.int64)]) for n in (n_a, n_b))
-    values: list[list[np.ndarray]] = [[] for _ in MEASURES]
+    values: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
     size, content = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
-    for i in range(0, len(valid), step):
-        j = min(i + step, len(valid))
-        own_a, own_b = n_a[i:j].astype(np.int64), n_b[i:j].astype(np.int64)
-        links = tools.decoded(length[i:j].astype(np.int64), valid[i:j], own_a, own_b,
-                              ids_a[at_a[i]:at_a[j]].astype(np.int64), ids_b[at_b[i]:at_b[j]].astype(np.int64)).aligned()
+    for i, j, links in tokens.slices(tools, step):
         which = np.searchsorted(pair, links.pair)
         first = np.searchsorted(links.link_seg, np.arange(j - i + 1))
         sums = [np.diff(np.concatenate([[0], np.cumsum(x[which])])[first]) for x in (best, count)]
-        for to, x in zip(values, [own_a, own_b, links.groups, np.diff(first), *sums]):
+        for to, x in zip(values, [links.groups, np.diff(first), *sums]):
             to.append(x)
         ends, text = _spelled(links.ids, links.sign, links.tokens, decimals)
         size.append(np.diff(ends))
         content.append(text)
-    return (valid, [np.concatenate([np.zeros(0, np.int64), *v]) for v in values],
+    return (tokens.valid, [tokens.n_a.astype(np.int64), tokens.n_b.astype(np.int64), *map(np.concatenate, values)],
             (np.concatenate([[0], np.cumsum(np.concatenate(size))]), np.concatenate(content)))
 
 

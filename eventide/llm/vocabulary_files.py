@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
-from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cached_property
 from importlib.metadata import version
+from itertools import chain
 
 import numpy as np
 
@@ -25,7 +26,9 @@ MAX_FILE = 64 << 20
 #: before a space that is not the last character, after one that is neither white space nor a control
 #: sign nor the mark U+2581
 _CUT = re.compile("(?<=[^\\s\\x00-\\x20\\x7f-\\xa0▁])(?= .)", re.DOTALL)
+_VISIBLE = re.compile("[^\\s\\x00-\\x20\\x7f-\\xa0▁]\\Z")
 MARK = "▁"
+RUN_CHARS = 4_000
 #: the printable stand-ins of bytes in byte-level vocabularies: printable Latin-1 stands for itself,
 #: the other bytes, in order, for the characters from U+0100 (fixed by the format)
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -35,6 +38,18 @@ def segments(text: str, cuts: bool) -> list[str]:
     return _CUT.split(text) if cuts else [text]
 
 
+def runs(parts: list[str], cuts: bool) -> list[int]:
+    """Edges of runs of segments that may be encoded as one text: each but the last of a run ends with a
+    visible character, as before any cut."""
+    edges, size = [0], 0
+    for i, p in enumerate(parts):
+        size += len(p)
+        if not cuts or size >= RUN_CHARS or not _VISIBLE.search(p):
+            edges.append(i + 1)
+            size = 0
+    return edges if edges[-1] == len(parts) else [*edges, len(parts)]
+
+
 def byte_characters() -> dict[str, int]:
     rest = [b for b in range(256) if b not in set(_PRINTABLE)]
     return {chr(b): b for b in _PRINTABLE} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -79,6 +94,8 @@ class ByteLevel:
     """A tokenizer of the tokenizers library, without truncation, padding or added special tokens."""
 
     def __init__(self, file: TokenizerFile) -> None:
+        # a task has one core; a thread pool would only hold memory of its own per thread
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(file.content.decode())
@@ -116,8 +133,9 @@ class ByteLevel:
         """(tokens per text, ids, offsets): offsets are (begin, end) in characters of the own text."""
         got = self.tok.encode_batch(texts, add_special_tokens=False)
         ids = [e.ids for e in got]
-        return (np.fromiter(map(len, ids), np.int64, len(ids)), _flat(ids, np.int64),
-                np.array([o for e in got for o in e.offsets], np.int64).reshape(-1, 2))
+        offsets = chain.from_iterable(chain.from_iterable(e.offsets for e in got))
+        return (np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.int64),
+                np.fromiter(offsets, np.int64).reshape(-1, 2))
 
 
 class Pieces:
@@ -155,14 +173,11 @@ class Pieces:
 
     def spans(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tokens per text, ids, offsets): offsets are (begin, end) in bytes of the own text."""
-        ids, offsets, sizes = [], [], []
+        flat: list[int] = []
+        sizes = []
         for proto in self.sp.encode(texts, return_type="proto", num_threads=1):
-            pieces = proto.pieces
-            sizes.append(len(pieces))
-            ids += [p.id for p in pieces]
-            offsets += [(p.begin, p.end) for p in pieces]
-        return (np.array(sizes, np.int64), np.array(ids, np.int64), np.array(offsets, np.int64).reshape(-1, 2))
-
-
-def _flat(lists: Iterable[list[int]], kind: type) -> np.ndarray:
-    return np.array([x for part in lists for x in part], kind)
+            sizes.append(len(proto.pieces))
+            for p in proto.pieces:
+                flat += (p.id, p.begin, p.end)
+        of = np.array(flat, np.int64).reshape(-1, 3)
+        return np.array(sizes, np.int64), of[:, 0], of[:, 1:]
