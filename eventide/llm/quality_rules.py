@@ -5,10 +5,11 @@ equal to the one before) are compared with fences that follow the data instead o
 Each (lang, source) group gets a quantile sketch per measure: counts in logarithmic buckets of
 relative width ``GAMMA - 1``. Such sketches merge by adding counts, so the sketch of a language or
 of the whole corpus is the sum of its groups' sketches, and partial counts combine before any
-shuffle. A measure fails above ``q75 + SPREADS * (q75 - q25)`` (the word length also below the
-mirrored fence), but never inside the fixed safe range: in a clean group, where
-the fences are narrow, nothing is rejected for being in the tail. Groups of fewer than ``min_docs``
-texts take the fences of their language, small languages those of the corpus.
+shuffle. A measure fails above ``q75 + SPREADS * spread`` (the word length also below the mirrored
+fence), where ``spread`` is the group's ``q75 - q25``. A measure that is the same, mostly 0, in half
+of a group's texts has no spread of its own; there ``LEAST_SPREAD`` stands in for it, so that a group
+of spotless texts does not reject the first blemish. No fence has a fixed place. Groups of fewer than
+``min_docs`` texts take the fences of their language, small languages those of the corpus.
 
 Null text reads as empty; null lang and null source are groups of their own; repeated rows are
 judged like any other; an empty table gives no rows. Documents are never compared by ``doc_id``,
@@ -33,16 +34,16 @@ from eventide.session import cut_lineage
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_echoes"]
 WINDOW = 8
 GAMMA = 1.02
-SPREADS = 3.0
+SPREADS = 4.0
 MIN_DOCS = 100
 MIN_WORDS = 20
-#: measure -> values (per mille; for the word length, characters x 1000) that are never rejected
-SAFE = {
-    "word_length": (2500, 11000),
-    "symbols": (0, 100),
-    "dup_lines": (0, 500),
-    "repeats": (0, 300),
-    "echoes": (0, 200),
+#: measure -> spread (per mille; of the word length, characters x 1000) where a group has less
+LEAST_SPREAD = {
+    "word_length": 100.0,
+    "symbols": 25.0,
+    "dup_lines": 100.0,
+    "repeats": 60.0,
+    "echoes": 5.0,
 }
 
 _SYMBOL = np.zeros(256, bool)
@@ -166,16 +167,13 @@ def fences(sk: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         return (F.when(F.col("g_n") >= min_docs, F.col(f"g_{c}"))
                 .when(F.col("l_n") >= min_docs, F.col(f"l_{c}")).otherwise(F.col(f"c_{c}")))
 
-    low = F.create_map(*[F.lit(x) for k, (a, _) in SAFE.items() for x in (k, float(a))])
-    high = F.create_map(*[F.lit(x) for k, (_, b) in SAFE.items() for x in (k, float(b))])
-    width = SPREADS * (F.col("q75") - F.col("q25"))
+    least = F.create_map(*[F.lit(x) for kv in LEAST_SPREAD.items() for x in kv])
+    width = SPREADS * F.greatest(F.col("q75") - F.col("q25"), least[F.col("measure")])
     rows = (out.select("lang", "source", "measure", pick("q25").alias("q25"), pick("q75").alias("q75"))
-            .select("lang", "source", "measure",
-                    F.least(low[F.col("measure")], F.col("q25") - width).alias("lo"),
-                    F.greatest(high[F.col("measure")], F.col("q75") + width).alias("hi")))
+            .select("lang", "source", "measure", (F.col("q25") - width).alias("lo"), (F.col("q75") + width).alias("hi")))
     return rows.groupBy("lang", "source").agg(
         *[F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{e}_{m}")
-          for m in SAFE for e in ("lo", "hi")])
+          for m in LEAST_SPREAD for e in ("lo", "hi")])
 
 
 def judged(feats: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -231,7 +229,7 @@ def _level_sql(name: str, keys: tuple[str, ...]) -> str:
 
 
 def _verdict_sql() -> str:
-    arms = " ".join(f"WHEN {m} < lo_{m} OR {m} > hi_{m} THEN '{m}'" for m in SAFE)
+    arms = " ".join(f"WHEN {m} < lo_{m} OR {m} > hi_{m} THEN '{m}'" for m in LEAST_SPREAD)
     return f"CASE WHEN base_failed THEN 'base' {arms} END"
 
 
@@ -259,7 +257,7 @@ f AS (SELECT doc_id, lang, source, coalesce(n_words, 0)::BIGINT AS n_words, coal
       coalesce(n_echoes, 0)::BIGINT AS n_echoes FROM d LEFT JOIN wa USING (rid) LEFT JOIN la USING (rid)),
 m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed, {", ".join(
     f"CASE WHEN {b} > 0 THEN 1000 * {a} // {b} ELSE 0 END AS {k}" for k, (a, b) in _MEASURE_SQL.items())} FROM f),
-u AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {k} AS v FROM m WHERE n_words >= {MIN_WORDS}" for k in SAFE)}),
+u AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {k} AS v FROM m WHERE n_words >= {MIN_WORDS}" for k in LEAST_SPREAD)}),
 sk AS (SELECT lang, source, measure, CASE WHEN v <= 0 THEN 0 ELSE ceil(ln(v) / ln({GAMMA}::DOUBLE)) + 1 END AS bucket,
        count(*) AS n FROM u GROUP BY ALL),
 {_level_sql("g", ("lang", "source"))},
@@ -270,8 +268,8 @@ q AS (SELECT g.lang, g.source, g.measure,
       CASE WHEN g.n >= {MIN_DOCS} THEN g.q75 WHEN l.n >= {MIN_DOCS} THEN l.q75 ELSE c.q75 END AS q75
       FROM g JOIN l ON l.lang IS NOT DISTINCT FROM g.lang AND l.measure = g.measure JOIN c ON c.measure = g.measure),
 fe AS (SELECT lang, source, {", ".join(
-    f"max(least({a}.0, q25 - {SPREADS} * (q75 - q25))) FILTER (measure = '{k}') AS lo_{k}, "
-    f"max(greatest({b}.0, q75 + {SPREADS} * (q75 - q25))) FILTER (measure = '{k}') AS hi_{k}" for k, (a, b) in SAFE.items())}
+    f"max(q25 - {SPREADS} * greatest(q75 - q25, {w})) FILTER (measure = '{k}') AS lo_{k}, "
+    f"max(q75 + {SPREADS} * greatest(q75 - q25, {w})) FILTER (measure = '{k}') AS hi_{k}" for k, w in LEAST_SPREAD.items())}
     FROM q GROUP BY lang, source),
 v AS (SELECT m.*, {_verdict_sql()} AS reason FROM m LEFT JOIN fe
       ON fe.lang IS NOT DISTINCT FROM m.lang AND fe.source IS NOT DISTINCT FROM m.source)

@@ -119,6 +119,27 @@ def test_fences_follow_the_group_and_leave_clean_texts(spark, none):
         docs.where("doc_id < 1000 or doc_id >= 2000"), "doc_id")
 
 
+def test_fences_are_as_tight_as_their_group(spark):
+    """What one group rejects is usual in another; no fixed value takes part."""
+    def text(i, size, echoes=0):
+        words = [f"{(i * 37 + k * 11) % 9973:05d}"[:5].ljust(size + (i + k) % 2, "x") for k in range(60)]
+        for k in range(echoes):
+            words[2 * k + 1] = words[2 * k]
+        return " ".join(words)
+
+    def rows(first, n, lang, size, echoes=0):
+        return [(first + i, text(i, size, echoes), lang, "s", 1, None, None) for i in range(n)]
+
+    short, long = rows(0, 150, "en", 5), rows(1000, 150, "de", 9, echoes=6)
+    odd_ones = rows(2000, 5, "en", 9) + rows(3000, 5, "en", 5, echoes=6) + rows(4000, 5, "de", 5, echoes=6)
+    feats = quality_rules.with_features(spark.createDataFrame(short + long + odd_ones, DOCS),
+                                        keep=["doc_id", "lang", "source"])
+    got = {r["doc_id"]: r["reason"] for r in quality_rules.judged(feats).collect()}
+    assert {got[d] for d in (*range(150), *range(1000, 1150))} == {None}
+    assert {got[2000 + i] for i in range(5)} == {"word_length"} == {got[4000 + i] for i in range(5)}
+    assert {got[3000 + i] for i in range(5)} == {"echoes"}
+
+
 def test_sketches_merge_and_bound_the_quantile(spark):
     rows = [("en", "a" if i % 3 else "b", 1000, 4000 + 7 * i, 0, 1, 0, 0, 0) for i in range(300)]
     feats = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long, "
@@ -498,6 +519,17 @@ MAIL = [
 ]
 
 
+def test_very_deep_quotes_and_long_attributions(spark):
+    deep, name = ">" * 200_000, "Someone " * 60
+    rows = [(1, 0, "user", "First words"), (1, 1, "assistant", f"on Monday {name} wrote:\n> First words\nAn answer"),
+            (1, 2, "user", f"{deep} far\n> > >>x\n \t> > First words\nOwn")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r for r in quotation_linking.parsed(m).collect()}
+    assert [q["level"] for q in got[2]["quotes"]] == [200_000, 4, 2] and got[2]["content"] == "Own"
+    assert got[1]["content"] == "An answer" and [q["level"] for q in got[1]["quotes"]] == [1]
+    assert got[1]["quotes"][0]["hash"] == got[2]["quotes"][2]["hash"] == got[0]["own"][0]
+
+
 def test_quotes_are_linked_and_removed(spark):
     m = spark.createDataFrame([(*r, "extra") for r in MAIL], "conv_id long, turn long, role string, text string, n_quotes string")
     got = {(r["conv_id"], r["turn"], r["content"]): r for r in quotation_linking.conversations(m).collect()}
