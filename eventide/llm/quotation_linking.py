@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from eventide.llm.common import SPACE, read
 from eventide.session import cut_lineage
 
-PREFIX = r"^((?:[ \t]*>)*)[ \t]?"
-ATTRIBUTION = r"(?i)^\s*on .{0,200} wrote:\s*$"
+#: one character class up to the last ``>`` of the prefix: no repeated group, which would recurse per sign
+PREFIX = r"^([ \t>]*>)?[ \t]?"
+ATTRIBUTION = r"(?i)^\s*on .* wrote:\s*$"
 
 
 def _level(line: Column) -> Column:
