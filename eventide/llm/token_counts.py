@@ -16,8 +16,9 @@ stored. Two jobs that append the same digest at a time store it twice, with the
 take one. A digest shared by a third of all rows is one row of the cache; the join back moves ids and
 digests only, and Spark splits a hot digest (skew join).
 
-Long texts: where the file allows it (``vocabulary_files``) texts are counted as the sum over their
-segments, each distinct segment of a batch once; other tokenizers take each text whole. Null and
+Long texts: where the file allows it (``vocabulary_files``) a text's count is the sum over its
+segments, and a task keeps the counts of up to ``KNOWN`` short segments; other tokenizers take each
+text whole. Null and
 empty texts have 0 bytes and what the library gives the empty text. Rows and ids may repeat, each is
 counted; the input's columns come back, those named like a result replaced. An empty table gives no
 rows and appends none.
@@ -35,7 +36,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.llm.common import read
-from eventide.llm.packed import Places
 from eventide.llm.vocabulary_files import TokenizerFile
 from eventide.session import checkpoint_dir, cut_lineage
 from eventide.sinks.tables import path_exists
@@ -44,9 +44,11 @@ CACHE = "tokenizer string, digest binary, n_tokens long"
 LIMIT = 1024
 #: misses up to so many rows (32 bytes each) are broadcast
 FEW = 1 << 16
-#: characters of texts, and of their distinct segments, encoded at once
-BATCH_CHARS = 2_000_000
-SLICE_CHARS = 200_000
+#: characters of texts read, and of new distinct segments encoded, at once
+BATCH_CHARS = 500_000
+SLICE_CHARS = 50_000
+#: counts of short segments that a task keeps; beyond, it starts anew
+KNOWN, SHORT = 300_000, 64
 
 
 def content(text: str = "text") -> Column:
@@ -72,19 +74,23 @@ def encoded(texts: DataFrame, file: TokenizerFile) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = shared.value.open()
 
+        known: dict[str, int] = {}
+
         def counts(held: list[str]) -> np.ndarray:
-            seen = Places()
-            places = [[seen[s] for s in tool.parts(t)] for t in held]
-            distinct, known, i = list(seen), [], 0
-            while i < len(distinct):
+            if len(known) > KNOWN:
+                known.clear()
+            parts = [tool.parts(t) for t in held]
+            new = list({s for p in parts for s in p if s not in known})
+            own, i = {}, 0
+            while i < len(new):
                 j, size = i, 0
-                while j < len(distinct) and (j == i or size + len(distinct[j]) <= SLICE_CHARS):
-                    size += len(distinct[j])
+                while j < len(new) and (j == i or size + len(new[j]) <= SLICE_CHARS):
+                    size += len(new[j])
                     j += 1
-                known.append(tool.counts(distinct[i:j]))
+                for s, n in zip(new[i:j], tool.counts(new[i:j]).tolist()):
+                    (known if len(s) <= SHORT else own)[s] = n
                 i = j
-            per = np.concatenate([np.zeros(0, np.int64), *known])
-            return np.fromiter((per[p].sum() for p in places), np.int64, len(places))
+            return np.array([sum(known[s] if s in known else own[s] for s in p) for p in parts], np.int64)
 
         for b in batches:
             held, chars, a = [], 0, 0
