@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.config import SECOND_US
@@ -13,6 +13,10 @@ from eventide.operators.positions import ranged_running_sum
 from eventide.session import cut_lineage
 
 
+#: distinct values that one task may order
+ONE_RANGE = 100_000
+
+
 def time_bounds(events: DataFrame) -> DataFrame:
     """One row (min_time, max_time) in a single scan."""
     return events.agg(F.min("OccurredTime").alias("min_time"),
@@ -33,10 +37,13 @@ def distinct_persons(events: DataFrame) -> DataFrame:
 def vocabulary(events: DataFrame, column: str = "DefinitionId") -> DataFrame:
     """Distinct values -> dense 0-based ids in sorted order, as a stored table.
 
-    Numbered range by range, so no task orders all values; stored, so Spark knows the size of the
-    table when it joins it.
+    Numbered range by range, so no task orders more than ``ONE_RANGE`` values; up to that many are one
+    range. Stored, so Spark knows the size of the table when it joins it.
     """
-    vals = events.where(F.col(column).isNotNull()).select(F.col(column).alias("token")).distinct()
+    vals = cut_lineage(events.where(F.col(column).isNotNull()).select(F.col(column).alias("token")).distinct(), "types")
+    if vals.count() <= ONE_RANGE:
+        rank = F.row_number().over(Window.orderBy("token"))
+        return cut_lineage(vals.select("token", (rank - 1).cast("int").alias("token_id")), "vocab")
     ids = ranged_running_sum(vals.withColumn("_one", F.lit(1)), [], ["token"], "_one")
     return cut_lineage(ids.select("token", (F.col("running") - 1).cast("int").alias("token_id")), "vocab")
 

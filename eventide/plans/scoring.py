@@ -19,6 +19,7 @@ from eventide.operators.model import bucket_pdf, score_histories
 from eventide.plans.preprocess import PrepParams, test_set, test_set_by
 from eventide.session import cut_lineage
 
+SALTS = 16
 REQUEST_KEYS = ["AccountId", "ApplicationId", "ModelId"]
 
 
@@ -27,15 +28,17 @@ def request_extract(events: DataFrame, requests: DataFrame) -> DataFrame:
 
     An equi-join on AccountId plus the application predicate: every request gets exactly the
     rows its own extract would read. Output columns: the request keys that ``requests`` has
-    (``req_*``) + event columns.
+    (``req_*``) + event columns. A few accounts may hold the whole log, so the join key has a salt of
+    the person: each request is ``SALTS`` rows, and an account's events go to as many tasks.
     """
     req = requests.select(*[F.col(k).alias(f"req_{k}") for k in REQUEST_KEYS if k in requests.columns]).distinct()
     # one row per registered model, stored: Spark knows its size and broadcasts it where it is small
-    req = cut_lineage(req, "requests")
-    cond = (F.col("AccountId") == F.col("req_AccountId")) & (
+    req = cut_lineage(req, "requests").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    events = events.withColumn("_salt", F.pmod(F.xxhash64("PersonId"), F.lit(SALTS)).cast("int"))
+    cond = (F.col("AccountId") == F.col("req_AccountId")) & (F.col("_salt") == F.col("_s")) & (
         F.col("req_ApplicationId").isNull() | (F.col("req_ApplicationId") == "")
         | (F.col("ApplicationId") == F.col("req_ApplicationId")))
-    return events.join(req, cond, "inner")
+    return events.join(req, cond, "inner").drop("_salt", "_s")
 
 
 def histories_per_request(extract: DataFrame, as_of: datetime | Column, *,

@@ -80,3 +80,13 @@ def test_nothing_to_add(spark, tmp_path):
     none = log(spark, 1).limit(0)
     assert latest.advance(none, f"{tmp_path}/latest", 5, mark="arrival") == 0
     assert stored.grow(none, f"{tmp_path}/vocab") == 0 and stored.read_vocabulary(spark, f"{tmp_path}/vocab").count() == 0
+
+
+def test_vocabulary_is_the_same_by_ranges(spark, monkeypatch):
+    from eventide.operators import stats
+
+    rows = make_events(spark, [(k, "2031-01-01", f"t{(k * 7) % 53:02d}") for k in range(300)])
+    one = {r.token: r.token_id for r in stats.vocabulary(rows).collect()}
+    monkeypatch.setattr(stats, "ONE_RANGE", 10)
+    assert {r.token: r.token_id for r in stats.vocabulary(rows).collect()} == one == {
+        f"t{i:02d}": i for i in range(53)}
