@@ -4,8 +4,9 @@ Tokenizer A is a byte-level file of the tokenizers library and reads a space bef
 tokenizer B is a sentencepiece model that adds this space itself. Both then cover the same bytes.
 
 1. *Segments.* Texts are cut where neither tokenizer can join tokens (see ``vocabulary_files``);
-   documents are gathered into chunks, and each distinct segment of a chunk is encoded once. Tokens
-   of both end at every segment's end, so groups and links of a text are those of its segments.
+   documents are gathered into chunks, and each distinct segment of a chunk is encoded once; a worker
+   process keeps the tokens of up to ``KNOWN`` short ones for its later chunks and tasks. Tokens of
+   both end at every segment's end, so groups and links of a text are those of its segments.
 2. *Spans.* The character offsets of A and the byte spans of B's proto are coarse cuts. Tokens of A
    that share a character (parts of a multibyte one) and runs of B's byte-fallback tokens are placed
    within their common span by the lengths of their decoded bytes. A segment whose decoded bytes
@@ -30,6 +31,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -40,10 +43,12 @@ from pyspark.sql import functions as F
 
 from eventide.llm.common import read
 from eventide.llm.packed import Places, from_planes, gather, pack, pack_places, planes, unpack, unpack_places
-from eventide.llm.vocabulary_files import ByteLevel, Pieces, TokenizerFile, runs, segments
+from eventide.llm.vocabulary_files import ByteLevel, Pieces, TokenizerFile, runs, segments_unspaced
 from eventide.session import cut_lineage
 
 MAX_IDS = 1 << 20
+#: short segments whose tokens a worker process keeps from one chunk to the next
+KNOWN, SHORT = 300_000, 64
 
 
 class Sizes(NamedTuple):
@@ -95,6 +100,8 @@ class Aligner:
         self.bytes_a, self.bytes_b = a.token_bytes(), b.token_bytes()
         self.size_a, self.size_b = np.diff(self.bytes_a[0]), np.diff(self.bytes_b[0])
         self.byte_piece = b.is_byte()
+        self.known: dict[str, int] = {}
+        self.kept = Tokens.none()
 
     def encoded(self, parts: list[str]) -> Encoded:
         """Ids of segments, each beginning with the space; token ends are checked on the way.
@@ -151,6 +158,12 @@ class Aligner:
                        decoded_ends(bounds, seg_b, self.size_b[ids_b]))
 
 
+@lru_cache(maxsize=1)
+def opened(a: TokenizerFile, b: TokenizerFile) -> Aligner:
+    """The tools of a worker process, which runs many tasks."""
+    return Aligner(a.open(), b.open())
+
+
 def decoded_ends(bounds: np.ndarray, seg: np.ndarray, size: np.ndarray) -> np.ndarray:
     behind = np.cumsum(size)
     first = np.searchsorted(seg, np.arange(len(bounds) - 1))
@@ -172,26 +185,23 @@ class Encoded:
     ends_b: np.ndarray
 
     def aligned(self) -> Aligned:
-        """Links and groups of the valid segments."""
-        k = len(self.valid)
+        """Links and groups of the valid segments.
+
+        Ends are positions in a slice of few bytes, so counts by position stand in for sorting.
+        """
+        k, borders = len(self.valid), np.cumsum(self.length)
+        size = int(borders[-1]) + 1 if k else 1
         use_a, use_b = np.repeat(self.valid, self.n_a), np.repeat(self.valid, self.n_b)
         ids_a, ids_b = self.ids_a[use_a], self.ids_b[use_b]
         ends_a, ends_b = self.ends_a[use_a], self.ends_b[use_b]
-        borders = np.cumsum(self.length)
-        union = np.union1d(ends_a, ends_b)
-        link_seg = np.searchsorted(borders, union)
-        pair = ids_a[np.searchsorted(ends_a, union)] << 32 | ids_b[np.searchsorted(ends_b, union)]
-        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        groups = np.bincount(np.searchsorted(borders, common), minlength=k)
-        # ids in order of (group, side), and which of them are the last of their side
-        group = np.concatenate([np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)])
-        side = np.repeat([0, 1], [len(ends_a), len(ends_b)])
-        order = np.lexsort((side, group))
-        group, side = group[order], side[order]
-        last = np.append((group[1:] != group[:-1]) | (side[1:] != side[:-1]), True)[:len(group)]
-        sign = np.where(last, np.where(side == 0, ord("|"), ord(";")), ord(",")).astype(np.uint8)
-        return Aligned(link_seg, pair, groups, np.concatenate([ids_a, ids_b])[order], sign,
-                       np.where(self.valid, self.n_a + self.n_b, 0))
+        at_a, at_b, at_border = (np.bincount(x, minlength=size) for x in (ends_a, ends_b, borders))
+        before_a, before_b, before_border = (np.cumsum(x) - x for x in (at_a, at_b, at_border))
+        union = np.flatnonzero(at_a + at_b)
+        common = np.flatnonzero((at_a > 0) & (at_b > 0))
+        pair = ids_a[before_a[union]] << 32 | ids_b[before_b[union]]
+        groups = np.bincount(before_border[common], minlength=k)
+        return Aligned(before_border[union], pair, groups, np.where(self.valid, self.n_a + self.n_b, 0),
+                       ids_a, ids_b, (before_a + at_a)[common], (before_b + at_b)[common])
 
 
 @dataclass
@@ -199,9 +209,23 @@ class Aligned:
     link_seg: np.ndarray  # segment of each link, rising
     pair: np.ndarray  # A id << 32 | B id
     groups: np.ndarray  # per segment
-    ids: np.ndarray  # ids in order of (segment, group, side)
-    sign: np.ndarray  # what follows each of them: , | or ;
     tokens: np.ndarray  # per segment, how many ids
+    ids_a: np.ndarray
+    ids_b: np.ndarray
+    upto_a: np.ndarray  # per group, how many A ids it and those before it have
+    upto_b: np.ndarray
+
+    def spelled(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in order of (segment, group, side), and what follows each of them: , | or ;"""
+        own_a, own_b = (np.diff(x, prepend=0) for x in (self.upto_a, self.upto_b))
+        place_a = np.arange(len(self.ids_a)) + np.repeat(self.upto_b - own_b, own_a)
+        place_b = np.arange(len(self.ids_b)) + np.repeat(self.upto_a, own_b)
+        ids = np.empty(len(place_a) + len(place_b), np.int64)
+        ids[place_a], ids[place_b] = self.ids_a, self.ids_b
+        sign = np.full(len(ids), ord(","), np.uint8)
+        sign[place_a[self.upto_a - 1]] = ord("|")
+        sign[place_b[self.upto_b - 1]] = ord(";")
+        return ids, sign
 
 
 class Tokens(NamedTuple):
@@ -214,6 +238,32 @@ class Tokens(NamedTuple):
     ids_a: np.ndarray
     ids_b: np.ndarray
 
+    @classmethod
+    def none(cls) -> Tokens:
+        return cls(np.zeros(0, np.uint32), np.zeros(0, bool), *[np.zeros(0, np.uint32)] * 4)
+
+    @classmethod
+    def of(cls, e: Encoded) -> Tokens:
+        return cls(e.length.astype(np.uint32), e.valid, *(
+            x.astype(np.uint32) for x in (e.n_a, e.n_b, e.ids_a, e.ids_b)))
+
+    def and_then(self, *others: Tokens) -> Tokens:
+        return Tokens(*map(np.concatenate, zip(self, *others)))
+
+    def filled(self, place: np.ndarray, new: Tokens) -> Tokens:
+        """The segments at ``place``; where it is negative, those of ``new`` in their order."""
+        own = place >= 0
+        known = self.taken(place[own])
+        length, valid, n_a, n_b = (_mixed(own, x, y) for x, y in zip(known[:4], new[:4]))
+        return Tokens(length, valid, n_a, n_b, _mixed(np.repeat(own, n_a), known.ids_a, new.ids_a),
+                      _mixed(np.repeat(own, n_b), known.ids_b, new.ids_b))
+
+    def taken(self, places: np.ndarray) -> Tokens:
+        """The segments at ``places``, in their order."""
+        at_a, at_b = (np.concatenate([[0], np.cumsum(n, dtype=np.int64)]) for n in (self.n_a, self.n_b))
+        return Tokens(self.length[places], self.valid[places], self.n_a[places], self.n_b[places],
+                      gather(at_a, self.ids_a, places)[1], gather(at_b, self.ids_b, places)[1])
+
     def packed(self) -> bytes:
         return pack([planes(x) for x in self])
 
@@ -234,19 +284,41 @@ class Tokens(NamedTuple):
                 self.ids_a[at_a[i]:at_a[j]].astype(np.int64), self.ids_b[at_b[i]:at_b[j]].astype(np.int64)).aligned()
 
 
+def _mixed(where: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
+    out = np.empty(len(where), no.dtype)
+    out[where], out[~where] = yes, no
+    return out
+
+
 def _stored(tools: Aligner, texts: list[str], slice_chars: int) -> Tokens:
-    """All segments encoded, a slice at a time."""
-    parts, i = [(np.zeros(0, np.uint32), np.zeros(0, bool), *[np.zeros(0, np.uint32)] * 4)], 0
+    """Tokens of distinct segments (without the space each begins with); only those not known are encoded."""
+    place = np.fromiter(map(tools.known.get, texts, repeat(-1)), np.int64, len(texts))
+    fresh = np.flatnonzero(place < 0)
+    rest = [texts[i] for i in fresh.tolist()]
+    new = Tokens.none().and_then(*(Tokens.of(tools.encoded(part)) for part in _slices(rest, slice_chars)))
+    out = new if len(rest) == len(texts) else tools.kept.filled(place, new)
+    if len(tools.known) == KNOWN and 10 * len(rest) > 9 * len(texts):  # other texts than before
+        tools.known, tools.kept = {}, Tokens.none()
+    if room := KNOWN - len(tools.known):
+        short = [i for i, t in enumerate(rest) if len(t) <= SHORT][:room]
+        tools.known.update(zip((rest[i] for i in short), range(len(tools.known), KNOWN)))
+        tools.kept = tools.kept.and_then(new.taken(np.array(short, np.int64)))
+    return out
+
+
+def _slices(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """Segments with their space, about ``chars`` at a time."""
+    behind, i = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1), 0
     while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= slice_chars):
-            size += len(texts[j])
-            j += 1
-        e = tools.encoded(texts[i:j])
-        parts.append((e.length.astype(np.uint32), e.valid, *(
-            x.astype(np.uint32) for x in (e.n_a, e.n_b, e.ids_a, e.ids_b))))
+        j = max(i + 1, int(np.searchsorted(behind, (behind[i - 1] if i else 0) + chars, "right")))
+        yield [f" {t}" for t in texts[i:j]]
         i = j
-    return Tokens(*(np.concatenate(x) for x in zip(*parts)))
+
+
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values as first seen, place of each value among them)."""
+    coded = pa.array(values, pa.int64()).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
 
 
 def _spelled(ids: np.ndarray, sign: np.ndarray, tokens: np.ndarray, table: tuple[np.ndarray, np.ndarray]
@@ -279,7 +351,7 @@ def _split(docs: DataFrame, carry: list[str], files, sizes: Sizes) -> DataFrame:
     names = ["chunk", "part", "number", "n", "pair", "links", "body", *[f"_c{i}" for i in range(len(carry))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = Aligner(*(f.open() for f in files.value))
+        tools = opened(*files.value)
         task = TaskContext.get().partitionId()
         chunk, seen, chars, block_chars, told = 0, Places(), 0, 0, 0
         blocks: list[list[np.ndarray]] = [[]]
@@ -308,7 +380,7 @@ def _split(docs: DataFrame, carry: list[str], files, sizes: Sizes) -> DataFrame:
                     uses += np.bincount(np.concatenate(good), minlength=len(uses))
             pairs, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, _, part in tokens.slices(tools, sizes.slice_segments):
-                distinct, which = np.unique(part.pair, return_inverse=True)
+                distinct, which = _coded(part.pair)
                 pairs.append(distinct)
                 links.append(np.bincount(which, uses[part.link_seg + i], len(distinct)).astype(np.int64))
             distinct, which = np.unique(np.concatenate(pairs), return_inverse=True)
@@ -325,7 +397,7 @@ def _split(docs: DataFrame, carry: list[str], files, sizes: Sizes) -> DataFrame:
             a = 0
             for r, t in enumerate(b.column(len(carry))):
                 text = t.as_py() or ""
-                got = segments(" " + text, tools.cuts) if text else []
+                got = segments_unspaced(text, tools.cuts) if text else []
                 blocks[-1].append(np.fromiter(map(seen.__getitem__, got), np.uint32, len(got)))
                 chars, block_chars = chars + len(text), block_chars + len(text)
                 if block_chars >= sizes.block_chars or chars >= sizes.chunk_chars:
@@ -371,7 +443,7 @@ def align(docs: DataFrame, carry: list[str], a: TokenizerFile, b: TokenizerFile,
                        + [f"{m} long" for m in MEASURES] + ["groups binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = Aligner(*(f.open() for f in files.value))
+        tools = opened(*files.value)
         decimals = _decimals(max(len(tools.size_a), len(tools.size_b)))
         known: list[pa.RecordBatch] = []
         valid = values = spelled = places = None
@@ -420,12 +492,13 @@ def _chunk(tools: Aligner, body: pa.Buffer, known: list[pa.RecordBatch],
     values: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
     size, content = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
     for i, j, links in tokens.slices(tools, step):
-        which = np.searchsorted(pair, links.pair)
+        distinct, which = _coded(links.pair)
+        which = np.searchsorted(pair, distinct)[which]
         first = np.searchsorted(links.link_seg, np.arange(j - i + 1))
         sums = [np.diff(np.concatenate([[0], np.cumsum(x[which])])[first]) for x in (best, count)]
         for to, x in zip(values, [links.groups, np.diff(first), *sums]):
             to.append(x)
-        ends, text = _spelled(links.ids, links.sign, links.tokens, decimals)
+        ends, text = _spelled(*links.spelled(), links.tokens, decimals)
         size.append(np.diff(ends))
         content.append(text)
     return (tokens.valid, [tokens.n_a.astype(np.int64), tokens.n_b.astype(np.int64), *map(np.concatenate, values)],

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from functools import cached_property
 from importlib.metadata import version
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 
@@ -26,9 +27,12 @@ MAX_FILE = 64 << 20
 #: before a space that is not the last character, after one that is neither white space nor a control
 #: sign nor the mark U+2581
 _CUT = re.compile("(?<=[^\\s\\x00-\\x20\\x7f-\\xa0▁])(?= .)", re.DOTALL)
+#: the same place in a text that a space goes before; the space itself is left out
+_GAP = re.compile(" (?<=[^\\s\\x00-\\x20\\x7f-\\xa0▁] )(?=.)", re.DOTALL)
 _VISIBLE = re.compile("[^\\s\\x00-\\x20\\x7f-\\xa0▁]\\Z")
 MARK = "▁"
 RUN_CHARS = 4_000
+_PIECE = attrgetter("id", "begin", "end")
 #: the printable stand-ins of bytes in byte-level vocabularies: printable Latin-1 stands for itself,
 #: the other bytes, in order, for the characters from U+0100 (fixed by the format)
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -38,13 +42,21 @@ def segments(text: str, cuts: bool) -> list[str]:
     return _CUT.split(text) if cuts else [text]
 
 
+def segments_unspaced(text: str, cuts: bool) -> list[str]:
+    """``segments`` of a space and ``text``, each without the space that it begins with."""
+    return _GAP.split(text) if cuts else [text]
+
+
 def runs(parts: list[str], cuts: bool) -> list[int]:
     """Edges of runs of segments that may be encoded as one text: each but the last of a run ends with a
     visible character, as before any cut."""
+    if not cuts:
+        return list(range(len(parts) + 1))
+    visible = {c for c in {p[-1:] for p in parts} if _VISIBLE.match(c)}
     edges, size = [0], 0
     for i, p in enumerate(parts):
         size += len(p)
-        if not cuts or size >= RUN_CHARS or not _VISIBLE.search(p):
+        if size >= RUN_CHARS or p[-1:] not in visible:
             edges.append(i + 1)
             size = 0
     return edges if edges[-1] == len(parts) else [*edges, len(parts)]
@@ -173,11 +185,8 @@ class Pieces:
 
     def spans(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tokens per text, ids, offsets): offsets are (begin, end) in bytes of the own text."""
-        flat: list[int] = []
-        sizes = []
-        for proto in self.sp.encode(texts, return_type="proto", num_threads=1):
-            sizes.append(len(proto.pieces))
-            for p in proto.pieces:
-                flat += (p.id, p.begin, p.end)
-        of = np.array(flat, np.int64).reshape(-1, 3)
-        return np.array(sizes, np.int64), of[:, 0], of[:, 1:]
+        pieces = [p.pieces for p in self.sp.encode(texts, return_type="proto", num_threads=1)]
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        flat = chain.from_iterable(map(_PIECE, chain.from_iterable(pieces)))
+        of = np.fromiter(flat, np.int64, 3 * int(n.sum())).reshape(-1, 3)
+        return n, of[:, 0], of[:, 1:]

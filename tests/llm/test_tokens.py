@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 
 from eventide.llm import token_alignment, token_counts
-from eventide.llm.vocabulary_files import TokenizerFile, segments
+from eventide.llm.vocabulary_files import TokenizerFile, runs, segments, segments_unspaced
 
 DOCS = "doc_id long, text string, lang string, n_tokens string, chunk string, part int, row string, digest string"
 A_PATH, B_PATH = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -134,6 +134,70 @@ def test_segments_join_to_the_text(tools):
     assert not TokenizerFile.read(public_tokenizers.path("word_bpe_49k.json")).open().cuts
 
 
+def test_segments_without_their_space(tools):
+    rng = random.Random(10)
+    for t in [t or "" for t in ODD] + ["".join(rng.choice(SIGNS) for _ in range(rng.randrange(30))) for _ in range(500)]:
+        for cuts in (True, False):
+            assert [f" {s}" for s in segments_unspaced(t, cuts)] == segments(f" {t}", cuts)
+    # a segment that does not end with a visible character ends its run
+    assert runs([" a", " b\n", " c", " d▁", "", " e"], True) == [0, 2, 4, 5, 6]
+    assert runs([" a", " b"], False) == [0, 1, 2] and runs([], True) == runs([], False) == [0]
+
+
+def test_links_and_groups_are_made_without_sorting(tools, monkeypatch):
+    """Ends are positions in a slice of few bytes, so counts by position do."""
+    a, b, _ = tools
+    tool, rng = token_alignment.Aligner(a, b), random.Random(6)
+    parts = [" " + "".join(rng.choice(SIGNS) for _ in range(rng.randrange(1, 25))) for _ in range(400)]
+    encoded = tool.encoded(parts)
+
+    def sorts(*_, **__):
+        raise AssertionError("sorted")
+
+    for name in ("union1d", "intersect1d", "lexsort", "unique", "argsort", "sort"):
+        monkeypatch.setattr(token_alignment.np, name, sorts)
+    got = encoded.aligned()
+    ids, sign = got.spelled()
+    monkeypatch.undo()
+    assert 0 < encoded.valid.sum() < len(parts)
+    ends = np.cumsum(got.tokens)
+    for k, part in enumerate(parts):
+        own = slice(ends[k] - got.tokens[k], ends[k])
+        text = "".join(f"{i}{chr(x)}" for i, x in zip(ids[own], sign[own]))
+        links = [(p >> 32, p & (1 << 32) - 1) for p in got.pair[got.link_seg == k].tolist()]
+        want = walked(part[1:], a, b) if encoded.valid[k] else None
+        assert (want is not None) == encoded.valid[k]
+        assert (got.groups[k], links, text[:-1]) == ((len(want[2]), want[3], spelled(want[2])) if want else (0, [], ""))
+
+
+def test_known_segments_are_not_encoded_again(tools, monkeypatch):
+    a, b, _ = tools
+    tool, plain, rng, asked = token_alignment.Aligner(a, b), token_alignment.Aligner(a, b), random.Random(8), []
+    own = tool.encoded
+    tool.encoded = lambda parts: asked.extend(parts) or own(parts)
+    monkeypatch.setattr(token_alignment, "KNOWN", 50)
+    monkeypatch.setattr(token_alignment, "SHORT", 12)
+    words = list(dict.fromkeys("".join(rng.choice(SIGNS[:18]) for _ in range(rng.randrange(9))) for _ in range(300)))
+
+    def stored(texts):
+        asked.clear()
+        plain.known, plain.kept = {}, token_alignment.Tokens.none()
+        got, want = (token_alignment._stored(t, texts, 40) for t in (tool, plain))
+        assert all(x.dtype == y.dtype and x.tolist() == y.tolist() for x, y in zip(got, want, strict=True))
+        assert len(tool.known) == len(tool.kept.valid) <= 50
+        return [p[1:] for p in asked]
+
+    long = "x" * 13
+    assert stored([*words[:30], long]) == [*words[:30], long]
+    assert stored([long, *words[40:20:-1]]) == [long, *words[40:29:-1]]
+    assert stored(words[:41]) == [] and stored([]) == []
+    # full: what came first stays, until hardly any is met again
+    assert len(stored(words[:80])) == 39 and stored(words[:60]) == words[50:60]
+    assert stored(words[100:150]) == words[100:150] and stored(words[100:150]) == []
+    files = TokenizerFile.read(A_PATH, plain=True), TokenizerFile.read(B_PATH)
+    assert token_alignment.opened(*files) is token_alignment.opened(*files)
+
+
 def test_alignment_of_nothing(spark, odd):
     files = TokenizerFile.read(A_PATH, plain=True), TokenizerFile.read(B_PATH)
     assert token_alignment.align(odd.limit(0), ["doc_id"], *files).count() == 0
